@@ -101,3 +101,14 @@ def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None =
         .cast("bigint").alias("final_size"),
         opt.alias("optimized_context"),
     )
+
+
+def optimize_live(calls: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """H7: the live pass on a call table: F3 (superseded outputs) then C3 (stale error inputs).
+
+    ``calls(session_id, seq, turn, tool, status, input, output, signature)``;
+    ``last`` = final user-turn count per session (defaults to max turn of the calls).
+    Adds ``superseded`` and ``masked``; E5 counts them per session.
+    """
+    from sessionsift.operators import calls as K
+    return K.mask_stale_error_inputs(K.mark_superseded_outputs(calls), last=last)
