@@ -82,7 +82,9 @@ def canonical_json(raw) -> Column:
     is_obj = F.schema_of_variant(v).startswith("OBJECT")
     obj = F.to_json(F.map_filter(v.cast("map<string,variant>"), lambda k, x: ~F.is_variant_null(x)))
     native = F.when(is_obj, obj).otherwise(F.to_json(v))
-    slow = native.contains("null") | raw.rlike(r"[0-9][eE]|[0-9]{16,}")
+    # JS prints 1e0 / 1.0 as 1 and loses precision past 2^53: such rows (and nested nulls) go to Python.
+    pat = r"[0-9][eE][-+]?[0-9]|[0-9]\.0([^0-9]|$)|[0-9]{16,}"
+    slow = native.contains("null") | raw.rlike(pat) | native.rlike(pat)
     return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
             .when(slow, _canonical_json_udf(raw)).otherwise(native))
 

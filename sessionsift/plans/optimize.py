@@ -112,3 +112,50 @@ def optimize_live(calls: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """
     from sessionsift.operators import calls as K
     return K.mask_stale_error_inputs(K.mark_superseded_outputs(calls), last=last)
+
+
+_SEQ_LINE, _SEQ_KIND = 1 << 20, 1 << 19
+
+
+def transcript_items(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A2 -> F1 -> B2..B7 -> D1: the item table of a transcript and each session's final turn.
+
+    Items: ``(session_id, seq, line_no, kind, text, signature, protected, is_error, turn)``;
+    ``seq`` orders an entry's texts before its tool results.
+    """
+    from sessionsift.functions.signature import tool_signature
+    from sessionsift.functions.text import is_protected
+    from sessionsift.operators import calls as K
+    from sessionsift.operators import extract as X
+    from sessionsift.sources.transcripts import parse_entries
+
+    ent = parse_entries(lines).withColumn("texts", X.extract_texts("content"))
+    turns = K.assign_turns(ent, (F.col("type") == "user") & (F.size("texts") > 0), order="line_no")
+    last = K.last_turns(turns)
+    texts = turns.select(S, "line_no", "turn", F.posexplode("texts").alias("pos", "text")).select(
+        S, (F.col("line_no") * _SEQ_LINE + F.col("pos")).alias("seq"), "line_no", F.lit("text").alias("kind"), "text",
+        F.lit(None).cast("string").alias("signature"), F.lit(False).alias("protected"), F.lit(False).alias("is_error"),
+        "turn")
+    resolved = X.resolve_tool_calls(X.explode_tool_uses(ent), X.explode_tool_results(ent))
+    tools = (resolved.where(F.col("text") != "")
+             .join(turns.select(S, "line_no", "turn"), [S, "line_no"])
+             .select(S, (F.col("line_no") * _SEQ_LINE + _SEQ_KIND + F.col("part_no")).alias("seq"), "line_no",
+                     F.lit("tool_result").alias("kind"), K.label_tool_docs("name", "text").alias("text"),
+                     tool_signature("name", "input").alias("signature"), is_protected("name").alias("protected"),
+                     "is_error", "turn"))
+    return texts.unionByName(tools), last
+
+
+def transcripts_to_docs(lines: DataFrame, n: int = C.MAX_TRANSCRIPT_ENTRIES) -> DataFrame:
+    """H6: transcript lines -> optimizer docs ``(session_id, seq, line_no, kind, text)``.
+
+    Items -> F2 newest result per signature -> C2 stale errors -> F4 last ``n``.
+    """
+    from pyspark.sql import Window
+
+    from sessionsift.operators import calls as K
+    items, last = transcript_items(lines)
+    kept = K.drop_stale_errors(K.dedupe_tool_results(items), last=last)
+    w = Window.partitionBy(S).orderBy(F.col("seq").desc())
+    return (kept.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
+            .select(S, "seq", "line_no", "kind", "text"))
