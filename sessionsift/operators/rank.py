@@ -19,6 +19,13 @@ S = "session_id"
 
 
 # --------------------------------------------------------------------------- B9 / C1
+def normalize_parts(parts) -> Column:
+    """B9 list form: strip parts, drop null/blank ones, join by one space."""
+    parts = F.col(parts) if isinstance(parts, str) else parts
+    kept = F.filter(F.transform(parts, lambda p: strip_ws(p)), lambda p: p.isNotNull() & (p != ""))
+    return strip_ws(F.array_join(kept, " "))
+
+
 def normalize_docs(docs: DataFrame, text: str = "text") -> DataFrame:
     """Strip strings; list docs (array<string>): strip parts, drop blank/null, join by one space.
 
@@ -26,13 +33,22 @@ def normalize_docs(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     dtype = docs.schema[text].dataType.simpleString()
     if dtype.startswith("array"):
-        parts = F.filter(F.transform(F.col(text), lambda p: strip_ws(p)), lambda p: p.isNotNull() & (p != ""))
-        norm = strip_ws(F.array_join(parts, " "))
+        norm = normalize_parts(text)
     else:
         norm = strip_ws(F.col(text).cast("string"))
     return docs.withColumn(text, norm).where(F.col(text) != "")
 
 
+def tail_docs(docs: DataFrame, n: int = C.MAX_TRANSCRIPT_ENTRIES, order: str = "pos") -> DataFrame:
+    """the last ``n`` docs of each session (original order kept by ``order``).
+
+    ``row_number <= n`` with a literal ``n`` lets the planner insert a partial
+    per-partition ``WindowGroupLimit`` before the shuffle.
+    """
+    w = Window.partitionBy(S).orderBy(F.col(order).desc())
+    return docs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
 def purge_error_docs(docs: DataFrame, prefixes=C.ERROR_PREFIXES, text: str = "text") -> DataFrame:
     """Drop docs starting with an error prefix, case-insensitively (literal, not regex)."""
     longest = max(len(p) for p in prefixes)

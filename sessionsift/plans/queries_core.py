@@ -24,3 +24,158 @@ def h5_fx2(spark, sf):
 def h5_fx1(spark, sf):
     """Flagship on long documents (prefilter cap fires)."""
     return optimize_context(fx.fx1_docs(spark, sf), fx.fx1_requests(spark, sf))
+
+
+# --------------------------------------------------------------------------- step queries
+from sessionsift import constants as C  # noqa: E402
+from sessionsift.operators import prune, rank  # noqa: E402
+from sessionsift.operators.compress import compress_text  # noqa: E402
+from sessionsift.plans.optimize import with_param_defaults  # noqa: E402
+
+S = "session_id"
+H1 = O.params_sql("fx1_req")
+W1 = f"with recursive {fx.SQL_FX1},\n{H1},\n{O.h5_ctes('fx1')}"
+W2 = f"with recursive {fx.SQL_FX2},\n{O.params_sql('fx2_req')},\n{O.h5_ctes('fx2')}"
+
+
+def _clean(docs):
+    return rank.purge_error_docs(rank.normalize_docs(docs))
+
+
+def _fx1_ranked(spark, sf):
+    params = with_param_defaults(fx.fx1_requests(spark, sf))
+    cands = rank.prefilter_topk(_clean(fx.fx1_docs(spark, sf)), params, C.PREFILTER_MIN_CAP)
+    cands = cands.select(S, F.col("ppos").alias("pos"), "text")
+    scores = rank.bm25_scores(cands, params)
+    return rank.rank_docs(cands.join(scores, [S, "pos"]), order="pos"), params
+
+
+@register("b9_normalize_docs", f"""with {fx.SQL_FX1}
+select session_id, pos, {O.strip_sql('text')} as text,
+       {O.strip_sql("array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda p: " + O.strip_sql('p') + "), lambda p: p <> ''), ' ')")} as joined
+from fx1 where {O.strip_sql('text')} <> ''""")
+def b9(spark, sf):
+    d = fx.fx1_docs(spark, sf)
+    return (d.select(S, "pos", F.col("text").alias("raw"))
+            .select(S, "pos", rank.strip_ws(F.col("raw")).alias("text"),
+                    rank.normalize_parts(F.split("raw", "\n")).alias("joined"))
+            .where(F.col("text") != ""))
+
+
+@register("c1_purge_error_docs", f"{W1} select session_id, pos from nd2")
+def c1(spark, sf):
+    return _clean(fx.fx1_docs(spark, sf)).select(S, "pos")
+
+
+@register("c4_gate_by_size", f"{W2} select session_id, n_docs, initial_size, gate, gate_reason from gated")
+def c4(spark, sf):
+    g = rank.gate_by_size(with_param_defaults(fx.fx2_requests(spark, sf)), rank.result_sizes(fx.fx2_docs(spark, sf)))
+    return g.select(S, F.col("n_docs").cast("bigint"), "initial_size", "gate", "gate_reason")
+
+
+@register("e7_result_sizes", f"{W1} select session_id, n_docs, cast(initial_size as bigint) as initial_size from sizes")
+def e7(spark, sf):
+    return rank.result_sizes(fx.fx1_docs(spark, sf))
+
+
+@register("f4_tail_docs", f"""with {fx.SQL_FX1},
+t as (select *, row_number() over (partition by session_id order by pos desc) as r from fx1)
+select session_id, pos from t where r <= 20""")
+def f4(spark, sf):
+    return rank.tail_docs(fx.fx1_docs(spark, sf), 20).select(S, "pos")
+
+
+@register("f5_prefilter_topk", f"{W1} select session_id, pos, case when n > cap then rn else pos end as ppos from pre where rn <= cap")
+def f5(spark, sf):
+    params = with_param_defaults(fx.fx1_requests(spark, sf))
+    return rank.prefilter_topk(_clean(fx.fx1_docs(spark, sf)), params, C.PREFILTER_MIN_CAP).select(S, "pos", "ppos")
+
+
+@register("f6_rank_docs", f"{W1} select session_id, pos, rk as rank, score, fscore as first_score from ranked")
+def f6(spark, sf):
+    r, _ = _fx1_ranked(spark, sf)
+    return r.select(S, "pos", F.col("rank").cast("bigint"), "score", "first_score")
+
+
+@register("f7_cap_chunks", f"{W1} select session_id, rk as rank, pos from ranked where rk <= {C.DEFAULT_MAX_CHUNKS}")
+def f7(spark, sf):
+    r, _ = _fx1_ranked(spark, sf)
+    return rank.cap_chunks(r, C.DEFAULT_MAX_CHUNKS).select(S, F.col("rank").cast("bigint"), "pos")
+
+
+@register("g1_dedupe_semantic", f"{W1} select session_id, unnest(arg_max(kept, rk)) as rank from walk group by session_id")
+def g1(spark, sf):
+    r, params = _fx1_ranked(spark, sf)
+    terms = rank.embed_docs(r.select(S, "pos", "text")).join(r.select(S, "pos", "rank"), [S, "pos"])
+    nbrs = prune.lexical_neighbours(terms.select(S, "rank", "term", "tf"), params)
+    return prune.dedupe_semantic(r, nbrs).select(S, F.col("rank").cast("bigint"))
+
+
+@register("g2_prune_to_budget", f"""with recursive {fx.SQL_FX2},
+rk as (select session_id, row_number() over (partition by session_id order by length(text) % 97 desc, pos) as rk,
+              length(text) as len from fx2),
+walk(session_id, rk, rem, stop, take) as (
+  select distinct session_id, cast(0 as bigint), cast(1000 as bigint), false, []::bigint[] from fx2
+  union all
+  select w.session_id, r.rk,
+         case when w.stop or w.rem <= 0 or r.len > w.rem then w.rem else w.rem - r.len end,
+         case when w.stop or w.rem <= 0 then true when r.len > w.rem then len(w.take) = 0 else false end,
+         case when w.stop or w.rem <= 0 then w.take
+              when r.len > w.rem then (case when len(w.take) = 0 then list_append(w.take, r.rk) else w.take end)
+              else list_append(w.take, r.rk) end
+  from walk w join rk r on r.session_id = w.session_id and r.rk = w.rk + 1)
+select session_id, unnest(arg_max(take, rk)) as rank from walk group by session_id""")
+def g2(spark, sf):
+    """Budget 1,000 over conversation turns ranked by ``length % 97`` desc, all scores 1."""
+    from pyspark.sql import Window
+    d = fx.fx2_docs(spark, sf)
+    w = Window.partitionBy(S).orderBy((F.length("text") % 97).desc(), F.col("pos"))
+    ranked = d.select(S, "text", F.row_number().over(w).alias("rank"), F.lit(1.0).alias("first_score"))
+    params = ranked.select(S).distinct().withColumn("total_prune_budget_chars", F.lit(1000).cast("bigint"))
+    return prune.prune_to_budget(ranked, params).select(S, F.col("rank").cast("bigint"))
+
+
+@register("h1_embed_docs", f"""with {fx.SQL_FX2}
+select session_id, pos, term, count(*) as tf from (select session_id, pos, unnest({O.toks_sql('text')}) as term from fx2)
+group by all""")
+def h1(spark, sf):
+    return rank.embed_docs(fx.fx2_docs(spark, sf))
+
+
+@register("h2_cosine_similarity", f"{W1} select session_id, pos, sim from sims")
+def h2(spark, sf):
+    params = with_param_defaults(fx.fx1_requests(spark, sf))
+    q = params.select(S, F.when(rank.strip_ws(F.col("query")) == "", F.lit(" ")).otherwise(F.col("query")).alias("q"))
+    d = _clean(fx.fx1_docs(spark, sf)).join(q.select(S, rank.query_terms_map(F.col("q")).alias("qm")), S)
+    return d.select(S, "pos", rank.query_cosine(F.col("text"), F.col("qm")).alias("sim"))
+
+
+@register("h2_dense_cosine", f"""with {fx.SQL_FX6},
+f as (select session_id, min_by(vec, pos) as v0 from fx6 group by all)
+select x.session_id, x.pos,
+       round(case when list_dot_product(x.vec, x.vec) = 0 or list_dot_product(f.v0, f.v0) = 0 then 0
+             else list_dot_product(x.vec, f.v0) / (sqrt(list_dot_product(x.vec, x.vec)) * sqrt(list_dot_product(f.v0, f.v0))) end, 6) as cos
+from fx6 x join f using (session_id)""")
+def h2d(spark, sf):
+    v = fx.fx6_vectors(spark, sf)
+    first = v.groupBy(S).agg(F.min_by("vec", "pos").alias("v0"))
+    return v.join(first, S).select(S, "pos", F.round(rank.dense_cosine("vec", "v0"), 6).alias("cos"))
+
+
+@register("h3_relevance_score", f"{W2} select session_id, pos, score from scored")
+def h3(spark, sf):
+    params = with_param_defaults(fx.fx2_requests(spark, sf))
+    gated = rank.gate_by_size(params, rank.result_sizes(fx.fx2_docs(spark, sf))).where(F.col("gate") == "run")
+    cands = _clean(fx.fx2_docs(spark, sf).select(S, "pos", "text")).join(gated.select(S), S)
+    return rank.bm25_scores(cands, gated)
+
+
+@register("h4_compress_text", f"""with {fx.SQL_FX2},
+ch as (select session_id, pos, {O.strip_sql('text')} as text from fx2 where {O.strip_sql('text')} <> ''),
+gated as (select distinct session_id, {C.DEFAULT_COMPRESSION_RATE}::double as rate from ch),
+{O.compress_ctes('ch', 'pos')}
+select session_id, oc as optimized_context from comp""")
+def h4(spark, sf):
+    d = rank.normalize_docs(fx.fx2_docs(spark, sf).select(S, "pos", "text"))
+    params = d.select(S).distinct().withColumn("compression_rate", F.lit(C.DEFAULT_COMPRESSION_RATE))
+    return compress_text(d, params, order="pos")
