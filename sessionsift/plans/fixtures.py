@@ -93,9 +93,12 @@ def _tool_of(event_type):
             .when(event_type == "signup", "grep").when(event_type == "purchase", "Write").otherwise("bash"))
 
 
-def fx3_calls(spark, sf_dir, with_turn: bool = True) -> DataFrame:
-    """tool_calls: one row per event; ``USER`` rows are user turns, the rest are calls."""
-    e = read(spark, sf_dir, "events")
+def fx3_calls(spark, sf_dir, with_turn: bool = True, events: DataFrame | None = None) -> DataFrame:
+    """tool_calls: one row per event; ``USER`` rows are user turns, the rest are calls.
+
+    ``events`` may be a streaming frame (then ``with_turn`` must be False).
+    """
+    e = events if events is not None else read(spark, sf_dir, "events")
     k = F.regexp_extract("props", "[0-9]+", 0)
     calls = e.select(
         F.col("user_id").cast("string").alias("session_id"),
@@ -157,8 +160,8 @@ SQL_FX4_EVENTS = """ev as (
 
 
 # --------------------------------------------------------------------------- FX5
-def fx5_log(spark, sf_dir) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+def fx5_log(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    e = events if events is not None else read(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("ingest_seq"), "ts",
         F.when(F.col("user_id") % 3 == 0, "host-a").when(F.col("user_id") % 3 == 1, "host-b").otherwise("cli").alias("cli"),
