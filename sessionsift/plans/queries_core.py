@@ -179,3 +179,24 @@ def h4(spark, sf):
     d = rank.normalize_docs(fx.fx2_docs(spark, sf).select(S, "pos", "text"))
     params = d.select(S).distinct().withColumn("compression_rate", F.lit(C.DEFAULT_COMPRESSION_RATE))
     return compress_text(d, params, order="pos")
+
+
+@register("g3_dedupe_corpus", f"""with recursive {fx.SQL_FX6},
+r as (select session_id, pos, vec, row_number() over (partition by session_id order by pos) as rk from fx6),
+nb as (
+  select a.session_id, a.rk, list(b.rk order by b.rk) as nbrs
+  from r a join r b on a.session_id = b.session_id and b.rk < a.rk
+  where round(list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 6) >= 0.3
+  group by all),
+items as (select r.session_id, r.rk, r.pos, coalesce(nb.nbrs, []::bigint[]) as nbrs from r left join nb using (session_id, rk)),
+walk(session_id, rk, kept) as (
+  select distinct session_id, cast(0 as bigint), []::bigint[] from r
+  union all
+  select w.session_id, i.rk, case when list_has_any(w.kept, i.nbrs) then w.kept else list_append(w.kept, i.rk) end
+  from walk w join items i on i.session_id = w.session_id and i.rk = w.rk + 1),
+fin as (select session_id, unnest(arg_max(kept, rk)) as rk from walk group by session_id)
+select i.session_id, i.pos from fin join items i using (session_id, rk)""")
+def g3(spark, sf):
+    """Corpus-scale greedy dedupe of the embeddings per label at cosine 0.3 (LSH tuned for 0.3)."""
+    from sessionsift.operators.corpus import dedupe_corpus
+    return dedupe_corpus(fx.fx6_vectors(spark, sf), 0.3, bits=2, bands=30)
