@@ -12,7 +12,10 @@ from sessionsift.functions.text import is_blank, strip_ws
 from sessionsift.operators.ordered import last_before
 
 S = "session_id"
-_EMPTY = F.array().cast("array<string>")
+
+
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _is_str(v: Column) -> Column:
@@ -29,8 +32,8 @@ def extract_texts(content) -> Column:
     texts = F.transform(F.filter(parts, lambda p: _is_str(F.try_variant_get(p, "$.text", "variant"))),
                         lambda p: strip_ws(F.try_variant_get(p, "$.text", "string")))
     texts = F.filter(texts, lambda t: t != "")
-    return (F.when(kind == "STRING", F.when(s != "", F.array(s)).otherwise(_EMPTY))
-            .when(F.coalesce(kind.startswith("ARRAY"), F.lit(False)), texts).otherwise(_EMPTY))
+    return (F.when(kind == "STRING", F.when(s != "", F.array(s)).otherwise(_empty()))
+            .when(F.coalesce(kind.startswith("ARRAY"), F.lit(False)), texts).otherwise(_empty()))
 
 
 def explode_texts(entries: DataFrame) -> DataFrame:

@@ -156,3 +156,25 @@ def i7(spark, sf):
            .when(F.col("event_id") % 3 == 1, F.col("props"))
            .otherwise(F.concat(F.lit("-"), F.col("value").cast("string"))))
     return validate_overrides(e.select(key.alias("key"), val.alias("value")))
+
+
+# --------------------------------------------------------------------------- K1 / K2
+from sessionsift.functions import plugins as P  # noqa: E402
+
+
+@register("k1_embed_plugin")
+def k1(spark, sf):
+    """Conversation turns embedded by a plug-in (deterministic hashing embedder, loaded once per worker)."""
+    d = fx.fx2_docs(spark, sf)
+    v = d.select(S, "pos", P.embed_column("text", P.hashing_embedder(64), name="hashing64").alias("vec"))
+    return v.select(S, "pos", F.size("vec").alias("dim"),
+                    F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("n_tokens"))
+
+
+@register("k2_fail_open", f"""{fx.with_sql(fx.SQL_FX2)}
+select session_id, pos, case when text like '%7%' then null else cast(length(text) as double) end as value,
+       case when text like '%7%' then 'ValueError: boom' end as error from fx2""")
+def k2(spark, sf):
+    d = fx.fx2_docs(spark, sf)
+    r = d.select(S, "pos", P.fail_open(P.flaky_len)("text").alias("r"))
+    return r.select(S, "pos", "r.value", "r.error")
