@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 
 def _js_number(x) -> str:
+    """Number to text the way JavaScript prints it (shortest round-trip digits)."""
     if isinstance(x, bool):
         return "true" if x else "false"
     if isinstance(x, int) and abs(x) < 2 ** 53:
@@ -24,16 +26,24 @@ def _js_number(x) -> str:
     x = float(x)
     if not math.isfinite(x):
         return "null"
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
-    r = repr(x)
-    if "e" in r:
-        mant, exp = r.split("e")
-        e = int(exp)
-        if -7 < e < 21:
-            return format(x, "f").rstrip("0").rstrip(".") if "." in format(x, "f") else format(x, "f")
-        return f"{mant}e{'+' if e > 0 else '-'}{abs(e)}"
-    return r
+    if x == 0:
+        return "0"
+    sign = "-" if x < 0 else ""
+    d = Decimal(repr(abs(x)))
+    _, digits, exp = d.as_tuple()
+    full = "".join(map(str, digits))
+    s = full.rstrip("0") or "0"
+    k, n = len(s), exp + len(full)
+    if k <= n <= 21:
+        out = s + "0" * (n - k)
+    elif 0 < n <= 21:
+        out = s[:n] + "." + s[n:]
+    elif -6 < n <= 0:
+        out = "0." + "0" * (-n) + s
+    else:
+        e = n - 1
+        out = (s if k == 1 else s[0] + "." + s[1:]) + "e" + ("+" if e > 0 else "-") + str(abs(e))
+    return sign + out
 
 
 def _canon(v) -> str:
