@@ -19,21 +19,31 @@ from sessionsift.functions.text import NON_WORD, SPACE_RUN
 S = "session_id"
 
 
-def compress_text(docs: DataFrame, params: DataFrame, rate: str = "compression_rate",
+def compress_text(docs: DataFrame, params: DataFrame | None = None, rate: str = "compression_rate",
                   order: str = "rank") -> DataFrame:
-    """``docs(session_id, order, text)`` -> ``(session_id, optimized_context)``; sessions without docs absent."""
-    toks = (docs.select(S, order, F.posexplode(F.split(F.col("text"), SPACE_RUN)).alias("tpos", "tok"))
-            .where(F.col("tok") != ""))
-    toks = toks.withColumn("norm", F.lower(F.regexp_replace("tok", NON_WORD, "")))
-    n_docs = docs.groupBy(S).agg(F.count(F.lit(1)).alias("N"))
-    dfreq = toks.where(F.col("norm") != "").groupBy(S, "norm").agg(F.countDistinct(order).alias("df"))
-    tf = toks.groupBy(S, order, "norm").agg(F.count(F.lit(1)).alias("tf"))
-    ntok = toks.groupBy(S, order).agg(F.count(F.lit(1)).alias("ntok"))
+    """``docs(session_id, order, text[, rate])`` -> ``(session_id, optimized_context)``; sessions without docs absent.
+
+    The input is a bounded list per session (at most ``max_chunks`` docs), so
+    the tokens are hash-partitioned by session once and every statistic is a
+    window on that partitioning (no joins, no further exchanges).
+    """
+    if params is not None:
+        docs = docs.join(params.select(S, rate), S)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    toks = (docs.select(S, order, rate, F.posexplode(F.split(F.col("text"), SPACE_RUN)).alias("tpos", "tok"))
+            .where(F.col("tok") != "")
+            .withColumn("norm", F.lower(F.regexp_replace("tok", NON_WORD, "")))
+            .repartition(n, S))
+    in_session = Window.partitionBy(S)
+    in_doc = Window.partitionBy(S, order)
+    per_norm = Window.partitionBy(S, "norm")
+    per_doc_norm = Window.partitionBy(S, order, "norm")
+    toks = (toks.withColumn("N", F.size(F.collect_set(order).over(in_session)))
+            .withColumn("df", F.size(F.collect_set(order).over(per_norm)))
+            .withColumn("tf", F.count(F.lit(1)).over(per_doc_norm))
+            .withColumn("ntok", F.count(F.lit(1)).over(in_doc)))
     idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = (toks.join(dfreq, [S, "norm"], "left").join(n_docs, S).join(tf, [S, order, "norm"])
-              .join(ntok, [S, order]).join(params.select(S, rate), S)
-              .withColumn("w", F.when(F.col("norm") == "", F.lit(0.0))
-                          .otherwise(F.round(idf, C.SCORE_DIGITS))))
+    scored = toks.withColumn("w", F.when(F.col("norm") == "", F.lit(0.0)).otherwise(F.round(idf, C.SCORE_DIGITS)))
     w = Window.partitionBy(S, order).orderBy(F.col("w").desc(), F.col("tf").asc(), F.col("tpos").asc())
     keep = F.ceil(F.col(rate) * F.col("ntok"))
     kept = scored.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= keep)

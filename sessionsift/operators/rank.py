@@ -144,33 +144,35 @@ def query_cosine(text, qmap) -> Column:
 
 
 # --------------------------------------------------------------------------- H3
-def bm25_scores(cands: DataFrame, queries: DataFrame, query: str = "query",
-                k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+def bm25_scores(cands: DataFrame, queries: DataFrame | None = None, query: str = "query",
+                k1: float = C.BM25_K1, b: float = C.BM25_B, keep: tuple[str, ...] = ()) -> DataFrame:
     """H3 (lexical default): BM25 of each doc against its session query, over the session's docs.
 
-    ``cands(session_id, pos, text)`` is a bounded list per session (after the
-    prefilter), so session windows are bounded.  idf = ln(1 + (N - df + 0.5) /
-    (df + 0.5)); one term per distinct query token; rounded to 6 digits.
-    Query-term counts are taken in-row, so doc tokens are never shuffled.
+    ``cands(session_id, pos, text[, qterms])`` is a bounded list per session
+    (after the prefilter), so session windows are bounded.  idf = ln(1 + (N -
+    df + 0.5) / (df + 0.5)); one term per distinct query token; rounded to 6
+    digits.  Query-term counts are taken in-row (doc tokens are never
+    shuffled); ``explode_outer`` keeps docs without hits, so no join back.
+    Returns ``(session_id, pos, score, *keep)``.
     """
-    q = queries.select(S, F.array_distinct(tokens(F.col(query))).alias("__qt"))
-    j = cands.select(S, "pos", "text").join(q, S, "left")
+    if "qterms" not in cands.columns:
+        q = queries.select(S, F.array_distinct(tokens(F.col(query))).alias("qterms"))
+        cands = cands.join(q, S, "left")
     dt = tokens(F.col("text"))
-    j = j.select(S, "pos", F.size(dt).alias("dl"),
-                 F.transform(F.coalesce("__qt", F.array().cast("array<string>")),
-                             lambda t: F.struct(t.alias("term"), F.size(F.filter(dt, lambda x: x == t)).alias("tf"))).alias("qtf"))
+    j = cands.select(S, "pos", *keep, F.size(dt).alias("dl"),
+                     F.transform(F.coalesce("qterms", F.array().cast("array<string>")),
+                                 lambda t: F.struct(t.alias("term"), F.size(F.filter(dt, lambda x: x == t)).alias("tf"))).alias("qtf"))
     ws = Window.partitionBy(S)
     j = j.withColumn("N", F.count(F.lit(1)).over(ws)).withColumn("avgdl", F.avg("dl").over(ws))
-    e = (j.select(S, "pos", "dl", "N", "avgdl", F.explode("qtf").alias("q"))
-         .select(S, "pos", "dl", "N", "avgdl", F.col("q")["term"].alias("term"), F.col("q")["tf"].alias("tf"))
-         .where(F.col("tf") > 0))
-    e = e.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(S, "term")))
+    e = (j.select(S, "pos", *keep, "dl", "N", "avgdl", F.explode_outer("qtf").alias("q"))
+         .select(S, "pos", *keep, "dl", "N", "avgdl", F.col("q")["term"].alias("term"),
+                 F.coalesce(F.col("q")["tf"], F.lit(0)).alias("tf")))
+    e = e.withColumn("df", F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).over(Window.partitionBy(S, "term")))
     idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm_len = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * norm_len)
-    scored = e.groupBy(S, "pos").agg(F.sum(part).alias("raw"))
-    return (j.select(S, "pos").join(scored, [S, "pos"], "left")
-            .select(S, "pos", F.round(F.coalesce(F.col("raw"), F.lit(0.0)), C.SCORE_DIGITS).alias("score")))
+    part = F.when(F.col("tf") > 0, idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * norm_len))
+    return (e.groupBy(S, "pos").agg(*[F.first(c).alias(c) for c in keep], F.sum(part).alias("raw"))
+            .select(S, "pos", F.round(F.coalesce(F.col("raw"), F.lit(0.0)), C.SCORE_DIGITS).alias("score"), *keep))
 
 
 # --------------------------------------------------------------------------- F5
@@ -179,7 +181,8 @@ def prefilter_cap(max_chunks) -> Column:
     return F.greatest(F.lit(C.PREFILTER_MIN_CAP), mc * C.PREFILTER_CHUNK_FACTOR)
 
 
-def prefilter_topk(docs: DataFrame, params: DataFrame, max_cap: int, query: str = "query") -> DataFrame:
+def prefilter_topk(docs: DataFrame, params: DataFrame, max_cap: int, query: str = "query",
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """sessions with more than ``cap`` docs keep the top ``cap`` by query cosine, re-ordered by it.
 
     ``params`` has one row per session with ``query`` and ``cap``; ``max_cap``
@@ -188,20 +191,26 @@ def prefilter_topk(docs: DataFrame, params: DataFrame, max_cap: int, query: str
     session never ships more than ``max_cap`` rows per input partition.  The
     cosine is computed in-row against the session's query map (no token
     shuffle).  Output adds ``ppos``: the prefilter rank when the cap fired,
-    else the incoming ``pos``.
+    else the incoming ``pos``, the session's ``qterms`` and the ``carry``
+    parameter columns (so later per-session steps need no join).
     """
-    q = params.select(S, "cap", F.when(strip_ws(F.col(query)) == "", F.lit(" ")).otherwise(F.col(query)).alias("__q"))
-    q = q.select(S, "cap", query_terms_map(F.col("__q")).alias("__qmap"))
+    # Sessions whose raw doc count (when known) cannot exceed the cap skip the cosine entirely.
+    upper = F.col("n_docs") if "n_docs" in params.columns else F.lit(None).cast("bigint")
+    q = params.select(S, "cap", upper.alias("__upper"), *carry,
+                      F.when(strip_ws(F.col(query)) == "", F.lit(" ")).otherwise(F.col(query)).alias("__q"))
+    q = q.select(S, "cap", "__upper", *carry, query_terms_map(F.col("__q")).alias("__qmap"))
     counts = docs.groupBy(S).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(S).orderBy(F.col("__sim").desc(), F.col("pos").asc())
+    need = F.col("__upper").isNull() | (F.col("__upper") > F.col("cap"))
     top = (docs.join(q, S)
-           .withColumn("__sim", query_cosine(F.col("text"), F.col("__qmap")))
+           .withColumn("__sim", F.when(need, query_cosine(F.col("text"), F.col("__qmap"))).otherwise(F.lit(0.0)))
            .withColumn("__rn", F.row_number().over(w))
            .where(F.col("__rn") <= F.lit(max_cap))
            .where(F.col("__rn") <= F.col("cap")))
     return (top.join(counts, S)
             .withColumn("ppos", F.when(F.col("__n") > F.col("cap"), F.col("__rn")).otherwise(F.col("pos")).cast("bigint"))
-            .drop("__qmap", "__sim", "__rn", "__n", "cap"))
+            .withColumn("qterms", F.map_keys("__qmap"))
+            .drop("__qmap", "__sim", "__rn", "__n", "cap", "__upper"))
 
 
 # --------------------------------------------------------------------------- F6 / F7

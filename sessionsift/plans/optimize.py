@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionsift import constants as C
 from sessionsift.operators import prune, rank
 from sessionsift.operators.compress import compress_text
-from sessionsift.session import materialize
+from sessionsift.session import materialize, spread
 
 S = "session_id"
 
@@ -46,33 +46,41 @@ def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None
     Returns ``(session_id, rank, slot, text)``: the docs that reach compression,
     ``slot`` = 1-based position in the final list.
     """
+    extra = ["n_docs"] if "n_docs" in requests.columns else []
     params = materialize(requests.select(S, "query", "cap", "max_chunks", "total_prune_budget_chars",
-                                         "compression_rate", "dedupe_threshold"))
+                                         "compression_rate", "dedupe_threshold", *extra))
     d = docs.select(S, "pos", "text").join(params.select(S), S)
     d = rank.purge_error_docs(rank.normalize_docs(d))
     if max_cap is None:
         max_cap = _max_cap(params)
-    # The candidate list is bounded (<= cap per session): materialise it once.
-    cands = materialize(rank.prefilter_topk(d, params, max_cap).select(S, F.col("ppos").alias("pos"), "text"))
-    terms = rank.embed_docs(cands)
-    scores = rank.bm25_scores(cands, params)
-    ranked = rank.rank_docs(cands.join(scores, [S, "pos"]), order="pos")
-    rterms = terms.join(ranked.select(S, "pos", "rank"), [S, "pos"]).select(S, "rank", "term", "tf")
+    # The candidate list is bounded (<= cap per session): materialise it once, with the
+    # session's query terms and parameters carried on each row (no later joins with params).
+    carry = ("max_chunks", "total_prune_budget_chars", "compression_rate", "dedupe_threshold")
+    cands = materialize(rank.prefilter_topk(d, params, max_cap, carry=carry)
+                        .select(S, F.col("ppos").alias("pos"), "text", "qterms", *carry))
+    scores = rank.bm25_scores(cands, keep=("text",) + carry)
+    # Bounded and read three times below: materialise once.
+    ranked = materialize(rank.rank_docs(scores, order="pos"))
+    rterms = rank.embed_docs(ranked.select(S, "rank", "text"), keys=(S, "rank"))
     nbrs = prune.lexical_neighbours(rterms, params)
-    items = (ranked.select(S, "rank", "text", "first_score").join(nbrs, [S, "rank"], "left")
-             .select(S, F.struct(F.col("rank").cast("int").alias("rank"),
-                                 F.coalesce("nbrs", F.array().cast("array<int>")).alias("nbrs"),
-                                 F.length("text").cast("bigint").alias("len"),
-                                 F.col("first_score")).alias("it")))
-    per_session = items.groupBy(S).agg(F.collect_list("it").alias("items")).join(
-        params.select(S, "total_prune_budget_chars", "max_chunks"), S)
+    items = (ranked.select(S, "rank", "text", "first_score", "total_prune_budget_chars", "max_chunks")
+             .join(nbrs, [S, "rank"], "left")
+             .select(S, "total_prune_budget_chars", "max_chunks",
+                     F.struct(F.col("rank").cast("int").alias("rank"),
+                              F.coalesce("nbrs", F.array().cast("array<int>")).alias("nbrs"),
+                              F.length("text").cast("bigint").alias("len"),
+                              F.col("first_score")).alias("it")))
+    per_session = items.groupBy(S).agg(F.collect_list("it").alias("items"),
+                                       F.first("total_prune_budget_chars").alias("total_prune_budget_chars"),
+                                       F.first("max_chunks").alias("max_chunks"))
     kept = prune.greedy_keep(F.col("items"))
     survivors = F.filter(F.col("items"), lambda x: F.array_contains(kept, x["rank"]))
     take = prune.budget_fold(survivors, F.col("total_prune_budget_chars"))
     final = F.slice(take, 1, F.col("max_chunks"))
     chosen = per_session.select(S, F.posexplode(final).alias("slot", "rank"))
-    return (ranked.select(S, "rank", "text").join(chosen, [S, "rank"])
-            .select(S, "rank", (F.col("slot") + 1).alias("slot"), "text"))
+    # At most max_chunks docs per session; compression reads it several times.
+    return materialize(ranked.select(S, "rank", "text", "compression_rate").join(chosen, [S, "rank"])
+                       .select(S, "rank", (F.col("slot") + 1).alias("slot"), "text", "compression_rate"))
 
 
 def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None = None) -> DataFrame:
@@ -84,11 +92,12 @@ def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None =
     final_size, optimized_context)``; ``optimized_context`` is '' when nothing
     survives.
     """
+    docs = spread(docs)
     params = with_param_defaults(requests)
     gated = rank.gate_by_size(params, rank.result_sizes(docs))
     active = gated.where(F.col("gate") == "run")
     chosen = select_docs(docs, active, max_cap)
-    compressed = compress_text(chosen, active.select(S, "compression_rate"), order="slot")
+    compressed = compress_text(chosen, order="slot")
     out = gated.join(compressed, S, "left")
     opt = F.coalesce(F.col("optimized_context"), F.lit(""))
     run = F.col("gate") == "run"

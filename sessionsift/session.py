@@ -17,6 +17,9 @@ SQL_CONF = {
     # JS ``JSON.parse`` keeps the last of duplicate keys; so does VARIANT with this on.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Text stages are CPU-heavy per byte: let AQE keep partitions of a few hundred KB instead of
+    # packing a whole small stage into one task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
 }
 
 
@@ -69,6 +72,19 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df):
+    """Round-robin an input that has fewer partitions than cores (e.g. one small file, one row group).
+
+    Large inputs already scan in parallel and are returned unchanged.  Spark
+    sorts before a round-robin repartition, so a retried task sees the same rows.
+    """
+    sc = df.sparkSession.sparkContext
+    n = sc.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() < n:
+        return df.repartition(n)
+    return df
+
+
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
