@@ -178,3 +178,29 @@ def k2(spark, sf):
     d = fx.fx2_docs(spark, sf)
     r = d.select(S, "pos", P.fail_open(P.flaky_len)("text").alias("r"))
     return r.select(S, "pos", "r.value", "r.error")
+
+
+# --------------------------------------------------------------------------- I1 / I3 / I4
+from sessionsift.functions.text import js_round, parse_numeric, strip_ws  # noqa: E402
+
+
+@register("i1_strip_ws", f"""{fx.with_sql(fx.SQL_FX2)}
+select session_id, pos, {O.strip_sql("concat(chr(160), chr(65279), ' ', text, chr(10), chr(9), chr(8233))")} as text from fx2""")
+def i1(spark, sf):
+    """Strip every kind of leading/trailing whitespace (no-break space, BOM, separators), not only spaces."""
+    d = fx.fx2_docs(spark, sf)
+    padded = F.concat(F.lit(" ﻿ "), F.col("text"), F.lit("\n\t "))
+    return d.select(S, "pos", strip_ws(padded).alias("text"))
+
+
+@register("i4_parse_numeric", f"""with e as (select event_id, regexp_extract(props, '[0-9]+') as k from events)
+select event_id, cast(k as double) + 0.5 as parsed, cast(floor(cast(k as double) + 0.5 + 0.5) as bigint) as rounded,
+       cast(case when event_id % 5 = 0 then -1 else cast(k as double) + 0.5 end as double) as with_fallback from e""")
+def i4(spark, sf):
+    """Numeric prefix of '<k>.5abc' (and a non-numeric text falling back), then JS rounding."""
+    e = fx.read(spark, sf, "events").select("event_id", F.regexp_extract("props", "[0-9]+", 0).alias("k"))
+    txt = F.concat(F.col("k"), F.lit(".5abc"))
+    bad = F.when(F.col("event_id") % 5 == 0, F.lit("abc")).otherwise(txt)
+    p = parse_numeric(txt, 0.0)
+    return e.select("event_id", p.alias("parsed"), js_round(p).cast("bigint").alias("rounded"),
+                    parse_numeric(bad, -1.0).alias("with_fallback"))
