@@ -43,12 +43,14 @@ def _max_cap(params: DataFrame) -> int:
 def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None) -> DataFrame:
     """Steps B9 -> C1 -> F5 -> H3 -> F6 -> G1 -> G2 -> F7 on gated-in sessions.
 
+    ``requests`` (one row per session) should be materialised by the caller.
+
     Returns ``(session_id, rank, slot, text)``: the docs that reach compression,
     ``slot`` = 1-based position in the final list.
     """
     extra = ["n_docs"] if "n_docs" in requests.columns else []
-    params = materialize(requests.select(S, "query", "cap", "max_chunks", "total_prune_budget_chars",
-                                         "compression_rate", "dedupe_threshold", *extra))
+    params = requests.select(S, "query", "cap", "max_chunks", "total_prune_budget_chars",
+                             "compression_rate", "dedupe_threshold", *extra)
     d = docs.select(S, "pos", "text").join(params.select(S), S)
     d = rank.purge_error_docs(rank.normalize_docs(d))
     if max_cap is None:
@@ -78,9 +80,9 @@ def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None
     take = prune.budget_fold(survivors, F.col("total_prune_budget_chars"))
     final = F.slice(take, 1, F.col("max_chunks"))
     chosen = per_session.select(S, F.posexplode(final).alias("slot", "rank"))
-    # At most max_chunks docs per session; compression reads it several times.
-    return materialize(ranked.select(S, "rank", "text", "compression_rate").join(chosen, [S, "rank"])
-                       .select(S, "rank", (F.col("slot") + 1).alias("slot"), "text", "compression_rate"))
+    # At most max_chunks docs per session; compression reads it in one pass.
+    return (ranked.select(S, "rank", "text", "compression_rate").join(chosen, [S, "rank"])
+            .select(S, "rank", (F.col("slot") + 1).alias("slot"), "text", "compression_rate"))
 
 
 def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None = None) -> DataFrame:
@@ -94,7 +96,8 @@ def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None =
     """
     docs = spread(docs)
     params = with_param_defaults(requests)
-    gated = rank.gate_by_size(params, rank.result_sizes(docs))
+    # One row per session, read by the selection and by the final join: materialise once.
+    gated = materialize(rank.gate_by_size(params, rank.result_sizes(docs)))
     active = gated.where(F.col("gate") == "run")
     chosen = select_docs(docs, active, max_cap)
     compressed = compress_text(chosen, order="slot")
@@ -138,7 +141,8 @@ def transcript_items(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     from sessionsift.operators import extract as X
     from sessionsift.sources.transcripts import parse_entries
 
-    ent = parse_entries(lines).withColumn("texts", X.extract_texts("content"))
+    # Parsed once: four branches below read the entries (texts, turns, tool uses, tool results).
+    ent = materialize(parse_entries(lines).withColumn("texts", X.extract_texts("content")))
     turns = K.assign_turns(ent, (F.col("type") == "user") & (F.size("texts") > 0), order="line_no")
     last = K.last_turns(turns)
     texts = turns.select(S, "line_no", "turn", F.posexplode("texts").alias("pos", "text")).select(
