@@ -27,3 +27,18 @@ def test_last_before_equals_window_across_blocks(df):
     w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     exp = d.withColumn("lb", F.last("v", ignorenulls=True).over(w))
     assert sorted(map(tuple, got.select("k", "seq", "lb").collect())) == sorted(map(tuple, exp.select("k", "seq", "lb").collect()))
+
+
+def test_running_sum_windows_are_per_block(df):
+    d = df(skewed_rows(50), "k string, seq long, v int")
+    plan = running_sum(d, ["k"], "seq", F.col("v"), "rs", block=7)._jdf.queryExecution().executedPlan().toString()
+    # the per-row window is partitioned by (key, block), never by the key alone
+    assert "__blk" in plan
+
+
+def test_tail_uses_partial_group_limit(df):
+    from sessionsift.operators.rank import tail_docs
+    d = df([("s", i, "t") for i in range(30)], "session_id string, pos long, text string")
+    out = tail_docs(d, 5)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.pos for r in out.collect()) == [25, 26, 27, 28, 29]
