@@ -158,10 +158,11 @@ def bm25_scores(cands: DataFrame, queries: DataFrame | None = None, query: str =
     if "qterms" not in cands.columns:
         q = queries.select(S, F.array_distinct(tokens(F.col(query))).alias("qterms"))
         cands = cands.join(q, S, "left")
-    dt = tokens(F.col("text"))
-    j = cands.select(S, "pos", *keep, F.size(dt).alias("dl"),
-                     F.transform(F.coalesce("qterms", F.array().cast("array<string>")),
-                                 lambda t: F.struct(t.alias("term"), F.size(F.filter(dt, lambda x: x == t)).alias("tf"))).alias("qtf"))
+    j = cands.select(S, "pos", "qterms", *keep, tokens(F.col("text")).alias("__dt"))  # tokens once per doc
+    dt = F.col("__dt")
+    j = j.select(S, "pos", *keep, F.size(dt).alias("dl"),
+                 F.transform(F.coalesce("qterms", F.array().cast("array<string>")),
+                             lambda t: F.struct(t.alias("term"), F.size(F.filter(dt, lambda x: x == t)).alias("tf"))).alias("qtf"))
     ws = Window.partitionBy(S)
     j = j.withColumn("N", F.count(F.lit(1)).over(ws)).withColumn("avgdl", F.avg("dl").over(ws))
     e = (j.select(S, "pos", *keep, "dl", "N", "avgdl", F.explode_outer("qtf").alias("q"))
@@ -202,8 +203,17 @@ def prefilter_topk(docs: DataFrame, params: DataFrame, max_cap: int, query: str
     counts = docs.groupBy(S).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(S).orderBy(F.col("__sim").desc(), F.col("pos").asc())
     need = F.col("__upper").isNull() | (F.col("__upper") > F.col("cap"))
+    # Tokens, dot product and squared norm are separate projections so each is evaluated once per row.
+    zero = F.lit(0).cast("bigint")
     top = (docs.join(q, S)
-           .withColumn("__sim", F.when(need, query_cosine(F.col("text"), F.col("__qmap"))).otherwise(F.lit(0.0)))
+           .withColumn("__toks", F.when(need, tokens(F.col("text"))))
+           .withColumn("__dot", F.aggregate("__toks", zero, lambda acc, x: acc + F.coalesce(F.col("__qmap")[x], zero)))
+           .withColumn("__ss", sum_sq_tf(F.col("__toks")))
+           .withColumn("__qn", F.sqrt(F.aggregate(F.map_values("__qmap"), zero, lambda acc, v: acc + v * v).cast("double")))
+           .withColumn("__sim", F.when(~need | (F.col("__dot") == 0) | (F.col("__ss") == 0) | (F.col("__qn") == 0), F.lit(0.0))
+                       .otherwise(F.round(F.col("__dot").cast("double") / (F.sqrt(F.col("__ss").cast("double")) * F.col("__qn")),
+                                          C.SCORE_DIGITS)))
+           .drop("__toks", "__dot", "__ss", "__qn")
            .withColumn("__rn", F.row_number().over(w))
            .where(F.col("__rn") <= F.lit(max_cap))
            .where(F.col("__rn") <= F.col("cap")))

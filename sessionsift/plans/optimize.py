@@ -94,7 +94,7 @@ def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None =
     final_size, optimized_context)``; ``optimized_context`` is '' when nothing
     survives.
     """
-    docs = spread(docs)
+    docs = spread(docs, S, "pos")
     params = with_param_defaults(requests)
     # One row per session, read by the selection and by the final join: materialise once.
     gated = materialize(rank.gate_by_size(params, rank.result_sizes(docs)))

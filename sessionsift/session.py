@@ -72,16 +72,18 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df):
-    """Round-robin an input that has fewer partitions than cores (e.g. one small file, one row group).
+def spread(df, *keys: str):
+    """Spread an input that has fewer partitions than cores (e.g. one small file, one row group).
 
-    Large inputs already scan in parallel and are returned unchanged.  Spark
-    sorts before a round-robin repartition, so a retried task sees the same rows.
+    Large inputs already scan in parallel and are returned unchanged.  With
+    ``keys`` (unique per row, e.g. ``session_id, pos``) the rows are
+    hash-partitioned on them: even and deterministic without the local sort a
+    round-robin repartition needs for safe retries.
     """
     sc = df.sparkSession.sparkContext
     n = sc.defaultParallelism
     if df._jdf.rdd().getNumPartitions() < n:
-        return df.repartition(n)
+        return df.repartition(n, *keys) if keys else df.repartition(n)
     return df
 
 
