@@ -95,8 +95,11 @@ def canonical_json(raw) -> Column:
     # JS prints 1e0 / 1.0 as 1 and loses precision past 2^53: such rows (and nested nulls) go to Python.
     pat = r"[0-9][eE][-+]?[0-9]|[0-9]\.0([^0-9]|$)|[0-9]{16,}"
     slow = native.contains("null") | raw.rlike(pat) | native.rlike(pat)
+    # A Python UDF under CASE WHEN still sees every row, so it is fed NULL for the rows that
+    # stay JVM-side and only the rare rows cross to Python.
+    py = _canonical_json_udf(F.when(slow, raw))
     return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
-            .when(slow, _canonical_json_udf(raw)).otherwise(native))
+            .when(slow, py).otherwise(native))
 
 
 def tool_signature(tool, input_json) -> Column:

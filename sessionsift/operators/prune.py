@@ -38,22 +38,6 @@ def lexical_neighbours(terms: DataFrame, thresholds: DataFrame, key: str = "rank
             .groupBy(S, F.col("a").alias(key)).agg(F.array_sort(F.collect_list(F.col("b").cast("int"))).alias("nbrs")))
 
 
-def dense_neighbours(vecs: DataFrame, threshold: float, key: str = "rank") -> DataFrame:
-    """Earlier-ranked neighbours for dense vectors within a bounded session list.
-
-    The session list is bounded (prefilter cap), so the pairs are compared
-    inside one row with higher-order functions; no pair rows are emitted.
-    """
-    from sessionsift.operators.rank import dense_cosine
-    lst = vecs.groupBy(S).agg(F.collect_list(F.struct(F.col(key).cast("int").alias("k"), F.col("vec"))).alias("items"))
-    rows = lst.select(S, F.explode("items").alias("x"), "items")
-    nbrs = F.transform(
-        F.filter("items", lambda y: (y["k"] < F.col("x")["k"]) &
-                 (F.round(dense_cosine(F.col("x")["vec"], y["vec"]), C.SCORE_DIGITS) >= F.lit(threshold))),
-        lambda y: y["k"])
-    return rows.select(S, F.col("x")["k"].alias(key), F.array_sort(nbrs).alias("nbrs")).where(F.size("nbrs") > 0)
-
-
 # --------------------------------------------------------------------------- folds
 def greedy_keep(items: Column) -> Column:
     """G1 fold: walk ``array<struct<rank,nbrs,...>>`` in rank order; keep a doc iff no kept neighbour."""

@@ -121,7 +121,7 @@ def stats_report(log: DataFrame, now: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- I6
-def normalize_result(raw) -> DataFrame | Column:
+def normalize_result(raw) -> Column:
     """Raw optimizer reply (JSON text) -> struct(ok, optimized_context, initial_size, final_size,
     status, reason, error_code, message)."""
     raw = F.col(raw) if isinstance(raw, str) else raw

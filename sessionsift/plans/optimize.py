@@ -142,7 +142,7 @@ def transcript_items(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     from sessionsift.sources.transcripts import parse_entries
 
     # Parsed once: four branches below read the entries (texts, turns, tool uses, tool results).
-    ent = materialize(parse_entries(lines).withColumn("texts", X.extract_texts("content")))
+    ent = materialize(parse_entries(spread(lines, S, "line_no")).withColumn("texts", X.extract_texts("content")))
     turns = K.assign_turns(ent, (F.col("type") == "user") & (F.size("texts") > 0), order="line_no")
     last = K.last_turns(turns)
     texts = turns.select(S, "line_no", "turn", F.posexplode("texts").alias("pos", "text")).select(

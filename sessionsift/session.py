@@ -17,9 +17,9 @@ SQL_CONF = {
     # JS ``JSON.parse`` keeps the last of duplicate keys; so does VARIANT with this on.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Text stages are CPU-heavy per byte: let AQE keep partitions of a few hundred KB instead of
+    # Text and JSON stages are CPU-heavy per byte: let AQE keep partitions of tens of KB instead of
     # packing a whole small stage into one task.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 
@@ -41,13 +41,35 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (UDFs and stateful stream functions).
+
+    Zips the package once per SparkContext and adds it with ``addPyFile``;
+    Spark distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="sessionsift-pkg-")
+    zip_path = shutil.make_archive(os.path.join(out, "sessionsift"), "zip", os.path.dirname(pkg_dir), "sessionsift")
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(key)
+
+
 def ensure_conf(spark: SparkSession) -> None:
-    """Apply the runtime SQL settings to a session someone else built."""
+    """Apply the runtime SQL settings to a session someone else built, and ship the package."""
     for k, v in SQL_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # pragma: no cover - a static conf on a foreign session
             pass
+    ship_package(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
