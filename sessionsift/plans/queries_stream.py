@@ -72,3 +72,14 @@ def j5(spark, sf):
             .when(F.col("trigger") == "click", "consume").otherwise("other"))
     ev = lg.select(S, "ingest_seq", "ts", kind.alias("kind"), body.alias("body"))
     return WN.run_to_parquet(ST.stream_handoffs(ev), "handoffs")
+
+
+@register("j4_stream_savings_sliding", f"""{W5},
+x as (select date_trunc('day', ts) - to_days(k) as day, cli, initial_chars, result_chars, saved_chars
+      from lg, (select unnest(range(0, 7)) as k) ks)
+select day, cli, count(*) as compactions, cast(sum(initial_chars) as bigint) as initial_chars,
+       cast(sum(result_chars) as bigint) as result_chars, cast(sum(saved_chars) as bigint) as saved_chars
+from x group by all""")
+def j4w(spark, sf):
+    """Trailing 7-day savings per cli, sliding by a day (window start in ``day``)."""
+    return WN.run_complete(WN.stream_savings(_log_stream(spark, sf), sliding=True), "savings7")
