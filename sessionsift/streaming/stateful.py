@@ -3,6 +3,7 @@
 Each is ``groupBy(key).applyInPandasWithState`` in append mode: the state per
 key is a handful of scalars (newest call; turn count plus pending errors;
 pending hand-off body), so it stays small however long the session runs.
+J1 and J5 can release idle keys after a processing-time TTL (``ttl_ms``).
 Every stream ends in the same state as its batch twin (F3, C3, D4).
 """
 
@@ -20,10 +21,25 @@ from sessionsift.functions.signature import tool_signature
 from sessionsift.functions.text import is_protected, sanitize_session_key
 
 S = "session_id"
+# Optional processing-time TTL for idle keys (J1, J5).  Off by default: a run with
+# ``availableNow`` and a pending timeout keeps scheduling no-data batches.
+_TTL_MS: list[int | None] = [None]
+
+
+def _with_ttl(fn, ttl_ms: int | None):
+    def run(key, pdfs, state):
+        _TTL_MS[0] = ttl_ms
+        return fn(key, pdfs, state)
+    return run
+
 
 
 # --------------------------------------------------------------------------- J1
 def _superseded(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame({S: pd.Series([], dtype="object"), "call_id": pd.Series([], dtype="int64")})
+        return
     rows = pd.concat(list(pdfs), ignore_index=True)
     pairs = list(zip(rows["seq"].tolist(), rows["call_id"].tolist()))
     if state.exists:
@@ -34,10 +50,16 @@ def _superseded(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     if state.exists and (old_seq, old_call) != top:
         out.append(old_call)  # a newer identical call arrived: the stored one is now superseded
     state.update((int(top[0]), int(top[1])))
+    if _TTL_MS[0]:
+        state.setTimeoutDuration(_TTL_MS[0])
     yield pd.DataFrame({S: [key[0]] * len(out), "call_id": pd.Series(out, dtype="int64")})
 
 
-def stream_superseded(calls: DataFrame) -> DataFrame:
+def _timeout(ttl_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+
+
+def stream_superseded(calls: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """``(session_id, call_id)`` of completed, non-protected calls once a later identical call exists.
 
     Compared by ``seq``, so a late older call is itself reported.
@@ -46,8 +68,8 @@ def stream_superseded(calls: DataFrame) -> DataFrame:
                        & (F.coalesce(F.col("output"), F.lit("")) != C.OUTPUT_MARKER))
     keyed = elig.select(S, tool_signature("tool", "input").alias("signature"), "seq", "call_id")
     return keyed.groupBy(S, "signature").applyInPandasWithState(
-        _superseded,
-        "session_id string, call_id long", "seq long, call_id long", "append", GroupStateTimeout.NoTimeout)
+        _with_ttl(_superseded, ttl_ms),
+        "session_id string, call_id long", "seq long, call_id long", "append", _timeout(ttl_ms))
 
 
 # --------------------------------------------------------------------------- J2
@@ -81,6 +103,11 @@ def stream_stale_errors(messages: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- J5
 def _handoff(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame({"key": pd.Series([], dtype="object"), "ingest_seq": pd.Series([], dtype="int64"),
+                            "ts": pd.Series([], dtype="datetime64[us]"), "context": pd.Series([], dtype="object")})
+        return
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values("ingest_seq")
     pending = state.get[0] if state.exists else None
     out = []
@@ -94,16 +121,18 @@ def _handoff(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         state.remove()
     else:
         state.update((pending,))
+        if _TTL_MS[0]:
+            state.setTimeoutDuration(_TTL_MS[0])
     yield pd.DataFrame({"key": [key[0]] * len(out), "ingest_seq": pd.Series([o[0] for o in out], dtype="int64"),
                         "ts": pd.Series([o[1] for o in out], dtype="datetime64[us]"),
                         "context": [o[2] for o in out]})
 
 
-def stream_handoffs(events: DataFrame) -> DataFrame:
+def stream_handoffs(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Consume-once hand-off; state = the pending stored body, cleared on consume."""
     ev = (events.where(F.col("kind").isin("store", "consume"))
           .select(sanitize_session_key(S).alias("key"), "ingest_seq", F.col("ts").cast("timestamp").alias("ts"),
                   "kind", "body"))
     return ev.groupBy("key").applyInPandasWithState(
-        _handoff, "key string, ingest_seq long, ts timestamp, context string", "body string", "append",
-        GroupStateTimeout.NoTimeout)
+        _with_ttl(_handoff, ttl_ms), "key string, ingest_seq long, ts timestamp, context string", "body string",
+        "append", _timeout(ttl_ms))
