@@ -98,6 +98,13 @@ def hashing_embedder(dim: int = 64) -> Callable[[], Callable]:
     return factory
 
 
+def overlap_scorer():
+    """A deterministic stand-in PairScorer factory: the number of words query and doc share."""
+    def model(pairs):
+        return [float(len(set(q.split()) & set(d.split()))) for q, d in pairs]
+    return model
+
+
 def flaky_len(text: str) -> float:
     """A deterministic step that fails on some rows (any text containing the digit 7)."""
     if "7" in text:

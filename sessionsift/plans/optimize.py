@@ -40,7 +40,7 @@ def _max_cap(params: DataFrame) -> int:
     return int(row["m"]) if row and row["m"] is not None else C.PREFILTER_MIN_CAP
 
 
-def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None) -> DataFrame:
+def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None, scorer=None) -> DataFrame:
     """Steps B9 -> C1 -> F5 -> H3 -> F6 -> G1 -> G2 -> F7 on gated-in sessions.
 
     ``requests`` (one row per session) should be materialised by the caller.
@@ -58,9 +58,15 @@ def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None
     # The candidate list is bounded (<= cap per session): materialise it once, with the
     # session's query terms and parameters carried on each row (no later joins with params).
     carry = ("max_chunks", "total_prune_budget_chars", "compression_rate", "dedupe_threshold")
-    cands = materialize(rank.prefilter_topk(d, params, max_cap, carry=carry)
-                        .select(S, F.col("ppos").alias("pos"), "text", "qterms", *carry))
-    scores = rank.bm25_scores(cands, keep=("text",) + carry)
+    cands = materialize(rank.prefilter_topk(d, params, max_cap, carry=carry + ("query",))
+                        .select(S, F.col("ppos").alias("pos"), "text", "qterms", "query", *carry))
+    if scorer is None:
+        scores = rank.bm25_scores(cands, keep=("text",) + carry)
+    else:
+        # K1: a pair scorer (e.g. a cross-encoder) replaces BM25 on the bounded candidate list.
+        from sessionsift.functions.plugins import pair_score_column
+        scores = cands.select(S, "pos", "text", *carry, F.round(
+            pair_score_column("query", "text", scorer, name="pair_scorer"), C.SCORE_DIGITS).alias("score"))
     # Bounded and read three times below: materialise once.
     ranked = materialize(rank.rank_docs(scores, order="pos"))
     rterms = rank.embed_docs(ranked.select(S, "rank", "text"), keys=(S, "rank"))
@@ -85,21 +91,21 @@ def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None
             .select(S, "rank", (F.col("slot") + 1).alias("slot"), "text", "compression_rate"))
 
 
-def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None = None) -> DataFrame:
+def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None = None, scorer=None) -> DataFrame:
     """H5 flagship: one result row per request.
 
     ``docs(session_id, pos, text)`` raw docs; ``requests(session_id, query,
     [min_input_size, max_chunks, total_prune_budget_chars, compression_rate,
     dedupe_threshold])``.  Returns ``(session_id, status, reason, initial_size,
     final_size, optimized_context)``; ``optimized_context`` is '' when nothing
-    survives.
+    survives.  ``scorer``: optional K1 PairScorer factory replacing BM25.
     """
     docs = spread(docs, S, "pos")
     params = with_param_defaults(requests)
     # One row per session, read by the selection and by the final join: materialise once.
     gated = materialize(rank.gate_by_size(params, rank.result_sizes(docs)))
     active = gated.where(F.col("gate") == "run")
-    chosen = select_docs(docs, active, max_cap)
+    chosen = select_docs(docs, active, max_cap, scorer)
     compressed = compress_text(chosen, order="slot")
     out = gated.join(compressed, S, "left")
     opt = F.coalesce(F.col("optimized_context"), F.lit(""))

@@ -74,3 +74,16 @@ def test_optimize_end_to_end_shrinks(spark, df):
     req = df([("s", "alpha kappa")], "session_id string, query string")
     r = optimize_context(docs, req).first()
     assert r.status == "optimized" and 0 < r.final_size < r.initial_size
+
+
+from sessionsift.functions.plugins import overlap_scorer  # noqa: E402
+
+
+def test_optimize_with_pair_scorer_plugin(spark, df):
+    docs = df([("s", 1, "zeta " * 600), ("s", 2, "alpha beta gamma " * 200), ("s", 3, "beta only " * 300)],
+              "session_id string, pos long, text string")
+    req = df([("s", "alpha beta", 2000)], "session_id string, query string, total_prune_budget_chars long")
+    r = optimize_context(docs, req, scorer=overlap_scorer).first()
+    # the best-scored doc (2 shared words) is first; the budget keeps only it
+    assert r.status == "optimized" and r.optimized_context.split()[0] in ("alpha", "beta", "gamma")
+    assert "zeta" not in r.optimized_context
