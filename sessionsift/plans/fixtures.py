@@ -36,8 +36,9 @@ def fx1_docs(spark, sf_dir) -> DataFrame:
 def fx1_requests(spark, sf_dir) -> DataFrame:
     """Query of a session = first 200 characters of its first doc (prefix excluded)."""
     d = read(spark, sf_dir, "documents")
+    # substring first: only 200 characters per doc travel through the aggregate
     return (d.groupBy(F.col("source").alias("session_id"))
-            .agg(F.substring(F.min_by("text", "doc_id"), 1, 200).alias("query")))
+            .agg(F.min_by(F.substring("text", 1, 200), F.col("doc_id")).alias("query")))
 
 
 SQL_FX1 = """fx1 as (
