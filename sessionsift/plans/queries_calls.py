@@ -31,7 +31,9 @@ def _items(spark, sf):
 def _live(spark, sf):
     """Live-dialect call table: FX3 without the user rows, plus the session's final turn count."""
     c = fx.fx3_calls(spark, sf)
-    last = K.last_turns(c)
+    # The final turn count is the number of user messages: a plain partial aggregate.
+    last = (fx.fx3_calls(spark, sf, with_turn=False).groupBy(S)
+            .agg(F.count_if(F.col("tool") == "USER").cast("bigint").alias("__last")))
     calls = c.where(F.col("tool") != "USER").withColumn("signature", tool_signature("tool", "input"))
     return calls, last
 
