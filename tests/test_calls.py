@@ -118,3 +118,14 @@ def test_live_pass_counts(df):
     out = optimize_live(c, last)
     counts = K.strategy_counts(out).first()
     assert (counts.deduped, counts.purged_errors) == (1, 1)
+
+
+def test_asof_same_line_part_order(df):
+    same_line = json.dumps({"type": "assistant", "message": {"content": [
+        {"type": "tool_use", "id": "t9", "name": "grep", "input": {"q": "a"}},
+        {"type": "tool_result", "tool_use_id": "t9", "content": [{"type": "text", "text": "hit"}]}]}})
+    result_first = json.dumps({"type": "assistant", "message": {"content": [
+        {"type": "tool_result", "tool_use_id": "t8", "content": [{"type": "text", "text": "early"}]},
+        {"type": "tool_use", "id": "t8", "name": "read", "input": {"p": 1}}]}})
+    got = docs_of(df, [same_line, result_first])
+    assert got == ["[tool grep] hit"]
