@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionsift.llm import linededup, mixing, simhash
 from sessionsift.llm.common import read_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sessionsift.llm.simhash import simhash_components
-
-    out = simhash_components(read_table(spark, sf_dir, "documents"))
+    out = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES["op5_simhash"] = op5_simhash
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "kept.n_lines", "kept.n_dropped", F.sha2(F.col("kept.text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.sampled(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash": op5_simhash,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_mix_sources": op10_mix_sources,
+}
+
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": linededup.ORACLE,
+    "op10_mix_sources": mixing.ORACLE,
+}
