@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionsift.llm import linededup, mixing, packing, quality, simhash
+from sessionsift.llm import linededup, lm, mixing, packing, quality, simhash
 from sessionsift.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "kept.n_lines", "kept.n_dropped", F.sha2(F.col("kept.text").cast("binary"), 256).alias("kept_sha256"))
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_kneser_ney": op6_kneser_ney,
     "op8_line_dedup": op8_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
