@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionsift.llm import linededup, lm, mixing, packing, quality, simhash
+from sessionsift.llm import linededup, lm, minhash, mixing, packing, quality, simhash, vptree
 from sessionsift.llm.common import read_table
 
 
@@ -28,11 +28,19 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "kept.n_lines", "kept.n_dropped", F.sha2(F.col("kept.text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.sampled(read_table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -43,11 +51,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_kneser_ney": op6_kneser_ney,
+    "op7_minhash": op7_minhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_vantage_points": op9_vantage_points,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": linededup.ORACLE,
+    "op9_vantage_points": vptree.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
