@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionsift.llm import linededup, lm, minhash, mixing, packing, quality, simhash, vptree
+from sessionsift.llm import licenses, linededup, lm, minhash, mixing, packing, quality, simhash, vptree
 from sessionsift.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents")).select(*licenses.BASE_COLUMNS)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_kneser_ney": op6_kneser_ney,
