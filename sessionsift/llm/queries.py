@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionsift.llm import licenses, linededup, lm, minhash, mixing, packing, quality, simhash, vptree
+from sessionsift.llm import licenses, linededup, lm, minhash, mixing, packing, pii, quality, simhash, vptree
 from sessionsift.llm.common import read_table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read_table(spark, sf_dir, "documents")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
