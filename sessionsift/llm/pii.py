@@ -158,7 +158,10 @@ def find(docs: DataFrame, support: int = SUPPORT, min_term: int = MIN_TERM, gene
     found = staged(base_spans(docs), "pii-base")
     flagged, holders = disclosures(docs, found, support, min_term, generalise)
     terms = staged(term_spans(docs, flagged, staged(holders, "pii-holders")), "pii-spans")
-    return join_checked(found, terms, ["id", "th"], "left", limit=50_000)
+    out = join_checked(found, terms, ["id", "th"], "left", limit=50_000)
+    # the words of a match itself are covered by it
+    apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    return out.withColumn("terms", apart)
 
 
 def _listed(spans: Column) -> Column:
