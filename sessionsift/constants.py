@@ -23,7 +23,7 @@ PROTECTED_TOOLS = (
 )
 
 # --- fixed values: error-document prefixes (compared case-insensitively) -----
-ERROR_PREFIXES = ("[error]", "[context-optimizer] error")
+ERROR_PREFIXES = ("[error]", "[sessionsift] error")
 
 # --- fixed values: defaults --------------------------------------------------
 DEFAULT_QUERY = "Optimize the most relevant context for compaction."
@@ -62,7 +62,7 @@ STRING_CONFIG_KEYS = ("reranker_model", "embed_model", "compressor_model")
 
 # --- fixed values: result texts ----------------------------------------------
 OPTIMIZED_HEADER = "## Optimized Context\n\n"
-MSG_PREFIX = "[context-optimizer] "
+MSG_PREFIX = "[sessionsift] "
 REASON_NO_DOCS = "no compaction documents were provided."
 RESULTS_CSV_HEADER = "timestamp,cli,session_id,trigger,initial_chars,result_chars,saved_chars"
 STATS_WINDOWS = ("last", "session", "today", "week", "month", "overall")

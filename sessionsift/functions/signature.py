@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sessionsift.functions.text import strict_json
+
 
 def _js_number(x) -> str:
     """Number to text the way JavaScript prints it (shortest round-trip digits)."""
@@ -86,20 +88,23 @@ def _canonical_json_udf(col: Column) -> Column:
 
 
 def canonical_json(raw) -> Column:
-    """Canonical JSON of a JSON text column (null for null / unparsable / JSON null)."""
+    """Canonical JSON of a JSON text column (null for null and JSON null; other text that is not one JSON
+    value stands as a JSON string, so that different inputs stay different)."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    v = F.try_parse_json(raw)
+    v = strict_json(raw)
     is_obj = F.schema_of_variant(v).startswith("OBJECT")
     obj = F.to_json(F.map_filter(v.cast("map<string,variant>"), lambda k, x: ~F.is_variant_null(x)))
     native = F.when(is_obj, obj).otherwise(F.to_json(v))
     # JS prints 1e0 / 1.0 as 1 and loses precision past 2^53: such rows (and nested nulls) go to Python.
     pat = r"[0-9][eE][-+]?[0-9]|[0-9]\.0([^0-9]|$)|[0-9]{16,}"
-    slow = native.contains("null") | raw.rlike(pat) | native.rlike(pat)
+    # Escapes and numbers that JavaScript prints with an exponent are also left to the one printer that knows them.
+    slow = native.contains("null") | raw.rlike(pat) | native.rlike(pat) | raw.contains("\\") | raw.rlike(r"0\.0{5}")
     # A Python UDF under CASE WHEN still sees every row, so it is fed NULL for the rows that
     # stay JVM-side and only the rare rows cross to Python.
     py = _canonical_json_udf(F.when(slow, raw))
-    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
-            .when(slow, py).otherwise(native))
+    as_string = F.regexp_replace(F.to_json(F.array(raw)), r"^\[|\]$", "")
+    return (F.when(raw.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
+            .when(v.isNull(), as_string).when(slow, py).otherwise(native))
 
 
 def tool_signature(tool, input_json) -> Column:

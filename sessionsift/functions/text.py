@@ -33,10 +33,35 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(F.regexp_replace(col_(c), _LEAD_WS, ""), _TRAIL_WS, "")
 
 
+# The white space that Python's ``str.strip`` removes (other than ``strip_ws``: no BOM, but NEL and the
+# information separators); both regex dialects read it.
+PY_WS_CLASS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+               r"\x{202F}\x{205F}\x{3000}]")
+
+
+def strip_text(c) -> Column:
+    """Strip the white space of ``PY_WS_CLASS`` (B9 and the optimizer's query)."""
+    return F.regexp_replace(F.regexp_replace(col_(c), f"^{PY_WS_CLASS}+", ""), f"{PY_WS_CLASS}+$", "")
+
+
 def is_blank(c) -> Column:
     return col_(c).isNull() | (strip_ws(c) == "")
 
 
+def strict_json(c) -> Column:
+    """The VARIANT of a JSON text, null unless the whole text is one JSON value.
+
+    ``try_parse_json`` alone accepts text after the first value.  Inside an array and inside an object the
+    text must be exactly one element and one member, which nothing but a single value is in both.
+    """
+    raw = col_(c)
+    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
+    one = ((F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1)
+           & (F.size(F.try_variant_get(member, "$", "map<string,variant>")) == 1))
+    return F.when(one, F.try_variant_get(member, "$.v", "variant"))
+
+
 def tokens(c) -> Column:
     """Lexical tokens: lower-case, split on runs of non letters/digits, empties dropped."""
     spaced = F.trim(F.regexp_replace(F.lower(col_(c)), NON_WORD, " "))

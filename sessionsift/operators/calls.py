@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sessionsift import constants as C
 from sessionsift.functions.text import is_protected
-from sessionsift.operators.ordered import running_sum
+from sessionsift.operators.ordered import join_null_safe, running_sum
 
 S = "session_id"
 
@@ -40,9 +40,9 @@ def dedupe_tool_results(items: DataFrame, order: str = "seq") -> DataFrame:
     Errors count too; text items and protected tools are always kept.
     ``items`` needs ``kind, signature, protected`` and the order column.
     """
-    cand = (F.col("kind") == "tool_result") & ~F.col("protected") & F.col("signature").isNotNull()
+    cand = F.coalesce((F.col("kind") == "tool_result") & ~F.col("protected") & F.col("signature").isNotNull(), F.lit(False))
     newest = (items.where(cand).groupBy(S, "signature").agg(F.max(order).alias("__newest")))
-    j = items.join(newest, [S, "signature"], "left")
+    j = join_null_safe(items, newest, [S, "signature"], "left")
     keep = ~cand | (F.col(order) == F.col("__newest"))
     return j.where(keep).drop("__newest")
 
@@ -54,10 +54,10 @@ def last_turns(items: DataFrame, turn: str = "turn") -> DataFrame:
 def drop_stale_errors(items: DataFrame, n: int = C.PURGE_ERROR_TURNS, last: DataFrame | None = None) -> DataFrame:
     """Drop non-protected errored tool results at least ``n`` user turns old."""
     last = last if last is not None else last_turns(items)
-    j = items.join(last, S, "left")
+    j = join_null_safe(items, last, [S], "left")
     stale = ((F.col("kind") == "tool_result") & ~F.col("protected") & F.col("is_error")
              & ((F.col("__last") - F.col("turn")) >= n))
-    return j.where(~stale).drop("__last")
+    return j.where(~F.coalesce(stale, F.lit(False))).drop("__last")
 
 
 def mark_superseded_outputs(calls: DataFrame, order: str = "seq") -> DataFrame:
@@ -68,8 +68,8 @@ def mark_superseded_outputs(calls: DataFrame, order: str = "seq") -> DataFrame:
             & (F.coalesce(F.col("output"), F.lit("")) != C.OUTPUT_MARKER))
     c = calls.withColumn("__elig", elig)
     newest = c.where("__elig").groupBy(S, "signature").agg(F.max(order).alias("__newest"))
-    j = c.join(newest, [S, "signature"], "left")
-    sup = F.col("__elig") & (F.col(order) < F.col("__newest"))
+    j = join_null_safe(c, newest, [S, "signature"], "left")
+    sup = F.coalesce(F.col("__elig") & (F.col(order) < F.col("__newest")), F.lit(False))
     return (j.withColumn("superseded", sup)
             .withColumn("output", F.when(sup, F.lit(C.OUTPUT_MARKER)).otherwise(F.col("output")))
             .drop("__elig", "__newest"))
@@ -111,7 +111,7 @@ def mask_stale_error_inputs(calls: DataFrame, n: int = C.PURGE_ERROR_TURNS, last
     """C3 (live dialect): errored, non-protected calls >= ``n`` user turns old get their string
     inputs masked; outputs are kept.  Adds ``masked`` (the call changed in this pass)."""
     last = last if last is not None else last_turns(calls)
-    j = calls.join(last, S, "left")
+    j = join_null_safe(calls, last, [S], "left")
     stale = (F.col("status") == "error") & ~is_protected("tool") & ((F.col("__last") - F.col("turn")) >= n)
     masked_json, touched = _mask_json(F.col("input"))
     hit = stale & touched

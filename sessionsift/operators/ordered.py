@@ -20,6 +20,13 @@ def _block(order_col: str, block: int) -> Column:
     return F.floor(F.col(order_col) / F.lit(block)).cast("bigint")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key equals a null key; the keys come out once."""
+    marked = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(marked, same, how).drop(*(f"__r_{k}" for k in keys))
+
+
 def running_sum(df: DataFrame, keys: list[str], order_col: str, value: Column | str, out: str,
                 block: int = DEFAULT_BLOCK, tiebreak: list[str] | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` in ``order_col`` order.
@@ -37,7 +44,7 @@ def running_sum(df: DataFrame, keys: list[str], order_col: str, value: Column |
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, b, F.coalesce(F.sum("__bt").over(wb), F.lit(0)).alias("__off"))
     wr = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (base.join(offsets, [*keys, b], "inner")
+    return (join_null_safe(base, offsets, [*keys, b])
             .withColumn(out, (F.col("__off") + F.coalesce(F.sum(v).over(wr), F.lit(0))).cast("bigint"))
             .drop(b, v, "__off"))
 
@@ -64,10 +71,10 @@ def last_before(df: DataFrame, keys: list[str], order_col: str, value: Column |
     # Every block of the row side needs a carry, including blocks without a value.
     blocks = base.select(*keys, b).distinct()
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (blocks.join(per_block, [*keys, b], "left")
+    carry = (join_null_safe(blocks, per_block, [*keys, b], "left")
              .select(*keys, b, F.last("__blast", ignorenulls=True).over(wb).alias("__carry")))
     end = 0 if inclusive else -1
     wr = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    return (base.join(carry, [*keys, b], "inner")
+    return (join_null_safe(base, carry, [*keys, b])
             .withColumn(out, F.coalesce(F.last(v, ignorenulls=True).over(wr), F.col("__carry")))
             .drop(b, v, "__carry"))

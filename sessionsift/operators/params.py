@@ -98,8 +98,8 @@ def apply_model_limits(requests: DataFrame, docs: DataFrame, limits: DataFrame,
     threshold = parse_numeric(_lit_str(env.get("auto_compression_chars")),
                               parse_numeric(_lit_str(stored.get("auto_compression_chars")), C.DEFAULT_AUTO_COMPRESSION_CHARS))
     threshold = F.greatest(F.lit(0), js_round(threshold))
-    # Config table: one row per configured model; bounded, so broadcast.
-    r = r.join(F.broadcast(limits_map(limits)), "model", "left")
+    # One row per configured model: small, but its size isn't known here, so the join is left to the planner.
+    r = r.join(limits_map(limits), "model", "left")
     use = F.col("__lim").isNotNull() & (F.coalesce(F.col("model"), F.lit("")) != "") & (F.col("size") >= threshold)
     keys = F.map_keys("__lim")
     merged = F.map_concat(F.map_filter("options", lambda k, v: ~F.array_contains(keys, k)), F.col("__lim"))

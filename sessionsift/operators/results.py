@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionsift import constants as C
-from sessionsift.functions.text import js_round, outcome_message, parse_numeric, sanitize_session_key
+from sessionsift.functions.text import js_round, outcome_message, parse_numeric, sanitize_session_key, strict_json
 from sessionsift.operators.ordered import last_before
 
 S = "session_id"
@@ -125,7 +125,7 @@ def normalize_result(raw) -> Column:
     """Raw optimizer reply (JSON text) -> struct(ok, optimized_context, initial_size, final_size,
     status, reason, error_code, message)."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    v = F.try_parse_json(raw)
+    v = strict_json(raw)
     g = lambda p, t="string": F.try_variant_get(v, p, t)
     nz = lambda c: F.nullif(c, F.lit(""))
     ok = F.coalesce(g("$.ok", "boolean"), F.lit(False))

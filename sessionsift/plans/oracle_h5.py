@@ -60,8 +60,7 @@ gated as (
   from req r left join sizes s using (session_id)),
 nd as (select d.session_id, d.pos, {strip_sql('d.text')} as text from {docs} d join gated g using (session_id) where g.gate = 'run'),
 nd2 as (select * from nd where text <> ''
-        and not (starts_with(lower(substring(text, 1, 26)), '[error]')
-                 or starts_with(lower(substring(text, 1, 26)), '[context-optimizer] error'))),
+        and not ({" or ".join(f"starts_with(lower(substring(text, 1, {len(p)})), '{p}')" for p in C.ERROR_PREFIXES)})),
 qm as (select session_id, cap, case when {strip_sql('query')} = '' then ' ' else query end as q from gated where gate = 'run'),
 qtf as (select session_id, term, count(*) as qtf from (select session_id, unnest({toks_sql('q')}) as term from qm) group by all),
 qn as (select session_id, sqrt(sum(qtf * qtf)) as qnorm from qtf group by all),

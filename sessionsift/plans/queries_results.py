@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionsift import constants as C
@@ -116,7 +115,7 @@ def _conv_results(spark, sf):
                     F.lit("optimized").alias("status"), F.lit("").alias("reason"))
 
 
-_MSG_SQL = ("concat('[context-optimizer] optimized context emitted. Initial size: ', i, ' chars, final size: ', f, "
+_MSG_SQL = (f"concat('{C.MSG_PREFIX}optimized context emitted. Initial size: ', i, ' chars, final size: ', f, "
             "' chars, saved: ', i - f, ' chars (', case when i > 0 then cast(floor((i - f) / i * 100 + 0.5) as bigint) else 0 end, '%)')")
 
 
@@ -178,15 +177,11 @@ def e4(spark, sf):
     return R.stats_report(_log(spark, sf), NOW)
 
 
-@register("e6_collect_docs", f"""{W2},
-t as (select *, row_number() over (partition by session_id order by pos desc) as r from fx2)
-select session_id, cast(count(*) as bigint) as n_docs, string_agg(text, chr(31) order by pos) as docs_text from t
-where r <= {C.MAX_TRANSCRIPT_ENTRIES} group by session_id""")
+@register("e6_collect_docs", f"""{W2}
+select session_id, cast(count(*) as bigint) as n_docs, string_agg(text, chr(31) order by pos) as docs_text from fx2
+group by session_id""")
 def e6(spark, sf):
-    d = fx.fx2_docs(spark, sf)
-    w = Window.partitionBy(S).orderBy(F.col("pos").desc())
-    tail = d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= C.MAX_TRANSCRIPT_ENTRIES)
-    c = R.collect_docs(tail)
+    c = R.collect_docs(fx.fx2_docs(spark, sf))
     return c.select(S, F.size("docs").cast("bigint").alias("n_docs"), F.array_join("docs", chr(31)).alias("docs_text"))
 
 
@@ -207,10 +202,10 @@ def i2(spark, sf):
 
 @register("i5_outcome_message", f"""{W5}, {SIZED}
 select ingest_seq, case
-  when i is not null then concat('[context-optimizer] optimized context emitted. ', {_SUMMARY})
-  when trigger = 'view' then '[context-optimizer] no optimization applied: the optimizer found no safer or smaller replacement for the current context.'
-  when trigger = 'error' then '[context-optimizer] optimization skipped: slow'
-  else '[context-optimizer] optimization completed, but savings summary was unavailable because size metadata was missing or non-numeric. (initial_size=undefined)'
+  when i is not null then concat('{C.MSG_PREFIX}optimized context emitted. ', {_SUMMARY})
+  when trigger = 'view' then '{C.MSG_PREFIX}no optimization applied: the optimizer found no safer or smaller replacement for the current context.'
+  when trigger = 'error' then '{C.MSG_PREFIX}optimization skipped: slow'
+  else '{C.MSG_PREFIX}optimization completed, but savings summary was unavailable because size metadata was missing or non-numeric. (initial_size=undefined)'
   end as message from sz""")
 def i5(spark, sf):
     r = _sized(spark, sf)

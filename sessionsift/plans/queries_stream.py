@@ -1,5 +1,5 @@
-"""Driver queries for the streams (J1-J5): each runs over the events file as a stream
-(``availableNow``) and must end in the same state as its batch twin."""
+"""Driver queries for the streams (J1-J5): each runs over the events as a stream of at least five
+micro-batches (``availableNow``), with late rows, and must end in the same state as its batch twin."""
 
 from __future__ import annotations
 
@@ -23,8 +23,8 @@ def _calls_stream(spark, sf):
     return fx.fx3_calls(spark, sf, with_turn=False, events=WN.events_stream(spark, sf))
 
 
-def _log_stream(spark, sf):
-    lg = fx.fx5_log(spark, sf, events=WN.events_stream(spark, sf))
+def _log_stream(spark, sf, late=True):
+    lg = fx.fx5_log(spark, sf, events=WN.events_stream(spark, sf, late=late))
     i, r, s = savings(F.col("initial_chars"), F.col("result_chars"))
     return lg.select("ingest_seq", "ts", S, "cli", "trigger", i.alias("initial_chars"), r.alias("result_chars"),
                      s.alias("saved_chars"), F.col("result_chars").alias("raw_result"))
@@ -66,7 +66,7 @@ l as (select *, lag(kind) over (partition by key order by ingest_seq) as pk, lag
       from ev where kind in ('store', 'consume'))
 select key, ingest_seq, ts, concat('## Optimized Context', chr(10), chr(10), pb) as context from l where kind = 'consume' and pk = 'store'""")
 def j5(spark, sf):
-    lg = _log_stream(spark, sf)
+    lg = _log_stream(spark, sf, late=False)  # ingest_seq is given on arrival: hand-offs come in its order
     body = F.when(F.col("raw_result") > 0, F.concat(F.lit("ctx "), F.col("ingest_seq").cast("string"))).otherwise(F.lit(""))
     kind = (F.when((F.col("trigger") == "purchase") & (body != ""), "store")
             .when(F.col("trigger") == "click", "consume").otherwise("other"))

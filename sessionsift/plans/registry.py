@@ -31,11 +31,12 @@ def register(name: str, oracle: str | None = None):
 
 def load_all():
     # Importing the query modules fills the registry.
-    from sessionsift.plans import queries_core  # noqa: F401
-    for mod in ("queries_calls", "queries_ingest", "queries_results", "queries_requests", "queries_stream"):
-        try:
-            __import__(f"sessionsift.plans.{mod}")
-        except ModuleNotFoundError as e:  # modules are added milestone by milestone
-            if mod not in str(e):
-                raise
+    from sessionsift.plans import (  # noqa: F401
+        queries_calls,
+        queries_core,
+        queries_ingest,
+        queries_requests,
+        queries_results,
+        queries_stream,
+    )
     return QUERIES, ORACLES

@@ -26,9 +26,11 @@ SQL_CONF = {
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "sessionsift") -> SparkSession:
     """Build (or reuse) a session for tests, benches and scripts."""
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+    if master is None and "PYSPARK_GATEWAY_PORT" not in os.environ:  # under spark-submit its master stands
+        master = f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+    builder = SparkSession.builder.master(master) if master else SparkSession.builder
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
@@ -83,6 +85,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="sessionsift-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

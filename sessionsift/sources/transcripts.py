@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionsift.functions.text import strip_ws
+from sessionsift.functions.text import strict_json, strip_ws
 
 S = "session_id"
 
@@ -36,11 +36,11 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_entries(lines: DataFrame) -> DataFrame:
-    """A2: parse each line as JSON (duplicate keys: last wins); malformed lines are dropped.
+    """A2: parse each line as one JSON value (duplicate keys: last wins); all other lines are dropped.
 
     Returns ``(session_id, line_no, type, content)`` with ``content`` a VARIANT.
     """
-    v = F.try_parse_json(F.col("raw"))
+    v = strict_json("raw")
     parsed = lines.where(strip_ws("raw") != "").select(S, "line_no", v.alias("__v")).where(F.col("__v").isNotNull())
     return parsed.select(
         S, "line_no",

@@ -1,7 +1,7 @@
 """Stateful streams keyed by session: J1 stream_superseded, J2 stream_stale_errors, J5 stream_handoffs.
 
 Each is ``groupBy(key).applyInPandasWithState`` in append mode: the state per
-key is a handful of scalars (newest call; turn count plus pending errors;
+key is a handful of scalars (newest call; newest user turns plus pending errors;
 pending hand-off body), so it stays small however long the session runs.
 J1 and J5 can release idle keys after a processing-time TTL (``ttl_ms``).
 Every stream ends in the same state as its batch twin (F3, C3, D4).
@@ -21,21 +21,18 @@ from sessionsift.functions.signature import tool_signature
 from sessionsift.functions.text import is_protected, sanitize_session_key
 
 S = "session_id"
-# Optional processing-time TTL for idle keys (J1, J5).  Off by default: a run with
-# ``availableNow`` and a pending timeout keeps scheduling no-data batches.
-_TTL_MS: list[int | None] = [None]
 
 
 def _with_ttl(fn, ttl_ms: int | None):
+    """``fn`` with a processing-time TTL for idle keys (J1, J5).  Off by default: a run with
+    ``availableNow`` and a pending timeout keeps scheduling no-data batches."""
     def run(key, pdfs, state):
-        _TTL_MS[0] = ttl_ms
-        return fn(key, pdfs, state)
+        return fn(key, pdfs, state, ttl_ms)
     return run
 
 
-
 # --------------------------------------------------------------------------- J1
-def _superseded(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _superseded(key, pdfs: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         yield pd.DataFrame({S: pd.Series([], dtype="object"), "call_id": pd.Series([], dtype="int64")})
@@ -50,8 +47,8 @@ def _superseded(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     if state.exists and (old_seq, old_call) != top:
         out.append(old_call)  # a newer identical call arrived: the stored one is now superseded
     state.update((int(top[0]), int(top[1])))
-    if _TTL_MS[0]:
-        state.setTimeoutDuration(_TTL_MS[0])
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
     yield pd.DataFrame({S: [key[0]] * len(out), "call_id": pd.Series(out, dtype="int64")})
 
 
@@ -74,35 +71,37 @@ def stream_superseded(calls: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 # --------------------------------------------------------------------------- J2
 def _stale(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-    turns, pending = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-    for is_user, is_err, seq, call_id in zip(rows["is_user"], rows["is_err"], rows["seq"], rows["call_id"]):
-        if is_user:
-            turns += 1
-        elif is_err:
-            pending.append({"seq": int(seq), "call_id": int(call_id), "turn": int(turns)})
-    due = [p for p in pending if turns - p["turn"] >= C.PURGE_ERROR_TURNS]
-    keep = [p for p in pending if turns - p["turn"] < C.PURGE_ERROR_TURNS]
-    state.update((int(turns), keep))
-    yield pd.DataFrame({S: [key[0]] * len(due), "call_id": pd.Series([p["call_id"] for p in due], dtype="int64")})
+    rows = pd.concat(list(pdfs), ignore_index=True)
+    turns, pending = (list(state.get[0]), [(p["seq"], p["call_id"]) for p in state.get[1]]) if state.exists else ([], [])
+    turns = sorted(turns + rows.loc[rows["is_user"], "seq"].tolist())[-C.PURGE_ERROR_TURNS:]
+    errors = rows[rows["is_err"] & ~rows["is_user"]]
+    pending += list(zip(errors["seq"].tolist(), errors["call_id"].tolist()))
+    # an error is stale once the n-th newest user turn comes after it, in whatever order they arrived
+    bound = turns[0] if len(turns) == C.PURGE_ERROR_TURNS else None
+    due = [c for s, c in pending if bound is not None and s < bound]
+    keep = [{"seq": int(s), "call_id": int(c)} for s, c in pending if bound is None or s >= bound]
+    state.update(([int(t) for t in turns], keep))
+    yield pd.DataFrame({S: [key[0]] * len(due), "call_id": pd.Series(due, dtype="int64")})
 
 
 def stream_stale_errors(messages: DataFrame) -> DataFrame:
     """Errored, non-protected calls once they are ``PURGE_ERROR_TURNS`` user turns old.
 
     ``messages(session_id, seq, call_id, tool, status)`` with user turns as
-    ``tool = 'USER'``; the turn count lives in the state, so rows are applied
-    in ``seq`` order inside a batch (batches are expected in order).
+    ``tool = 'USER'``.  Only user turns of a greater ``seq`` age an error, so rows
+    may arrive late and in any order.  The state of a session holds its newest
+    ``PURGE_ERROR_TURNS`` user turns and the errors that are not yet stale: it
+    grows only while errors come and no user turn follows them.
     """
     m = messages.select(S, "seq", "call_id", (F.col("tool") == "USER").alias("is_user"),
                         ((F.col("status") == "error") & ~is_protected("tool") & (F.col("tool") != "USER")).alias("is_err"))
     return m.groupBy(S).applyInPandasWithState(
         _stale, "session_id string, call_id long",
-        "turns long, pending array<struct<seq:long,call_id:long,turn:long>>", "append", GroupStateTimeout.NoTimeout)
+        "turns array<long>, pending array<struct<seq:long,call_id:long>>", "append", GroupStateTimeout.NoTimeout)
 
 
 # --------------------------------------------------------------------------- J5
-def _handoff(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _handoff(key, pdfs: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         yield pd.DataFrame({"key": pd.Series([], dtype="object"), "ingest_seq": pd.Series([], dtype="int64"),
@@ -121,8 +120,8 @@ def _handoff(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         state.remove()
     else:
         state.update((pending,))
-        if _TTL_MS[0]:
-            state.setTimeoutDuration(_TTL_MS[0])
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
     yield pd.DataFrame({"key": [key[0]] * len(out), "ingest_seq": pd.Series([o[0] for o in out], dtype="int64"),
                         "ts": pd.Series([o[1] for o in out], dtype="datetime64[us]"),
                         "context": [o[2] for o in out]})

@@ -11,19 +11,22 @@ from sessionsift.session import scratch_dir
 S = "session_id"
 
 
-def first_warnings(log: DataFrame, message: str = "message", delay: str = "1 day") -> DataFrame:
-    """Each (session or ``global``, message) once; state bounded by the watermark."""
+def first_warnings(log: DataFrame, message: str = "message") -> DataFrame:
+    """Each (session or ``global``, message) exactly once, however late it comes.
+
+    The state holds one row for each distinct pair; a watermark would bound it but drop late first
+    messages and repeat old ones."""
     key = F.coalesce(F.nullif(F.col(S), F.lit("")), F.lit("global"))
-    return (log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-            .select(key.alias("warn_key"), F.col(message).alias("message"), "ts")
-            .dropDuplicatesWithinWatermark(["warn_key", "message"])
-            .select("warn_key", "message"))
+    return log.select(key.alias("warn_key"), F.col(message).alias("message")).dropDuplicates(["warn_key", "message"])
+
 
+def stream_savings(log: DataFrame, sliding: bool = False) -> DataFrame:
+    """Running savings per UTC day and cli (or trailing 7-day windows sliding by a day).
 
-def stream_savings(log: DataFrame, delay: str = "1 day", sliding: bool = False) -> DataFrame:
-    """Running savings per UTC day and cli (or trailing 7-day windows sliding by a day)."""
+    Without a watermark, so that late rows count as in the batch twin; the state holds one row for each
+    window and cli."""
     w = F.window("ts", "7 days", "1 day") if sliding else F.window("ts", "1 day")
-    return (log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return (log.withColumn("ts", F.col("ts").cast("timestamp"))
             .groupBy(w.alias("w"), "cli")
             .agg(F.count(F.lit(1)).alias("compactions"), F.sum("initial_chars").cast("bigint").alias("initial_chars"),
                  F.sum("result_chars").cast("bigint").alias("result_chars"),
@@ -31,11 +34,21 @@ def stream_savings(log: DataFrame, delay: str = "1 day", sliding: bool = False)
             .select(F.col("w.start").alias("day"), "cli", "compactions", "initial_chars", "result_chars", "saved_chars"))
 
 
-def events_stream(spark: SparkSession, sf_dir: str, table: str = "events", files_per_trigger: int = 1) -> DataFrame:
-    """A driver table read as a file stream (the folder holds one parquet file per table)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+def events_stream(spark: SparkSession, sf_dir: str, table: str = "events", parts: int = 5, late: bool = True) -> DataFrame:
+    """A table as a file stream of at least ``parts`` micro-batches, in the order of ``event_id``.
+
+    The rows are first written as ``parts`` drops of files in the shared scratch folder.  With ``late``,
+    every seventh row comes one drop too late, and the last drop's come first.
+    """
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    base = scratch_dir(spark, f"stream-in-{table}")
+    top = rows.agg(F.max("event_id")).first()[0] or 0
+    drop = F.floor(F.col("event_id") * parts / F.lit(top + 1)).cast("int")
+    if late:
+        drop = F.when(F.col("event_id") % 7 == 0, (drop + 1) % parts).otherwise(drop)
+    for k in range(parts):  # one write after the other: the source takes the oldest files first
+        rows.where(drop == k).write.parquet(f"{base}/{k:03d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
 
 
 def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -51,12 +64,19 @@ def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFr
 
 
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Drive an aggregating stream in complete mode into a memory table (results are one row per
-    window and key, so small) and return the final table as a batch DataFrame."""
+    """Drive an aggregating stream in complete mode; every micro-batch writes the whole result (one row
+    per window and key) as Parquet in the shared scratch folder, and the last one is read back."""
     spark = stream.sparkSession
     base = scratch_dir(spark, f"stream-{name}")
-    qname = f"{name}_{abs(hash(base)) % 10**8}"
-    q = (stream.writeStream.format("memory").queryName(qname).outputMode("complete")
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/{number:09d}")
+        done.append(number)
+
+    q = (stream.writeStream.foreachBatch(write).outputMode("complete")
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(qname)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/{max(done):09d}")

@@ -73,7 +73,7 @@ def test_list_docs_join_parts(spark, df):
 
 
 def test_purge_is_literal_and_case_insensitive(df):
-    d = df([("s", 1, "[ERROR] x"), ("s", 2, "[error]y"), ("s", 3, "error] z"), ("s", 4, "[Context-Optimizer] Error: q")],
+    d = df([("s", 1, "[ERROR] x"), ("s", 2, "[error]y"), ("s", 3, "error] z"), ("s", 4, "[SessionSift] Error: q")],
            "session_id string, pos long, text string")
     assert [r.pos for r in rank.purge_error_docs(d).collect()] == [3]
 

@@ -39,9 +39,9 @@ def test_size_summary_and_percent(spark):
 
 def test_outcome_branches_in_order(spark):
     msg = lambda *a: one(spark, T.outcome_message(*[F.lit(x) for x in a]))
-    assert msg(True, "no_optimization", "", None, 10, 10).startswith("[context-optimizer] optimized context emitted.")
-    assert msg(True, "no_optimization", "tiny", None, None, None) == "[context-optimizer] no optimization applied: tiny"
-    assert msg(False, "failed", "", "boom", 12, None) == "[context-optimizer] optimization skipped: boom (size=12 chars)"
+    assert msg(True, "no_optimization", "", None, 10, 10).startswith("[sessionsift] optimized context emitted.")
+    assert msg(True, "no_optimization", "tiny", None, None, None) == "[sessionsift] no optimization applied: tiny"
+    assert msg(False, "failed", "", "boom", 12, None) == "[sessionsift] optimization skipped: boom (size=12 chars)"
     assert "initial_size=undefined" in msg(True, "optimized", "", None, None, 4)
     assert msg(False, "other", "", None, None, None).endswith("without a measurable savings summary.")
 
