@@ -85,6 +85,24 @@ def parse_numeric(c, fallback) -> Column:
     return F.when(finite, num).otherwise(fb)
 
 
+def js_number(c) -> Column:
+    """A finite double as JavaScript prints it: the shortest digits, plain from 1e-6 up to 1e21."""
+    num = col_(c)
+    text = F.abs(num).cast("string")  # d.ddd, or d.dddE[-]dd outside 1e-3 .. 1e7: the same digits
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^([0-9.]+)", 1), r"\.0$", "")
+    exp = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    whole = F.regexp_extract(mantissa, r"^([0-9]+)", 1)
+    part = F.regexp_extract(mantissa, r"\.([0-9]+)$", 1)
+    big = F.concat(whole, F.rpad(part, F.greatest(F.length(part), exp), "0"))
+    point = F.length(whole) + exp
+    plain_big = F.when(F.length(big) > point, F.concat(F.substring(big, F.lit(1), point), F.lit("."), F.substring(big, point + 1, F.lit(400)))).otherwise(big)
+    plain_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), whole, part)
+    mark = F.concat(mantissa, F.lit("e"), F.when(exp > 0, F.lit("+")).otherwise(F.lit("")), exp.cast("string"))
+    out = (F.when(exp == 0, mantissa).when((exp > 0) & (exp < 21), plain_big)
+           .when((exp < 0) & (exp >= -6), plain_small).otherwise(mark))
+    return F.concat(F.when(num < 0, F.lit("-")).otherwise(F.lit("")), out)
+
+
 def is_protected(tool) -> Column:
     """Case-insensitive membership in the protected tool list."""
     return F.lower(col_(tool)).isin(*C.PROTECTED_TOOLS)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionsift import constants as C
-from sessionsift.functions.text import is_blank, js_round, parse_numeric
+from sessionsift.functions.text import is_blank, js_number, js_round, parse_numeric, strict_json, strip_ws
 
 S = "session_id"
 
@@ -108,24 +108,25 @@ def apply_model_limits(requests: DataFrame, docs: DataFrame, limits: DataFrame,
 
 
 # --------------------------------------------------------------------------- I7
-def validate_overrides(table: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+def validate_overrides(table: DataFrame, key: str = "key", value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(key, value)`` -> ``(key, norm_key, ok, value_out, error)`` by the override rules."""
-    raw = F.coalesce(F.col(value).cast("string"), F.lit(""))
-    nk = F.lower(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    raw, nk, js, num, out_num = (F.col(c) for c in ("__raw", "__key", "__json", "__num", "__shown"))
+    # Each value is read once; the rules below refer to the columns.
+    t = table.withColumn("__raw", F.coalesce(F.col(value).cast("string"), F.lit("")))
+    t = t.withColumns({"__key": F.lower(strip_ws(F.coalesce(F.col(key).cast("string"), F.lit("")))), "__json": strict_json(raw),
+                       "__num": parse_numeric(raw, F.lit(float("nan")))})
+    t = t.withColumn("__shown", js_number(num))
     known = nk.isin(*C.SAFE_CONFIG_KEYS)
-    js = F.try_parse_json(raw)
     kind = F.schema_of_variant(js)
     json_ok = js.isNotNull() & (kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-    num = parse_numeric(raw, F.lit(float("nan")))
-    num_ok = ~F.isnan(num) & (num > 0)
     is_str = nk.isin(*C.STRING_CONFIG_KEYS)
     err = (F.when(~known, F.concat(F.lit("unknown config key: "), F.col(key).cast("string")))
            .when(nk == "model_limits", F.when(json_ok, F.lit(None)).otherwise(F.lit("model_limits must be valid JSON.")))
-           .when(is_str, F.when(F.trim(raw) != "", F.lit(None)).otherwise(F.concat(nk, F.lit(" must be a non-empty string."))))
-           .when(~num_ok, F.concat(nk, F.lit(" must be a positive number.")))
+           .when(is_str, F.when(strip_ws(raw) != "", F.lit(None)).otherwise(F.concat(nk, F.lit(" must be a non-empty string."))))
+           .when(F.isnan(num) | (num <= 0), F.concat(nk, F.lit(" must be a positive number.")))
            .when((nk == "max_chunks") & (num != F.floor(num)), F.lit("max_chunks must be a positive integer."))
            .when(nk.isin("compression_rate", "dedupe_threshold") & (num > 1), F.concat(nk, F.lit(" must be between 0 and 1."))))
-    out = (F.when(nk == "model_limits", F.to_json(js)).when(is_str, F.trim(raw))
-           .otherwise(F.regexp_replace(num.cast("string"), r"\.0$", "")))
-    return table.select(F.col(key), nk.alias("norm_key"), err.isNull().alias("ok"),
-                        F.when(err.isNull(), out).alias("value_out"), err.alias("error"))
+    out = F.when(nk == "model_limits", F.to_json(js)).when(is_str, strip_ws(raw)).otherwise(out_num)
+    t = t.withColumns({"__error": err, "__out": out})
+    return t.select(*keep, F.col(key), nk.alias("norm_key"), F.col("__error").isNull().alias("ok"),
+                    F.when(F.col("__error").isNull(), F.col("__out")).alias("value_out"), F.col("__error").alias("error"))

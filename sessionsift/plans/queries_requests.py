@@ -146,16 +146,46 @@ def d3(spark, sf):
     return r.select(S, "max_chunks", "total_prune_budget_chars", "compression_rate", "dedupe_threshold", "min_input_size")
 
 
-@register("i7_validate_overrides")
+_KEYS = ", ".join(f"'{k}'" for k in C.SAFE_CONFIG_KEYS + ("bogus",))
+_STRING_KEYS = ", ".join(f"'{k}'" for k in C.STRING_CONFIG_KEYS)
+
+
+@register("i7_validate_overrides", f"""with e as (
+  select event_id, event_id % 9 as m, regexp_extract(props, '[0-9]+') as k, props, chr(9) as tab,
+         list_value({_KEYS})[cast(event_id // 9 % {len(C.SAFE_CONFIG_KEYS) + 1} as int) + 1] as nk from events),
+v as (
+  select *, case when event_id % 5 = 0 then tab || upper(nk) || chr(10) else nk end as key,
+         case m when 0 then k when 1 then k || '.5abc' when 2 then '0.' || k when 3 then '-' || k when 4 then props
+                when 5 then chr(10) || tab when 6 then '3e-7' when 7 then '300000000' else props || ' junk' end as value,
+         case m when 0 then cast(k as double) when 1 then cast(k as double) + 0.5 when 2 then cast('0.' || k as double)
+                when 6 then 3e-7 when 7 then 3e8 else 0 end as num,
+         case m when 0 then cast(cast(k as bigint) as varchar) when 1 then cast(cast(k as bigint) as varchar) || '.5'
+                when 2 then regexp_replace('0.' || k, '0+$', '') when 6 then '3e-7' when 7 then '300000000' end as shown
+  from e),
+r as (
+  select *, case when nk = 'bogus' then 'unknown config key: ' || key
+                 when nk = 'model_limits' then case when m <> 4 then 'model_limits must be valid JSON.' end
+                 when nk in ({_STRING_KEYS}) then case when m = 5 then nk || ' must be a non-empty string.' end
+                 when not num > 0 then nk || ' must be a positive number.'
+                 when nk = 'max_chunks' and num <> floor(num) then 'max_chunks must be a positive integer.'
+                 when nk in ('compression_rate', 'dedupe_threshold') and num > 1 then nk || ' must be between 0 and 1.' end as error
+  from v)
+select event_id, key, nk as norm_key, error is null as ok,
+       case when error is null then case when nk = 'model_limits' then replace(value, ' ', '') when nk in ({_STRING_KEYS}) then value else shown end end as value_out,
+       error
+from r""")
 def i7(spark, sf):
-    """Override rules on (key, value) pairs derived from events (rows-only check; rules golden-tested)."""
+    """Override rules on (key, value) pairs derived from events: odd spacing and case of keys, tiny and large
+    numbers, blanks, JSON with and without text after it."""
     e = fx.read(spark, sf, "events")
-    keys = F.array(*[F.lit(k) for k in C.SAFE_CONFIG_KEYS + ("bogus",)])
-    key = F.element_at(keys, (F.col("event_id") % (len(C.SAFE_CONFIG_KEYS) + 1) + 1).cast("int"))
-    val = (F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string"))
-           .when(F.col("event_id") % 3 == 1, F.col("props"))
-           .otherwise(F.concat(F.lit("-"), F.col("value").cast("string"))))
-    return validate_overrides(e.select(key.alias("key"), val.alias("value")))
+    i, k = F.col("event_id"), F.regexp_extract("props", "[0-9]+", 0)
+    keys = F.array(*[F.lit(x) for x in C.SAFE_CONFIG_KEYS + ("bogus",)])
+    nk = F.element_at(keys, (F.floor(i / 9) % (len(C.SAFE_CONFIG_KEYS) + 1) + 1).cast("int"))
+    key = F.when(i % 5 == 0, F.concat(F.lit("\t"), F.upper(nk), F.lit("\n"))).otherwise(nk)
+    kinds = [k, F.concat(k, F.lit(".5abc")), F.concat(F.lit("0."), k), F.concat(F.lit("-"), k), F.col("props"), F.lit("\n\t"),
+             F.lit("3e-7"), F.lit("300000000"), F.concat("props", F.lit(" junk"))]
+    val = F.element_at(F.array(*kinds), (i % 9 + 1).cast("int"))
+    return validate_overrides(e.select("event_id", key.alias("key"), val.alias("value")), keep=("event_id",))
 
 
 # --------------------------------------------------------------------------- K1 / K2

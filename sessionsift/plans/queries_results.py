@@ -52,13 +52,16 @@ def a5(spark, sf):
 
 @register("a6_read_results", f"""{W5}
 select date_trunc('millisecond', ts) as ts, cli, session_id, trigger,
-       case when ingest_seq % 17 = 0 then 0 else initial_chars end as initial_chars, result_chars, saved_chars
+       cast(case when ingest_seq % 17 = 0 then 0 when ingest_seq % 13 = 0 then initial_chars
+                 when ingest_seq % 11 = 0 then initial_chars + 0.5 else initial_chars end as double) as initial_chars,
+       cast(result_chars as double) as result_chars, cast(saved_chars as double) as saved_chars
 from lg""")
 def a6(spark, sf):
-    """Round trip through a CSV log with damaged fields: a numeric prefix ('654abc') and missing numbers."""
+    """Round trip through a CSV log with damaged fields: a numeric prefix ('654abc'), fractions, missing numbers."""
     lg = _log(spark, sf)
     dirty = F.when(F.col("ingest_seq") % 17 == 0, F.lit(None).cast("string")) \
         .when(F.col("ingest_seq") % 13 == 0, F.concat(F.col("initial_chars").cast("string"), F.lit("abc"))) \
+        .when(F.col("ingest_seq") % 11 == 0, F.concat(F.col("initial_chars").cast("string"), F.lit(".5"))) \
         .otherwise(F.col("initial_chars").cast("string"))
     path = scratch_dir(spark, "results-csv")
     (lg.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), "cli", S, "trigger",

@@ -6,22 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionsift import constants as C
+from sessionsift.functions.text import strict_json, strip_ws
 
 ID = "request_id"
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """A3: one payload per line -> ``(request_id, payload variant, query, options map, docs variant)``.
+    """A3: one payload per line -> ``(request_id, payload variant, query, options map, min_input_size, docs
+    variant)``.
 
-    Defaults: ``query=''``, ``options={}``; unparsable lines keep a null payload (A4 labels them).
+    Defaults: ``query=''``, ``options={}``; a blank line is an empty payload (no docs); a line that is not
+    one JSON value keeps a null payload (A4 labels it).  ``min_input_size`` is the option of that name if it
+    is a JSON integer, else null: only an integer gates.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    v = F.try_parse_json(F.col("value"))
-    r = lines.select(v.alias("payload"))
+    lines = spark.read.text(path)
+    raw = F.when(strip_ws("value") == "", F.lit("{}")).otherwise(F.col("value"))
+    r = lines.select(strict_json(raw).alias("payload"))
     g = lambda p, t="variant": F.try_variant_get("payload", p, t)
     opts = F.try_variant_get("payload", "$.options", "map<string,string>")
+    size = g("$.options.min_input_size")
+    whole = F.schema_of_variant(size).rlike("^(BIGINT|INT|SMALLINT|TINYINT)")
     return r.select(
         g("$.request_id", "string").alias(ID), "payload",
+        F.when(whole, F.try_variant_get(size, "$", "bigint")).alias("min_input_size"),
         F.coalesce(g("$.query", "string"), F.lit("")).alias("query"),
         F.coalesce(opts, F.create_map().cast("map<string,string>")).alias("options"),
         g("$.docs").alias("docs"),

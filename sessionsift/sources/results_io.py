@@ -9,6 +9,7 @@ from sessionsift.functions.text import parse_numeric, sanitize_log_field
 from sessionsift.operators.results import latest_context, savings
 
 S = "session_id"
+CONTEXT_BUCKETS = 64
 LOG_COLUMNS = ("timestamp", "cli", "session_id", "trigger", "initial_chars", "result_chars", "saved_chars")
 
 
@@ -48,19 +49,19 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         F.try_to_timestamp(F.col("timestamp")).alias("ts"), txt("cli").alias("cli"), txt(S).alias(S),
         txt("trigger").alias("trigger"),
-        *[parse_numeric(F.col(c), 0.0).cast("bigint").alias(c) for c in LOG_COLUMNS[4:]],
+        *[parse_numeric(F.col(c), 0.0).alias(c) for c in LOG_COLUMNS[4:]],  # fractions stay
     )
 
 
 def write_contexts(results: DataFrame, path: str) -> None:
-    """Latest optimized context per sanitised session key, overwriting earlier ones
-    (dynamic partition overwrite, one folder per key)."""
-    spark = results.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """Append the latest optimized context per sanitised session key, in ``CONTEXT_BUCKETS`` folders by
+    the key's hash; ``read_contexts`` takes the latest row of a key, so a later one replaces an earlier."""
     ok = results.where(F.col("ok") & (F.coalesce(F.col("optimized_context"), F.lit("")) != ""))
-    latest_context(ok).write.mode("overwrite").partitionBy("key").parquet(path)
+    rows = latest_context(ok).withColumn("written", F.current_timestamp())
+    bucket = F.pmod(F.xxhash64("key"), F.lit(CONTEXT_BUCKETS)).cast("int")
+    rows.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def read_contexts(spark: SparkSession, path: str) -> DataFrame:
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.parquet(path).select(F.col("key").cast("string").alias("key"), "ts", "context")
+    latest = F.max_by(F.struct("ts", "context"), F.struct("written", "ts"))
+    return spark.read.parquet(path).groupBy("key").agg(latest.alias("l")).select("key", "l.ts", "l.context")

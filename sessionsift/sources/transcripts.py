@@ -1,13 +1,14 @@
 """A1 read_transcripts / write_transcripts, A2 parse_entries.
 
-A transcript is a JSON-lines file per session.  Files are read whole (one
-row per file, then split into lines), so line order is the file order; the
-session is the ``session_id=`` folder the file sits in, else the file name.
+A transcript is a JSON-lines file per session.  Files are read as splits, so
+a large one is read by many tasks; the number of a line is the number of lines
+in earlier splits of its file plus its place in its own.  The session is the
+``session_id=`` folder the file sits in, else the file name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionsift.functions.text import strict_json, strip_ws
@@ -24,15 +25,18 @@ def write_transcripts(lines: DataFrame, path: str) -> None:
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """A1: one row per non-blank line: ``(session_id, line_no, raw)``; ``line_no`` is 1-based in the file."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    files = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_path").alias("__f"))
-    if S in files.columns:
-        session = F.col(S).cast("string")
-    else:
-        session = F.regexp_extract(F.col("__f"), r"([^/]+?)(\.[^./]*)?$", 1)
-    rows = files.select(session.alias(S), F.posexplode(F.split(F.col("value"), "\n")).alias("i", "raw"))
-    return (rows.where(strip_ws("raw") != "")
-            .select(S, (F.col("i") + 1).cast("bigint").alias("line_no"), "raw"))
+    lines = (spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+             .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("__f"),
+                     F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__i")))
+    # Ids rise by one along a split; a row for each split, from which the lines before it follow.
+    splits = lines.groupBy("__f", "__at").agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__f").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("__f", "__at", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__add"))
+    folder = F.regexp_extract("__f", r"/session_id=([^/]*)/[^/]*$", 1)
+    name = F.regexp_extract("__f", r"([^/]+?)(\.[^./]*)?$", 1)
+    session = F.when(folder != "", F.nullif(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))), F.lit("__HIVE_DEFAULT_PARTITION__"))).otherwise(name)
+    return (lines.join(splits, ["__f", "__at"]).where(strip_ws("raw") != "")
+            .select(session.alias(S), (F.col("__i") + F.col("__add")).cast("bigint").alias("line_no"), "raw"))
 
 
 def parse_entries(lines: DataFrame) -> DataFrame:
