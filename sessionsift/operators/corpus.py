@@ -1,64 +1,132 @@
 """G3 dedupe_corpus: the greedy semantic dedupe (G1) for lists too long for one array.
 
-1. Identical non-zero vectors are collapsed by grouping on the vector: the
-   first copy represents the group, later copies are always dropped (they are
-   neighbours of whatever the first copy is, and share all its neighbours).
-2. Candidate pairs among representatives come from random-hyperplane LSH
-   (``bands`` bands of ``bits`` sign bits; a pair is a candidate when any band
-   matches).  Every candidate is verified with the exact cosine, so no false
-   edge enters; recall is 1 - (1 - p^bits)^bands for a pair at angle θ with
-   p = 1 - θ/π (choose ``bits``/``bands`` for the threshold).
+1. Identical docs are collapsed by grouping: the first copy represents the
+   group, later copies are always dropped (they are neighbours of whatever the
+   first copy is, and share all its neighbours).  Docs without terms (zero
+   vectors) match nothing and are kept.
+2. Candidate pairs, of which none with cosine >= threshold is missed:
+
+   * term vectors (``dedupe_corpus_terms``): prefix filtering.  With a doc's
+     terms in the order of their document frequency, rare first, the *prefix*
+     is what must be taken away until the rest has a norm below the threshold.
+     If the rarest term that two docs share lies outside either prefix, their
+     dot product is below the threshold; so docs are only paired on terms that
+     are in both prefixes.
+   * dense vectors (``dedupe_corpus``): pivots and the triangle inequality on
+     angles.  A doc lives in the cell of its nearest pivot and visits every
+     cell whose pivot is at most 2θ further away than its own; two docs within
+     θ of each other meet in the cell of either, where their angles to the
+     pivot differ by at most θ.
+
+   Every candidate is verified with the exact, unrounded cosine.
 3. The sequential walk "keep a doc iff no kept earlier neighbour" is the
    lexicographically-first maximal independent set; it is reached by rounds:
    an undecided node is kept when no earlier neighbour is kept or undecided,
    dropped when an earlier neighbour is kept.  Each round is one join and a
-   reliable checkpoint; rounds stop when nothing is undecided.
+   reliable checkpoint; rounds go on until nothing is undecided (the first
+   undecided node of every session is decided in each, so they end).
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionsift import constants as C
-from sessionsift.operators.rank import dense_cosine
+from sessionsift.operators.rank import dense_cosine, embed_docs
 from sessionsift.session import materialize
 
 S = "session_id"
+#: Slack of the candidate bounds against rounding errors; verification is exact.
+EPS = 1e-9
+
+
+# --------------------------------------------------------------------------- candidates, term vectors
+def prefix_candidates(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``vectors(session_id, pos, term, w)``, unit length -> candidate pairs ``(session_id, a, b)``, b < a."""
+    df = vectors.groupBy(S, "term").agg(F.count(F.lit(1)).alias("df"))
+    from_here = (Window.partitionBy(S, "pos").orderBy("df", "term")
+                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    prefix = (vectors.join(df, [S, "term"]).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(from_here))
+              .where((F.col("rest") >= threshold * threshold - EPS) & (F.col("df") > 1)).select(S, "term", "pos"))
+    a = prefix.select(S, "term", F.col("pos").alias("a"))
+    b = prefix.select(S, "term", F.col("pos").alias("b"))
+    return a.join(b, [S, "term"]).where(F.col("b") < F.col("a")).select(S, "a", "b").distinct()
+
+
+def verified_term_edges(vectors: DataFrame, cands: DataFrame, threshold: float) -> DataFrame:
+    """Candidates with cosine >= threshold; ``vectors`` also has ``tf`` and ``norm``."""
+    va = vectors.select(S, F.col("pos").alias("a"), "term", F.col("tf").alias("ta"), F.col("norm").alias("na"))
+    vb = vectors.select(S, F.col("pos").alias("b"), "term", F.col("tf").alias("tb"), F.col("norm").alias("nb"))
+    dots = (cands.join(va, [S, "a"]).join(vb, [S, "b", "term"])
+            .groupBy(S, "a", "b").agg(F.sum(F.col("ta") * F.col("tb")).alias("dot"), F.first("na").alias("na"), F.first("nb").alias("nb")))
+    return dots.where(F.col("dot") / (F.col("na") * F.col("nb")) >= threshold).select(S, "a", "b")
+
 
+def dedupe_corpus_terms(docs: DataFrame, threshold: float) -> DataFrame:
+    """G3 on term counts: ``docs(session_id, pos, text)`` in ``pos`` order -> kept ``(session_id, pos)``."""
+    # a digest of the text, not the text, groups the copies
+    first = docs.groupBy(S, F.sha2("text", 256).alias("__h")).agg(F.min("pos").alias("pos")).select(S, "pos")
+    terms = embed_docs(docs.select(S, "pos", "text"))
+    own = Window.partitionBy(S, "pos")
+    vectors = (terms.join(first, [S, "pos"], "left_semi")
+               .withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(own))).withColumn("w", F.col("tf") / F.col("norm")))
+    vectors = materialize(vectors)
+    edges = materialize(verified_term_edges(vectors, prefix_candidates(vectors, threshold), threshold))
+    kept = greedy_fixpoint(vectors.select(S, "pos").distinct(), edges)
+    wordless = docs.select(S, "pos").join(terms.select(S, "pos").distinct(), [S, "pos"], "left_anti")
+    return kept.unionByName(wordless)
 
-def _hyperplanes(dim: int, n: int, seed: int) -> list[list[float]]:
-    return np.random.RandomState(seed).standard_normal((n, dim)).round(6).tolist()
 
+# --------------------------------------------------------------------------- candidates, dense vectors
+def pivot_candidates(items: DataFrame, threshold: float, pivots: int = 32) -> DataFrame:
+    """``items(session_id, pos, vec)``, no zero vectors -> candidate pairs ``(session_id, a, b)``, b < a."""
+    sample = items.orderBy(F.xxhash64(S, "pos"), S, "pos").limit(pivots).select("vec").collect()  # bounded by ``pivots``
+    if not sample:
+        return items.select(S, F.col("pos").alias("a"), F.col("pos").alias("b"))
+    base = np.array([r["vec"] for r in sample], dtype=float)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    theta = float(np.arccos(np.clip(threshold, -1, 1))) + EPS
 
-def lsh_candidates(items: DataFrame, bits: int, bands: int, seed: int = 7) -> DataFrame:
-    """``items(session_id, pos, vec)`` -> candidate pairs ``(session_id, a, b)`` with ``b < a``."""
-    dim = items.select(F.max(F.size("vec")).alias("d")).first()["d"] or 0
-    planes = _hyperplanes(int(dim), bits * bands, seed)
-    signs = [F.when(F.aggregate(F.zip_with("vec", F.array(*[F.lit(x) for x in p]), lambda a, b: a * b),
-                                F.lit(0.0), lambda acc, v: acc + v) >= 0, F.lit(1 << (j % bits))).otherwise(F.lit(0))
-             for j, p in enumerate(planes)]
-    band_sigs = [sum(signs[i * bits:(i + 1) * bits], F.lit(0)) for i in range(bands)]
-    keyed = items.select(S, "pos", F.posexplode(F.array(*band_sigs)).alias("band", "sig"))
-    a = keyed.select(S, "band", "sig", F.col("pos").alias("a"))
-    b = keyed.select(S, "band", "sig", F.col("pos").alias("b"))
-    return a.join(b, [S, "band", "sig"]).where(F.col("b") < F.col("a")).select(S, "a", "b").distinct()
+    @F.pandas_udf("home int, cells array<struct<cell: int, angle: double>>")
+    def cells(vecs: pd.Series) -> pd.DataFrame:
+        v = np.stack(vecs.to_numpy()).astype(float)
+        angle = np.arccos(np.clip(v / np.linalg.norm(v, axis=1, keepdims=True) @ base.T, -1, 1))
+        home = angle.argmin(axis=1)
+        near = angle <= angle.min(axis=1, keepdims=True) + 2 * theta
+        rows = [[{"cell": int(c), "angle": float(angle[i, c])} for c in np.flatnonzero(near[i])] for i in range(len(v))]
+        return pd.DataFrame({"home": home.astype("int32"), "cells": rows})
+
+    at = items.select(S, "pos", cells("vec").alias("c")).select(S, "pos", "c.home", F.explode("c.cells").alias("x"))
+    at = at.select(S, "pos", "home", "x.cell", "x.angle")
+    a = at.where(F.col("home") == F.col("cell")).select(S, "cell", F.col("pos").alias("p"), F.col("angle").alias("ap"))
+    b = at.select(S, "cell", F.col("pos").alias("q"), F.col("angle").alias("aq"))
+    met = a.join(b, [S, "cell"]).where((F.col("p") != F.col("q")) & (F.abs(F.col("ap") - F.col("aq")) <= theta))
+    return met.select(S, F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
 
 
 def verified_edges(items: DataFrame, cands: DataFrame, threshold: float) -> DataFrame:
     va = items.select(S, F.col("pos").alias("a"), F.col("vec").alias("va"))
     vb = items.select(S, F.col("pos").alias("b"), F.col("vec").alias("vb"))
-    cos = F.round(dense_cosine("va", "vb"), C.SCORE_DIGITS)
-    return cands.join(va, [S, "a"]).join(vb, [S, "b"]).where(cos >= threshold).select(S, "a", "b")
+    return cands.join(va, [S, "a"]).join(vb, [S, "b"]).where(dense_cosine("va", "vb") >= threshold).select(S, "a", "b")
+
+
+def dedupe_corpus(items: DataFrame, threshold: float, pivots: int = 32) -> DataFrame:
+    """G3 on dense vectors: ``items(session_id, pos, vec array<double>)`` -> kept ``(session_id, pos)``."""
+    nz = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v) > 0
+    # A partial aggregate, so a hot group of copies is pre-reduced before the shuffle.
+    reps = materialize(items.where(nz).groupBy(S, "vec").agg(F.min("pos").alias("pos")).select(S, "pos", "vec"))
+    edges = materialize(verified_edges(reps, pivot_candidates(reps, threshold, pivots), threshold))
+    kept = greedy_fixpoint(reps.select(S, "pos"), edges)
+    return kept.unionByName(items.where(~nz).select(S, "pos"))
 
 
-def greedy_fixpoint(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+# --------------------------------------------------------------------------- the walk
+def greedy_fixpoint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Parallel rounds of the greedy walk; ``nodes(session_id, pos)``, ``edges(session_id, a, b)`` with b < a."""
     status = materialize(nodes.select(S, "pos", F.lit("U").alias("st")))
-    for _ in range(max_rounds):
-        if status.where(F.col("st") == "U").limit(1).count() == 0:
-            break
+    while not status.where(F.col("st") == "U").isEmpty():
         nb = (edges.join(status.select(S, F.col("pos").alias("b"), F.col("st").alias("bst")), [S, "b"])
               .groupBy(S, F.col("a").alias("pos"))
               .agg(F.max(F.col("bst") == "K").alias("any_k"), F.max(F.col("bst") == "U").alias("any_u")))
@@ -69,14 +137,3 @@ def greedy_fixpoint(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000
                        .otherwise(F.lit("U")).alias("st")))
         status = materialize(nxt)
     return status.where(F.col("st") == "K").select(S, "pos")
-
-
-def dedupe_corpus(items: DataFrame, threshold: float, bits: int = 8, bands: int = 24, seed: int = 7) -> DataFrame:
-    """``items(session_id, pos, vec array<double>)`` in ``pos`` order -> kept ``(session_id, pos)``."""
-    nz = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v) > 0
-    # Identical non-zero vectors: the first copy represents the group (a partial aggregate, so a
-    # hot group of copies is pre-reduced before the shuffle); zero vectors match nothing.
-    copies = items.where(nz).groupBy(S, "vec").agg(F.min("pos").alias("pos")).select(S, "pos", "vec")
-    reps = materialize(copies.unionByName(items.where(~nz).select(S, "pos", "vec")))
-    edges = materialize(verified_edges(reps, lsh_candidates(reps, bits, bands, seed), threshold))
-    return greedy_fixpoint(reps.select(S, "pos"), edges)

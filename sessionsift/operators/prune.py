@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionsift import constants as C
-
 S = "session_id"
 
 
@@ -32,7 +30,7 @@ def lexical_neighbours(terms: DataFrame, thresholds: DataFrame, key: str = "rank
             .groupBy(S, "a", "b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("dot")))
     na = norms.select(S, F.col(key).alias("a"), F.col("norm").alias("na"))
     nb = norms.select(S, F.col(key).alias("b"), F.col("norm").alias("nb"))
-    cos = F.round(F.col("dot") / (F.col("na") * F.col("nb")), C.SCORE_DIGITS)
+    cos = F.col("dot") / (F.col("na") * F.col("nb"))  # unrounded: 0.8999996 is below 0.9
     return (dots.join(na, [S, "a"]).join(nb, [S, "b"]).join(thresholds.select(S, threshold), S)
             .where(cos >= F.col(threshold))
             .groupBy(S, F.col("a").alias(key)).agg(F.array_sort(F.collect_list(F.col("b").cast("int"))).alias("nbrs")))

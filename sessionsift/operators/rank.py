@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionsift import constants as C
-from sessionsift.functions.text import strip_ws, tokens
+from sessionsift.functions.text import strip_text, tokens
 
 S = "session_id"
 
@@ -22,8 +22,8 @@ S = "session_id"
 def normalize_parts(parts) -> Column:
     """B9 list form: strip parts, drop null/blank ones, join by one space."""
     parts = F.col(parts) if isinstance(parts, str) else parts
-    kept = F.filter(F.transform(parts, lambda p: strip_ws(p)), lambda p: p.isNotNull() & (p != ""))
-    return strip_ws(F.array_join(kept, " "))
+    kept = F.filter(F.transform(parts, lambda p: strip_text(p)), lambda p: p.isNotNull() & (p != ""))
+    return strip_text(F.array_join(kept, " "))
 
 
 def normalize_docs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -35,7 +35,7 @@ def normalize_docs(docs: DataFrame, text: str = "text") -> DataFrame:
     if dtype.startswith("array"):
         norm = normalize_parts(text)
     else:
-        norm = strip_ws(F.col(text).cast("string"))
+        norm = strip_text(F.col(text).cast("string"))
     return docs.withColumn(text, norm).where(F.col(text) != "")
 
 
@@ -109,70 +109,82 @@ def dense_cosine(a, b) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / (na * nb))
 
 
-def query_terms_map(q) -> Column:
-    """Term-count map of a (short) query, built in-row."""
-    qt = tokens(q)
-    dq = F.array_distinct(qt)
-    return F.map_from_arrays(dq, F.transform(dq, lambda t: F.size(F.filter(qt, lambda x: x == t)).cast("bigint")))
+#: Sorts before every letter and digit, so a marked term follows the equal plain terms at once.
+_MARK = "\x01"
 
 
-def sum_sq_tf(toks) -> Column:
-    """Σ tf² of a token array (squared norm of its count vector), via runs of the sorted array."""
-    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).cast("bigint").alias("run"),
-                    F.lit(0).cast("bigint").alias("acc"))
+def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
+    """Query terms ``(session_id, term, qtf)``; a blank query has none."""
+    return (queries.select(S, F.explode(tokens(F.col(query))).alias("term"))
+            .groupBy(S, "term").agg(F.count(F.lit(1)).alias("qtf")))
 
-    def step(s, x):
-        return F.when(s["prev"] == x, F.struct(x.alias("prev"), (s["run"] + 1).alias("run"), s["acc"].alias("acc"))) \
-            .otherwise(F.struct(x.alias("prev"), F.lit(1).cast("bigint").alias("run"),
-                                (s["acc"] + s["run"] * s["run"]).alias("acc")))
 
-    return F.aggregate(F.array_sort(toks), init, step, lambda s: s["acc"] + s["run"] * s["run"])
+def query_vectors(queries: DataFrame, query: str = "query") -> DataFrame:
+    """One row per session with query terms: ``(session_id, __marks, __qn)``: each term with its count behind a
+    mark, and the norm of the counts.  A list is as long as its query has terms."""
+    t = query_terms(queries, query)
+    mark = F.concat("term", F.lit(_MARK), F.col("qtf").cast("string"))
+    return t.groupBy(S).agg(F.collect_list(mark).alias("__marks"), F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).cast("double")).alias("__qn"))
 
 
-def query_cosine(text, qmap) -> Column:
-    """H2 (lexical): cosine of a doc's term counts with a query term map, in-row.
+def query_dot(toks: Column, marks: Column) -> Column:
+    """struct(dot, ss): dot product of a doc's term counts with a query's, and the doc's squared norm.
 
-    dot = Σ over doc tokens of the query count of that token; zero norm -> 0;
-    rounded to 6 digits.
-    """
-    toks = tokens(text)
-    dot = F.aggregate(toks, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(qmap[x], F.lit(0).cast("bigint")))
-    dnorm = F.sqrt(sum_sq_tf(toks).cast("double"))
-    qnorm = F.sqrt(F.aggregate(F.map_values(qmap), F.lit(0).cast("bigint"), lambda acc, v: acc + v * v).cast("double"))
-    return F.when((dot == 0) | (dnorm == 0) | (qnorm == 0), F.lit(0.0)) \
-        .otherwise(F.round(dot.cast("double") / (dnorm * qnorm), C.SCORE_DIGITS))
+    Doc tokens and marked query terms are sorted together and read once, so the cost is that of a sort of
+    both lists, not their product."""
+    zero = F.lit(0).cast("bigint")
+    init = F.struct(F.lit("").alias("prev"), zero.alias("run"), zero.alias("dot"), zero.alias("ss"))
+
+    def step(s, x):
+        at = F.instr(x, _MARK)
+        same = F.substring(x, F.lit(1), at - 1) == s["prev"]
+        count = F.substring(x, at + 1, F.lit(20)).cast("bigint")
+        marked = F.struct(s["prev"].alias("prev"), s["run"].alias("run"),
+                          (s["dot"] + F.when(same, s["run"] * count).otherwise(zero)).alias("dot"), s["ss"].alias("ss"))
+        again = F.struct(s["prev"].alias("prev"), (s["run"] + 1).alias("run"), s["dot"].alias("dot"), s["ss"].alias("ss"))
+        new = F.struct(x.alias("prev"), F.lit(1).cast("bigint").alias("run"), s["dot"].alias("dot"), (s["ss"] + s["run"] * s["run"]).alias("ss"))
+        return F.when(at > 0, marked).when(x == s["prev"], again).otherwise(new)
+
+    return F.aggregate(F.array_sort(F.concat(toks, marks)), init, step,
+                       lambda s: F.struct(s["dot"].alias("dot"), (s["ss"] + s["run"] * s["run"]).alias("ss")))
+
+
+def query_cosines(docs: DataFrame, queries: DataFrame, query: str = "query", need: Column | None = None) -> DataFrame:
+    """H2 (lexical): ``docs`` with ``__sim``, the cosine of a doc's term counts with its session's query;
+    zero norm -> 0; rounded to 6 digits.  Docs for which ``need`` is false get 0 unread."""
+    j = docs.join(query_vectors(queries, query), S, "left")
+    none = F.array().cast("array<string>")
+    # Tokens, dot product and norms are separate projections so each is evaluated once per row.
+    need = F.lit(True) if need is None else need
+    j = j.withColumn("__d", F.when(need & F.col("__marks").isNotNull(), query_dot(F.coalesce(tokens(F.col("text")), none), F.col("__marks"))))
+    dot, ss = F.col("__d")["dot"], F.col("__d")["ss"]
+    sim = F.when(F.col("__d").isNull() | (dot == 0) | (ss == 0) | (F.col("__qn") == 0), F.lit(0.0)) \
+        .otherwise(F.round(dot.cast("double") / (F.sqrt(ss.cast("double")) * F.col("__qn")), C.SCORE_DIGITS))
+    return j.withColumn("__sim", sim).drop("__marks", "__qn", "__d")
 
 
 # --------------------------------------------------------------------------- H3
-def bm25_scores(cands: DataFrame, queries: DataFrame | None = None, query: str = "query",
+def bm25_scores(cands: DataFrame, queries: DataFrame, query: str = "query",
                 k1: float = C.BM25_K1, b: float = C.BM25_B, keep: tuple[str, ...] = ()) -> DataFrame:
     """H3 (lexical default): BM25 of each doc against its session query, over the session's docs.
 
-    ``cands(session_id, pos, text[, qterms])`` is a bounded list per session
-    (after the prefilter), so session windows are bounded.  idf = ln(1 + (N -
-    df + 0.5) / (df + 0.5)); one term per distinct query token; rounded to 6
-    digits.  Query-term counts are taken in-row (doc tokens are never
-    shuffled); ``explode_outer`` keeps docs without hits, so no join back.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); one term per distinct query token; rounded to 6 digits.
+    Term counts, lengths and document frequencies are aggregates over (session, pos, term) without the
+    text, so a long query costs no more than its terms and no doc is copied.
     Returns ``(session_id, pos, score, *keep)``.
     """
-    if "qterms" not in cands.columns:
-        q = queries.select(S, F.array_distinct(tokens(F.col(query))).alias("qterms"))
-        cands = cands.join(q, S, "left")
-    j = cands.select(S, "pos", "qterms", *keep, tokens(F.col("text")).alias("__dt"))  # tokens once per doc
-    dt = F.col("__dt")
-    j = j.select(S, "pos", *keep, F.size(dt).alias("dl"),
-                 F.transform(F.coalesce("qterms", F.array().cast("array<string>")),
-                             lambda t: F.struct(t.alias("term"), F.size(F.filter(dt, lambda x: x == t)).alias("tf"))).alias("qtf"))
-    ws = Window.partitionBy(S)
-    j = j.withColumn("N", F.count(F.lit(1)).over(ws)).withColumn("avgdl", F.avg("dl").over(ws))
-    e = (j.select(S, "pos", *keep, "dl", "N", "avgdl", F.explode_outer("qtf").alias("q"))
-         .select(S, "pos", *keep, "dl", "N", "avgdl", F.col("q")["term"].alias("term"),
-                 F.coalesce(F.col("q")["tf"], F.lit(0)).alias("tf")))
-    e = e.withColumn("df", F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).over(Window.partitionBy(S, "term")))
+    toks = cands.select(S, "pos", tokens(F.col("text")).alias("t"))
+    lens = toks.select(S, "pos", F.size("t").alias("dl"))
+    stats = lens.groupBy(S).agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+    tf = toks.select(S, "pos", F.explode("t").alias("term")).groupBy(S, "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = tf.join(query_terms(queries, query).select(S, "term"), [S, "term"])
+    df = hits.groupBy(S, "term").agg(F.count(F.lit(1)).alias("df"))
+    h = hits.join(df, [S, "term"]).join(lens, [S, "pos"]).join(stats, S)
     idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm_len = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")
-    part = F.when(F.col("tf") > 0, idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * norm_len))
-    return (e.groupBy(S, "pos").agg(*[F.first(c).alias(c) for c in keep], F.sum(part).alias("raw"))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * norm_len)
+    raw = h.groupBy(S, "pos").agg(F.sum(part).alias("raw"))
+    return (cands.select(S, "pos", *keep).join(raw, [S, "pos"], "left")
             .select(S, "pos", F.round(F.coalesce(F.col("raw"), F.lit(0.0)), C.SCORE_DIGITS).alias("score"), *keep))
 
 
@@ -182,54 +194,38 @@ def prefilter_cap(max_chunks) -> Column:
     return F.greatest(F.lit(C.PREFILTER_MIN_CAP), mc * C.PREFILTER_CHUNK_FACTOR)
 
 
-def prefilter_topk(docs: DataFrame, params: DataFrame, max_cap: int, query: str = "query",
-                   carry: tuple[str, ...] = ()) -> DataFrame:
+def prefilter_topk(docs: DataFrame, params: DataFrame, query: str = "query", carry: tuple[str, ...] = ()) -> DataFrame:
     """sessions with more than ``cap`` docs keep the top ``cap`` by query cosine, re-ordered by it.
 
-    ``params`` has one row per session with ``query`` and ``cap``; ``max_cap``
-    is a literal bound of every cap, so the planner pushes a partial
-    per-partition top-k (``WindowGroupLimit``) below the shuffle and a hot
-    session never ships more than ``max_cap`` rows per input partition.  The
-    cosine is computed in-row against the session's query map (no token
-    shuffle).  Output adds ``ppos``: the prefilter rank when the cap fired,
-    else the incoming ``pos``, the session's ``qterms`` and the ``carry``
-    parameter columns (so later per-session steps need no join).
+    ``params`` has one row per session with ``query`` and ``cap`` (and is read twice: materialise it).  The
+    greatest cap, one scalar, goes into the plan as a literal bound, so that the planner puts a partial
+    per-partition top-k (``WindowGroupLimit``) below the shuffle.  Output adds ``ppos``: the prefilter rank
+    when the cap fired, else the incoming ``pos``, and the ``carry`` parameter columns.
     """
+    row = params.agg(F.max("cap").alias("m")).first()
+    bound = int(row["m"]) if row["m"] is not None else 0
     # Sessions whose raw doc count (when known) cannot exceed the cap skip the cosine entirely.
     upper = F.col("n_docs") if "n_docs" in params.columns else F.lit(None).cast("bigint")
-    q = params.select(S, "cap", upper.alias("__upper"), *carry,
-                      F.when(strip_ws(F.col(query)) == "", F.lit(" ")).otherwise(F.col(query)).alias("__q"))
-    q = q.select(S, "cap", "__upper", *carry, query_terms_map(F.col("__q")).alias("__qmap"))
+    asked = F.when(strip_text(F.col(query)) == "", F.lit(" ")).otherwise(F.col(query))
     counts = docs.groupBy(S).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(S).orderBy(F.col("__sim").desc(), F.col("pos").asc())
     need = F.col("__upper").isNull() | (F.col("__upper") > F.col("cap"))
-    # Tokens, dot product and squared norm are separate projections so each is evaluated once per row.
-    zero = F.lit(0).cast("bigint")
-    top = (docs.join(q, S)
-           .withColumn("__toks", F.when(need, tokens(F.col("text"))))
-           .withColumn("__dot", F.aggregate("__toks", zero, lambda acc, x: acc + F.coalesce(F.col("__qmap")[x], zero)))
-           .withColumn("__ss", sum_sq_tf(F.col("__toks")))
-           .withColumn("__qn", F.sqrt(F.aggregate(F.map_values("__qmap"), zero, lambda acc, v: acc + v * v).cast("double")))
-           .withColumn("__sim", F.when(~need | (F.col("__dot") == 0) | (F.col("__ss") == 0) | (F.col("__qn") == 0), F.lit(0.0))
-                       .otherwise(F.round(F.col("__dot").cast("double") / (F.sqrt(F.col("__ss").cast("double")) * F.col("__qn")),
-                                          C.SCORE_DIGITS)))
-           .drop("__toks", "__dot", "__ss", "__qn")
+    top = (query_cosines(docs.join(params.select(S, "cap", upper.alias("__upper"), *carry), S), params.select(S, asked.alias("__q")), "__q", need)
            .withColumn("__rn", F.row_number().over(w))
-           .where(F.col("__rn") <= F.lit(max_cap))
+           .where(F.col("__rn") <= F.lit(bound))
            .where(F.col("__rn") <= F.col("cap")))
     return (top.join(counts, S)
             .withColumn("ppos", F.when(F.col("__n") > F.col("cap"), F.col("__rn")).otherwise(F.col("pos")).cast("bigint"))
-            .withColumn("qterms", F.map_keys("__qmap"))
-            .drop("__qmap", "__sim", "__rn", "__n", "cap", "__upper"))
+            .drop("__sim", "__rn", "__n", "cap", "__upper"))
 
 
 # --------------------------------------------------------------------------- F6 / F7
 def rank_docs(scored: DataFrame, order: str = "ppos") -> DataFrame:
     """rank by score desc, stable on incoming order; ``first_score`` of the first identical text."""
     w = Window.partitionBy(S).orderBy(F.col("score").desc(), F.col(order).asc())
-    wt = Window.partitionBy(S, "text").orderBy(F.col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    return (scored.withColumn("rank", F.row_number().over(w))
-            .withColumn("first_score", F.first("score").over(wt)))
+    wt = Window.partitionBy(S, "__h").orderBy(F.col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    return (scored.withColumn("__h", F.sha2("text", 256)).withColumn("rank", F.row_number().over(w))
+            .withColumn("first_score", F.first("score").over(wt)).drop("__h"))
 
 
 def cap_chunks(ranked: DataFrame, k, rank: str = "rank") -> DataFrame:

@@ -34,11 +34,11 @@ def fx1_docs(spark, sf_dir) -> DataFrame:
 
 
 def fx1_requests(spark, sf_dir) -> DataFrame:
-    """Query of a session = first 200 characters of its first doc (prefix excluded)."""
+    """Query of a session = the whole text of its first doc (prefix excluded)."""
     d = read(spark, sf_dir, "documents")
-    # substring first: only 200 characters per doc travel through the aggregate
-    return (d.groupBy(F.col("source").alias("session_id"))
-            .agg(F.min_by(F.substring("text", 1, 200), F.col("doc_id")).alias("query")))
+    # the first id first: no text travels through an aggregate
+    first = d.groupBy(F.col("source").alias("session_id")).agg(F.min("doc_id").alias("doc_id"))
+    return d.select("doc_id", F.col("text").alias("query")).join(first, "doc_id").select("session_id", "query")
 
 
 SQL_FX1 = """fx1 as (
@@ -46,7 +46,7 @@ SQL_FX1 = """fx1 as (
          case when doc_id % 17 = 0 then concat('[Error] ', text) else text end as text
   from documents),
 fx1_req as (
-  select source as session_id, substring(min_by(text, doc_id), 1, 200) as query
+  select source as session_id, min_by(text, doc_id) as query
   from documents group by source)"""
 
 

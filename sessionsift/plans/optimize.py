@@ -34,13 +34,7 @@ def with_param_defaults(requests: DataFrame, **overrides) -> DataFrame:
     return out.withColumn("cap", rank.prefilter_cap("max_chunks"))
 
 
-def _max_cap(params: DataFrame) -> int:
-    """Literal bound of every session's prefilter cap (one scalar aggregate)."""
-    row = params.agg(F.max("cap").alias("m")).first()
-    return int(row["m"]) if row and row["m"] is not None else C.PREFILTER_MIN_CAP
-
-
-def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None, scorer=None) -> DataFrame:
+def select_docs(docs: DataFrame, requests: DataFrame, scorer=None) -> DataFrame:
     """Steps B9 -> C1 -> F5 -> H3 -> F6 -> G1 -> G2 -> F7 on gated-in sessions.
 
     ``requests`` (one row per session) should be materialised by the caller.
@@ -53,15 +47,13 @@ def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None
                              "compression_rate", "dedupe_threshold", *extra)
     d = docs.select(S, "pos", "text").join(params.select(S), S)
     d = rank.purge_error_docs(rank.normalize_docs(d))
-    if max_cap is None:
-        max_cap = _max_cap(params)
     # The candidate list is bounded (<= cap per session): materialise it once, with the
-    # session's query terms and parameters carried on each row (no later joins with params).
+    # session's parameters carried on each row (no later joins with params).
     carry = ("max_chunks", "total_prune_budget_chars", "compression_rate", "dedupe_threshold")
-    cands = materialize(rank.prefilter_topk(d, params, max_cap, carry=carry + ("query",))
-                        .select(S, F.col("ppos").alias("pos"), "text", "qterms", "query", *carry))
+    more = carry + (("query",) if scorer is not None else ())
+    cands = materialize(rank.prefilter_topk(d, params, carry=more).select(S, F.col("ppos").alias("pos"), "text", *more))
     if scorer is None:
-        scores = rank.bm25_scores(cands, keep=("text",) + carry)
+        scores = rank.bm25_scores(cands, params, keep=("text",) + carry)
     else:
         # K1: a pair scorer (e.g. a cross-encoder) replaces BM25 on the bounded candidate list.
         from sessionsift.functions.plugins import pair_score_column
@@ -91,7 +83,7 @@ def select_docs(docs: DataFrame, requests: DataFrame, max_cap: int | None = None
             .select(S, "rank", (F.col("slot") + 1).alias("slot"), "text", "compression_rate"))
 
 
-def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None = None, scorer=None) -> DataFrame:
+def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None) -> DataFrame:
     """H5 flagship: one result row per request.
 
     ``docs(session_id, pos, text)`` raw docs; ``requests(session_id, query,
@@ -105,7 +97,7 @@ def optimize_context(docs: DataFrame, requests: DataFrame, max_cap: int | None =
     # One row per session, read by the selection and by the final join: materialise once.
     gated = materialize(rank.gate_by_size(params, rank.result_sizes(docs)))
     active = gated.where(F.col("gate") == "run")
-    chosen = select_docs(docs, active, max_cap, scorer)
+    chosen = select_docs(docs, active, scorer)
     compressed = compress_text(chosen, order="slot")
     out = gated.join(compressed, S, "left")
     opt = F.coalesce(F.col("optimized_context"), F.lit(""))

@@ -15,6 +15,13 @@ def strip_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
 
 
+PY_WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip_text_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{PY_WS}+', ''), '{PY_WS}+$', '')"
+
+
 def toks_sql(x: str) -> str:
     return (f"list_filter(string_split(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), "
             f"lambda t: t <> '')")
@@ -58,10 +65,10 @@ gated as (
                           cast(r.min_input_size as varchar), ' chars.')
               else '' end as gate_reason
   from req r left join sizes s using (session_id)),
-nd as (select d.session_id, d.pos, {strip_sql('d.text')} as text from {docs} d join gated g using (session_id) where g.gate = 'run'),
+nd as (select d.session_id, d.pos, {strip_text_sql('d.text')} as text from {docs} d join gated g using (session_id) where g.gate = 'run'),
 nd2 as (select * from nd where text <> ''
         and not ({" or ".join(f"starts_with(lower(substring(text, 1, {len(p)})), '{p}')" for p in C.ERROR_PREFIXES)})),
-qm as (select session_id, cap, case when {strip_sql('query')} = '' then ' ' else query end as q from gated where gate = 'run'),
+qm as (select session_id, cap, case when {strip_text_sql('query')} = '' then ' ' else query end as q from gated where gate = 'run'),
 qtf as (select session_id, term, count(*) as qtf from (select session_id, unnest({toks_sql('q')}) as term from qm) group by all),
 qn as (select session_id, sqrt(sum(qtf * qtf)) as qnorm from qtf group by all),
 dtf as (select session_id, pos, term, count(*) as tf from (select session_id, pos, unnest({toks_sql('text')}) as term from nd2) group by all),
@@ -104,7 +111,7 @@ nb as (
   from pairs p join rnorm x on x.session_id = p.session_id and x.rk = p.a
                join rnorm y on y.session_id = p.session_id and y.rk = p.b
                join gated g on g.session_id = p.session_id
-  where round(p.dot / (x.nrm * y.nrm), 6) >= g.thr group by all),
+  where p.dot / (x.nrm * y.nrm) >= g.thr group by all),
 items as (
   select r.session_id, r.rk, length(r.text) as len, r.fscore, coalesce(nb.nbrs, []::bigint[]) as nbrs
   from ranked r left join nb using (session_id, rk)),

@@ -44,20 +44,20 @@ def _clean(docs):
 
 def _fx1_ranked(spark, sf):
     params = with_param_defaults(fx.fx1_requests(spark, sf))
-    cands = rank.prefilter_topk(_clean(fx.fx1_docs(spark, sf)), params, C.PREFILTER_MIN_CAP)
+    cands = rank.prefilter_topk(_clean(fx.fx1_docs(spark, sf)), params)
     cands = cands.select(S, F.col("ppos").alias("pos"), "text")
     scores = rank.bm25_scores(cands, params)
     return rank.rank_docs(cands.join(scores, [S, "pos"]), order="pos"), params
 
 
 @register("b9_normalize_docs", f"""with {fx.SQL_FX1}
-select session_id, pos, {O.strip_sql('text')} as text,
-       {O.strip_sql("array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda p: " + O.strip_sql('p') + "), lambda p: p <> ''), ' ')")} as joined
-from fx1 where {O.strip_sql('text')} <> ''""")
+select session_id, pos, {O.strip_text_sql('text')} as text,
+       {O.strip_text_sql("array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda p: " + O.strip_text_sql('p') + "), lambda p: p <> ''), ' ')")} as joined
+from fx1 where {O.strip_text_sql('text')} <> ''""")
 def b9(spark, sf):
     d = fx.fx1_docs(spark, sf)
     return (d.select(S, "pos", F.col("text").alias("raw"))
-            .select(S, "pos", rank.strip_ws(F.col("raw")).alias("text"),
+            .select(S, "pos", rank.strip_text(F.col("raw")).alias("text"),
                     rank.normalize_parts(F.split("raw", "\n")).alias("joined"))
             .where(F.col("text") != ""))
 
@@ -88,7 +88,7 @@ def f4(spark, sf):
 @register("f5_prefilter_topk", f"{W1} select session_id, pos, case when n > cap then rn else pos end as ppos from pre where rn <= cap")
 def f5(spark, sf):
     params = with_param_defaults(fx.fx1_requests(spark, sf))
-    return rank.prefilter_topk(_clean(fx.fx1_docs(spark, sf)), params, C.PREFILTER_MIN_CAP).select(S, "pos", "ppos")
+    return rank.prefilter_topk(_clean(fx.fx1_docs(spark, sf)), params).select(S, "pos", "ppos")
 
 
 @register("f6_rank_docs", f"{W1} select session_id, pos, rk as rank, score, fscore as first_score from ranked")
@@ -145,9 +145,7 @@ def h1(spark, sf):
 @register("h2_cosine_similarity", f"{W1} select session_id, pos, sim from sims")
 def h2(spark, sf):
     params = with_param_defaults(fx.fx1_requests(spark, sf))
-    q = params.select(S, F.when(rank.strip_ws(F.col("query")) == "", F.lit(" ")).otherwise(F.col("query")).alias("q"))
-    d = _clean(fx.fx1_docs(spark, sf)).join(q.select(S, rank.query_terms_map(F.col("q")).alias("qm")), S)
-    return d.select(S, "pos", rank.query_cosine(F.col("text"), F.col("qm")).alias("sim"))
+    return rank.query_cosines(_clean(fx.fx1_docs(spark, sf)), params).select(S, "pos", F.col("__sim").alias("sim"))
 
 
 @register("h2_dense_cosine", f"""with {fx.SQL_FX6},
@@ -181,22 +179,41 @@ def h4(spark, sf):
     return compress_text(d, params, order="pos")
 
 
-@register("g3_dedupe_corpus", f"""with recursive {fx.SQL_FX6},
-r as (select session_id, pos, vec, row_number() over (partition by session_id order by pos) as rk from fx6),
-nb as (
-  select a.session_id, a.rk, list(b.rk order by b.rk) as nbrs
-  from r a join r b on a.session_id = b.session_id and b.rk < a.rk
-  where round(list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 6) >= 0.3
-  group by all),
-items as (select r.session_id, r.rk, r.pos, coalesce(nb.nbrs, []::bigint[]) as nbrs from r left join nb using (session_id, rk)),
+_WALK_SQL = """items as (select r.session_id, r.rk, r.pos, coalesce(nb.nbrs, []::bigint[]) as nbrs from r left join nb using (session_id, rk)),
 walk(session_id, rk, kept) as (
   select distinct session_id, cast(0 as bigint), []::bigint[] from r
   union all
   select w.session_id, i.rk, case when list_has_any(w.kept, i.nbrs) then w.kept else list_append(w.kept, i.rk) end
   from walk w join items i on i.session_id = w.session_id and i.rk = w.rk + 1),
 fin as (select session_id, unnest(arg_max(kept, rk)) as rk from walk group by session_id)
-select i.session_id, i.pos from fin join items i using (session_id, rk)""")
+select i.session_id, i.pos from fin join items i using (session_id, rk)"""
+
+
+@register("g3_dedupe_corpus", f"""with recursive {fx.SQL_FX1},
+r as (select session_id, pos, text, row_number() over (partition by session_id order by pos) as rk from fx1),
+t as (select session_id, rk, term, count(*) as tf from (select session_id, rk, unnest({O.toks_sql('text')}) as term from r) group by all),
+n as (select session_id, rk, sqrt(sum(tf * tf)) as norm from t group by all),
+p as (select a.session_id, a.rk as a, b.rk as b, sum(a.tf * b.tf) as dot
+      from t a join t b on a.session_id = b.session_id and a.term = b.term and b.rk < a.rk group by all),
+nb as (select p.session_id, p.a as rk, list(p.b order by p.b) as nbrs
+       from p join n x on x.session_id = p.session_id and x.rk = p.a join n y on y.session_id = p.session_id and y.rk = p.b
+       where p.dot / (x.norm * y.norm) >= 0.9 group by all),
+{_WALK_SQL}""")
 def g3(spark, sf):
-    """Corpus-scale greedy dedupe of the embeddings per label at cosine 0.3 (LSH tuned for 0.3)."""
+    """Corpus-scale greedy dedupe of the documents of a source at cosine 0.9 of their term counts."""
+    from sessionsift.operators.corpus import dedupe_corpus_terms
+    return dedupe_corpus_terms(fx.fx1_docs(spark, sf), 0.9)
+
+
+@register("g3_dedupe_vectors", f"""with recursive {fx.SQL_FX6},
+r as (select session_id, pos, vec, row_number() over (partition by session_id order by pos) as rk from fx6),
+nb as (
+  select a.session_id, a.rk, list(b.rk order by b.rk) as nbrs
+  from r a join r b on a.session_id = b.session_id and b.rk < a.rk
+  where list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) >= 0.3
+  group by all),
+{_WALK_SQL}""")
+def g3v(spark, sf):
+    """The same for the embeddings of a label at cosine 0.3 (few real neighbours: the bounds prune little)."""
     from sessionsift.operators.corpus import dedupe_corpus
-    return dedupe_corpus(fx.fx6_vectors(spark, sf), 0.3, bits=2, bands=30)
+    return dedupe_corpus(fx.fx6_vectors(spark, sf), 0.3)

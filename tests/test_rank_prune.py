@@ -81,7 +81,7 @@ def test_purge_is_literal_and_case_insensitive(df):
 def test_prefilter_plan_has_partial_group_limit(spark, df):
     d = df([("s", i, f"doc {i} word") for i in range(60)], "session_id string, pos long, text string")
     p = df([("s", "word 5", 40)], "session_id string, query string, cap int")
-    out = rank.prefilter_topk(d, p, 40)
+    out = rank.prefilter_topk(d, p)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert out.count() == 40
