@@ -2,15 +2,16 @@
 
 A plug-in is a *factory*: a picklable zero-argument callable that builds the
 model.  It runs once per Python worker (cached by name), and the model then
-sees Arrow batches through an iterator pandas UDF:
+sees Arrow batches through an iterator pandas UDF.  Every plug-in column is
+``struct(value, error)`` (K2): a failing item carries its error, the job and
+the other items go on:
 
 * ``Embedder``    ``model(list[str]) -> 2-D array`` (one vector per text)
 * ``PairScorer``  ``model(list[tuple[str, str]]) -> 1-D array`` (query, doc)
 * ``TokenScorer`` ``model(list[str]) -> list[list[float]]`` (one score per whitespace token)
 
 The lexical defaults need none of this; plug-ins replace a step's column.
-K2: ``fail_open`` turns an exception into ``struct(value, error)`` per row so
-one bad row never fails the job.
+``fail_open`` does the same for any per-text function.
 """
 
 from __future__ import annotations
@@ -31,36 +32,66 @@ def _model(name: str, factory: Callable[[], object]):
     return _MODELS[name]
 
 
+def _run_open(model: Callable, items: list, none: object) -> tuple[list, list[str | None]]:
+    """Results and errors of a batch: if the model fails on it, item by item, so that one bad item does not
+    fail its neighbours.  A None item is not shown to the model."""
+    def guarded(part: list) -> list:
+        out = list(model(part))
+        if len(out) != len(part):
+            raise ValueError(f"{len(out)} results for {len(part)} items")
+        return out
+
+    at = [i for i, x in enumerate(items) if x is not None]
+    values, errors = [none] * len(items), [None] * len(items)
+    try:
+        got = guarded([items[i] for i in at]) if at else []
+        for i, v in zip(at, got):
+            values[i] = v
+    except Exception:  # noqa: BLE001 - fail open: the error is kept with its item
+        for i in at:
+            try:
+                values[i] = guarded([items[i]])[0]
+            except Exception as e:  # noqa: BLE001
+                errors[i] = f"{type(e).__name__}: {e}"
+    return values, errors
+
+
+def _frame(values: list, errors: list[str | None]) -> pd.DataFrame:
+    return pd.DataFrame({"value": pd.Series(values, dtype="object"), "error": pd.Series(errors, dtype="object")})
+
+
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def embed_column(text, factory: Callable[[], Callable], name: str = "embedder") -> Column:
-    """K1 Embedder: ``array<double>`` per text, model loaded once per worker."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """K1 Embedder: struct(value ``array<double>``, error) per text, model loaded once per worker."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = _model(name, factory)
         for texts in batches:
-            vecs = np.asarray(model(texts.fillna("").tolist()), dtype="float64")
-            yield pd.Series(list(vecs))
-    udf = F.pandas_udf(run, "array<double>")
-    return udf(F.col(text) if isinstance(text, str) else text)
+            values, errors = _run_open(model, [t if isinstance(t, str) else None for t in texts], None)
+            yield _frame([None if v is None else np.asarray(v, dtype="float64") for v in values], errors)
+    return F.pandas_udf(run, "value array<double>, error string")(_col(text))
 
 
 def pair_score_column(query, doc, factory: Callable[[], Callable], name: str = "pair_scorer") -> Column:
-    """K1 PairScorer: relevance of ``doc`` to ``query`` (a cross-encoder in practice)."""
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """K1 PairScorer: struct(value ``double``, error), the relevance of ``doc`` to ``query``."""
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = _model(name, factory)
         for q, d in batches:
-            yield pd.Series(np.asarray(model(list(zip(q.fillna("").tolist(), d.fillna("").tolist()))), dtype="float64"))
-    udf = F.pandas_udf(run, "double")
-    col = lambda c: F.col(c) if isinstance(c, str) else c
-    return udf(col(query), col(doc))
+            values, errors = _run_open(model, list(zip(q.fillna("").tolist(), d.fillna("").tolist())), None)
+            yield _frame([None if v is None else float(v) for v in values], errors)
+    return F.pandas_udf(run, "value double, error string")(_col(query), _col(doc))
 
 
 def token_score_column(text, factory: Callable[[], Callable], name: str = "token_scorer") -> Column:
-    """K1 TokenScorer: one keep-score per whitespace token of ``text``."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """K1 TokenScorer: struct(value ``array<double>``, error), one keep-score per whitespace token."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = _model(name, factory)
         for texts in batches:
-            yield pd.Series([list(map(float, s)) for s in model(texts.fillna("").tolist())])
-    udf = F.pandas_udf(run, "array<double>")
-    return udf(F.col(text) if isinstance(text, str) else text)
+            values, errors = _run_open(model, [t if isinstance(t, str) else None for t in texts], None)
+            yield _frame([None if v is None else [float(x) for x in v] for v in values], errors)
+    return F.pandas_udf(run, "value array<double>, error string")(_col(text))
 
 
 def fail_open(fn: Callable[[str], float], value_type: str = "double") -> Callable[[Column], Column]:
@@ -105,6 +136,22 @@ def overlap_scorer():
     return model
 
 
+def letter_embedder():
+    """A deterministic stand-in Embedder factory: the counts of the letters a to z; fails on a text with a tab."""
+    def model(texts):
+        if any("\t" in t for t in texts):
+            raise ValueError("tab")
+        return np.array([[t.lower().count(chr(97 + k)) for k in range(26)] for t in texts], dtype="float64").reshape(len(texts), 26)
+    return model
+
+
+def length_token_scorer():
+    """A deterministic stand-in TokenScorer factory: long tokens are kept first."""
+    def model(texts):
+        return [[float(len(w)) for w in t.split()] for t in texts]
+    return model
+
+
 def flaky_len(text: str) -> float:
     """A deterministic step that fails on some rows (any text containing the digit 7)."""
     if "7" in text:

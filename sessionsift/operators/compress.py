@@ -53,3 +53,22 @@ def compress_text(docs: DataFrame, params: DataFrame | None = None, rate: str =
     return (per_doc.groupBy(S)
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("ctext")))),
                                           lambda x: x["ctext"]), "\n\n").alias("optimized_context")))
+
+
+def compress_scored(docs: DataFrame, scores: str, rate: str = "compression_rate", order: str = "slot") -> DataFrame:
+    """H4 with given keep-scores, one per whitespace token (``scores`` array<double>): each doc keeps its
+    ``ceil(rate * n_tokens)`` best-scored tokens, earlier ones first on ties, in their own order.
+
+    Returns ``(session_id, optimized_context, error)``; a wrong number of scores is an error.
+    """
+    toks = F.filter(F.split(F.col("text"), SPACE_RUN), lambda t: t != "")
+    d = docs.select(S, order, rate, scores, toks.alias("toks"))
+    n = F.size("toks")
+    order_by = F.array_sort(F.transform(F.col(scores), lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
+    kept = F.array_sort(F.transform(F.slice(order_by, 1, F.greatest(F.ceil(F.col(rate) * n).cast("int"), F.lit(0))), lambda x: x["i"]))
+    text = F.array_join(F.transform(kept, lambda i: F.col("toks")[i]), " ")
+    fits = F.size(scores) == n
+    error = F.when(F.col(scores).isNotNull() & ~fits, F.format_string("ValueError: %d scores for %d tokens", F.size(scores), n))
+    d = d.select(S, order, F.when(fits, text).alias("ctext"), error.alias("error"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("ctext").isNotNull(), F.struct(F.col(order), F.col("ctext")))))
+    return d.groupBy(S).agg(F.array_join(F.transform(parts, lambda x: x["ctext"]), "\n\n").alias("optimized_context"), F.max("error").alias("error"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionsift.operators.rank import dense_cosine
+
 S = "session_id"
 
 
@@ -36,6 +38,16 @@ def lexical_neighbours(terms: DataFrame, thresholds: DataFrame, key: str = "rank
             .groupBy(S, F.col("a").alias(key)).agg(F.array_sort(F.collect_list(F.col("b").cast("int"))).alias("nbrs")))
 
 
+def dense_neighbours(vectors: DataFrame, thresholds: DataFrame, key: str = "rank",
+                     threshold: str = "dedupe_threshold") -> DataFrame:
+    """``lexical_neighbours`` for ``vectors(session_id, key, vec)`` of a bounded list per session."""
+    a = vectors.select(S, F.col(key).alias("a"), F.col("vec").alias("va"))
+    b = vectors.select(S, F.col(key).alias("b"), F.col("vec").alias("vb"))
+    return (a.join(b, S).where(F.col("b") < F.col("a")).join(thresholds.select(S, threshold), S)
+            .where(dense_cosine("va", "vb") >= F.col(threshold))
+            .groupBy(S, F.col("a").alias(key)).agg(F.array_sort(F.collect_list(F.col("b").cast("int"))).alias("nbrs")))
+
+
 # --------------------------------------------------------------------------- folds
 def greedy_keep(items: Column) -> Column:
     """G1 fold: walk ``array<struct<rank,nbrs,...>>`` in rank order; keep a doc iff no kept neighbour."""

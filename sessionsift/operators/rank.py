@@ -194,13 +194,15 @@ def prefilter_cap(max_chunks) -> Column:
     return F.greatest(F.lit(C.PREFILTER_MIN_CAP), mc * C.PREFILTER_CHUNK_FACTOR)
 
 
-def prefilter_topk(docs: DataFrame, params: DataFrame, query: str = "query", carry: tuple[str, ...] = ()) -> DataFrame:
+def prefilter_topk(docs: DataFrame, params: DataFrame, query: str = "query", carry: tuple[str, ...] = (),
+                   given: str | None = None) -> DataFrame:
     """sessions with more than ``cap`` docs keep the top ``cap`` by query cosine, re-ordered by it.
 
     ``params`` has one row per session with ``query`` and ``cap`` (and is read twice: materialise it).  The
     greatest cap, one scalar, goes into the plan as a literal bound, so that the planner puts a partial
     per-partition top-k (``WindowGroupLimit``) below the shuffle.  Output adds ``ppos``: the prefilter rank
-    when the cap fired, else the incoming ``pos``, and the ``carry`` parameter columns.
+    when the cap fired, else the incoming ``pos``, and the ``carry`` parameter columns.  ``given`` names a
+    column of ``docs`` to rank by in place of the lexical cosine (null first: such a doc is always kept).
     """
     row = params.agg(F.max("cap").alias("m")).first()
     bound = int(row["m"]) if row["m"] is not None else 0
@@ -208,10 +210,14 @@ def prefilter_topk(docs: DataFrame, params: DataFrame, query: str = "query", car
     upper = F.col("n_docs") if "n_docs" in params.columns else F.lit(None).cast("bigint")
     asked = F.when(strip_text(F.col(query)) == "", F.lit(" ")).otherwise(F.col(query))
     counts = docs.groupBy(S).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(S).orderBy(F.col("__sim").desc(), F.col("pos").asc())
+    w = Window.partitionBy(S).orderBy(F.col("__sim").desc_nulls_first(), F.col("pos").asc())
     need = F.col("__upper").isNull() | (F.col("__upper") > F.col("cap"))
-    top = (query_cosines(docs.join(params.select(S, "cap", upper.alias("__upper"), *carry), S), params.select(S, asked.alias("__q")), "__q", need)
-           .withColumn("__rn", F.row_number().over(w))
+    j = docs.join(params.select(S, "cap", upper.alias("__upper"), *carry), S)
+    if given is None:
+        j = query_cosines(j, params.select(S, asked.alias("__q")), "__q", need)
+    else:
+        j = j.withColumn("__sim", F.col(given))
+    top = (j.withColumn("__rn", F.row_number().over(w))
            .where(F.col("__rn") <= F.lit(bound))
            .where(F.col("__rn") <= F.col("cap")))
     return (top.join(counts, S)

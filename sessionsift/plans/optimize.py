@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sessionsift import constants as C
 from sessionsift.operators import prune, rank
-from sessionsift.operators.compress import compress_text
+from sessionsift.operators.compress import compress_scored, compress_text
+from sessionsift.operators.params import resolve_params
 from sessionsift.session import materialize, spread
+from sessionsift.sources.requests import validate_requests
 
 S = "session_id"
 
@@ -34,14 +36,16 @@ def with_param_defaults(requests: DataFrame, **overrides) -> DataFrame:
     return out.withColumn("cap", rank.prefilter_cap("max_chunks"))
 
 
-def select_docs(docs: DataFrame, requests: DataFrame, scorer=None) -> DataFrame:
+def select_docs(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None) -> tuple[DataFrame, DataFrame | None]:
     """Steps B9 -> C1 -> F5 -> H3 -> F6 -> G1 -> G2 -> F7 on gated-in sessions.
 
     ``requests`` (one row per session) should be materialised by the caller.
 
     Returns ``(session_id, rank, slot, text)``: the docs that reach compression,
-    ``slot`` = 1-based position in the final list.
+    ``slot`` = 1-based position in the final list; and, if a plug-in is used,
+    ``(session_id, error)`` of the sessions for which it failed.
     """
+    from sessionsift.functions.plugins import embed_column, pair_score_column
     extra = ["n_docs"] if "n_docs" in requests.columns else []
     params = requests.select(S, "query", "cap", "max_chunks", "total_prune_budget_chars",
                              "compression_rate", "dedupe_threshold", *extra)
@@ -51,18 +55,34 @@ def select_docs(docs: DataFrame, requests: DataFrame, scorer=None) -> DataFrame:
     # session's parameters carried on each row (no later joins with params).
     carry = ("max_chunks", "total_prune_budget_chars", "compression_rate", "dedupe_threshold")
     more = carry + (("query",) if scorer is not None else ())
-    cands = materialize(rank.prefilter_topk(d, params, carry=more).select(S, F.col("ppos").alias("pos"), "text", *more))
+    failing = embedder is not None or scorer is not None
+    own: tuple[str, ...] = ("vec", "error") if embedder is not None else ()
+    if embedder is None:
+        top = rank.prefilter_topk(d, params, carry=more)
+    else:
+        # K1: dense vectors replace the term counts in F5 and G1.  A doc or query that fails sorts first, so
+        # that its error is among the candidates.
+        asked = F.when(rank.strip_text(F.col("query")) == "", F.lit(" ")).otherwise(F.col("query"))
+        q = params.select(S, embed_column(asked, embedder, "embedder").alias("q"))
+        v = d.withColumn("v", embed_column("text", embedder, "embedder")).join(q, S)
+        sim = F.round(rank.dense_cosine(F.col("v")["value"], F.col("q")["value"]), C.SCORE_DIGITS)
+        v = v.select(S, "pos", "text", F.col("v")["value"].alias("vec"), F.coalesce(F.col("v")["error"], F.col("q")["error"]).alias("error"), sim.alias("sim"))
+        top = rank.prefilter_topk(v, params, carry=more, given="sim")
+    cands = materialize(top.select(S, F.col("ppos").alias("pos"), "text", *more, *own))
     if scorer is None:
-        scores = rank.bm25_scores(cands, params, keep=("text",) + carry)
+        scores = rank.bm25_scores(cands, params, keep=("text",) + carry + own)
     else:
         # K1: a pair scorer (e.g. a cross-encoder) replaces BM25 on the bounded candidate list.
-        from sessionsift.functions.plugins import pair_score_column
-        scores = cands.select(S, "pos", "text", *carry, F.round(
-            pair_score_column("query", "text", scorer, name="pair_scorer"), C.SCORE_DIGITS).alias("score"))
+        scored = cands.withColumn("p", pair_score_column("query", "text", scorer, name="pair_scorer"))
+        error = F.coalesce("error", F.col("p")["error"]) if own else F.col("p")["error"]
+        scores = scored.select(S, "pos", "text", *carry, *(c for c in own if c != "error"), error.alias("error"),
+                               F.coalesce(F.round(F.col("p")["value"], C.SCORE_DIGITS), F.lit(0.0)).alias("score"))
     # Bounded and read three times below: materialise once.
     ranked = materialize(rank.rank_docs(scores, order="pos"))
-    rterms = rank.embed_docs(ranked.select(S, "rank", "text"), keys=(S, "rank"))
-    nbrs = prune.lexical_neighbours(rterms, params)
+    if embedder is None:
+        nbrs = prune.lexical_neighbours(rank.embed_docs(ranked.select(S, "rank", "text"), keys=(S, "rank")), params)
+    else:
+        nbrs = prune.dense_neighbours(ranked.where("vec IS NOT NULL"), params)
     items = (ranked.select(S, "rank", "text", "first_score", "total_prune_budget_chars", "max_chunks")
              .join(nbrs, [S, "rank"], "left")
              .select(S, "total_prune_budget_chars", "max_chunks",
@@ -79,40 +99,94 @@ def select_docs(docs: DataFrame, requests: DataFrame, scorer=None) -> DataFrame:
     final = F.slice(take, 1, F.col("max_chunks"))
     chosen = per_session.select(S, F.posexplode(final).alias("slot", "rank"))
     # At most max_chunks docs per session; compression reads it in one pass.
-    return (ranked.select(S, "rank", "text", "compression_rate").join(chosen, [S, "rank"])
-            .select(S, "rank", (F.col("slot") + 1).alias("slot"), "text", "compression_rate"))
+    chosen = (ranked.select(S, "rank", "text", "compression_rate").join(chosen, [S, "rank"])
+              .select(S, "rank", (F.col("slot") + 1).alias("slot"), "text", "compression_rate"))
+    errors = ranked.where("error IS NOT NULL").groupBy(S).agg(F.min("error").alias("error")) if failing else None
+    return chosen, errors
 
 
-def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None) -> DataFrame:
+def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None, token_scorer=None) -> DataFrame:
     """H5 flagship: one result row per request.
 
     ``docs(session_id, pos, text)`` raw docs; ``requests(session_id, query,
     [min_input_size, max_chunks, total_prune_budget_chars, compression_rate,
     dedupe_threshold])``.  Returns ``(session_id, status, reason, initial_size,
     final_size, optimized_context)``; ``optimized_context`` is '' when nothing
-    survives.  ``scorer``: optional K1 PairScorer factory replacing BM25.
+    survives.  K1 factories: ``embedder`` replaces the term counts of F5 and G1,
+    ``scorer`` (pairs) BM25, ``token_scorer`` the token weights of H4.  K2: a
+    session for which a plug-in fails gets the status ``failed`` with the error
+    as its reason; all others are unaffected.
     """
     docs = spread(docs, S, "pos")
     params = with_param_defaults(requests)
     # One row per session, read by the selection and by the final join: materialise once.
     gated = materialize(rank.gate_by_size(params, rank.result_sizes(docs)))
     active = gated.where(F.col("gate") == "run")
-    chosen = select_docs(docs, active, scorer)
-    compressed = compress_text(chosen, order="slot")
-    out = gated.join(compressed, S, "left")
-    opt = F.coalesce(F.col("optimized_context"), F.lit(""))
+    chosen, errors = select_docs(docs, active, scorer, embedder)
+    if token_scorer is None:
+        out = gated.join(compress_text(chosen, order="slot"), S, "left").withColumn("token_error", F.lit(None).cast("string"))
+    else:
+        from sessionsift.functions.plugins import token_score_column
+        scored = materialize(chosen.withColumn("t", token_score_column("text", token_scorer, "token_scorer")))
+        failed = scored.groupBy(S).agg(F.min(F.col("t")["error"]).alias("item_error"))
+        short = compress_scored(scored.withColumn("scores", F.col("t")["value"]), "scores", order="slot")
+        out = gated.join(short, S, "left").join(failed, S, "left")
+        out = out.withColumn("token_error", F.coalesce("item_error", "error")).drop("error", "item_error")
+    if errors is None:
+        errors_of = F.col("token_error")
+    else:
+        out = out.join(errors.select(S, F.col("error").alias("pick_error")), S, "left")
+        errors_of = F.coalesce("pick_error", "token_error")
     run = F.col("gate") == "run"
+    bad = run & errors_of.isNotNull()
+    opt = F.when(bad, F.lit("")).otherwise(F.coalesce(F.col("optimized_context"), F.lit("")))
     return out.select(
         S,
-        F.when(~run, F.col("gate")).when(opt == "", F.lit("no_optimization")).otherwise(F.lit("optimized")).alias("status"),
-        F.when(run, F.lit("")).otherwise(F.col("gate_reason")).alias("reason"),
+        F.when(~run, F.col("gate")).when(bad, F.lit("failed")).when(opt == "", F.lit("no_optimization")).otherwise(F.lit("optimized")).alias("status"),
+        F.when(bad, errors_of).when(run, F.lit("")).otherwise(F.col("gate_reason")).alias("reason"),
         F.col("initial_size").cast("bigint").alias("initial_size"),
-        F.when(run, F.length(opt)).when(F.col("n_docs") == 0, F.lit(0)).otherwise(F.col("initial_size"))
+        F.when(bad, F.col("initial_size")).when(run, F.length(opt)).when(F.col("n_docs") == 0, F.lit(0)).otherwise(F.col("initial_size"))
         .cast("bigint").alias("final_size"),
         opt.alias("optimized_context"),
     )
 
 
+REQUEST_OPTIONS = ("min_input_size", "max_chunks", "total_prune_budget_chars", "compression_rate", "dedupe_threshold",
+                   "reranker_model", "embed_model", "compressor_model")
+
+
+def optimize_requests(requests: DataFrame, **plugins) -> DataFrame:
+    """H5 from request payloads (A3 rows with unique ``request_id``): A4 first, then the optimizer.
+
+    Returns ``(request_id, ok, status, error_code, message, reason, initial_size, final_size,
+    optimized_context)``: ``failed`` with ``invalid_input`` for payloads that are not requests, with
+    ``runtime_error`` for unknown options and for plug-ins that fail; a request whose integer
+    ``min_input_size`` is above its size, or without docs, is ``no_optimization``.
+    """
+    v = validate_requests(requests)
+    unknown = F.array_sort(F.array_except(F.map_keys("options"), F.array(*map(F.lit, REQUEST_OPTIONS))))
+    v = materialize(v.withColumn("unknown", F.when(F.col("status") == "run", F.get(unknown, 0))))
+    run = v.where("status = 'run' AND unknown IS NULL")
+    docs = run.select(F.col("request_id").alias(S), F.posexplode(F.try_variant_get("docs", "$", "array<string>")).alias("pos", "text"))
+    asked = run.select(F.col("request_id").alias(S), "query", F.map_filter("options", lambda k, x: k != "min_input_size").alias("options"), F.col("min_input_size").alias("gate_size"))
+    params = resolve_params(asked).withColumn("min_input_size", F.coalesce("gate_size", F.lit(0)))
+    result = optimize_context(docs, params.drop("gate_size"), **plugins)
+    r = v.select("request_id", F.col("status").alias("a4"), F.col("error_code").alias("a4_code"), F.col("reason").alias("a4_reason"), "unknown", F.col("initial_size").alias("size"))
+    r = r.join(result.withColumnRenamed(S, "request_id"), "request_id", "left")
+    invalid, odd = F.col("a4") == "invalid_input", F.col("unknown").isNotNull()
+    failed = invalid | odd | F.coalesce(F.col("status") == "failed", F.lit(False))
+    message = F.when(invalid, F.col("a4_reason")).when(odd, F.concat(F.lit("unknown option: "), "unknown")).when(failed, F.col("reason"))
+    zero = F.lit(0).cast("bigint")
+    return r.select(
+        "request_id", (~failed).alias("ok"),
+        F.when(failed, F.lit("failed")).when(F.col("a4") == "no_optimization", F.col("a4")).otherwise(F.col("status")).alias("status"),
+        F.when(invalid, F.col("a4_code")).when(failed, F.lit("runtime_error")).alias("error_code"), message.alias("message"),
+        F.when(failed, message).when(F.col("a4") == "no_optimization", F.col("a4_reason")).otherwise(F.col("reason")).alias("reason"),
+        F.when(failed, F.lit(None)).when(F.col("a4") == "no_optimization", zero).otherwise(F.col("initial_size")).cast("bigint").alias("initial_size"),
+        F.when(failed, F.lit(None)).when(F.col("a4") == "no_optimization", zero).otherwise(F.col("final_size")).cast("bigint").alias("final_size"),
+        F.when(failed, F.lit(None).cast("string")).otherwise(F.coalesce("optimized_context", F.lit(""))).alias("optimized_context"))
+
+
 def optimize_live(calls: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """H7: the live pass on a call table: F3 (superseded outputs) then C3 (stale error inputs).
 

@@ -9,6 +9,7 @@ from sessionsift.operators import extract as X
 from sessionsift.operators.params import apply_model_limits, resolve_params, validate_overrides
 from sessionsift.plans import fixtures as fx
 from sessionsift.plans import oracle_h5 as O
+from sessionsift.plans.optimize import optimize_requests
 from sessionsift.plans.registry import register
 from sessionsift.session import scratch_dir
 from sessionsift.sources.requests import read_requests, validate_requests
@@ -63,6 +64,62 @@ def a4(spark, sf):
     return v.select("request_id", "status", "error_code", "reason", "n_docs", "initial_size")
 
 
+def _payload_lines(spark, sf):
+    """One payload per conversation, of every kind: junk after the JSON, a blank line, docs that are no list or hold
+    other values, no docs, an integer and a text ``min_input_size``, an unknown option, plain requests."""
+    d = fx.fx2_docs(spark, sf)
+    kind = F.col(S).cast("bigint") % 9
+    docs = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]))
+    c = d.groupBy(S).agg(docs.alias("docs")).join(fx.fx2_requests(spark, sf).select(S, "query"), S)
+    text = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    def payload(docs, options):
+        return F.concat(F.lit('{"request_id":'), text(S), F.lit(',"query":'), text("query"), F.lit(',"docs":'), docs, F.lit(',"options":' + options + "}"))
+    all_docs = F.col("docs")
+    raw = (F.when(kind == 0, F.concat(payload(all_docs, "{}"), F.lit(" junk")))
+           .when(kind == 1, F.lit("  "))
+           .when(kind == 2, payload(F.lit('{"a":1}'), "{}"))
+           .when(kind == 3, payload(F.regexp_replace(all_docs, r"\]$", ",7]"), "{}"))
+           .when(kind == 4, payload(F.lit("[]"), "{}"))
+           .when(kind == 5, payload(all_docs, '{"min_input_size":3000,"max_chunks":2}'))
+           .when(kind == 6, payload(all_docs, '{"min_input_size":"3000"}'))
+           .when(kind == 7, payload(all_docs, '{"max_chunk":2}'))
+           .otherwise(payload(all_docs, '{"total_prune_budget_chars":1500}')))
+    return c.select(raw.alias("value"))
+
+
+_H5_REQ = f"""fx2_kind as (select *, cast(session_id as bigint) % 9 as kind from fx2_req),
+req as (
+  select session_id, coalesce(query, '') as query, cast(case when kind = 5 then 3000 else 0 end as bigint) as min_input_size,
+         case when kind = 5 then 2 else {C.DEFAULT_MAX_CHUNKS} end as max_chunks,
+         cast(case when kind = 8 then 1500 else {C.DEFAULT_PRUNE_BUDGET_CHARS} end as bigint) as budget,
+         {C.DEFAULT_COMPRESSION_RATE}::double as rate, {C.DEFAULT_DEDUPE_THRESHOLD}::double as thr
+  from fx2_kind where kind in (5, 6, 8)),
+fx2_run as (select f.* from fx2 f join req using (session_id))"""
+
+
+@register("h5_optimize_requests", f"""with recursive {fx.SQL_FX2}, {_H5_REQ}, {O.h5_ctes('fx2_run')}, {O.compress_ctes()},
+done as (
+  select g.session_id, g.gate, g.gate_reason, g.initial_size, coalesce(c.oc, '') as oc from gated g left join comp c using (session_id))
+select case when kind in (0, 1) then null else k.session_id end as request_id, kind not in (0, 2, 3, 7) as ok,
+       case when kind in (0, 2, 3, 7) then 'failed' when kind in (1, 4) or d.gate <> 'run' or d.oc = '' then 'no_optimization'
+            else 'optimized' end as status,
+       case when kind in (0, 2, 3) then 'invalid_input' when kind = 7 then 'runtime_error' end as error_code,
+       case kind when 0 then 'invalid JSON payload' when 2 then 'docs must be a list of strings'
+                 when 3 then 'docs must contain strings only' when 7 then 'unknown option: max_chunk' end as message,
+       case when kind = 0 then 'invalid JSON payload' when kind = 2 then 'docs must be a list of strings'
+            when kind = 3 then 'docs must contain strings only' when kind = 7 then 'unknown option: max_chunk'
+            when kind in (1, 4) then '{C.REASON_NO_DOCS}' else d.gate_reason end as reason,
+       cast(case when kind in (1, 4) then 0 when kind in (5, 6, 8) then d.initial_size end as bigint) as initial_size,
+       cast(case when kind in (1, 4) then 0 when d.gate = 'run' then length(d.oc) when kind in (5, 6, 8) then d.initial_size end as bigint) as final_size,
+       case when kind in (1, 4) then '' when kind in (5, 6, 8) then d.oc end as optimized_context
+from fx2_kind k left join done d using (session_id)""")
+def h5_requests(spark, sf):
+    """H5 from raw payload lines: validation, gate, optimizer; a result row for every line."""
+    path = scratch_dir(spark, "payloads")
+    _payload_lines(spark, sf).write.text(path)
+    return optimize_requests(read_requests(spark, path))
+
+
 def _messages(spark, sf):
     """Live message list from FX3: user rows carry no parts; every 23rd call lacks a state, every
     31st part is not a tool part (both must be skipped)."""
@@ -196,7 +253,7 @@ from sessionsift.functions import plugins as P  # noqa: E402
 def k1(spark, sf):
     """Conversation turns embedded by a plug-in (deterministic hashing embedder, loaded once per worker)."""
     d = fx.fx2_docs(spark, sf)
-    v = d.select(S, "pos", P.embed_column("text", P.hashing_embedder(64), name="hashing64").alias("vec"))
+    v = d.select(S, "pos", P.embed_column("text", P.hashing_embedder(64), name="hashing64")["value"].alias("vec"))
     return v.select(S, "pos", F.size("vec").alias("dim"),
                     F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("n_tokens"))
 
