@@ -88,18 +88,20 @@ def parse_numeric(c, fallback) -> Column:
 def js_number(c) -> Column:
     """A finite double as JavaScript prints it: the shortest digits, plain from 1e-6 up to 1e21."""
     num = col_(c)
-    text = F.abs(num).cast("string")  # d.ddd, or d.dddE[-]dd outside 1e-3 .. 1e7: the same digits
-    mantissa = F.regexp_replace(F.regexp_extract(text, r"^([0-9.]+)", 1), r"\.0$", "")
-    exp = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    whole = F.regexp_extract(mantissa, r"^([0-9]+)", 1)
-    part = F.regexp_extract(mantissa, r"\.([0-9]+)$", 1)
-    big = F.concat(whole, F.rpad(part, F.greatest(F.length(part), exp), "0"))
-    point = F.length(whole) + exp
-    plain_big = F.when(F.length(big) > point, F.concat(F.substring(big, F.lit(1), point), F.lit("."), F.substring(big, point + 1, F.lit(400)))).otherwise(big)
-    plain_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), whole, part)
-    mark = F.concat(mantissa, F.lit("e"), F.when(exp > 0, F.lit("+")).otherwise(F.lit("")), exp.cast("string"))
-    out = (F.when(exp == 0, mantissa).when((exp > 0) & (exp < 21), plain_big)
-           .when((exp < 0) & (exp >= -6), plain_small).otherwise(mark))
+    size = F.abs(num)
+    fewer, more = F.format_string("%.14e", size), F.format_string("%.15e", size)
+    # the fewest digits that read back as the same number
+    text = (F.when(fewer.cast("double") == size, fewer).when(more.cast("double") == size, more)
+            .otherwise(F.format_string("%.16e", size)))
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^([0-9.]+)", 1), r"\.", ""), "0+$", "")
+    k, n = F.length(digits), F.regexp_extract(text, r"e([+-]?[0-9]+)$", 1).cast("int") + 1
+    sign = F.when(n > 1, F.lit("+")).otherwise(F.lit(""))
+    rest = F.when(k > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), k))).otherwise(F.lit(""))
+    out = (F.when(k == 0, F.lit("0"))
+           .when((k <= n) & (n <= 21), F.rpad(digits, n, "0"))
+           .when((n > 0) & (n <= 21), F.concat(F.substring(digits, F.lit(1), n), F.lit("."), F.substring(digits, n + 1, k)))
+           .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), digits))
+           .otherwise(F.concat(F.substring(digits, 1, 1), rest, F.lit("e"), sign, (n - 1).cast("string"))))
     return F.concat(F.when(num < 0, F.lit("-")).otherwise(F.lit("")), out)
 
 

@@ -120,3 +120,19 @@ select session_id, seq, case when superseded then '{C.OUTPUT_MARKER}' else outpu
 def h7(spark, sf):
     calls, last = _live(spark, sf)
     return optimize_live(calls, last).select(S, "seq", "output", "input")
+
+
+_FROM_MESSAGES = _F3_SQL.replace("where tool <> 'USER')", "where tool <> 'USER' and seq % 23 <> 0 and seq % 31 <> 0)")
+
+
+@register("h7_optimize_messages", f"""{W}, {_FROM_MESSAGES},
+d as (select session_id, seq, case when superseded then '{C.OUTPUT_MARKER}' else output end as output, {_MASKED} as input from c3)
+select f.session_id, f.seq as msg_no, coalesce(d.output, f.output) as output, coalesce(d.input, f.input) as input
+from fx3 f left join d using (session_id, seq) where f.tool <> 'USER' and f.seq % 23 <> 0""")
+def h7_messages(spark, sf):
+    """The live pass from messages: parts that are no tool calls stay as they are."""
+    from sessionsift.plans.optimize import optimize_messages
+    from sessionsift.plans.queries_requests import _messages
+    out, _ = optimize_messages(_messages(spark, sf))
+    p = out.select(S, "msg_no", F.explode("parts").alias("p")).where("p.state IS NOT NULL")
+    return p.select(S, "msg_no", "p.state.output", "p.state.input")

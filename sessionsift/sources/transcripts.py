@@ -34,7 +34,9 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     splits = splits.select("__f", "__at", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__add"))
     folder = F.regexp_extract("__f", r"/session_id=([^/]*)/[^/]*$", 1)
     name = F.regexp_extract("__f", r"([^/]+?)(\.[^./]*)?$", 1)
-    session = F.when(folder != "", F.nullif(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))), F.lit("__HIVE_DEFAULT_PARTITION__"))).otherwise(name)
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    # the path is a URI; a folder's value is escaped once more
+    session = F.when(folder != "", F.nullif(plain(plain(folder)), F.lit("__HIVE_DEFAULT_PARTITION__"))).otherwise(plain(name))
     return (lines.join(splits, ["__f", "__at"]).where(strip_ws("raw") != "")
             .select(session.alias(S), (F.col("__i") + F.col("__add")).cast("bigint").alias("line_no"), "raw"))
 
