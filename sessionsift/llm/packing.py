@@ -211,8 +211,9 @@ def best_fit(runs: list[Run], rest: dict[int, int], capacity: int) -> list[Run]:
     return [r for rs in by_room for r in rs if r.lengths]
 
 
-def plan(hist: np.ndarray, capacity: int = CAPACITY, tries: tuple[tuple[int, int], ...] = ((256, 64), (320, 64), (384, 64), (256, 96))) -> list[Run]:
-    """Runs that hold exactly hist[k] pieces of each length k <= capacity; the fewest sequences of the tries."""
+def plan(hist: np.ndarray, capacity: int = CAPACITY, tries: tuple[tuple[int, int], ...] = ((448, 64), (512, 64), (256, 64))) -> list[Run]:
+    """Runs that hold exactly hist[k] pieces of each length k <= capacity; the fewest sequences of the tries
+    (longest small piece, groups), which end when one is within 0.1 % of the least possible number."""
     full = int(hist[capacity])
     below = hist.copy()
     below[capacity] = 0
@@ -226,7 +227,7 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY, tries: tuple[tuple[int, int
         found = best_fit(runs, rest, capacity)
         if best is None or sum(r.count for r in found) < sum(r.count for r in best):
             best = found
-        if sum(r.count for r in best) <= least:
+        if sum(r.count for r in best) <= least * 1.001:
             break
     return best + ([Run(full, [capacity])] if full else [])
 
