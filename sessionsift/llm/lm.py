@@ -5,10 +5,15 @@ blocks (sorted hashes, differences, zstd), one for each shard of the hash space,
 block and no word or bigram, however frequent, gathers more than one entry from each map task:
 
 1. words: shard tasks add up the training count of each word (exact for 64-bit hashes);
-2. bigrams, dealt by the hash of both words: shard tasks add up counts and keep them as sorted arrays in the
-   shared folder; per shard, what each context was followed by (count, and how many bigrams of count one,
-   two, more) and how many words came before each word go on in the same form;
-3. these are added up by word and joined with the words' counts into one sorted table for each shard.
+2. bigrams, dealt by the hash of both words: shard tasks add up counts; per shard, what each context was
+   followed by (count, and how many bigrams of count one, two, more) and how many words came before each
+   word go on in the same form;
+3. these are added up by word.
+
+Shard tasks keep the sums as sorted arrays in the shared folder.  Words and contexts are kept by their 64-bit
+hash, words that something came before by its upper 40 bits; a bigram takes 48 bits of its hash within the
+shard, 16 of them as an index of buckets, and one byte for its count (larger counts stand in a list of their
+own).
 
 Model: p(v | u) = (c(uv) - D(c)) / c(u) + gamma(u) p(v), with p(v) = (n(v) - E(n)) / n + delta / (V + 1),
 where n(v) is the number of distinct words seen before v, and the discounts D and E for counts of one, two
@@ -19,8 +24,8 @@ Scoring maps the arrays of the shared folder into memory and looks up a slice's
 in sorted order.  Shards grow in number with the data (``tokens_per_shard``), not in size.
 
 Order two: at order three the counting alone would shuffle and keep over six times the input here (more than
-four fifths of all trigrams are distinct).  Lookups use 64-bit hashes; two words can share one with a
-probability of about n*n / 2**65.
+four fifths of all trigrams are distinct).  Two of n words share a 64-bit hash with a probability of about
+n*n / 2**65; words that share 40 bits (n*n / 2**41 pairs) get each other's number of words before them.
 
 Defined cases: a null or empty text is the end token alone; rows without an id aren't held out; repeated
 rows count and are scored as rows of their own; without training text every token is unknown and the score
@@ -47,7 +52,7 @@ from sessionsift.session import scratch_dir
 #: Hashes of the end token and of the context that a document begins with.
 END, BEGIN = np.uint64(0xE4D0000000000001), np.uint64(0xBE61000000000001)
 #: Words counted locally before blocks are sent.
-LOCAL_TOKENS = 3_000_000
+LOCAL_TOKENS = 1_500_000
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +71,7 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return mix(u * np.uint64(0x9E3779B97F4A7C15) + v)
+    return mix(u * np.uint64(0x9E3779B97F4A7C15) + (v >> np.uint64(24)))
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -113,7 +118,68 @@ def _merged(blocks: pd.Series, n_values: int) -> tuple[np.ndarray, ...]:
     return added(*(np.concatenate(x) for x in zip(*parts))) if parts else tuple(np.zeros(0, np.uint64) for _ in range(n_values + 1))
 
 
-_WORD = np.dtype([("hash", "<u8"), ("count", "<u8"), ("followed", "<u8"), ("one", "<u8"), ("two", "<u8"), ("more", "<u8"), ("before", "<u8")])
+#: The numbers that are kept for each kind of key.
+VALUES = {"word": ["count"], "context": ["followed", "one", "two", "more"], "before": ["words"]}
+_BUCKET_BITS = 16
+
+
+def before_key(word: np.ndarray) -> np.ndarray:
+    """The upper 40 bits: so many are sent and kept of the second word of a bigram."""
+    return word >> np.uint64(24) << np.uint64(24)
+
+
+def _in_shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """48 bits that order the hashes of one shard."""
+    within = (h >> np.uint64(32)) * np.uint64(shards) & np.uint64(0xFFFFFFFF)
+    return within << np.uint64(16) | (h & np.uint64(0xFFFFFFFF)) >> np.uint64(16)
+
+
+def _uri(root: str, kind: str, field: str, shard: int) -> str:
+    return f"{root}/{kind}-{shard:05d}/{field}.npy"
+
+
+def _save_keyed(root: str, kind: str, shard: int, key: np.ndarray, values: tuple[np.ndarray, ...]) -> None:
+    save_array(_uri(root, kind, "key", shard), key)
+    for field, v in zip(VALUES[kind], values):
+        save_array(_uri(root, kind, field, shard), v.astype(np.uint32))
+
+
+def _save_bigrams(root: str, shard: int, shards: int, h: np.ndarray, n: np.ndarray) -> None:
+    key = _in_shard(h, shards)
+    bucket = (key >> np.uint64(32)).astype(np.int64)
+    save_array(_uri(root, "bigram", "index", shard), np.searchsorted(bucket, np.arange((1 << _BUCKET_BITS) + 1)).astype(np.uint32))
+    save_array(_uri(root, "bigram", "suffix", shard), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    save_array(_uri(root, "bigram", "count", shard), np.minimum(n, 255).astype(np.uint8))
+    large = np.flatnonzero(n >= 255)
+    save_array(_uri(root, "bigram", "large_at", shard), large)
+    save_array(_uri(root, "bigram", "large", shard), n[large].astype(np.int64))
+
+
+def _find_bigrams(root: str, shard: int, shards: int, h: np.ndarray) -> np.ndarray:
+    """Counts of bigrams (0: unseen) of one shard, by a binary search in each one's bucket."""
+    key = _in_shard(h, shards)
+    want = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    index, suffix, count, large_at, large = (load_array(_uri(root, "bigram", f, shard)) for f in ("index", "suffix", "count", "large_at", "large"))
+    out = np.zeros(len(h))
+    if not len(suffix):
+        return out
+    bucket = (key >> np.uint64(32)).astype(np.int64)
+    lo, end = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
+    hi = end.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        less = np.zeros(len(h), dtype=bool)
+        less[open_] = suffix[mid[open_]] < want[open_]
+        lo = np.where(open_ & less, mid + 1, lo)
+        hi = np.where(open_ & ~less, mid, hi)
+    hit = lo < end
+    hit[hit] = suffix[lo[hit]] == want[hit]
+    c = count[lo[hit]].astype(float)
+    many = c == 255
+    if many.any():
+        c[many] = large[np.searchsorted(large_at, lo[hit][many])]
+    out[hit] = c
+    return out
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -136,55 +202,50 @@ class Model:
     types: int  # distinct bigrams
     word_counts: tuple[int, int, int]  # words preceded by one, two, more distinct words
 
-    def _find(self, what: str, keys: np.ndarray, field: str) -> tuple[np.ndarray, list]:
-        """For sorted distinct keys: where each stands in its shard, as (found, [(slice, table, places)])."""
-        found, at = np.zeros(len(keys), dtype=bool), []
+    def _by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         bounds = np.searchsorted(shard_of(keys, self.shards), np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(bounds)).tolist():
-            own = slice(int(bounds[s]), int(bounds[s + 1]))
-            table = load_array(f"{self.root}/{what}-{s:05d}.npy")
-            hashes = table[field] if field else table
-            p = np.searchsorted(hashes, keys[own])
+            yield s, slice(int(bounds[s]), int(bounds[s + 1]))
+
+    def values(self, kind: str, keys: np.ndarray) -> list[np.ndarray]:
+        """The kind's numbers for sorted keys, 0 where a key is unseen."""
+        out = [np.zeros(len(keys)) for _ in VALUES[kind]]
+        for s, own in self._by_shard(keys):
+            table = load_array(_uri(self.root, kind, "key", s))
+            p = np.searchsorted(table, keys[own])
             ok = p < len(table)
-            ok[ok] = hashes[p[ok]] == keys[own][ok]
-            found[own] = ok
-            at.append((own, s, p, ok))
-        return found, at
-
-    def words(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=_WORD)
-        for own, s, p, ok in self._find("words", keys, "hash")[1]:
-            out[own][ok] = load_array(f"{self.root}/words-{s:05d}.npy")[p[ok]]
+            ok[ok] = table[p[ok]] == keys[own][ok]
+            for o, field in zip(out, VALUES[kind]):
+                o[own][ok] = load_array(_uri(self.root, kind, field, s))[p[ok]]
         return out
 
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
-        for own, s, p, ok in self._find("bigrams", keys, "")[1]:
-            out[own][ok] = load_array(f"{self.root}/counts-{s:05d}.npy")[p[ok]]
+        for s, own in self._by_shard(keys):
+            out[own] = _find_bigrams(self.root, s, self.shards, keys[own])
         return out
 
     def log10(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, training count) of each token."""
         distinct, back = np.unique(np.concatenate([word, context]), return_inverse=True)
-        w = self.words(distinct)
         of_word, of_context = back[:len(word)], back[len(word):]
         # p(v), by the number of distinct words before v
         d = np.concatenate([[0.0], self.word_discounts])
-        before = w["before"].astype(float)
+        before = self.values("before", before_key(distinct))[0]
         free = float(np.dot(self.word_discounts, self.word_counts)) / self.types if self.types else 1.0
         lower = (before - d[np.minimum(before, 3).astype(int)]) / max(self.types, 1) + free / (self.v + 1)
         # p(v | u)
         pairs, pair_of = np.unique(pair_hash(context, word), return_inverse=True)
         c = self.bigrams(pairs)[pair_of]
         d = np.concatenate([[0.0], self.bigram_discounts])
-        total = w["followed"].astype(float)
-        left = self.bigram_discounts @ np.stack([w[x].astype(float) for x in ("one", "two", "more")])
-        gamma = np.divide(left, total, out=np.ones(len(w)), where=total > 0)
+        total, *by_count = self.values("context", distinct)
+        left = self.bigram_discounts @ np.stack(by_count)
+        gamma = np.divide(left, total, out=np.ones(len(distinct)), where=total > 0)
         upper = np.divide(c - d[np.minimum(c, 3).astype(int)], total[of_context], out=np.zeros(len(word)), where=total[of_context] > 0)
-        return np.log10(upper + gamma[of_context] * lower[of_word]), w["count"][of_word].astype(float)
+        return np.log10(upper + gamma[of_context] * lower[of_word]), self.values("word", distinct)[0][of_word]
 
 
-def train(docs: DataFrame, tokens_per_shard: int = 8_000_000, bytes_per_token: int = 6) -> Model:
+def train(docs: DataFrame, tokens_per_shard: int = 4_000_000, bytes_per_token: int = 6) -> Model:
     """Count ``docs`` (text) and write the model below the shared folder."""
     root = scratch_dir(docs.sparkSession, "ngram-model")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -199,10 +260,10 @@ def train(docs: DataFrame, tokens_per_shard: int = 8_000_000, bytes_per_token: i
             yield from _blocks(shards, "word", *added(v, np.ones(len(v), np.uint64)))
             key = pair_hash(u, v)
             order = np.argsort(key)
-            key, u, v = key[order], u[order], v[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
             n = np.diff(np.append(first, len(key))).astype(np.uint64)
-            yield from _pair_blocks(shards, key[first], u[first], v[first], n)
+            at = order[first]
+            yield from _pair_blocks(shards, key[at], u[at], v[at], n)
 
         for batch in batches:
             for _, data, off in slices(batch):
@@ -213,73 +274,64 @@ def train(docs: DataFrame, tokens_per_shard: int = 8_000_000, bytes_per_token: i
         if held:
             yield from send()
 
-    counted = staged(docs.select("text").mapInArrow(count, "kind string, shard long, block binary"), "ngram-counts")
-
-    def bigram_shard(key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        shard = int(key[0])
-        parts = [_from_pairs(b) for b in rows["block"]]
-        u, v, n = (np.concatenate(x) for x in zip(*parts))
+    def add_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """One shard of words, or of bigrams: keep its sums, pass on what bigrams say about words."""
+        kind, shard = str(key[0]), int(key[1])
+        if kind == "word":
+            h, n = _merged(rows["block"], 1)
+            _save_keyed(root, kind, shard, h, (n,))
+            return pd.DataFrame({"kind": ["word stats"], "shard": [shard], "block": [None], "stats": [[int(n.sum()), len(h)]]})
+        u, v, n = (np.concatenate(x) for x in zip(*map(_from_pairs, rows["block"])))
         h = pair_hash(u, v)
         order = np.argsort(h)
-        h, u, v, n = h[order], u[order], v[order], n[order]
+        h, n = h[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        h, u, v, n = h[first], u[first], v[first], np.add.reduceat(n, first)
-        save_array(f"{root}/bigrams-{shard:05d}.npy", h)
-        save_array(f"{root}/counts-{shard:05d}.npy", np.minimum(n, 2**32 - 1).astype(np.uint32))
-        out = [*_blocks(shards, "context", *added(u, n, *((n == k).astype(np.uint64) for k in (1, 2)), (n > 2).astype(np.uint64))),
-               *_blocks(shards, "before", *added(v, np.ones(len(v), np.uint64)))]
+        h, n, u, v = h[first], np.add.reduceat(n, first), u[order[first]], v[order[first]]
+        _save_bigrams(root, shard, shards, h, n)
         stats = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
-        for b in out:
-            yield b.to_pandas().assign(stats=None)
-        yield pd.DataFrame({"kind": ["stats"], "shard": [shard], "block": [None], "stats": [stats]})
+        out = [b.to_pandas() for b in _blocks(shards, "context", *added(u, n, *((n == k).astype(np.uint64) for k in (1, 2)), (n > 2).astype(np.uint64)))]
+        out += [b.to_pandas() for b in _blocks(shards, "before", *added(v, np.ones(len(v), np.uint64)))]
+        return pd.concat([pd.concat(out).assign(stats=None), pd.DataFrame({"kind": ["pair stats"], "shard": [shard], "block": [None], "stats": [stats]})], ignore_index=True)
 
+    counted = docs.select("text").mapInArrow(count, "kind string, shard long, block binary")
     schema = "kind string, shard long, block binary, stats array<long>"
-    pairs = counted.where("kind = 'pair'").groupBy("shard").applyInPandas(lambda key, rows: pd.concat(bigram_shard(key, rows), ignore_index=True), schema)
-    more = staged(pairs, "ngram-contexts")
-
-    def word_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(key[0])
-        blocks = {k: g["block"] for k, g in rows.groupby("kind")}
-        word = _merged(blocks.get("word", []), 1)
-        context = _merged(blocks.get("context", []), 4)
-        before = _merged(blocks.get("before", []), 1)
-        table = np.zeros(0, dtype=_WORD)
-        hashes = np.unique(np.concatenate([word[0], context[0], before[0]]))
-        table = np.zeros(len(hashes), dtype=_WORD)
-        table["hash"] = hashes
-        for source, fields in ((word, ["count"]), (context, ["followed", "one", "two", "more"]), (before, ["before"])):
-            at = np.searchsorted(hashes, source[0])
-            for field, value in zip(fields, source[1:]):
-                table[field][at] = value
-        save_array(f"{root}/words-{shard:05d}.npy", table)
-        n = table["before"]
-        stats = [int(word[1].sum()), len(word[0]), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int((n > 2).sum())]
-        return pd.DataFrame({"shard": [shard], "stats": [stats]})
-
-    rows = counted.where("kind = 'word'").unionByName(more.where("kind <> 'stats'").select("kind", "shard", "block"))
-    done = staged(rows.groupBy("shard").applyInPandas(word_shard, "shard long, stats array<long>"), "ngram-words")
-
-    def total(df: DataFrame, n: int) -> list[int]:
-        return [int(x or 0) for x in df.agg(*(F.sum(F.col("stats")[k]) for k in range(n))).first()]
-
-    for what, have in (("bigrams", more.where("kind = 'stats'")), ("words", done)):
-        for s in set(range(shards)) - {r["shard"] for r in have.select("shard").collect()}:  # shards without any
-            empty = np.zeros(0, np.uint64) if what == "bigrams" else np.zeros(0, _WORD)
-            save_array(f"{root}/{what}-{s:05d}.npy", empty)
-            if what == "bigrams":
-                save_array(f"{root}/counts-{s:05d}.npy", np.zeros(0, np.uint32))
-    pair_stats, word_stats = total(more.where("kind = 'stats'"), 5), total(done, 7)
-    return Model(root, shards, word_stats[0], word_stats[1], _discounts(pair_stats[:4]), _discounts(word_stats[2:6]), pair_stats[4],
-                 (word_stats[2], word_stats[3], word_stats[6]))
+    summed = staged(counted.groupBy("kind", "shard").applyInPandas(add_up, schema), "ngram-sums")
+
+    def by_word(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        kind, shard = str(key[0]), int(key[1])
+        h, *values = _merged(rows["block"], len(VALUES[kind]))
+        _save_keyed(root, kind, shard, h, tuple(values))
+        n = values[0]
+        stats = [*(int((n == k).sum()) for k in (1, 2, 3, 4)), int((n > 2).sum())] if kind == "before" else []
+        return pd.DataFrame({"kind": [f"{kind} stats"], "shard": [shard], "stats": [stats]})
+
+    rows = summed.where("kind IN ('context', 'before')").select("kind", "shard", "block")
+    done = staged(rows.groupBy("kind", "shard").applyInPandas(by_word, "kind string, shard long, stats array<long>"), "ngram-words")
+    stats = staged(summed.where("stats IS NOT NULL").select("kind", "shard", "stats").unionByName(done), "ngram-stats")
+
+    def total(kind: str, n: int) -> list[int]:
+        return [int(x or 0) for x in stats.where(F.col("kind") == kind).agg(*(F.sum(F.col("stats")[k]) for k in range(n))).first()]
+
+    none = np.zeros(0, np.uint64)
+    have = {(r["kind"], r["shard"]) for r in stats.select("kind", "shard").collect()}  # a few rows for each shard
+    for shard in range(shards):  # shards without any key
+        for kind in VALUES:
+            if (f"{kind} stats", shard) not in have:
+                _save_keyed(root, kind, shard, none, (none,) * len(VALUES[kind]))
+        if ("pair stats", shard) not in have:
+            _save_bigrams(root, shard, shards, none, none)
+    words, pairs, before = total("word stats", 2), total("pair stats", 5), total("before stats", 5)
+    return Model(root, shards, words[0], words[1], _discounts(pairs[:4]), _discounts(before[:4]), pairs[4], (before[0], before[1], before[4]))
 
 
 def _pair_blocks(shards: int, key: np.ndarray, u: np.ndarray, v: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blocks of bigrams by the shard of their hash; within a block they stand in the order of u."""
+    """Blocks of bigrams by the shard of their hash; within a block they stand in the order of u.  Of v only
+    ``before_key`` and of both words together the hash are needed, so v is cut to 40 bits."""
     bounds = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(bounds)).tolist():
         own = slice(int(bounds[s]), int(bounds[s + 1]))
         order = np.lexsort((v[own], u[own]))
-        raw = _columns(np.diff(u[own][order], prepend=np.uint64(0))) + _columns(v[own][order]) + _columns(n[own][order])
+        raw = _columns(np.diff(u[own][order], prepend=np.uint64(0))) + _columns(v[own][order] >> np.uint64(24)) + _columns(n[own][order])
         block = zstandard.ZstdCompressor(level=1).compress(raw)
         yield pa.record_batch([pa.array(["pair"]), pa.array([s], pa.int64()), pa.array([block], pa.binary())], names=["kind", "shard", "block"])
 
@@ -287,7 +339,7 @@ def _pair_blocks(shards: int, key: np.ndarray, u: np.ndarray, v: np.ndarray, n:
 def _from_pairs(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), dtype=np.uint8).reshape(3, 8, -1)
     u, v, n = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in raw)
-    return np.cumsum(u, dtype=np.uint64), v, n
+    return np.cumsum(u, dtype=np.uint64), v << np.uint64(24), n
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
