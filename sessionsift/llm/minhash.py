@@ -136,10 +136,10 @@ def _successors(docs: DataFrame, bytes_per_range: int) -> DataFrame:
     both = F.array(F.struct(F.col("range"), F.lit(False).alias("halo")), F.struct(halo.alias("range"), F.lit(True).alias("halo")))
     out = dealt.withColumn("to", F.explode(F.filter(both, lambda x: x["range"].isNotNull())))
     out = out.select(F.col("to.range").alias("range"), F.col("to.halo").alias("halo"), "at", "doc_id", "text")
-    return out.repartition(max(1, len(used)), "range").sortWithinPartitions("range", "halo", "at", F.xxhash64("text"))
+    return out.repartitionById(n, F.col("range")).sortWithinPartitions("range", "halo", "at", F.xxhash64("text"))
 
 
-def with_neighbours(docs: DataFrame, shingle: int = SHINGLE, perms: int = PERMS, bytes_per_range: int = 16_000_000) -> DataFrame:
+def with_neighbours(docs: DataFrame, shingle: int = SHINGLE, perms: int = PERMS, bytes_per_range: int = 8_000_000) -> DataFrame:
     """One row for each document: see the module's text."""
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row and its signature: its successor comes with the next batch
@@ -163,3 +163,102 @@ def with_neighbours(docs: DataFrame, shingle: int = SHINGLE, perms: int = PERMS,
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _successors(docs, bytes_per_range).select("range", "halo", "at", "doc_id", "text").mapInArrow(fingerprints, schema)
+
+
+# --- near-duplicate classes ---------------------------------------------------------------------------
+
+THRESHOLD = 0.8
+BANDS = 32
+#: Texts of a candidate group that one task compares with as many others.
+CLASS_BLOCK = 512
+
+
+def common_counts(hashes: np.ndarray, owner: np.ndarray, n: int, columns: int = 8192) -> np.ndarray:
+    """n x n numbers of common shingles, from distinct (shingle, owner) pairs: products of 0/1 matrices over
+    the shingles that several owners hold, some thousand shingles at a time."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    number = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    shared = np.bincount(number)[number] > 1 if len(hashes) else np.zeros(0, bool)
+    owner, number = owner[shared], number[shared]
+    number = np.unique(number, return_inverse=True)[1]
+    out = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        a, b = np.searchsorted(number, [lo, lo + columns])
+        holds = np.zeros((n, columns), dtype=np.float32)
+        holds[owner[a:b], number[a:b] - lo] = 1
+        out += holds @ holds.T
+    return out
+
+
+def class_links(rows: pd.DataFrame, threshold: float, shingle: int) -> pd.DataFrame:
+    """Verified links of a group's texts (th, text): each linked text with the smallest one it reaches in the
+    group."""
+    texts = rows["text"].tolist()
+    batch = pa.record_batch([pa.array(texts, pa.large_string())], names=["text"])
+    sets: list[np.ndarray] = []
+    for _, data, off in slices(batch):
+        h, first = shingle_hashes(data, off, shingle)
+        sets += [np.unique(h[a:b]) for a, b in zip(first, first[1:])]
+    size = np.array([len(s) for s in sets])
+    both = common_counts(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets))
+    near = both / (size[:, None] + size[None, :] - both) >= threshold - 1e-6
+    parent = np.arange(len(sets))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    th = rows["th"].to_numpy()
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        a, b = root(i), root(j)
+        if a != b:
+            low, high = (a, b) if th[a] < th[b] else (b, a)
+            parent[high] = low
+    roots = [root(i) for i in range(len(sets))]
+    out = [(int(th[i]), int(th[r])) for i, r in enumerate(roots) if i != r]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, perms: int = PERMS, block: int = CLASS_BLOCK) -> DataFrame:
+    """(doc_id, class_id): the smallest id that a document reaches over pairs of texts whose shingle sets have a
+    Jaccard likeness of ``threshold`` or more.
+
+    Equal texts are one text.  A signature is cut into ``bands``; texts that share a band are candidates (a
+    pair of likeness s is missed with a probability of (1 - s**(perms/bands))**bands, 4e-8 at 0.8), and what
+    candidates reach over shared bands is a group.  A group's texts are dealt into blocks of about ``block``;
+    every two blocks of a group meet in one task, which verifies their pairs exactly and reports a spanning
+    forest of the links, so no task holds more than two blocks and no pairs are emitted.  Rows with a null id
+    get a null class.
+    """
+    @F.arrow_udf("array<long>")
+    def keys(texts: pa.Array) -> pa.Array:
+        sig = signatures_of([t or "" for t in texts.to_pylist()], shingle, perms)
+        cut = np.ascontiguousarray(sig).reshape(len(sig), bands, -1).astype(np.uint64)
+        h = np.full(cut.shape[:2], np.uint64(0x5EED))
+        for k in range(cut.shape[2]):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + cut[:, :, k])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * bands, pa.int32()), pa.array(h.view(np.int64).ravel()))
+
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    reps = staged(own.groupBy("th").agg(F.min("doc_id").alias("doc_id")), "minhash-texts")
+    one = own.select("th", "text").dropDuplicates(["th"])
+    dealt = staged(one.select("th", F.posexplode(keys(F.col("text"))).alias("band", "key")), "minhash-bands")
+    least = dealt.groupBy("band", "key").agg(F.min("th").alias("b"), F.count("*").alias("n")).where("n > 1")
+    edges = dealt.join(least, ["band", "key"]).where("th <> b").select(F.col("th").alias("a"), "b").distinct()
+    groups = staged(connected_components(staged(edges, "minhash-candidates")), "minhash-groups")
+    members = groups.select(F.col("node").alias("th"), F.col("root").alias("grp")).unionByName(groups.select(F.col("root").alias("th"), F.col("root").alias("grp")).distinct())
+    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = staged(members.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")), "minhash-members")
+    texts = join_checked(one, members, "th", "inner")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = texts.select("th", "text", "grp", "mine", other.alias("other"))
+    met = met.select("th", "text", "grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    links = met.groupBy("grp", "lo", "hi").applyInPandas(lambda rows: class_links(rows, threshold, shingle), "a long, b long")
+    roots = connected_components(staged(links.distinct(), "minhash-links"))
+    classes = reps.join(roots.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    smallest = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    found = staged(classes.join(smallest, "root").select("th", "class_id"), "minhash-classes")
+    out = join_checked(own.select("doc_id", "th"), found, "th", "inner")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

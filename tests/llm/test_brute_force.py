@@ -377,3 +377,38 @@ def test_mixing(docs, texts):
         taken, largest = sum(r["copies"] * r["size"] for r in own), max(r["size"] for r in own)
         assert abs(taken - targets[s]) <= largest
         assert all(r["size"] == len(words(texts[r["row"]["doc_id"]])) for r in own)
+
+
+# --- near-duplicate classes ---------------------------------------------------------------------------
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicate_classes(spark, docs, texts, block):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(300)]
+    extra, chain = {}, rng.choice(vocabulary, 80).tolist()
+    for k in range(12):  # a chain: neighbours are alike, its ends aren't
+        extra[20_000 + k] = " ".join(chain)
+        chain[(7 * k) % 80] = f"edit{k}"
+    extra |= {20_100: "", 20_101: "same short text", 20_102: "same short text"}
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(extra.items()), "doc_id long, text string"))
+    every = {**texts, **extra}
+    sets = {}
+    for i, t in every.items():
+        w = words(t)
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    ids = sorted(every)
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, i in enumerate(ids):
+        for j in ids[x + 1:]:
+            a, b = sets[i], sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df, block=block).collect()}
+    assert got == {i: root(i) for i in ids}
