@@ -101,11 +101,15 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
 def spread(df, *keys: str):
     """Spread an input that has fewer partitions than cores (e.g. one small file, one row group).
 
-    Large inputs already scan in parallel and are returned unchanged.  With
+    Large inputs already scan in parallel and are returned unchanged, and so
+    is what comes out of a shuffle: counting its partitions would run it.  With
     ``keys`` (unique per row, e.g. ``session_id, pos``) the rows are
     hash-partitioned on them: even and deterministic without the local sort a
     round-robin repartition needs for safe retries.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(node in plan for node in ("Join ", "Aggregate ", "Window ", "Repartition", "Sort ", "Deduplicate ")):
+        return df
     sc = df.sparkSession.sparkContext
     n = sc.defaultParallelism
     if df._jdf.rdd().getNumPartitions() < n:
