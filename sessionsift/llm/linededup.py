@@ -5,7 +5,7 @@ State (``LineIndex``), all below the shared folder, each change a new version:
 * postings (key, doc_id): the distinct documents of each counted line key;
 * counts (key, refs, last_doc): exact reference counts with the largest document, for every counted key;
 * per shard of the key space: a cuckoo filter of the keys that ``min_docs`` or more documents hold, and
-  sorted arrays (key, last_doc) of the same keys.
+  sorted arrays of the same keys and their last documents.
 
 ``build`` counts in Spark (partial counts before each shuffle, so a line in a third of all documents is
 summed, not gathered).  ``insert`` and ``delete`` count only the touched keys again and insert them into,
@@ -74,7 +74,8 @@ def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair[:, 0], pair[:, 1]
 
 
-_SORTED = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("last_doc", "<i8")])
+#: A shard's arrays, in the order of (hi, lo); a search reads a few pages of the first one.
+_ARRAYS = ("hi", "lo", "last_doc")
 
 
 def _shard_uri(root: str, version: int, shard: int, what: str) -> str:
@@ -115,24 +116,26 @@ class LineIndex:
             shard = int(key[0])
             hi, lo = _split(rows["key"].to_numpy()) if len(rows) else (np.zeros(0, np.uint64),) * 2
             was, now = rows["was"].to_numpy(bool), rows["now"].to_numpy(bool)
-            table = np.zeros(0, dtype=_SORTED)
+            table = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
             sieve = CuckooFilter.sized(int(now.sum()))
             if not fresh:
-                table = np.array(load_array(_shard_uri(root, version - 1, shard, "keys")))
                 sieve = CuckooFilter(np.array(load_array(_shard_uri(root, version - 1, shard, "filter"))))
-                gone = np.isin(table["hi"], hi[was]) & np.isin(table["lo"], lo[was])
-                table = table[~gone]
+                table = [np.array(load_array(_shard_uri(root, version - 1, shard, a))) for a in _ARRAYS]
+                stay = ~(np.isin(table[0], hi[was]) & np.isin(table[1], lo[was]))
+                table = [a[stay] for a in table]
                 sieve.delete(hi[was & ~now])
-            new = np.zeros(int(now.sum()), dtype=_SORTED)
-            new["hi"], new["lo"], new["last_doc"] = hi[now], lo[now], rows["last_doc"].to_numpy(np.int64)[now]
-            table = np.sort(np.concatenate([table, new]), order=["hi", "lo"])
+            new = (hi[now], lo[now], rows["last_doc"].to_numpy(np.int64)[now])
+            table = [np.concatenate(x) for x in zip(table, new)]
+            order = np.lexsort((table[1], table[0]))
+            table = [a[order] for a in table]
             if not sieve.insert(hi[now & ~was]):
-                n = len(table)
-                while not (sieve := CuckooFilter.sized(n := n * 2)).insert(table["hi"]):
+                n = len(order)
+                while not (sieve := CuckooFilter.sized(n := n * 2)).insert(table[0]):
                     pass
-            save_array(_shard_uri(root, version, shard, "keys"), table)
+            for name, array in zip(_ARRAYS, table):
+                save_array(_shard_uri(root, version, shard, name), array)
             save_array(_shard_uri(root, version, shard, "filter"), sieve.table)
-            return pd.DataFrame({"shard": [shard], "keys": [len(table)]})
+            return pd.DataFrame({"shard": [shard], "keys": [len(order)]})
 
         @F.pandas_udf("long")
         def shard(keys: pd.Series) -> pd.Series:
@@ -194,13 +197,13 @@ class LineIndex:
                 at = at[CuckooFilter(load_array(_shard_uri(root, version, shard, "filter"))).contains(hi[at])]
                 if not len(at):
                     continue
-                table = load_array(_shard_uri(root, version, shard, "keys"))
-                place = np.searchsorted(table["hi"], hi[at])
+                known, low, last_doc = (load_array(_shard_uri(root, version, shard, a)) for a in _ARRAYS)
+                place = np.searchsorted(known, hi[at])
                 for i, p in zip(at.tolist(), place.tolist()):
-                    while p < len(table) and table["hi"][p] == hi[i] and table["lo"][p] != lo[i]:
+                    while p < len(known) and known[p] == hi[i] and low[p] != lo[i]:
                         p += 1
                     r = int(row[i])
-                    if p < len(table) and table["hi"][p] == hi[i] and not no_id[r] and table["last_doc"][p] != own_id[r]:
+                    if p < len(known) and known[p] == hi[i] and not no_id[r] and last_doc[p] != own_id[r]:
                         drop.setdefault(r, set()).add(int(spot[i]))
             kept = [b"\n".join(x for k, x in enumerate(own) if k not in drop[r]).decode() if r in drop else (t or "") for r, (own, t) in enumerate(zip(lines, texts))]
             return pd.DataFrame({"text": kept, "n_lines": [len(x) for x in lines], "n_dropped": [len(drop.get(r, ())) for r in range(len(lines))]})

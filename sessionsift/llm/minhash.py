@@ -103,13 +103,15 @@ def edited(text: str, following: str) -> str:
 
 
 _LOWEST = -(2**63)
+#: Ranges have a row each on the driver; a range is read as a stream, so that larger ones need no more memory.
+MAX_RANGES = 20_000
 
 
 def _successors(docs: DataFrame, bytes_per_range: int) -> DataFrame:
     """(range, at, halo, doc_id, text): ranges of ids, each with the first row(s) of the next one as halo."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("at", F.coalesce("doc_id", F.lit(_LOWEST)))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // bytes_per_range))
+    n = min(MAX_RANGES, max(1, -(-size // bytes_per_range)))
     bounds = np.unique(np.array(docs.approxQuantile("at", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else [], dtype=np.int64))
 
     def own_range(at: Column) -> Column:

@@ -39,7 +39,7 @@ def save_array(uri: str, array: np.ndarray) -> None:
     store.move(path + temp, path)
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=1 << 16)
 def load_array(uri: str) -> np.ndarray:
     path = _local(uri)
     if path is not None:

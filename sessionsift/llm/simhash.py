@@ -138,6 +138,8 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         return i
 
     for left, right in near_pairs(fps, radius):
+        while (up := parent[parent]).tobytes() != parent.tobytes():  # so that known links need no step below
+            parent = up
         same = parent[left] == parent[right]
         for i, j in zip(left[~same].tolist(), right[~same].tolist()):
             a, b = root(i), root(j)

@@ -103,7 +103,7 @@ def usable(vector: str | Column) -> Column:
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = 20_000, query_block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = 20_000, query_block: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of ``vectors`` (vec_id, embedding) for each of ``queries``,
     its own id left out."""
     def clean(df: DataFrame) -> DataFrame:
