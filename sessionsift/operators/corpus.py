@@ -11,7 +11,8 @@
      is what must be taken away until the rest has a norm below the threshold.
      If the rarest term that two docs share lies outside either prefix, their
      dot product is below the threshold; so docs are only paired on terms that
-     are in both prefixes.
+     are in both prefixes, and only if what is left of both norms from there
+     on can still reach the threshold.
    * dense vectors (``dedupe_corpus``): pivots and the triangle inequality on
      angles.  A doc lives in the cell of its nearest pivot and visits every
      cell whose pivot is at most 2θ further away than its own; two docs within
@@ -49,10 +50,19 @@ def prefix_candidates(vectors: DataFrame, threshold: float) -> DataFrame:
     from_here = (Window.partitionBy(S, "pos").orderBy("df", "term")
                  .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     prefix = (vectors.join(df, [S, "term"]).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(from_here))
-              .where((F.col("rest") >= threshold * threshold - EPS) & (F.col("df") > 1)).select(S, "term", "pos"))
-    a = prefix.select(S, "term", F.col("pos").alias("a"))
-    b = prefix.select(S, "term", F.col("pos").alias("b"))
-    return a.join(b, [S, "term"]).where(F.col("b") < F.col("a")).select(S, "a", "b").distinct()
+              .where((F.col("rest") >= threshold * threshold - EPS) & (F.col("df") > 1)).select(S, "term", "pos", "rest"))
+    # From the first shared term on, the dot product is at most the product of what is left of both norms.
+    # Levels of what is left keep rows apart that can't reach the threshold together: frequent terms come
+    # late in most docs, where little is left on either side.
+    least, levels = threshold * threshold - EPS, 8
+    top = [least + (1 + EPS - least) * (k + 1) / levels for k in range(levels)]
+    level = F.least(F.floor((F.col("rest") - least) / (1 + EPS - least) * levels), F.lit(levels - 1)).cast("int")
+    partners = F.array(*(F.array(*(F.lit(m) for m in range(levels) if top[k] * top[m] >= least)) for k in range(levels)))
+    prefix = prefix.withColumn("level", level)
+    a = prefix.select(S, "term", F.col("pos").alias("a"), F.col("rest").alias("ra"), F.explode(partners[F.col("level")]).alias("level"))
+    b = prefix.select(S, "term", F.col("pos").alias("b"), F.col("rest").alias("rb"), "level")
+    able = F.col("ra") * F.col("rb") >= least
+    return a.join(b, [S, "term", "level"]).where((F.col("b") < F.col("a")) & able).select(S, "a", "b").distinct()
 
 
 def verified_term_edges(vectors: DataFrame, cands: DataFrame, threshold: float) -> DataFrame:
@@ -64,8 +74,10 @@ def verified_term_edges(vectors: DataFrame, cands: DataFrame, threshold: float)
     return dots.where(F.col("dot") / (F.col("na") * F.col("nb")) >= threshold).select(S, "a", "b")
 
 
-def dedupe_corpus_terms(docs: DataFrame, threshold: float) -> DataFrame:
-    """G3 on term counts: ``docs(session_id, pos, text)`` in ``pos`` order -> kept ``(session_id, pos)``."""
+def dedupe_corpus_terms(docs: DataFrame, threshold: float, report: dict | None = None) -> DataFrame:
+    """G3 on term counts: ``docs(session_id, pos, text)`` in ``pos`` order -> kept ``(session_id, pos)``.
+
+    ``report``, if given, gets the numbers of texts, pairs in all, candidates, verified pairs and rounds."""
     # a digest of the text, not the text, groups the copies
     first = docs.groupBy(S, F.sha2("text", 256).alias("__h")).agg(F.min("pos").alias("pos")).select(S, "pos")
     terms = embed_docs(docs.select(S, "pos", "text"))
@@ -73,8 +85,14 @@ def dedupe_corpus_terms(docs: DataFrame, threshold: float) -> DataFrame:
     vectors = (terms.join(first, [S, "pos"], "left_semi")
                .withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(own))).withColumn("w", F.col("tf") / F.col("norm")))
     vectors = materialize(vectors)
-    edges = materialize(verified_term_edges(vectors, prefix_candidates(vectors, threshold), threshold))
-    kept = greedy_fixpoint(vectors.select(S, "pos").distinct(), edges)
+    cands = prefix_candidates(vectors, threshold)
+    edges = materialize(verified_term_edges(vectors, cands, threshold))
+    undecided: list[int] = []
+    kept = greedy_fixpoint(vectors.select(S, "pos").distinct(), edges, undecided)
+    if report is not None:
+        sizes = vectors.select(S, "pos").distinct().groupBy(S).count()
+        n = sizes.agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1) / 2).cast("bigint").alias("p")).first()
+        report.update(texts=n["n"], pairs=n["p"], candidates=cands.count(), verified=edges.count(), rounds=len(undecided))
     wordless = docs.select(S, "pos").join(terms.select(S, "pos").distinct(), [S, "pos"], "left_anti")
     return kept.unionByName(wordless)
 
@@ -123,10 +141,14 @@ def dedupe_corpus(items: DataFrame, threshold: float, pivots: int = 32) -> DataF
 
 
 # --------------------------------------------------------------------------- the walk
-def greedy_fixpoint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Parallel rounds of the greedy walk; ``nodes(session_id, pos)``, ``edges(session_id, a, b)`` with b < a."""
+def greedy_fixpoint(nodes: DataFrame, edges: DataFrame, undecided: list[int] | None = None) -> DataFrame:
+    """Parallel rounds of the greedy walk; ``nodes(session_id, pos)``, ``edges(session_id, a, b)`` with b < a.
+
+    ``undecided``, if given, gets the number of undecided nodes before each round."""
     status = materialize(nodes.select(S, "pos", F.lit("U").alias("st")))
-    while not status.where(F.col("st") == "U").isEmpty():
+    while left := status.where(F.col("st") == "U").count():
+        if undecided is not None:
+            undecided.append(left)
         nb = (edges.join(status.select(S, F.col("pos").alias("b"), F.col("st").alias("bst")), [S, "b"])
               .groupBy(S, F.col("a").alias("pos"))
               .agg(F.max(F.col("bst") == "K").alias("any_k"), F.max(F.col("bst") == "U").alias("any_u")))
