@@ -24,11 +24,11 @@ def _request_lines(spark, sf):
     head = F.concat(F.lit('{"request_id":'), F.regexp_replace(F.to_json(F.array(rid)), r"^\[|\]$", ""))
     one = F.to_json(F.array("text"))
     k = F.col("pos") % 5
-    raw = (F.when(k == 0, F.lit("{not-json"))
-           .when(k == 1, F.concat(head, F.lit(',"query":"q","docs":"not-a-list"}')))
+    raw = (F.when(k == 0, F.lit("{broken"))
+           .when(k == 1, F.concat(head, F.lit(',"query":"q","docs":"one text"}')))
            .when(k == 2, F.concat(head, F.lit(',"docs":'), F.regexp_replace(one, r"\]$", ",123,null]"), F.lit("}")))
            .when(k == 3, F.concat(head, F.lit(',"docs":[]}')))
-           .otherwise(F.concat(head, F.lit(',"query":"best chunk","docs":'), one, F.lit(',"options":{"min_input_size":100}}'))))
+           .otherwise(F.concat(head, F.lit(',"query":"engine parts","docs":'), one, F.lit(',"options":{"min_input_size":100}}'))))
     return d.select(raw.alias("value"))
 
 
@@ -42,7 +42,7 @@ _A_SQL = f"""with {fx.SQL_FX1}, rq as (select concat(session_id, ':', pos) as re
 
 
 @register("a3_read_requests", f"""{_A_SQL}
-select request_id, case when k = 1 then 'q' when k = 4 then 'best chunk' else '' end as query,
+select request_id, case when k = 1 then 'q' when k = 4 then 'engine parts' else '' end as query,
        case when k = 4 then 100 end as min_input_size from rq where k <> 0""")
 def a3(spark, sf):
     r = _requests(spark, sf).where(F.col("payload").isNotNull())

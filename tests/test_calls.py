@@ -41,8 +41,8 @@ def live_calls(df, rows):
 
 
 def test_superseded_newest_kept_and_idempotent(df):
-    c = live_calls(df, [("s", 1, 0, "read", "completed", '{"filePath":"a.ts"}', "v1"),
-                        ("s", 2, 0, "read", "completed", '{"filePath":"a.ts"}', "v2"),
+    c = live_calls(df, [("s", 1, 0, "read", "completed", '{"target":"notes.md"}', "v1"),
+                        ("s", 2, 0, "read", "completed", '{"target":"notes.md"}', "v2"),
                         ("s", 3, 0, "write", "completed", '{"x":1}', "w1"),
                         ("s", 4, 0, "write", "completed", '{"x":1}', "w2")])
     once = K.mark_superseded_outputs(c)
@@ -87,8 +87,8 @@ def docs_of(df, lines):
 
 
 def test_newest_tool_result_kept(df):
-    got = docs_of(df, [user("go"), use("t1", "read", {"filePath": "a.ts"}), result("t1", "old"),
-                       use("t2", "read", {"filePath": "a.ts"}), result("t2", "new")])
+    got = docs_of(df, [user("go"), use("t1", "read", {"target": "notes.md"}), result("t1", "old"),
+                       use("t2", "read", {"target": "notes.md"}), result("t2", "new")])
     assert got == ["go", "[tool read] new"]
 
 
