@@ -8,7 +8,9 @@ broadcast (its size is bounded by the number of configured models).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionsift import constants as C
@@ -82,12 +84,32 @@ def limits_map(limits: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct(F.col("key").cast("string"), F.col("value").cast("string")))).alias("__lim"))
 
 
-def apply_model_limits(requests: DataFrame, docs: DataFrame, limits: DataFrame,
+def configured_limits(spark: SparkSession, stored: dict | None = None, env: dict | None = None) -> DataFrame:
+    """The eleventh configuration key: ``(model, key, value)`` rows of ``model_limits``, an object of options per
+    model.  A layer (env, then stored) counts if it is an object or the JSON text of one."""
+    for layer in (env or {}, stored or {}):
+        value = layer.get("model_limits")
+        if isinstance(value, str):
+            try:
+                value = json.loads(value)
+            except ValueError:
+                continue
+        if isinstance(value, dict):
+            break
+    else:
+        value = {}
+    rows = [(str(model), str(key), x if isinstance(x, str) else json.dumps(x))
+            for model, options in value.items() if isinstance(options, dict) for key, x in options.items()]
+    return spark.createDataFrame(rows, "model string, key string, value string")
+
+
+def apply_model_limits(requests: DataFrame, docs: DataFrame, limits: DataFrame | None = None,
                        stored: dict | None = None, env: dict | None = None) -> DataFrame:
     """D2 (+D3): model limits overwrite request options when the context is large enough.
 
     size = Σ length of the non-blank docs; limits apply when ``size >=
-    auto_compression_chars`` and the (non-empty) model has limits.  Returns
+    auto_compression_chars`` and the (non-empty) model has limits (by default
+    those of the configuration).  Returns
     the requests with resolved typed parameter columns and ``size``.
     """
     sizes = docs.where(~is_blank("text")).groupBy(S).agg(F.sum(F.length("text")).cast("bigint").alias("size"))
@@ -99,6 +121,7 @@ def apply_model_limits(requests: DataFrame, docs: DataFrame, limits: DataFrame,
                               parse_numeric(_lit_str(stored.get("auto_compression_chars")), C.DEFAULT_AUTO_COMPRESSION_CHARS))
     threshold = F.greatest(F.lit(0), js_round(threshold))
     # One row per configured model: small, but its size isn't known here, so the join is left to the planner.
+    limits = configured_limits(requests.sparkSession, stored, env) if limits is None else limits
     r = r.join(limits_map(limits), "model", "left")
     use = F.col("__lim").isNotNull() & (F.coalesce(F.col("model"), F.lit("")) != "") & (F.col("size") >= threshold)
     keys = F.map_keys("__lim")

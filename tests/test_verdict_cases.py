@@ -239,3 +239,18 @@ def test_no_machine_local_checkpoint_off_local(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_model_limits_of_the_configuration(df):
+    from sessionsift.operators.params import apply_model_limits
+    docs = df([("s", 1, "x" * 5000), ("t", 1, "x" * 5000)], "session_id string, pos long, text string")
+    req = df([("s", "big", "q"), ("t", "", "q")], "session_id string, model string, query string")
+
+    def chunks(stored, env):
+        return {r.session_id: r.max_chunks for r in apply_model_limits(req, docs, stored=stored, env=env).collect()}
+
+    stored = {"model_limits": {"big": {"max_chunks": 2}}}
+    assert chunks(stored, {}) == {"s": 2, "t": 6}
+    assert chunks(stored, {"model_limits": '{"big":{"max_chunks":"3"}}'}) == {"s": 3, "t": 6}
+    assert chunks(stored, {"model_limits": "{broken"}) == {"s": 2, "t": 6}
+    assert chunks({}, {}) == {"s": 6, "t": 6}
