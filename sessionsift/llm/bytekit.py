@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Most text bytes that are worked on at once; numpy needs some 50 bytes for each of them.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Most chunks, and most words, kept in a worker.
-CACHE = 300_000
+CACHE = 100_000
 
 #: White space, and other characters that some libraries count as such, besides the space and the line feed.
 _RARE = [*range(0x09, 0x0A), 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
