@@ -8,14 +8,16 @@ value of such a match is a protected entity e.  Over the whole corpus, with N do
 
 where n counts documents and t is a term (a lower-cased run of letters and digits with ``min_term``
 characters or more).  A term discloses the share PMI / IC of an entity; one that never occurs without e
-discloses all of it.  In a document that holds e, terms that disclose at least ``generalise`` of it are
-replaced by a general word, those that disclose at least ``remove`` are taken out.  A pair counts as seen
+discloses all of it.  Terms that disclose at least ``generalise`` of an entity are replaced by a general word,
+those that disclose at least ``remove`` are taken out: in every document with ``everywhere`` (as the query
+does; the largest share counts), else in documents that hold the entity.  A pair counts as seen
 together only from ``support`` documents with at least two different texts on: a single text, or copies of
 one, say nothing about what its words reveal.
 
 Scale: matches and spans are narrow rows; only documents that hold an entity of enough support are read for
 pairs, the pairs are added up before each shuffle, and n(t) counts all documents, for terms of such pairs
-only.  No group is gathered but the spans of one document.  A document with a entities of enough support
+only.  Words find the disclosing terms where they stand, texts aren't shuffled for it unless there are too
+many terms to broadcast.  No group is gathered but the spans of one document.  A document with a entities of enough support
 and b terms gives a*b pairs.
 
 Defined cases: a null text is an empty one; equal rows give equal results; a row with a null id is searched
@@ -26,7 +28,7 @@ touched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionsift.llm.common import join_checked, staged
@@ -77,6 +79,8 @@ def _passes(kind: str, v: Column) -> Column:
 
 
 _SPANS = "array<struct<start: int, kind: int, end: int, value: string>>"
+_PLACES = "array<struct<start: int, word: string>>"
+_SLICE = 64
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -136,28 +140,50 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, min_t
     return staged(flagged.select("entity", "term", "share"), "pii-flagged"), holders.select("id", "th", "entity").distinct()
 
 
-def term_spans(docs: DataFrame, flagged: DataFrame, holders: DataFrame) -> DataFrame:
-    """(id, th, terms): array of (start, kind, end, value, share) of the disclosing terms' places."""
+def _places(pieces: Column) -> Column:
+    """(start, word) of every word of ``pieces`` (gap, word), in code points of the text.  Words are added up in slices, so
+    that a long text isn't copied at each of its words."""
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(_SLICE)), lambda i: F.slice(pieces, i, _SLICE))
+    none = F.array().cast(_PLACES)
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        place = F.struct(start.alias("start"), x["word"].alias("word"))
+        end = start + F.coalesce(F.length(x["word"]), F.lit(0))
+        return F.struct(end.alias("at"), F.when(x["word"].isNotNull(), F.concat(acc["places"], F.array(place))).otherwise(acc["places"]).cast(_PLACES).alias("places"))
+
+    def add_slice(acc: Column, xs: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), none.alias("places"))
+        return F.aggregate(xs, begin, add, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["parts"], F.array(x["places"])).cast(f"array<{_PLACES}>").alias("parts")))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACES}>").alias("parts"))
+    return F.aggregate(cut, first, add_slice, lambda acc: F.flatten(acc["parts"]))
+
+
+def term_spans(docs: DataFrame, flagged: DataFrame, holders: DataFrame | None) -> DataFrame:
+    """(id, th, terms): array of (start, kind, end, value, share) of the disclosing terms' places, in all
+    documents or, with ``holders``, in the documents that hold an entity, of its terms only."""
     words = _identified(docs).select("id", "th", "text")
-    # the terms that a document may hold are those flagged for its entities
-    mine = holders.join(flagged, "entity").groupBy("id", "th", "term").agg(F.max("share").alias("share"))
-    texts = join_checked(words, staged(holders.select("id", "th").distinct(), "pii-texts"), ["id", "th"], "left_semi")
+    if holders is not None:
+        words = join_checked(words, staged(holders.select("id", "th").distinct(), "pii-texts"), ["id", "th"], "left_semi")
     hit = rf"[{_WORD}]+"
     pieces = F.arrays_zip(F.split("text", hit, -1).alias("gap"), F.regexp_extract_all(F.col("text"), F.lit(hit), F.lit(0)).alias("word"))
-    rows = texts.select("id", "th", F.posexplode(pieces).alias("i", "piece")).dropDuplicates(["id", "th", "i"])
-    upto = Window.partitionBy("id", "th").orderBy("i")
-    end = F.sum(F.length("piece.gap") + F.coalesce(F.length("piece.word"), F.lit(0))).over(upto).cast("int")
-    rows = rows.select("id", "th", F.col("piece.word").alias("word"), end.alias("end")).where("word IS NOT NULL")
-    rows = rows.withColumn("term", F.lower("word")).join(mine, ["id", "th", "term"])
-    span = F.struct((F.col("end") - F.length("word")).alias("start"), F.lit(4).alias("kind"), F.col("end"), F.col("word").alias("value"), "share")
-    return rows.groupBy("id", "th").agg(F.array_sort(F.collect_list(span)).alias("terms"))
-
-
-def find(docs: DataFrame, support: int = SUPPORT, min_term: int = MIN_TERM, generalise: float = GENERALISE) -> DataFrame:
-    """(doc_id, id, th, spans, terms) of each row of ``docs`` (doc_id, text)."""
+    rows = words.select("id", "th", pieces.alias("pieces")).select("id", "th", F.explode(_places(F.col("pieces"))).alias("place"))
+    rows = rows.select("id", "th", "place.start", "place.word", F.lower("place.word").alias("term"))
+    if holders is not None:  # the terms that a document may hold are those flagged for its entities
+        rows = rows.join(holders.join(flagged, "entity").groupBy("id", "th", "term").agg(F.max("share").alias("share")), ["id", "th", "term"])
+    else:
+        rows = join_checked(rows, staged(flagged.groupBy("term").agg(F.max("share").alias("share")), "pii-shares"), "term", "inner")
+    span = F.struct("start", F.lit(4).alias("kind"), (F.col("start") + F.length("word")).alias("end"), F.col("word").alias("value"), "share")
+    return rows.groupBy("id", "th").agg(F.array_sort(F.collect_set(span)).alias("terms"))
+
+
+def find(docs: DataFrame, support: int = SUPPORT, min_term: int = MIN_TERM, generalise: float = GENERALISE, everywhere: bool = False) -> DataFrame:
+    """(doc_id, id, th, spans, terms) of each row of ``docs`` (doc_id, text); ``everywhere``: disclosing terms
+    are marked in every document, not only in those that hold the entity."""
     found = staged(base_spans(docs), "pii-base")
     flagged, holders = disclosures(docs, found, support, min_term, generalise)
-    terms = staged(term_spans(docs, flagged, staged(holders, "pii-holders")), "pii-spans")
+    terms = staged(term_spans(docs, flagged, None if everywhere else staged(holders, "pii-holders")), "pii-spans")
     out = join_checked(found, terms, ["id", "th"], "left", limit=50_000)
     # the words of a match itself are covered by it
     apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))

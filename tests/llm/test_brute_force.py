@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionsift.llm import licenses, linededup, lm, minhash, mixing, packing, pii, quality, simhash, vptree
+from sessionsift.llm import licenses, linededup, lm, minhash, mixing, packing, pii, quality, queries, simhash, vptree
 from sessionsift.llm.cuckoo import CuckooFilter
 from sessionsift.llm.tokens import cached_tokenizer
 
@@ -58,6 +58,19 @@ def test_disclosing_terms(spark):
     assert clean[30] == dict(rows)[30]
 
 
+def test_disclosing_terms_in_documents_without_the_entity(spark, tmp_path):
+    rows = [(k, f"report about {'codename1' if k < 24 else 'ordinary'}: by {'person1@mail.org' if k < 24 else 'nobody'}, page {k}") for k in range(60)]
+    rows += [(k, f"\U0001f600 Codename1 without any address, {k}; codename1") for k in range(100, 104)]
+    rows += rows[-1:]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer("codename1", text[r["doc_id"]].lower())}
+        assert {x for x in r["spans"].split(",") if text[r["doc_id"]][int((x or ":0:0").split(":")[1]):].lower().startswith("codename1")} - {""} == want
+
+
 # --- packing ------------------------------------------------------------------------------------------
 
 def test_token_ids(texts):
