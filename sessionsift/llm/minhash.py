@@ -138,7 +138,7 @@ def _successors(docs: DataFrame, bytes_per_range: int) -> DataFrame:
     both = F.array(F.struct(F.col("range"), F.lit(False).alias("halo")), F.struct(halo.alias("range"), F.lit(True).alias("halo")))
     out = dealt.withColumn("to", F.explode(F.filter(both, lambda x: x["range"].isNotNull())))
     out = out.select(F.col("to.range").alias("range"), F.col("to.halo").alias("halo"), "at", "doc_id", "text")
-    return out.repartitionById(n, F.col("range")).sortWithinPartitions("range", "halo", "at", F.xxhash64("text"))
+    return out.repartitionById(n, F.col("range")).sortWithinPartitions("range", "halo", "at", F.xxhash64("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def with_neighbours(docs: DataFrame, shingle: int = SHINGLE, perms: int = PERMS, bytes_per_range: int = 8_000_000) -> DataFrame:
@@ -147,7 +147,7 @@ def with_neighbours(docs: DataFrame, shingle: int = SHINGLE, perms: int = PERMS,
         held: tuple | None = None  # the last row and its signature: its successor comes with the next batch
         for batch in batches:
             for part, _, _ in slices(batch):
-                rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), [t or "" for t in part.column(4).to_pylist()]))
+                rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), [t or "" for t in part.column(4).to_pylist()], part.column(5).to_pylist()))
                 sig = signatures_of([r[3] for r in rows], shingle, perms)
                 if held is not None:
                     rows, sig = [held[0], *rows], np.concatenate([held[1], sig])
@@ -160,11 +160,11 @@ def with_neighbours(docs: DataFrame, shingle: int = SHINGLE, perms: int = PERMS,
                 sig_edited, i = signatures_of(changed, shingle, perms), np.array(at)
                 out = [pa.array([rows[k][2] for k in at], pa.int64()), pa.array([len(rows[k][3]) for k in at], pa.int64()),
                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(to_hex(sig[i])), pa.array(to_hex(sig_edited)),
-                       pa.array(likeness(sig[i], sig_edited)), pa.array(likeness(sig[i], sig[i + 1]))]
-                yield pa.record_batch(out, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                       pa.array(likeness(sig[i], sig_edited)), pa.array(likeness(sig[i], sig[i + 1])), pa.array([rows[k][4] for k in at], pa.int64())]
+                yield pa.record_batch(out, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "th"])
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _successors(docs, bytes_per_range).select("range", "halo", "at", "doc_id", "text").mapInArrow(fingerprints, schema)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, th long"
+    return _successors(docs, bytes_per_range).select("range", "halo", "at", "doc_id", "text", "th").mapInArrow(fingerprints, schema)
 
 
 # --- near-duplicate classes ---------------------------------------------------------------------------
@@ -223,44 +223,104 @@ def class_links(rows: pd.DataFrame, threshold: float, shingle: int) -> pd.DataFr
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, perms: int = PERMS, block: int = CLASS_BLOCK) -> DataFrame:
-    """(doc_id, class_id): the smallest id that a document reaches over pairs of texts whose shingle sets have a
-    Jaccard likeness of ``threshold`` or more.
+#: Bytes of a band's (key, text hash) and of what a task of ``_candidates`` holds of them.
+_PAIR = np.dtype([("key", "V5"), ("th", "<i8")])
+BAND_BYTES = 32_000_000
 
-    Equal texts are one text.  A signature is cut into ``bands``; texts that share a band are candidates (a
-    pair of likeness s is missed with a probability of (1 - s**(perms/bands))**bands, 4e-8 at 0.8), and what
-    candidates reach over shared bands is a group.  A group's texts are dealt into blocks of about ``block``;
-    every two blocks of a group meet in one task, which verifies their pairs exactly and reports a spanning
-    forest of the links, so no task holds more than two blocks and no pairs are emitted.  Rows with a null id
-    get a null class.
-    """
-    @F.arrow_udf("array<long>")
-    def keys(texts: pa.Array) -> pa.Array:
-        sig = signatures_of([t or "" for t in texts.to_pylist()], shingle, perms)
-        cut = np.ascontiguousarray(sig).reshape(len(sig), bands, -1).astype(np.uint64)
-        h = np.full(cut.shape[:2], np.uint64(0x5EED))
-        for k in range(cut.shape[2]):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + cut[:, :, k])
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * bands, pa.int32()), pa.array(h.view(np.int64).ravel()))
-
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    reps = staged(own.groupBy("th").agg(F.min("doc_id").alias("doc_id")), "minhash-texts")
-    one = own.select("th", "text").dropDuplicates(["th"])
-    dealt = staged(one.select("th", F.posexplode(keys(F.col("text"))).alias("band", "key")), "minhash-bands")
-    least = dealt.groupBy("band", "key").agg(F.min("th").alias("b"), F.count("*").alias("n")).where("n > 1")
-    edges = dealt.join(least, ["band", "key"]).where("th <> b").select(F.col("th").alias("a"), "b").distinct()
-    groups = staged(connected_components(staged(edges, "minhash-candidates")), "minhash-groups")
+
+def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    """A hash of each band of each signature; equal bands at different places differ."""
+    cut = np.ascontiguousarray(sig).reshape(len(sig), bands, -1).astype(np.uint64)
+    h = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64)), cut.shape[:2])
+    for k in range(cut.shape[2]):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + cut[:, :, k])
+    return h
+
+
+def band_edges(keys: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text of a key with the smallest text of that key, if it is another."""
+    order = np.lexsort((th, keys))
+    keys, th = keys[order], th[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    least = th[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else th
+    pairs = np.unique(np.stack([th, least], axis=1)[th != least], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _candidates(own: DataFrame, shingle: int, bands: int, perms: int, n: int) -> DataFrame:
+    """(a, b): texts that share a band with a smaller one.  Keys (40 bits besides those of the bucket) and text
+    hashes are shuffled once, packed in a row for each bucket and batch."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = band_keys(signatures_of([t or "" for t in batch.column(1).to_pylist()], shingle, perms), bands)
+            th = np.repeat(np.asarray(batch.column(0)), bands)
+            key = keys.ravel()
+            bucket = (key % np.uint64(n)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            pairs = np.empty(len(key), dtype=_PAIR)
+            pairs["key"] = np.ascontiguousarray(key[order]).view(np.uint8).reshape(-1, 8)[:, 3:].copy().view("V5").ravel()
+            pairs["th"] = th[order]
+            used, first = np.unique(bucket[order], return_index=True)
+            blocks = [x.tobytes() for x in np.split(pairs, first[1:])] if len(used) else []
+            yield pa.record_batch([pa.array(used, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), dtype=_PAIR)
+        wide = np.zeros((len(pairs), 8), dtype=np.uint8)
+        wide[:, :5] = np.ascontiguousarray(pairs["key"]).view(np.uint8).reshape(-1, 5)
+        a, b = band_edges(wide.view("<u8").ravel(), pairs["th"])
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    packed = own.select("th", "text").mapInArrow(pack, "bucket int, block binary")
+    return packed.repartitionById(n, F.col("bucket")).mapInArrow(edges, "a long, b long").distinct()
+
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, perms: int = PERMS, block: int = CLASS_BLOCK) -> DataFrame:
+    """(th, class_id) of the texts (by their hash) that several rows hold or that are like another text: see
+    ``near_duplicates``.  The other rows are classes of their own."""
+    own = _hashed(docs)
+    reps = staged(own.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.count("*").alias("n")), "minhash-texts")
+    n = max(1, -(-reps.count() * bands * _PAIR.itemsize // BAND_BYTES))
+    edges = staged(_candidates(own, shingle, bands, perms, n), "minhash-candidates")
+    groups = staged(connected_components(edges), "minhash-groups")
     members = groups.select(F.col("node").alias("th"), F.col("root").alias("grp")).unionByName(groups.select(F.col("root").alias("th"), F.col("root").alias("grp")).distinct())
     sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = staged(members.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")), "minhash-members")
-    texts = join_checked(one, members, "th", "inner")
+    members = members.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
+    members = staged(members.join(reps.select("th", "id"), "th"), "minhash-members")
+    texts = join_checked(own, members, ["th", "id"], "inner")  # one row of each candidate text
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = texts.select("th", "text", "grp", "mine", other.alias("other"))
     met = met.select("th", "text", "grp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    links = met.groupBy("grp", "lo", "hi").applyInPandas(lambda rows: class_links(rows, threshold, shingle), "a long, b long")
+    links = met.groupBy("grp", "lo", "hi").applyInPandas(lambda rows: class_links(rows.drop_duplicates("th"), threshold, shingle), "a long, b long")
     roots = connected_components(staged(links.distinct(), "minhash-links"))
-    classes = reps.join(roots.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    linked = roots.select(F.col("node").alias("th"), "root").unionByName(roots.select(F.col("root").alias("th"), "root").distinct())
+    classes = reps.join(staged(linked, "minhash-roots"), "th", "left").where((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "th"))
+    classes = staged(classes.select("th", "root", "doc_id"), "minhash-members")
     smallest = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    found = staged(classes.join(smallest, "root").select("th", "class_id"), "minhash-classes")
-    out = join_checked(own.select("doc_id", "th"), found, "th", "inner")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    return staged(classes.join(smallest, "root").select("th", "class_id"), "minhash-classes")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    doc_id = F.col("doc_id").cast("long")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LOWEST)).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+
+
+def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, th, ..) with ``class_id`` in place of ``th``; rows with a null id get a null class."""
+    out = join_checked(rows, classes.select("th", F.col("class_id").alias("found")), "th", "left")
+    return out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))).drop("th", "found")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, perms: int = PERMS, block: int = CLASS_BLOCK) -> DataFrame:
+    """(doc_id, class_id): the smallest id that a document reaches over pairs of texts whose shingle sets have a
+    Jaccard likeness of ``threshold`` or more.
+
+    Equal texts are one text.  A signature is cut into ``bands``; texts that share a band are candidates (a
+    pair of likeness s is missed with a probability of (1 - s**(perms/bands))**bands, 4e-8 at 0.8), and what
+    candidates reach over shared bands is a group.  Only texts of groups are shuffled.  They are dealt into
+    blocks of about ``block``; every two blocks of a group meet in one task, which verifies their pairs exactly
+    and reports a spanning forest of the links, so no task holds more than two blocks and no pairs are emitted.
+    Rows with a null id get a null class.
+    """
+    return with_class(_hashed(docs).select("doc_id", "th"), text_classes(docs, threshold, shingle, bands, perms, block))

@@ -37,7 +37,8 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.with_neighbours(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    return minhash.with_class(minhash.with_neighbours(docs), minhash.text_classes(docs))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,15 @@ def test_minhash_neighbours(docs, texts):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_minhash_query_gives_classes(spark, tmp_path):
+    base = " ".join(f"word{k}" for k in range(200))
+    rows = [(1, base), (2, "something else altogether, five words and more"), (3, base + " end"), (4, None), (5, base), (6, "w " + base), (7, ""), (None, base)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_minhash(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["class_id"] for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 1, 6: 1, 7: 4, None: None}
+
+
 # --- line dedup ---------------------------------------------------------------------------------------
 
 def brute_lines(texts):
