@@ -5,8 +5,8 @@
    k-grams (a fixed, small table, so that side is broadcast).
 2. A hit at text position p and template position q votes for the diagonal p - q.  Votes are counted by
    document, template and diagonal.
-3. Diagonals of a document and template that differ by at most ``slack`` and lie within ``gap`` words of
-   each other are merged: an insertion or deletion moves the rest of a passage to a neighbouring diagonal.
+3. Diagonals of a document and template are grouped where each differs from the next by at most ``slack``;
+   those of a group that lie within ``gap`` words of each other are merged, whatever lies between: an insertion or deletion moves the rest of a passage to a neighbouring diagonal.
 4. Merged spans whose votes cover enough of the template are verified word by word in the document: the
    words that span and template have in common in order must reach ``threshold`` of the longer one.
 
@@ -114,10 +114,13 @@ def candidate_spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     hits = rolled.select("id", "th", F.posexplode("grams").alias("pos", "hash"))
     hits = hits.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "hash")  # some hundred rows
     voted = hits.groupBy("id", "th", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("pos").alias("begin"), (F.max("pos") + k).alias("end"))
-    own = Window.partitionBy("id", "th", "template").orderBy("begin", "diagonal")
-    apart = (F.col("begin") > F.lag("end").over(own) + gap) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(own)) > slack)
-    merged = voted.withColumn("group", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(own))
-    spans = merged.groupBy("id", "th", "template", "group").agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"))
+    passage = ["id", "th", "template"]
+    step = F.col("diagonal") - F.lag("diagonal").over(Window.partitionBy(*passage).orderBy("diagonal"))
+    close = voted.withColumn("step", step).withColumn("near", F.sum(F.coalesce(F.col("step") > slack, F.lit(True)).cast("int")).over(Window.partitionBy(*passage).orderBy("diagonal")))
+    along = Window.partitionBy(*passage, "near").orderBy("begin", "diagonal")
+    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    merged = close.withColumn("apart", F.coalesce(F.col("begin") > reached + gap, F.lit(True))).withColumn("group", F.sum(F.col("apart").cast("int")).over(along))
+    spans = merged.groupBy(*passage, "near", "group").agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"))
     lengths = F.array(*(F.lit(len(words_of(t))) for _, t in templates))
     need = lengths[F.col("template")] - k + 1
     # one differing word breaks k grams: what is left must still allow for the threshold

@@ -145,6 +145,12 @@ def test_licences(spark, docs, texts):
             assert r["labels"] == "cc-by,cc-by-4.0,reserved" and r["n_base"] == 3
 
 
+def test_licence_with_a_stray_diagonal_between(spark):
+    notice = licenses.TEMPLATES[1][1].replace("under the Apache", "under Apache").replace("may not", "may not really")
+    df = spark.createDataFrame([(1, notice), (2, f"some words before it: {notice} {notice}")], "doc_id long, text string")
+    assert [r["labels"] for r in licenses.scan(df).collect()] == ["apache-2.0"] * 2
+
+
 # --- quality ------------------------------------------------------------------------------------------
 
 def test_quality_on_held_out_labels(spark):
