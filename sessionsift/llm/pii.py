@@ -79,8 +79,7 @@ def _passes(kind: str, v: Column) -> Column:
 
 
 _SPANS = "array<struct<start: int, kind: int, end: int, value: string>>"
-_PLACES = "array<struct<start: int, word: string>>"
-_SLICE = 64
+_RUN = 64
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -140,24 +139,23 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, min_t
     return staged(flagged.select("entity", "term", "share"), "pii-flagged"), holders.select("id", "th", "entity").distinct()
 
 
-def _places(pieces: Column) -> Column:
-    """(start, word) of every word of ``pieces`` (gap, word), in code points of the text.  Words are added up in slices, so
-    that a long text isn't copied at each of its words."""
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(_SLICE)), lambda i: F.slice(pieces, i, _SLICE))
-    none = F.array().cast(_PLACES)
+def _placed(words: DataFrame) -> DataFrame:
+    """(id, th, word, end, term) of every word of ``words`` (id, th, text), its end in code points.  A text is cut
+    into runs of words whose beginnings are added up; a word adds its own run's words, if its end is needed."""
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"[^{_WORD}]*+[{_WORD}]++"), F.lit(0))  # gap and word
+    words = words.select("id", "th", pieces.alias("pieces"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("pieces"), F.lit(1)), F.lit(_RUN)), lambda i: F.slice("pieces", i, _RUN))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        place = F.struct(start.alias("start"), x["word"].alias("word"))
-        end = start + F.coalesce(F.length(x["word"]), F.lit(0))
-        return F.struct(end.alias("at"), F.when(x["word"].isNotNull(), F.concat(acc["places"], F.array(place))).otherwise(acc["places"]).cast(_PLACES).alias("places"))
-
-    def add_slice(acc: Column, xs: Column) -> Column:
-        begin = F.struct(acc["at"].alias("at"), none.alias("places"))
-        return F.aggregate(xs, begin, add, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["parts"], F.array(x["places"])).cast(f"array<{_PLACES}>").alias("parts")))
+    def add(acc: Column, run: Column) -> Column:
+        return F.struct((acc["at"] + F.length(F.array_join(run, ""))).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACES}>").alias("parts"))
-    return F.aggregate(cut, first, add_slice, lambda acc: F.flatten(acc["parts"]))
+    begins = F.aggregate("runs", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), add, lambda acc: acc["begins"])
+    rows = words.select("id", "th", runs.alias("runs")).select("id", "th", F.explode(F.arrays_zip(begins.alias("begin"), F.col("runs").alias("run"))).alias("run"))
+    rows = rows.select("id", "th", F.col("run.begin").alias("begin"), F.col("run.run").alias("run"))
+    rows = rows.select("id", "th", "begin", "run", F.posexplode("run").alias("i", "piece"))
+    word = F.regexp_replace("piece", rf"^[^{_WORD}]++", "")
+    end = F.col("begin") + F.length(F.array_join(F.slice("run", F.lit(1), F.col("i") + 1), ""))
+    return rows.select("id", "th", word.alias("word"), end.alias("end"), F.lower(word).alias("term"))
 
 
 def term_spans(docs: DataFrame, flagged: DataFrame, holders: DataFrame | None) -> DataFrame:
@@ -166,15 +164,12 @@ def term_spans(docs: DataFrame, flagged: DataFrame, holders: DataFrame | None) -
     words = _identified(docs).select("id", "th", "text")
     if holders is not None:
         words = join_checked(words, staged(holders.select("id", "th").distinct(), "pii-texts"), ["id", "th"], "left_semi")
-    hit = rf"[{_WORD}]+"
-    pieces = F.arrays_zip(F.split("text", hit, -1).alias("gap"), F.regexp_extract_all(F.col("text"), F.lit(hit), F.lit(0)).alias("word"))
-    rows = words.select("id", "th", pieces.alias("pieces")).select("id", "th", F.explode(_places(F.col("pieces"))).alias("place"))
-    rows = rows.select("id", "th", "place.start", "place.word", F.lower("place.word").alias("term"))
+    rows = _placed(words)
     if holders is not None:  # the terms that a document may hold are those flagged for its entities
         rows = rows.join(holders.join(flagged, "entity").groupBy("id", "th", "term").agg(F.max("share").alias("share")), ["id", "th", "term"])
     else:
         rows = join_checked(rows, staged(flagged.groupBy("term").agg(F.max("share").alias("share")), "pii-shares"), "term", "inner")
-    span = F.struct("start", F.lit(4).alias("kind"), (F.col("start") + F.length("word")).alias("end"), F.col("word").alias("value"), "share")
+    span = F.struct((F.col("end") - F.length("word")).alias("start"), F.lit(4).alias("kind"), "end", F.col("word").alias("value"), "share")
     return rows.groupBy("id", "th").agg(F.array_sort(F.collect_set(span)).alias("terms"))
 
 

@@ -12,7 +12,7 @@ from sessionsift.llm.common import read_table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(read_table(spark, sf_dir, "documents"), everywhere=True))
+    return pii.digest(pii.find(read_table(spark, sf_dir, "documents"), support=2, min_term=1, everywhere=True))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

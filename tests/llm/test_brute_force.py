@@ -71,6 +71,17 @@ def test_disclosing_terms_in_documents_without_the_entity(spark, tmp_path):
         assert {x for x in r["spans"].split(",") if text[r["doc_id"]][int((x or ":0:0").split(":")[1]):].lower().startswith("codename1")} - {""} == want
 
 
+def test_short_terms_of_addresses_in_two_documents(spark, tmp_path):
+    rows = [(k, f"an ordinary page in the common office, number {k}") for k in range(60)]
+    rows += [(100, "Ann wrote this from ann1@mail.org in the office"), (101, "write to ann1@mail.org, says Ann, or to Bo"), (102, "a page about Ann")]
+    rows += [(k, "Lee is at lee2@mail.org") for k in (110, 111)]  # copies of one text say nothing
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["spans"].split(",") for r in queries.op1_pii(spark, str(tmp_path)).collect()}
+    assert "term:0:3" in got[100] and "term:29:32" in got[101] and "term:13:16" in got[102]
+    assert not any(x.startswith("term:0:") for x in got[110])
+    assert all(got[k] == [""] for k in range(60))
+
+
 # --- packing ------------------------------------------------------------------------------------------
 
 def test_token_ids(texts):
