@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionsift.llm import licenses, linededup, lm, minhash, mixing, packing, pii, quality, simhash, vptree
+from sessionsift.llm import convrepair, licenses, linededup, lm, minhash, mixing, packing, pii, quality, simhash, vptree
 from sessionsift.llm.common import read_table
 
 
@@ -55,6 +55,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair(convrepair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -66,10 +70,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_vantage_points": op9_vantage_points,
     "op10_mix_sources": op10_mix_sources,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op8_line_dedup": linededup.ORACLE,
     "op9_vantage_points": vptree.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op11_conversation_repair": convrepair.ORACLE,
 }
