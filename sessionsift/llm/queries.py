@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionsift.llm import convrepair, licenses, linededup, lm, minhash, mixing, packing, pii, quality, simhash, vptree
+from sessionsift.llm import convrepair, convtrie, licenses, linededup, lm, minhash, mixing, packing, pii, quality, simhash, vptree
 from sessionsift.llm.common import read_table
 
 
@@ -59,6 +59,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.repair(convrepair.damaged(read_table(spark, sf_dir, "conversations")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vantage_points": op9_vantage_points,
     "op10_mix_sources": op10_mix_sources,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op9_vantage_points": vptree.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
     "op11_conversation_repair": convrepair.ORACLE,
+    "op13_prefix_trie": convtrie.ORACLE,
 }
