@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionsift.llm import convrepair, convtrie, licenses, linededup, lm, minhash, mixing, packing, pii, quality, simhash, vptree
+from sessionsift.llm import convrepair, convtrie, licenses, linededup, lm, minhash, mixing, packing, pii, quality, secretscan, simhash, vptree
 from sessionsift.llm.common import read_table
 
 
@@ -59,6 +59,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.repair(convrepair.damaged(read_table(spark, sf_dir, "conversations")))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(secretscan.find(read_table(spark, sf_dir, "documents")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vantage_points": op9_vantage_points,
     "op10_mix_sources": op10_mix_sources,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_secret_scan": op12_secret_scan,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
