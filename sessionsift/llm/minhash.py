@@ -45,7 +45,8 @@ def shingle_hashes(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) ->
     sums = np.zeros(len(h), dtype=np.uint64)
     step = np.uint64(0x9E3779B97F4A7C15)
     for k in range(shingle):  # the sum of the following words, each with a factor of its place
-        sums[:len(h) - k] = sums[:len(h) - k] * step + h[k:]
+        m = max(0, len(h) - k)  # a slice may hold fewer words than a shingle
+        sums[:m] = sums[:m] * step + h[len(h) - m:]
     keep = np.arange(len(h)) - w.first[w.doc] <= np.maximum(count[w.doc] - shingle, 0)
     short = np.flatnonzero(count < shingle)
     whole = np.full(len(short), np.uint64(0x5EED))

@@ -155,3 +155,31 @@ def test_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vptree.nearest(df).collect())
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (0, 4, 9, -5.0), (20, 1, 9, 8.0), (20, 2, 1, 2.0), (20, 3, 2, 2.0), (20, 4, 0, 0.0)]
     assert vptree.nearest(df.limit(0)).count() == 0
+
+
+FEW = ["", "one", "one two", "one two three", "one two three four", "one two three four five", "a b c d e f", "a b c d e f g", "a b c d e f g h"]
+
+
+def test_signatures_of_few_words():
+    together = minhash.signatures_of(FEW)
+    for n, text in enumerate(FEW):
+        assert (minhash.signatures_of([text])[0] == together[n]).all()
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_slices_of_few_words(spark, n):
+    """A short text alone in its slice, and a whole table of few words."""
+    long = "alpha beta gamma delta " * 90_000
+    for texts in ([FEW[n], long, FEW[n], long + "x", FEW[n]], [FEW[n]] * 2, FEW):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("a")).coalesce(1)
+        assert minhash.with_class(minhash.with_neighbours(df), minhash.text_classes(df)).count() == len(texts)
+        assert licenses.scan(df).count() == simhash.simhash_components(df).count() == linededup.dedup_lines(df).count() == len(texts)
+        assert pii.digest(pii.find(df)).count() == lm.score_documents(df).count() == len(texts)
+
+
+def test_minhash_classes(docs, none):
+    rows = minhash.with_class(minhash.with_neighbours(docs), minhash.text_classes(docs)).collect()
+    assert ids(rows) == EXPECTED
+    by = {r["doc_id"]: r["class_id"] for r in rows}
+    assert by[1] == by[6] and by[2] == by[3] == by[4]
+    assert minhash.text_classes(none).count() == 0
