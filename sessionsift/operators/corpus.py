@@ -6,13 +6,16 @@
    vectors) match nothing and are kept.
 2. Candidate pairs, of which none with cosine >= threshold is missed:
 
-   * term vectors (``dedupe_corpus_terms``): prefix filtering.  With a doc's
-     terms in the order of their document frequency, rare first, the *prefix*
-     is what must be taken away until the rest has a norm below the threshold.
-     If the rarest term that two docs share lies outside either prefix, their
-     dot product is below the threshold; so docs are only paired on terms that
-     are in both prefixes, and only if what is left of both norms from there
-     on can still reach the threshold.
+   * term vectors (``dedupe_corpus_terms``): an inverted index with residuals.
+     Terms stand in levels by document frequency (one level for each doubling),
+     rare ones first.  A doc indexes its levels until the norm of what is left
+     is below the threshold; the rest is its *residual* and stays out of the
+     index.  Docs that meet in the index add up their dot product over the
+     indexed levels; a pair lives on only if the level where they first meet
+     leaves enough norm on both sides, and if that sum and the smallest bound
+     of what is left (the product of both norms beyond the indexed levels, or
+     the residual against the largest weight of each of its terms) reach the
+     threshold.  Only then are terms fetched: those beyond the indexed levels.
    * dense vectors (``dedupe_corpus``): pivots and the triangle inequality on
      angles.  A doc lives in the cell of its nearest pivot and visits every
      cell whose pivot is at most 2θ further away than its own; two docs within
@@ -23,20 +26,23 @@
 3. The sequential walk "keep a doc iff no kept earlier neighbour" is the
    lexicographically-first maximal independent set; it is reached by rounds:
    an undecided node is kept when no earlier neighbour is kept or undecided,
-   dropped when an earlier neighbour is kept.  Each round is one join and a
-   reliable checkpoint; rounds go on until nothing is undecided (the first
-   undecided node of every session is decided in each, so they end).
+   dropped when an earlier neighbour is kept.  After a few rounds the open
+   rest is walked by ordered folds over sessions or connected components of
+   bounded size; only what is larger goes on by rounds (the first undecided
+   node of every session is decided in each, so they end).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionsift.operators.components import component_labels
 from sessionsift.operators.rank import dense_cosine, embed_docs
-from sessionsift.session import materialize
+from sessionsift.session import materialize, spread
 
 S = "session_id"
 #: Slack of the candidate bounds against rounding errors; verification is exact.
@@ -44,53 +50,77 @@ EPS = 1e-9
 
 
 # --------------------------------------------------------------------------- candidates, term vectors
-def prefix_candidates(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``vectors(session_id, pos, term, w)``, unit length -> candidate pairs ``(session_id, a, b)``, b < a."""
-    df = vectors.groupBy(S, "term").agg(F.count(F.lit(1)).alias("df"))
-    from_here = (Window.partitionBy(S, "pos").orderBy("df", "term")
-                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    prefix = (vectors.join(df, [S, "term"]).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(from_here))
-              .where((F.col("rest") >= threshold * threshold - EPS) & (F.col("df") > 1)).select(S, "term", "pos", "rest"))
-    # From the first shared term on, the dot product is at most the product of what is left of both norms.
-    # Levels of what is left keep rows apart that can't reach the threshold together: frequent terms come
-    # late in most docs, where little is left on either side.
-    least, levels = threshold * threshold - EPS, 8
-    top = [least + (1 + EPS - least) * (k + 1) / levels for k in range(levels)]
-    level = F.least(F.floor((F.col("rest") - least) / (1 + EPS - least) * levels), F.lit(levels - 1)).cast("int")
-    partners = F.array(*(F.array(*(F.lit(m) for m in range(levels) if top[k] * top[m] >= least)) for k in range(levels)))
-    prefix = prefix.withColumn("level", level)
-    a = prefix.select(S, "term", F.col("pos").alias("a"), F.col("rest").alias("ra"), F.explode(partners[F.col("level")]).alias("level"))
-    b = prefix.select(S, "term", F.col("pos").alias("b"), F.col("rest").alias("rb"), "level")
-    able = F.col("ra") * F.col("rb") >= least
-    return a.join(b, [S, "term", "level"]).where((F.col("b") < F.col("a")) & able).select(S, "a", "b").distinct()
-
-
-def verified_term_edges(vectors: DataFrame, cands: DataFrame, threshold: float) -> DataFrame:
-    """Candidates with cosine >= threshold; ``vectors`` also has ``tf`` and ``norm``."""
-    va = vectors.select(S, F.col("pos").alias("a"), "term", F.col("tf").alias("ta"), F.col("norm").alias("na"))
-    vb = vectors.select(S, F.col("pos").alias("b"), "term", F.col("tf").alias("tb"), F.col("norm").alias("nb"))
-    dots = (cands.join(va, [S, "a"]).join(vb, [S, "b", "term"])
-            .groupBy(S, "a", "b").agg(F.sum(F.col("ta") * F.col("tb")).alias("dot"), F.first("na").alias("na"), F.first("nb").alias("nb")))
-    return dots.where(F.col("dot") / (F.col("na") * F.col("nb")) >= threshold).select(S, "a", "b")
+#: Docs of one term that meet in one task; the other side of a more frequent term is copied to each part.
+POSTINGS = 2000
+
+
+def residual_index(terms: DataFrame, threshold: float) -> DataFrame:
+    """``terms(session_id, pos, term, tf)`` -> the same with ``df``, ``level``, ``norm``, ``last`` (the doc's last
+    indexed level), ``rest`` (squared norm from each level on, as a share) and ``reach`` (the most that the
+    residual can add to a cosine, by the largest weight of each of its terms)."""
+    own = Window.partitionBy(S, "pos")
+    unit = terms.withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(own)))
+    stats = unit.groupBy(S, "term").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("tf") / F.col("norm")).alias("most"))
+    leveled = materialize(unit.join(stats, [S, "term"]).withColumn("level", F.floor(F.log2("df") + EPS).cast("int")))
+    levels = (leveled.agg(F.max("level")).first()[0] or 0) + 1  # one scalar: the logarithm of the largest df
+    share = F.col("tf") * F.col("tf") / (F.col("norm") * F.col("norm"))
+    rest = F.array(*(F.sum(F.when(F.col("level") >= k, share).otherwise(0.0)).over(own) for k in range(levels + 1)))
+    out = leveled.withColumn("rest", rest)
+    out = out.withColumn("last", F.size(F.filter("rest", lambda r: r >= threshold * threshold - EPS)) - 1)
+    left = F.when(F.col("level") > F.col("last"), F.col("tf") / F.col("norm") * F.col("most")).otherwise(0.0)
+    return out.withColumn("reach", F.sum(left).over(own)).drop("most")
+
+
+def partial_dots(index: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(session_id, a, b, dot, upto)``, b < a, that may reach the threshold: ``dot`` over the levels up to
+    ``upto`` is done, the rest is open."""
+    post = index.where((F.col("level") <= F.col("last")) & (F.col("df") > 1))
+    parts = F.ceil(F.col("df") / POSTINGS).cast("int")
+    side = ["tf", "norm", "last", "rest", "reach"]
+    a = post.select(S, "term", "level", F.col("pos").alias("a"), F.pmod(F.xxhash64("pos"), parts).cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in side))
+    b = post.select(S, "term", F.col("pos").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in side))
+    upto = F.least("last_a", "last_b")
+    met = a.join(b, [S, "term", "part"]).where(F.col("b") < F.col("a")).select(
+        S, "a", "b", (F.col("tf_a") * F.col("tf_b")).alias("dot"), (F.col("norm_a") * F.col("norm_b")).alias("norms"), upto.alias("upto"),
+        (F.col("rest_a")[F.col("level")] * F.col("rest_b")[F.col("level")]).alias("first"),
+        F.least(F.sqrt(F.col("rest_a")[upto + 1] * F.col("rest_b")[upto + 1]),
+                F.when(F.col("last_a") == upto, F.col("reach_a")), F.when(F.col("last_b") == upto, F.col("reach_b"))).alias("open"))
+    pairs = met.groupBy(S, "a", "b").agg(F.sum("dot").alias("dot"), F.max("first").alias("first"), F.max("norms").alias("norms"), F.max("open").alias("open"), F.max("upto").alias("upto"))
+    able = (F.col("first") >= threshold * threshold - EPS) & (F.col("dot") / F.col("norms") + F.col("open") >= threshold - EPS)
+    return pairs.where(able).select(S, "a", "b", "dot", "upto")
+
+
+def verified_term_edges(index: DataFrame, cands: DataFrame, threshold: float) -> DataFrame:
+    """Candidates whose whole, unrounded cosine is at least the threshold.  One side fetches its terms beyond the
+    indexed levels, the other is looked up by them."""
+    norms = index.select(S, "pos", "norm").distinct()
+    open_a = index.select(S, F.col("pos").alias("a"), "term", "level", F.col("tf").alias("ta"))
+    open_b = index.select(S, F.col("pos").alias("b"), "term", F.col("tf").alias("tb"))
+    more = (cands.join(open_a, [S, "a"]).where(F.col("level") > F.col("upto")).join(open_b, [S, "b", "term"])
+            .groupBy(S, "a", "b").agg(F.sum(F.col("ta") * F.col("tb")).alias("more")))
+    na, nb = (norms.select(S, F.col("pos").alias(x), F.col("norm").alias(f"n{x}")) for x in "ab")
+    whole = cands.join(more, [S, "a", "b"], "left").join(na, [S, "a"]).join(nb, [S, "b"])
+    cosine = (F.col("dot") + F.coalesce("more", F.lit(0))) / (F.col("na") * F.col("nb"))
+    return whole.where(cosine >= threshold).select(S, "a", "b")
 
 
 def dedupe_corpus_terms(docs: DataFrame, threshold: float, report: dict | None = None) -> DataFrame:
     """G3 on term counts: ``docs(session_id, pos, text)`` in ``pos`` order -> kept ``(session_id, pos)``.
 
-    ``report``, if given, gets the numbers of texts, pairs in all, candidates, verified pairs and rounds."""
+    ``report``, if given, gets the numbers of texts, pairs in all, candidates (pairs whose terms are fetched),
+    verified pairs and rounds."""
+    docs = spread(docs, S, "pos")
     # a digest of the text, not the text, groups the copies
     first = docs.groupBy(S, F.sha2("text", 256).alias("__h")).agg(F.min("pos").alias("pos")).select(S, "pos")
-    terms = embed_docs(docs.select(S, "pos", "text"))
-    own = Window.partitionBy(S, "pos")
-    vectors = (terms.join(first, [S, "pos"], "left_semi")
-               .withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(own))).withColumn("w", F.col("tf") / F.col("norm")))
-    vectors = materialize(vectors)
-    cands = prefix_candidates(vectors, threshold)
-    edges = materialize(verified_term_edges(vectors, cands, threshold))
+    terms = materialize(embed_docs(docs.select(S, "pos", "text")))
+    index = materialize(residual_index(terms.join(first, [S, "pos"], "left_semi"), threshold))
+    cands = materialize(partial_dots(index, threshold))
+    edges = materialize(verified_term_edges(index, cands, threshold))
     undecided: list[int] = []
-    kept = greedy_fixpoint(vectors.select(S, "pos").distinct(), edges, undecided)
+    nodes = materialize(index.select(S, "pos").distinct())
+    kept = greedy_fixpoint(nodes, edges, undecided)
     if report is not None:
-        sizes = vectors.select(S, "pos").distinct().groupBy(S).count()
+        sizes = nodes.groupBy(S).count()
         n = sizes.agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1) / 2).cast("bigint").alias("p")).first()
         report.update(texts=n["n"], pairs=n["p"], candidates=cands.count(), verified=edges.count(), rounds=len(undecided))
     wordless = docs.select(S, "pos").join(terms.select(S, "pos").distinct(), [S, "pos"], "left_anti")
@@ -141,21 +171,78 @@ def dedupe_corpus(items: DataFrame, threshold: float, pivots: int = 32) -> DataF
 
 
 # --------------------------------------------------------------------------- the walk
+#: Rounds over all nodes before the walk goes on by fold; most edges that one fold reads (three numbers each).
+PLAIN_ROUNDS, FOLD_EDGES = 2, 500_000
+
+
+def _round(status: DataFrame, edges: DataFrame) -> DataFrame:
+    """One parallel step: undecided nodes with a kept earlier neighbour go, those without an undecided one stay."""
+    nb = (edges.join(status.select(S, F.col("pos").alias("b"), F.col("st").alias("bst")), [S, "b"])
+          .groupBy(S, F.col("a").alias("pos"))
+          .agg(F.max(F.col("bst") == "K").alias("any_k"), F.max(F.col("bst") == "U").alias("any_u")))
+    return (status.join(nb, [S, "pos"], "left")
+            .select(S, "pos", F.when(F.col("st") != "U", F.col("st"))
+                    .when(F.coalesce("any_k", F.lit(False)), F.lit("D"))
+                    .when(~F.coalesce("any_u", F.lit(False)), F.lit("K"))
+                    .otherwise(F.lit("U")).alias("st")))
+
+
+def _folded(edges: DataFrame, *keys: str) -> DataFrame:
+    """``(session_id, pos, fst)``: the sequential walk over the nodes of each group of ``edges``."""
+    def fold(group: pa.Table) -> pa.Table:
+        a, b = (group.column(c).to_numpy() for c in "ab")
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        nodes = np.unique(np.concatenate([a, b]))
+        starts, ends = np.searchsorted(a, nodes, "left"), np.searchsorted(a, nodes, "right")
+        near = np.searchsorted(nodes, b)
+        kept = np.zeros(len(nodes), dtype=bool)
+        for i, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist())):
+            kept[i] = not kept[near[lo:hi]].any()
+        session = pa.array([group.column(S)[0].as_py()] * len(nodes), group.schema.field(S).type)
+        return pa.table([session, pa.array(nodes, pa.int64()), pa.array(np.where(kept, "K", "D"))], names=[S, "pos", "fst"])
+
+    kind = edges.schema[S].dataType.simpleString()
+    return edges.groupBy(*keys).applyInArrow(fold, f"{S} {kind}, pos bigint, fst string")
+
+
 def greedy_fixpoint(nodes: DataFrame, edges: DataFrame, undecided: list[int] | None = None) -> DataFrame:
-    """Parallel rounds of the greedy walk; ``nodes(session_id, pos)``, ``edges(session_id, a, b)`` with b < a.
+    """The greedy walk; ``nodes(session_id, pos)``, ``edges(session_id, a, b)`` with b < a.
 
+    A few parallel rounds decide most nodes.  What is open then is walked in order: a session with at most
+    ``FOLD_EDGES`` open edges in one fold, a larger one by its connected components; only components beyond
+    that bound go on by rounds.  So a long chain of neighbours costs no round for each of its links.
     ``undecided``, if given, gets the number of undecided nodes before each round."""
+    def left(status: DataFrame) -> int:
+        n = status.where(F.col("st") == "U").count()
+        if n and undecided is not None:
+            undecided.append(n)
+        return n
+
+    def open_edges(status: DataFrame) -> DataFrame:
+        open_nodes = status.where(F.col("st") == "U").select(S, "pos")
+        return edges.join(open_nodes.withColumnRenamed("pos", "a"), [S, "a"], "left_semi").join(open_nodes.withColumnRenamed("pos", "b"), [S, "b"], "left_semi")
+
+    def with_folds(status: DataFrame, folds: DataFrame) -> DataFrame:
+        joined = status.join(folds, [S, "pos"], "left")
+        return materialize(joined.select(S, "pos", F.when(F.col("st") == "U", F.coalesce("fst", "st")).otherwise(F.col("st")).alias("st")))
+
     status = materialize(nodes.select(S, "pos", F.lit("U").alias("st")))
-    while left := status.where(F.col("st") == "U").count():
-        if undecided is not None:
-            undecided.append(left)
-        nb = (edges.join(status.select(S, F.col("pos").alias("b"), F.col("st").alias("bst")), [S, "b"])
-              .groupBy(S, F.col("a").alias("pos"))
-              .agg(F.max(F.col("bst") == "K").alias("any_k"), F.max(F.col("bst") == "U").alias("any_u")))
-        nxt = (status.join(nb, [S, "pos"], "left")
-               .select(S, "pos", F.when(F.col("st") != "U", F.col("st"))
-                       .when(F.coalesce("any_k", F.lit(False)), F.lit("D"))
-                       .when(~F.coalesce("any_u", F.lit(False)), F.lit("K"))
-                       .otherwise(F.lit("U")).alias("st")))
-        status = materialize(nxt)
+    for _ in range(PLAIN_ROUNDS):
+        if not left(status):
+            return status.where(F.col("st") == "K").select(S, "pos")
+        status = materialize(_round(status, edges))
+    if left(status):
+        rest = materialize(open_edges(status))
+        sizes = materialize(rest.groupBy(S).count())
+        status = with_folds(status, _folded(rest.join(sizes.where(F.col("count") <= FOLD_EDGES), S, "left_semi"), S))
+        large = sizes.where(F.col("count") > FOLD_EDGES)
+        if not large.isEmpty():
+            rest = rest.join(large, S, "left_semi")
+            labels = component_labels(rest, [S]).select(S, F.col("node").alias("a"), "label")
+            rest = materialize(rest.join(labels, [S, "a"]))
+            fit = rest.groupBy(S, "label").count().where(F.col("count") <= FOLD_EDGES)
+            status = with_folds(status, _folded(rest.join(fit, [S, "label"], "left_semi"), S, "label"))
+        while left(status):
+            status = materialize(_round(status, edges))
     return status.where(F.col("st") == "K").select(S, "pos")
