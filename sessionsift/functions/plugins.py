@@ -32,6 +32,15 @@ def _model(name: str, factory: Callable[[], object]):
     return _MODELS[name]
 
 
+def _run_built(name: str, factory: Callable[[], Callable], items: list, none: object) -> tuple[list, list[str | None]]:
+    """``_run_open`` with the worker's model; if it can't be built, every item carries that error."""
+    try:
+        model = _model(name, factory)
+    except Exception as e:  # noqa: BLE001 - fail open
+        return [none] * len(items), [None if x is None else f"{type(e).__name__}: {e}" for x in items]
+    return _run_open(model, items, none)
+
+
 def _run_open(model: Callable, items: list, none: object) -> tuple[list, list[str | None]]:
     """Results and errors of a batch: if the model fails on it, item by item, so that one bad item does not
     fail its neighbours.  A None item is not shown to the model."""
@@ -67,9 +76,8 @@ def _col(c) -> Column:
 def embed_column(text, factory: Callable[[], Callable], name: str = "embedder") -> Column:
     """K1 Embedder: struct(value ``array<double>``, error) per text, model loaded once per worker."""
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = _model(name, factory)
         for texts in batches:
-            values, errors = _run_open(model, [t if isinstance(t, str) else None for t in texts], None)
+            values, errors = _run_built(name, factory, [t if isinstance(t, str) else None for t in texts], None)
             yield _frame([None if v is None else np.asarray(v, dtype="float64") for v in values], errors)
     return F.pandas_udf(run, "value array<double>, error string")(_col(text))
 
@@ -77,9 +85,8 @@ def embed_column(text, factory: Callable[[], Callable], name: str = "embedder")
 def pair_score_column(query, doc, factory: Callable[[], Callable], name: str = "pair_scorer") -> Column:
     """K1 PairScorer: struct(value ``double``, error), the relevance of ``doc`` to ``query``."""
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = _model(name, factory)
         for q, d in batches:
-            values, errors = _run_open(model, list(zip(q.fillna("").tolist(), d.fillna("").tolist())), None)
+            values, errors = _run_built(name, factory, list(zip(q.fillna("").tolist(), d.fillna("").tolist())), None)
             yield _frame([None if v is None else float(v) for v in values], errors)
     return F.pandas_udf(run, "value double, error string")(_col(query), _col(doc))
 
@@ -87,9 +94,8 @@ def pair_score_column(query, doc, factory: Callable[[], Callable], name: str = "
 def token_score_column(text, factory: Callable[[], Callable], name: str = "token_scorer") -> Column:
     """K1 TokenScorer: struct(value ``array<double>``, error), one keep-score per whitespace token."""
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = _model(name, factory)
         for texts in batches:
-            values, errors = _run_open(model, [t if isinstance(t, str) else None for t in texts], None)
+            values, errors = _run_built(name, factory, [t if isinstance(t, str) else None for t in texts], None)
             yield _frame([None if v is None else [float(x) for x in v] for v in values], errors)
     return F.pandas_udf(run, "value array<double>, error string")(_col(text))
 

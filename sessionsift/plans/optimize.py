@@ -36,7 +36,15 @@ def with_param_defaults(requests: DataFrame, **overrides) -> DataFrame:
     return out.withColumn("cap", rank.prefilter_cap("max_chunks"))
 
 
-def select_docs(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None) -> tuple[DataFrame, DataFrame | None]:
+MODEL_DEFAULTS = {"embed_model": C.DEFAULT_EMBED_MODEL, "reranker_model": C.DEFAULT_RERANKER_MODEL, "compressor_model": C.DEFAULT_COMPRESSOR_MODEL}
+
+
+def _with_models(requests: DataFrame) -> DataFrame:
+    """Model names of each request, where it has none the defaults of D3."""
+    return requests.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in requests.columns else F.lit(v) for c, v in MODEL_DEFAULTS.items()})
+
+
+def select_docs(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None, models=None) -> tuple[DataFrame, DataFrame | None]:
     """Steps B9 -> C1 -> F5 -> H3 -> F6 -> G1 -> G2 -> F7 on gated-in sessions.
 
     ``requests`` (one row per session) should be materialised by the caller.
@@ -45,8 +53,11 @@ def select_docs(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None
     ``slot`` = 1-based position in the final list; and, if a plug-in is used,
     ``(session_id, error)`` of the sessions for which it failed.
     """
+    from sessionsift.functions.models import applied, digest
     from sessionsift.functions.plugins import embed_column, pair_score_column
     extra = ["n_docs"] if "n_docs" in requests.columns else []
+    by_embedder, by_scorer = (bool(models.embedders), bool(models.scorers)) if models is not None else (False, False)
+    extra += list(MODEL_DEFAULTS) if models is not None else []
     params = requests.select(S, "query", "cap", "max_chunks", "total_prune_budget_chars",
                              "compression_rate", "dedupe_threshold", *extra)
     d = docs.select(S, "pos", "text").join(params.select(S), S)
@@ -54,32 +65,47 @@ def select_docs(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None
     # The candidate list is bounded (<= cap per session): materialise it once, with the
     # session's parameters carried on each row (no later joins with params).
     carry = ("max_chunks", "total_prune_budget_chars", "compression_rate", "dedupe_threshold")
-    more = carry + (("query",) if scorer is not None else ())
-    failing = embedder is not None or scorer is not None
-    own: tuple[str, ...] = ("vec", "error") if embedder is not None else ()
-    if embedder is None:
+    more = carry + (("query",) if scorer is not None or by_scorer else ()) + (("reranker_model",) if by_scorer else ())
+    failing = embedder is not None or scorer is not None or by_embedder or by_scorer
+    own: tuple[str, ...] = ("vec", "error") if embedder is not None or by_embedder else ()
+    if not own:
         top = rank.prefilter_topk(d, params, carry=more)
     else:
         # K1: dense vectors replace the term counts in F5 and G1.  A doc or query that fails sorts first, so
         # that its error is among the candidates.
         asked = F.when(rank.strip_text(F.col("query")) == "", F.lit(" ")).otherwise(F.col("query"))
-        q = params.select(S, embed_column(asked, embedder, "embedder").alias("q"))
-        v = d.withColumn("v", embed_column("text", embedder, "embedder")).join(q, S)
+        if by_embedder:
+            name = F.col("embed_model").alias("model")
+            of_doc = d.join(params.select(S, name), S).withColumn("digest", digest(F.col("text")))
+            of_query = params.select(S, name, asked.alias("text")).withColumn("digest", digest(F.col("text")))
+            vectors = applied(of_doc.select("model", "text").unionByName(of_query.select("model", "text")), "embedders", models, "array<double>")
+            vectors = vectors.select("model", "digest", F.struct("value", "error").alias("v"))
+            q = of_query.join(vectors, ["model", "digest"]).select(S, F.col("v").alias("q"))
+            v = of_doc.join(vectors, ["model", "digest"]).drop("model", "digest").join(q, S)
+        else:
+            q = params.select(S, embed_column(asked, embedder, "embedder").alias("q"))
+            v = d.withColumn("v", embed_column("text", embedder, "embedder")).join(q, S)
         sim = F.round(rank.dense_cosine(F.col("v")["value"], F.col("q")["value"]), C.SCORE_DIGITS)
         v = v.select(S, "pos", "text", F.col("v")["value"].alias("vec"), F.coalesce(F.col("v")["error"], F.col("q")["error"]).alias("error"), sim.alias("sim"))
         top = rank.prefilter_topk(v, params, carry=more, given="sim")
     cands = materialize(top.select(S, F.col("ppos").alias("pos"), "text", *more, *own))
-    if scorer is None:
+    if scorer is None and not by_scorer:
         scores = rank.bm25_scores(cands, params, keep=("text",) + carry + own)
     else:
         # K1: a pair scorer (e.g. a cross-encoder) replaces BM25 on the bounded candidate list.
-        scored = cands.withColumn("p", pair_score_column("query", "text", scorer, name="pair_scorer"))
+        if by_scorer:
+            named = cands.withColumnRenamed("reranker_model", "model").withColumn("digest", digest(F.col("query"), F.col("text")))
+            values = applied(named.select("model", "query", "text"), "scorers", models, "double")
+            named = named.join(values.select("model", "digest", F.struct("value", "error").alias("p")), ["model", "digest"])
+            scored = named.drop("model", "digest")
+        else:
+            scored = cands.withColumn("p", pair_score_column("query", "text", scorer, name="pair_scorer"))
         error = F.coalesce("error", F.col("p")["error"]) if own else F.col("p")["error"]
         scores = scored.select(S, "pos", "text", *carry, *(c for c in own if c != "error"), error.alias("error"),
                                F.coalesce(F.round(F.col("p")["value"], C.SCORE_DIGITS), F.lit(0.0)).alias("score"))
     # Bounded and read three times below: materialise once.
     ranked = materialize(rank.rank_docs(scores, order="pos"))
-    if embedder is None:
+    if not own:
         nbrs = prune.lexical_neighbours(rank.embed_docs(ranked.select(S, "rank", "text"), keys=(S, "rank")), params)
     else:
         nbrs = prune.dense_neighbours(ranked.where("vec IS NOT NULL"), params)
@@ -105,7 +131,7 @@ def select_docs(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None
     return chosen, errors
 
 
-def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None, token_scorer=None) -> DataFrame:
+def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None, token_scorer=None, models=None) -> DataFrame:
     """H5 flagship: one result row per request.
 
     ``docs(session_id, pos, text)`` raw docs; ``requests(session_id, query,
@@ -115,19 +141,29 @@ def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder
     survives.  K1 factories: ``embedder`` replaces the term counts of F5 and G1,
     ``scorer`` (pairs) BM25, ``token_scorer`` the token weights of H4.  K2: a
     session for which a plug-in fails gets the status ``failed`` with the error
-    as its reason; all others are unaffected.
+    as its reason; all others are unaffected.  ``models``
+    (``functions.models.Models``) chooses the model of each step by the names in
+    the request's ``embed_model``, ``reranker_model`` and ``compressor_model``.
     """
     docs = spread(docs, S, "pos")
-    params = with_param_defaults(requests)
+    params = with_param_defaults(requests if models is None else _with_models(requests))
     # One row per session, read by the selection and by the final join: materialise once.
     gated = materialize(rank.gate_by_size(params, rank.result_sizes(docs)))
     active = gated.where(F.col("gate") == "run")
-    chosen, errors = select_docs(docs, active, scorer, embedder)
-    if token_scorer is None:
+    chosen, errors = select_docs(docs, active, scorer, embedder, models)
+    by_token_scorer = models is not None and bool(models.token_scorers)
+    if token_scorer is None and not by_token_scorer:
         out = gated.join(compress_text(chosen, order="slot"), S, "left").withColumn("token_error", F.lit(None).cast("string"))
     else:
+        from sessionsift.functions.models import applied, digest
         from sessionsift.functions.plugins import token_score_column
-        scored = materialize(chosen.withColumn("t", token_score_column("text", token_scorer, "token_scorer")))
+        if by_token_scorer:
+            named = chosen.join(active.select(S, models.compressor(F.col("compressor_model")).alias("model")), S).withColumn("digest", digest(F.col("text")))
+            values = applied(named.select("model", "text"), "token_scorers", models, "array<double>")
+            scored = named.join(values.select("model", "digest", F.struct("value", "error").alias("t")), ["model", "digest"]).drop("model", "digest")
+        else:
+            scored = chosen.withColumn("t", token_score_column("text", token_scorer, "token_scorer"))
+        scored = materialize(scored)
         failed = scored.groupBy(S).agg(F.min(F.col("t")["error"]).alias("item_error"))
         short = compress_scored(scored.withColumn("scores", F.col("t")["value"]), "scores", order="slot")
         out = gated.join(short, S, "left").join(failed, S, "left")
@@ -155,32 +191,36 @@ REQUEST_OPTIONS = ("min_input_size", "max_chunks", "total_prune_budget_chars", "
                    "reranker_model", "embed_model", "compressor_model")
 
 
-def optimize_requests(requests: DataFrame, **plugins) -> DataFrame:
-    """H5 from request payloads (A3 rows with unique ``request_id``): A4 first, then the optimizer.
+def optimize_requests(requests: DataFrame, keep: tuple[str, ...] = ("request_id",), **plugins) -> DataFrame:
+    """H5 from request payloads (A3 rows): A4 first, then the optimizer, one result for each row.
 
-    Returns ``(request_id, ok, status, error_code, message, reason, initial_size, final_size,
+    A row is a request of its own, whether its ``request_id`` is missing or stands in other rows too; ``keep``
+    names the columns that come along.  Returns ``(*keep, ok, status, error_code, message, reason, initial_size, final_size,
     optimized_context)``: ``failed`` with ``invalid_input`` for payloads that are not requests, with
-    ``runtime_error`` for unknown options and for plug-ins that fail; a request whose integer
-    ``min_input_size`` is above its size, or without docs, is ``no_optimization``.
+    ``dependency_missing`` for models that can't be imported, with ``runtime_error`` for unknown options and
+    for plug-ins that fail otherwise; a request whose integer ``min_input_size`` is above its size, or without docs, is ``no_optimization``.
     """
     v = validate_requests(requests)
     unknown = F.array_sort(F.array_except(F.map_keys("options"), F.array(*map(F.lit, REQUEST_OPTIONS))))
-    v = materialize(v.withColumn("unknown", F.when(F.col("status") == "run", F.get(unknown, 0))))
+    # numbered once and written: the key of a row in everything that follows
+    row = F.monotonically_increasing_id().cast("string")
+    v = materialize(v.withColumn("unknown", F.when(F.col("status") == "run", F.get(unknown, 0))).withColumn("__row", row))
     run = v.where("status = 'run' AND unknown IS NULL")
-    docs = run.select(F.col("request_id").alias(S), F.posexplode(F.try_variant_get("docs", "$", "array<string>")).alias("pos", "text"))
-    asked = run.select(F.col("request_id").alias(S), "query", F.map_filter("options", lambda k, x: k != "min_input_size").alias("options"), F.col("min_input_size").alias("gate_size"))
+    docs = run.select(F.col("__row").alias(S), F.posexplode(F.try_variant_get("docs", "$", "array<string>")).alias("pos", "text"))
+    asked = run.select(F.col("__row").alias(S), "query", F.map_filter("options", lambda k, x: k != "min_input_size").alias("options"), F.col("min_input_size").alias("gate_size"))
     params = resolve_params(asked).withColumn("min_input_size", F.coalesce("gate_size", F.lit(0)))
     result = optimize_context(docs, params.drop("gate_size"), **plugins)
-    r = v.select("request_id", F.col("status").alias("a4"), F.col("error_code").alias("a4_code"), F.col("reason").alias("a4_reason"), "unknown", F.col("initial_size").alias("size"))
-    r = r.join(result.withColumnRenamed(S, "request_id"), "request_id", "left")
+    from sessionsift.functions.models import error_code
+    r = v.select("__row", F.struct(*keep).alias("__keep"), F.col("status").alias("a4"), F.col("error_code").alias("a4_code"), F.col("reason").alias("a4_reason"), "unknown", F.col("initial_size").alias("size"))
+    r = r.join(result.withColumnRenamed(S, "__row"), "__row", "left")
     invalid, odd = F.col("a4") == "invalid_input", F.col("unknown").isNotNull()
     failed = invalid | odd | F.coalesce(F.col("status") == "failed", F.lit(False))
     message = F.when(invalid, F.col("a4_reason")).when(odd, F.concat(F.lit("unknown option: "), "unknown")).when(failed, F.col("reason"))
     zero = F.lit(0).cast("bigint")
     return r.select(
-        "request_id", (~failed).alias("ok"),
+        "__keep.*", (~failed).alias("ok"),
         F.when(failed, F.lit("failed")).when(F.col("a4") == "no_optimization", F.col("a4")).otherwise(F.col("status")).alias("status"),
-        F.when(invalid, F.col("a4_code")).when(failed, F.lit("runtime_error")).alias("error_code"), message.alias("message"),
+        F.when(invalid, F.col("a4_code")).when(failed, F.when(odd, "runtime_error").otherwise(error_code(F.col("reason")))).alias("error_code"), message.alias("message"),
         F.when(failed, message).when(F.col("a4") == "no_optimization", F.col("a4_reason")).otherwise(F.col("reason")).alias("reason"),
         F.when(failed, F.lit(None)).when(F.col("a4") == "no_optimization", zero).otherwise(F.col("initial_size")).cast("bigint").alias("initial_size"),
         F.when(failed, F.lit(None)).when(F.col("a4") == "no_optimization", zero).otherwise(F.col("final_size")).cast("bigint").alias("final_size"),

@@ -170,3 +170,53 @@ select g.session_id,
        cast(case when g.gate = 'run' then length(coalesce(c.oc, '')) when g.n_docs = 0 then 0 else g.initial_size end as bigint) as final_size,
        coalesce(c.oc, '') as optimized_context
 from gated g left join comp c using (session_id)"""
+
+
+def _between(text: str, start: str, end: str) -> str:
+    """The CTEs from the one named ``start`` up to the one named ``end``."""
+    return text[text.index(f"\n{start} as (") + 1:text.index(f"\n{end} as (")]
+
+
+def h5_models_sql(fixture_ctes: str, docs: str, req: str, failed: str = "null") -> str:
+    """H5 with models by name (K1): vectors of counted characters instead of term counts, pair scores and token
+    scores of the deterministic stand-ins.  ``req`` also has ``embed_chars``, ``reranker`` and ``compressor``;
+    ``failed`` is the reason of a session whose model fails (K2), else null."""
+    base = h5_ctes(docs)
+    vector = lambda x: f"list_transform(string_split(embed_chars, ''), lambda c: length(lower({x})) - length(replace(lower({x}), c, '')))"
+    dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+    cos = f"case when {dot('u', 'u')} = 0 or {dot('v', 'v')} = 0 then 0.0 else {dot('u', 'v')} / (sqrt({dot('u', 'u')}) * sqrt({dot('v', 'v')})) end"
+    return f"""with recursive {fixture_ctes},
+{req},
+{base[:base.index("qm as (")]}qm as (select session_id, cap, query, reranker, embed_chars, case when {strip_text_sql('query')} = '' then ' ' else query end as q from gated where gate = 'run'),
+sims as (
+  select session_id, pos, text, round({cos}, 6) as sim
+  from (select n.session_id, n.pos, n.text, {vector('n.text')} as u, {vector('q')} as v from nd2 n join qm using (session_id))),
+{_between(base, "pre", "ctok")}
+scored as (
+  select c.session_id, c.pos, c.text, q.embed_chars, cast(case when reranker = 'shared'
+      then len(list_filter(list_distinct(list_intersect(string_split(q.query, ' '), string_split(c.text, ' '))), lambda w: w <> ''))
+      else length(c.text) % 97 end as double) as score
+  from cands c join qm q using (session_id)),
+{_between(base, "ranked", "rterms")}
+rvec as (select session_id, rk, {vector('text')} as v from ranked),
+pairs as (
+  select session_id, a, b, {cos} as c from (
+    select x.session_id, x.rk as a, y.rk as b, x.v as u, y.v as v from rvec x join rvec y on x.session_id = y.session_id and y.rk < x.rk)),
+nb as (select p.session_id, p.a as rk, list(p.b order by p.b) as nbrs from pairs p join gated g using (session_id) where p.c >= g.thr group by all),
+{base[base.index("items as ("):]},
+mtok as (
+  select t.*, case when compressor = 'late' then i else length(tok) end as w, count(*) over (partition by session_id, slot) as n
+  from (select session_id, slot, unnest(tl) as tok, unnest(range(len(tl))) as i
+        from (select session_id, slot, list_filter(string_split_regex(text, '[\\t\\n\\x0B\\f\\r ]+'), lambda t: t <> '') as tl from chosen)) t
+  join gated using (session_id)),
+mkept as (select *, row_number() over (partition by session_id, slot order by w desc, i) as r from mtok),
+mdoc as (select k.session_id, slot, string_agg(tok, ' ' order by i) as ctext from mkept k join gated g using (session_id) where r <= ceil(g.rate * k.n) group by all),
+comp as (select session_id, string_agg(ctext, chr(10) || chr(10) order by slot) as oc from mdoc group by all),
+told as (select g.*, c.oc, case when g.gate = 'run' then {failed} end as failed from gated g left join comp c using (session_id))
+select session_id,
+       case when gate <> 'run' then gate when failed is not null then 'failed' when coalesce(oc, '') = '' then 'no_optimization' else 'optimized' end as status,
+       case when gate <> 'run' then gate_reason else coalesce(failed, '') end as reason,
+       cast(initial_size as bigint) as initial_size,
+       cast(case when gate = 'run' and failed is null then length(coalesce(oc, '')) when n_docs = 0 then 0 else initial_size end as bigint) as final_size,
+       case when failed is null then coalesce(oc, '') else '' end as optimized_context
+from told"""

@@ -9,7 +9,7 @@ from sessionsift.operators import extract as X
 from sessionsift.operators.params import apply_model_limits, resolve_params, validate_overrides
 from sessionsift.plans import fixtures as fx
 from sessionsift.plans import oracle_h5 as O
-from sessionsift.plans.optimize import optimize_requests
+from sessionsift.plans.optimize import optimize_context, optimize_requests
 from sessionsift.plans.registry import register
 from sessionsift.session import scratch_dir
 from sessionsift.sources.requests import read_requests, validate_requests
@@ -72,8 +72,11 @@ def _payload_lines(spark, sf):
     docs = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]))
     c = d.groupBy(S).agg(docs.alias("docs")).join(fx.fx2_requests(spark, sf).select(S, "query"), S)
     text = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    cid = F.col(S).cast("bigint") % 4  # three of four payloads have no id of their own
+    request_id = F.when(cid == 0, "").when(cid == 1, '"request_id":null,').when(cid == 2, '"request_id":"shared",').otherwise(F.concat(F.lit('"request_id":'), text(S), F.lit(",")))
+
     def payload(docs, options):
-        return F.concat(F.lit('{"request_id":'), text(S), F.lit(',"query":'), text("query"), F.lit(',"docs":'), docs, F.lit(',"options":' + options + "}"))
+        return F.concat(F.lit("{"), request_id, F.lit('"query":'), text("query"), F.lit(',"docs":'), docs, F.lit(',"options":' + options + "}"))
     all_docs = F.col("docs")
     raw = (F.when(kind == 0, F.concat(payload(all_docs, "{}"), F.lit(" junk")))
            .when(kind == 1, F.lit("  "))
@@ -100,7 +103,7 @@ fx2_run as (select f.* from fx2 f join req using (session_id))"""
 @register("h5_optimize_requests", f"""with recursive {fx.SQL_FX2}, {_H5_REQ}, {O.h5_ctes('fx2_run')}, {O.compress_ctes()},
 done as (
   select g.session_id, g.gate, g.gate_reason, g.initial_size, coalesce(c.oc, '') as oc from gated g left join comp c using (session_id))
-select case when kind in (0, 1) then null else k.session_id end as request_id, kind not in (0, 2, 3, 7) as ok,
+select case when kind in (0, 1) or cast(k.session_id as bigint) % 4 < 2 then null when cast(k.session_id as bigint) % 4 = 2 then 'shared' else k.session_id end as request_id, kind not in (0, 2, 3, 7) as ok,
        case when kind in (0, 2, 3, 7) then 'failed' when kind in (1, 4) or d.gate <> 'run' or d.oc = '' then 'no_optimization'
             else 'optimized' end as status,
        case when kind in (0, 2, 3) then 'invalid_input' when kind = 7 then 'runtime_error' end as error_code,
@@ -246,25 +249,67 @@ def i7(spark, sf):
 
 
 # --------------------------------------------------------------------------- K1 / K2
-from sessionsift.functions import plugins as P  # noqa: E402
+from sessionsift.functions import models as M  # noqa: E402
+
+_CHARS = {"letters": "abcdefghijklmnopqrstuvwxyz", "vowels": "aeiou "}
+
+
+def _missing(device):
+    raise ModuleNotFoundError("No module named 'absent_library'")
+
+
+def stand_in_models(device: str = "cpu") -> M.Models:
+    """Two models for each step, and an embedder that can't be imported."""
+    return M.Models(
+        embedders={**{k: M.counting_embedder(v) for k, v in _CHARS.items()}, "broken": _missing},
+        scorers={"shared": M.shared_words_scorer, "remainder": M.remainder_scorer},
+        token_scorers={"long": M.long_words_scorer, "late": M.late_words_scorer},
+        device=device, default_compressor={"cpu": "long", "fast": "late"})
+
+
+def _model_requests(spark, sf, broken: bool):
+    """Two embedders, two rerankers and two compressors, chosen by the number of a source; with ``broken``, some
+    sources name an embedder that nobody registered or that can't be imported."""
+    r = fx.fx1_requests(spark, sf)
+    n = F.substring(S, 4, 9).cast("int")
+    embed = F.when(n % 2 == 0, "letters").otherwise("vowels")
+    if broken:
+        embed = F.when(n % 5 == 1, "absent").when(n % 5 == 2, "broken").otherwise(embed)
+    return r.select(S, "query", embed.alias("embed_model"), F.when(n % 3 == 0, "shared").otherwise("remainder").alias("reranker_model"),
+                    F.when(n % 4 == 0, "late").otherwise("").alias("compressor_model"), F.lit(0.99).alias("dedupe_threshold"))
 
 
-@register("k1_embed_plugin")
+_MODEL_REQ = f"""req as (
+  select session_id, coalesce(query, '') as query, cast({C.DEFAULT_MIN_CHARS} as bigint) as min_input_size, {C.DEFAULT_MAX_CHUNKS} as max_chunks,
+         cast({C.DEFAULT_PRUNE_BUDGET_CHARS} as bigint) as budget, {C.DEFAULT_COMPRESSION_RATE}::double as rate, 0.99::double as thr,
+         cast(substring(session_id, 4) as int) as n, case when n % 2 = 0 then '{_CHARS["letters"]}' else '{_CHARS["vowels"]}' end as embed_chars,
+         case when n % 3 = 0 then 'shared' else 'remainder' end as reranker, case when n % 4 = 0 then 'late' else 'long' end as compressor
+  from fx1_req)"""
+
+
+@register("k1_models_by_name", O.h5_models_sql(fx.SQL_FX1, "fx1", _MODEL_REQ))
 def k1(spark, sf):
-    """Conversation turns embedded by a plug-in (deterministic hashing embedder, loaded once per worker)."""
-    d = fx.fx2_docs(spark, sf)
-    v = d.select(S, "pos", P.embed_column("text", P.hashing_embedder(64), name="hashing64")["value"].alias("vec"))
-    return v.select(S, "pos", F.size("vec").alias("dim"),
-                    F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("n_tokens"))
+    """H5 with models chosen by each request's names: several in one job, every text embedded once."""
+    return optimize_context(fx.fx1_docs(spark, sf), _model_requests(spark, sf, False), models=stand_in_models())
+
 
+_K2_FAILED = "case n % 5 when 1 then concat('KeyError: no model named ', chr(39), 'absent', chr(39)) when 2 then concat('ModuleNotFoundError: No module named ', chr(39), 'absent_library', chr(39)) end"
 
-@register("k2_fail_open", f"""{fx.with_sql(fx.SQL_FX2)}
-select session_id, pos, case when text like '%7%' then null else cast(length(text) as double) end as value,
-       case when text like '%7%' then 'ValueError: boom' end as error from fx2""")
+
+@register("k2_fail_open", O.h5_models_sql(fx.SQL_FX1, "fx1", _MODEL_REQ, _K2_FAILED))
 def k2(spark, sf):
+    """The same with models that are unknown or can't be built: their sessions fail, all others go on."""
+    return optimize_context(fx.fx1_docs(spark, sf), _model_requests(spark, sf, True), models=stand_in_models())
+
+
+@register("k1_embed_plugin", f"""{fx.with_sql(fx.SQL_FX2)}
+select session_id, pos, 26 as dim, cast(length(regexp_replace(lower(text), '[^a-z]', '', 'g')) as bigint) as n_letters from fx2""")
+def k1_column(spark, sf):
+    """Conversation turns embedded by a plug-in column (counts of letters; one model for each worker)."""
+    from sessionsift.functions import plugins as P
     d = fx.fx2_docs(spark, sf)
-    r = d.select(S, "pos", P.fail_open(P.flaky_len)("text").alias("r"))
-    return r.select(S, "pos", "r.value", "r.error")
+    v = d.select(S, "pos", P.embed_column(F.regexp_replace("text", "\t", " "), P.letter_embedder, name="letters")["value"].alias("vec"))
+    return v.select(S, "pos", F.size("vec").alias("dim"), F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("n_letters"))
 
 
 # --------------------------------------------------------------------------- I1 / I3 / I4
