@@ -238,6 +238,23 @@ def optimize_live(calls: DataFrame, last: DataFrame | None = None) -> DataFrame:
     return K.mask_stale_error_inputs(K.mark_superseded_outputs(calls), last=last)
 
 
+def replaced_parts(messages: DataFrame, calls: DataFrame) -> DataFrame:
+    """``messages`` with the input and output of the ``calls(session_id, msg_no, part_no, input, output,
+    superseded, masked)`` that changed."""
+    from sessionsift.operators.ordered import join_null_safe
+    changed = calls.where("superseded OR masked").groupBy(S, "msg_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("part_no", F.struct("input", "output")))).alias("__new"))  # a message's parts
+
+    def rewritten(part, i):
+        new = F.col("__new")[i]
+        state = F.struct(part["state"]["status"].alias("status"), new["input"].alias("input"), new["output"].alias("output"))
+        return F.when(new.isNull(), part).otherwise(F.struct(part["type"].alias("type"), part["callID"].alias("callID"), part["tool"].alias("tool"), state.alias("state")))
+
+    out = join_null_safe(messages, changed, [S, "msg_no"], "left")
+    out = out.withColumn("parts", F.when(F.col("__new").isNull(), F.col("parts")).otherwise(F.transform("parts", rewritten))).drop("__new")
+    return out
+
+
 def optimize_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """H7 from messages: ``messages(session_id, msg_no, info struct<role>, parts array<struct<type, callID, tool,
     state struct<status, input, output>>>)`` as B8 reads them.
@@ -249,22 +266,11 @@ def optimize_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     from sessionsift.functions.signature import tool_signature
     from sessionsift.operators import calls as K
     from sessionsift.operators.extract import flatten_tool_parts
-    from sessionsift.operators.ordered import join_null_safe
     flat = flatten_tool_parts(messages)
     calls = flat.withColumn("seq", F.col("msg_no") * _SEQ_LINE + F.col("part_no")).withColumn("signature", tool_signature("tool", "input"))
     last = messages.groupBy(S).agg(F.count_if(F.coalesce(F.col("info.role") == "user", F.lit(False))).alias("__last"))
     done = materialize(optimize_live(calls, last))
-    changed = done.where("superseded OR masked").groupBy(S, "msg_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("part_no", F.struct("input", "output")))).alias("__new"))  # a message's parts
-
-    def rewritten(part, i):
-        new = F.col("__new")[i]
-        state = F.struct(part["state"]["status"].alias("status"), new["input"].alias("input"), new["output"].alias("output"))
-        return F.when(new.isNull(), part).otherwise(F.struct(part["type"].alias("type"), part["callID"].alias("callID"), part["tool"].alias("tool"), state.alias("state")))
-
-    out = join_null_safe(messages, changed, [S, "msg_no"], "left")
-    out = out.withColumn("parts", F.when(F.col("__new").isNull(), F.col("parts")).otherwise(F.transform("parts", rewritten))).drop("__new")
-    return out, K.strategy_counts(done)
+    return replaced_parts(messages, done), K.strategy_counts(done)
 
 
 _SEQ_LINE, _SEQ_KIND = 1 << 20, 1 << 19

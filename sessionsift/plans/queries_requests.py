@@ -123,10 +123,10 @@ def h5_requests(spark, sf):
     return optimize_requests(read_requests(spark, path))
 
 
-def _messages(spark, sf):
+def _messages(spark, sf, events=None):
     """Live message list from FX3: user rows carry no parts; every 23rd call lacks a state, every
     31st part is not a tool part (both must be skipped)."""
-    c = fx.fx3_calls(spark, sf, with_turn=False)
+    c = fx.fx3_calls(spark, sf, with_turn=False, events=events)
     state = F.when(F.col("seq") % 23 == 0, F.lit(None)).otherwise(
         F.struct(F.col("status").alias("status"), F.col("input").alias("input"), F.col("output").alias("output")))
     part = F.struct(F.when(F.col("seq") % 31 == 0, "text").otherwise("tool").alias("type"),

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from sessionsift import constants as C
 from sessionsift.operators.results import savings
 from sessionsift.plans import fixtures as fx
-from sessionsift.plans.queries_calls import _F3_SQL, PROT
+from sessionsift.plans.queries_calls import _F3_SQL, _FROM_MESSAGES, _MASKED, PROT
 from sessionsift.plans.queries_results import RES_SQL
 from sessionsift.plans.registry import register
+from sessionsift.streaming import live as LV
 from sessionsift.streaming import stateful as ST
 from sessionsift.streaming import windows as WN
 
@@ -83,3 +84,30 @@ from x group by all""")
 def j4w(spark, sf):
     """Trailing 7-day savings per cli, sliding by a day (window start in ``day``)."""
     return WN.run_complete(WN.stream_savings(_log_stream(spark, sf), sliding=True), "savings7")
+
+
+# --------------------------------------------------------------------------- H7 as one stream
+def _live_log(spark, sf):
+    """The change log of the messages as a stream of five micro-batches with late rows; and the messages."""
+    from sessionsift.plans.queries_requests import _messages
+    changes = LV.run_live(LV.live_changes(_messages(spark, sf, events=WN.events_stream(spark, sf))))
+    return _messages(spark, sf), changes
+
+
+@register("h7_live_stream", f"""{W3}, {_FROM_MESSAGES},
+d as (select session_id, seq, case when superseded then '{C.OUTPUT_MARKER}' else output end as output, {_MASKED} as input from c3)
+select f.session_id, f.seq as msg_no, coalesce(d.output, f.output) as output, coalesce(d.input, f.input) as input
+from fx3 f left join d using (session_id, seq) where f.tool <> 'USER' and f.seq % 23 <> 0""")
+def h7_stream(spark, sf):
+    """The live pass as one stream: messages after the last micro-batch."""
+    out, _ = LV.rewritten_messages(*_live_log(spark, sf))
+    p = out.select(S, "msg_no", F.explode("parts").alias("p")).where("p.state IS NOT NULL")
+    return p.select(S, "msg_no", "p.state.output", "p.state.input")
+
+
+@register("h7_live_stream_counts", f"""{W3}, {_FROM_MESSAGES}
+select session_id, count(*) filter (where superseded) as deduped, count(*) filter (where masked) as purged_errors
+from c3 group by all""")
+def h7_stream_counts(spark, sf):
+    """Changed parts of each session, from the stream's log."""
+    return LV.rewritten_messages(*_live_log(spark, sf))[1]

@@ -34,6 +34,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+        .config("spark.python.unix.domain.socket.enabled", "true")
     )
     for k, v in SQL_CONF.items():
         builder = builder.config(k, v)
