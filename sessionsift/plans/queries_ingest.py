@@ -54,6 +54,19 @@ def a1(spark, sf):
     return read_transcripts(spark, path)
 
 
+@register("a1_growing_transcripts", f"""{W4},
+p as (select session_id, row_number() over (partition by session_id order by line_no) as line_no, raw from fx4)
+select session_id, line_no, raw from p where trim(raw) <> ''""")
+def a1_growing(spark, sf):
+    """The same files read in three runs as they grow, each from where the one before it ended, in small chunks."""
+    from sessionsift.sources.growing import follow_transcripts
+    path, store = scratch_dir(spark, "transcripts"), scratch_dir(spark, "growing")
+    write_transcripts(fx.fx4_lines(spark, sf), path)
+    for up_to in (700, 5000):
+        follow_transcripts(spark, path, store, chunkBytes=1500, upTo=up_to)
+    return follow_transcripts(spark, path, store, chunkBytes=1 << 20)
+
+
 @register("a2_parse_entries", f"""{W4}
 select session_id, line_no, json_extract_string(raw, '$.type') as type from fx4 where trim(raw) <> '' and json_valid(raw)""")
 def a2(spark, sf):
