@@ -50,6 +50,18 @@ def a5(spark, sf):
     return spark.read.parquet(path).drop("day")
 
 
+@register("a5_committed_log", f"""{W5}
+select ts, cli, session_id, trigger, greatest(0, initial_size) as initial_chars, greatest(0, final_size) as result_chars,
+       greatest(0, greatest(0, initial_size) - greatest(0, final_size)) as saved_chars, ingest_seq
+from res where ok and optimized_context <> ''""")
+def a5_committed(spark, sf):
+    """The log in three batches, one of which is written again: each row once."""
+    path, rows = scratch_dir(spark, "results"), _results(spark, sf)
+    for batch in (0, 1, 1, 2, 0):
+        IO.append_results(rows.where(F.col("ingest_seq") % 3 == batch), path, batch=f"batch {batch}")
+    return IO.read_log(spark, path).drop("day")
+
+
 @register("a6_read_results", f"""{W5}
 select date_trunc('millisecond', ts) as ts, cli, session_id, trigger,
        cast(case when ingest_seq % 17 = 0 then 0 when ingest_seq % 13 = 0 then initial_chars
@@ -81,6 +93,21 @@ def a7(spark, sf):
     return IO.read_contexts(spark, path)
 
 
+@register("a7_compacted_contexts", f"""{W5},
+k as (select regexp_replace(session_id, '[^A-Za-z0-9_.-]', '_', 'g') as key, ts, optimized_context, ingest_seq, ingest_seq % 3 as batch
+      from res where ok and optimized_context <> ''),
+r as (select *, row_number() over (partition by key order by batch desc, ts desc, ingest_seq desc) as rn from k)
+select key, ts, optimized_context as context from r where rn = 1""")
+def a7_compacted(spark, sf):
+    """Contexts as a base with deltas: two deltas, compaction, another delta, which replaces what the base has."""
+    path, rows = scratch_dir(spark, "contexts"), _results(spark, sf)
+    for batch in (0, 1, 2):
+        IO.write_contexts(rows.where(F.col("ingest_seq") % 3 == batch), path, batch=f"{batch}")
+        if batch == 1:
+            IO.compact_contexts(spark, path)
+    return IO.read_contexts(spark, path)
+
+
 @register("b11_sanitize", f"""{W5}
 select ingest_seq, regexp_replace(session_id, '[^A-Za-z0-9_.-]', '_', 'g') as session_key,
        regexp_replace(session_id, '[",\\r\\n]', '_', 'g') as log_session, regexp_replace(cli, '[",\\r\\n]', '_', 'g') as log_cli

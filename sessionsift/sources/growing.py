@@ -26,20 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from sessionsift.functions.text import strip_ws
+from sessionsift.sources.stores import store_of
 
 S = "session_id"
 SCHEMA = "session_id string, file string, chunk long, line_in_chunk long, raw string"
 CHUNK_BYTES, TAIL, READ_ROWS = 64 << 20, 1 << 16, 10_000
 
 
-def _store(path: str):
-    """File system and path of a URI or a local path (Hadoop writes ``file:/x``)."""
-    from pyarrow import fs
-    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
-        path = "file://" + posixpath.abspath(path)
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-
-
 def session_of(file: str) -> str | None:
     """The ``session_id=`` folder a file sits in, else its name without the ending."""
     folder = re.search(r"/session_id=([^/]*)/[^/]*$", file)
@@ -61,23 +54,23 @@ def chunks_of(file: str, begin: int, end: int, size: int) -> list[Chunk]:
 
 
 class _Files:
-    """What batch and stream readers share."""
+    """What batch and stream readers share; the names of options come in lower case."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.size = int(options.get("chunkBytes", CHUNK_BYTES))
-        self.upto = int(options.get("upTo", 1 << 62))
+        self.size = int(options.get("chunkbytes", CHUNK_BYTES))
+        self.upto = int(options.get("upto", 1 << 62))
 
     def sizes(self) -> dict[str, int]:
         from pyarrow import fs
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         hidden = lambda f: any(p[:1] in ("_", ".") for p in f[len(root):].split("/"))
         return {i.path: min(i.size, self.upto) for i in found if i.is_file and not hidden(i.path)}
 
     def whole_lines(self, file: str, begin: int, size: int) -> int:
         """The end of the last whole line, looking back from the end in small steps."""
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         with store.open_input_file(file) as f:
             at = size
             while at > begin:
@@ -90,7 +83,7 @@ class _Files:
         return begin
 
     def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         session, schema = session_of(part.file), pa.schema([(S, pa.string()), ("file", pa.string()), ("chunk", pa.int64()), ("line_in_chunk", pa.int64()), ("raw", pa.string())])
         with io.BufferedReader(store.open_input_file(part.file), 1 << 20) as f:
             at = part.begin
