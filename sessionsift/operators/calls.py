@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionsift import constants as C
+from sessionsift.functions.signature import INFINITE, finite_json, js_json
 from sessionsift.functions.text import is_protected
 from sessionsift.operators.ordered import join_null_safe, running_sum
 
@@ -78,17 +79,17 @@ def mark_superseded_outputs(calls: DataFrame, order: str = "seq") -> DataFrame:
 def _mask_json(raw: Column) -> tuple[Column, Column]:
     """Replace every top-level string value (not already the marker) by the marker.
 
-    Returns (canonical JSON text after masking, touched flag).  Objects and
-    arrays qualify; other inputs are left alone.
+    Returns (JSON text after masking, touched flag); what stays is printed as JavaScript prints it.
+    Objects and arrays qualify; other inputs, also text after a JSON value, are left alone.
     """
-    v = F.try_parse_json(raw)
+    v = finite_json(raw)
     kind = F.schema_of_variant(v)
     m = v.cast("map<string,variant>")
     a = F.try_variant_get(v, "$", "array<variant>")
 
     def repl(x):
         is_s = F.schema_of_variant(x) == "STRING"
-        hit = is_s & (F.try_variant_get(x, "$", "string") != C.ERROR_INPUT_MARKER)
+        hit = is_s & ~F.try_variant_get(x, "$", "string").isin(C.ERROR_INPUT_MARKER, INFINITE)
         return hit
 
     marker_json = F.lit(json.dumps(C.ERROR_INPUT_MARKER))
@@ -103,7 +104,7 @@ def _mask_json(raw: Column) -> tuple[Column, Column]:
     is_obj, is_arr = kind.startswith("OBJECT"), kind.startswith("ARRAY")
     touched = (F.when(is_obj, F.exists(F.map_values(m), repl))
                .when(is_arr, F.exists(a, repl)).otherwise(F.lit(False)))
-    out = F.when(is_obj, obj_json).when(is_arr, arr_json).otherwise(raw)
+    out = F.when(is_obj, js_json(obj_json)).when(is_arr, js_json(arr_json)).otherwise(raw)
     return out, F.coalesce(touched, F.lit(False))
 
 

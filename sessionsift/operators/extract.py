@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionsift import constants as C
 from sessionsift.functions.text import is_blank, strip_ws
-from sessionsift.operators.ordered import last_before
+from sessionsift.operators.ordered import join_null_safe, last_before
 
 S = "session_id"
 
@@ -126,7 +126,7 @@ def build_requests(contexts: DataFrame, default_query: str = C.DEFAULT_QUERY) ->
     docs = keep.groupBy(S).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).cast("bigint").alias("size"))
     nz = lambda c: F.nullif(F.col(c), F.lit(""))
     empty_map = F.create_map().cast("map<string,string>")
-    return agg.join(docs, S, "left").select(
+    return join_null_safe(agg, docs, [S], "left").select(
         S,
         F.coalesce(nz("in_model"), nz("out_model"), F.lit("")).alias("model"),
         F.coalesce(nz("out_prompt"), nz("in_prompt"), F.lit(default_query)).alias("query"),

@@ -27,6 +27,24 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(marked, same, how).drop(*(f"__r_{k}" for k in keys))
 
 
+#: Stands for a null session inside a plan whose joins are plain ones.
+_NO_SESSION = "\x01\x01no session"
+
+
+def named_sessions(df: DataFrame, key: str = "session_id") -> DataFrame:
+    """Null sessions get a name of their own, so that plain joins and groups keep them together."""
+    if df.schema[key].dataType.simpleString() != "string":
+        return df
+    return df.withColumn(key, F.coalesce(F.col(key), F.lit(_NO_SESSION)))
+
+
+def nameless_sessions(df: DataFrame, key: str = "session_id") -> DataFrame:
+    """``named_sessions`` taken back."""
+    if df.schema[key].dataType.simpleString() != "string":
+        return df
+    return df.withColumn(key, F.nullif(F.col(key), F.lit(_NO_SESSION)))
+
+
 def running_sum(df: DataFrame, keys: list[str], order_col: str, value: Column | str, out: str,
                 block: int = DEFAULT_BLOCK, tiebreak: list[str] | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` in ``order_col`` order.

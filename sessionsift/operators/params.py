@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sessionsift import constants as C
 from sessionsift.functions.text import is_blank, js_number, js_round, parse_numeric, strict_json, strip_ws
+from sessionsift.operators.ordered import join_null_safe
 
 S = "session_id"
 
@@ -113,7 +114,7 @@ def apply_model_limits(requests: DataFrame, docs: DataFrame, limits: DataFrame |
     the requests with resolved typed parameter columns and ``size``.
     """
     sizes = docs.where(~is_blank("text")).groupBy(S).agg(F.sum(F.length("text")).cast("bigint").alias("size"))
-    r = requests.join(sizes, S, "left").withColumn("size", F.coalesce("size", F.lit(0).cast("bigint")))
+    r = join_null_safe(requests, sizes, [S], "left").withColumn("size", F.coalesce("size", F.lit(0).cast("bigint")))
     if "options" not in r.columns:
         r = r.withColumn("options", F.create_map().cast("map<string,string>"))
     stored, env = stored or {}, env or {}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sessionsift import constants as C
 from sessionsift.functions.text import strip_text, tokens
+from sessionsift.operators.ordered import join_null_safe
 
 S = "session_id"
 
@@ -72,7 +73,7 @@ def gate_by_size(requests: DataFrame, sizes: DataFrame, min_col: str = "min_inpu
     No docs -> no_optimization with sizes 0/0; an integer ``min_input_size`` > 0
     above the initial size -> no_optimization with final = initial.
     """
-    r = requests.join(sizes, S, "left")
+    r = join_null_safe(requests, sizes, [S], "left")
     n = F.coalesce(F.col("n_docs"), F.lit(0))
     i = F.coalesce(F.col("initial_size"), F.lit(0)).cast("bigint")
     m = F.col(min_col)

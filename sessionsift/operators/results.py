@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionsift import constants as C
 from sessionsift.functions.text import js_round, outcome_message, parse_numeric, sanitize_session_key, strict_json
-from sessionsift.operators.ordered import last_before
+from sessionsift.operators.ordered import join_null_safe, last_before
 
 S = "session_id"
 
@@ -21,7 +21,7 @@ def summarize_context(docs: DataFrame, requests: DataFrame | None = None) -> Dat
     agg = docs.groupBy(S).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).cast("bigint").alias("size"))
     if requests is None:
         return agg.select("*", F.lit(C.DEFAULT_QUERY).alias("query"), F.lit("").alias("model"))
-    return agg.join(requests.select(S, "query", "model"), S, "left").select(
+    return join_null_safe(agg, requests.select(S, "query", "model"), [S], "left").select(
         S, "docs", "size", F.coalesce(F.nullif("query", F.lit("")), F.lit(C.DEFAULT_QUERY)).alias("query"),
         F.coalesce("model", F.lit("")).alias("model"))
 
@@ -50,8 +50,7 @@ def stats_wide(log: DataFrame, now: str) -> DataFrame:
     ``today`` = at/after the UTC midnight of ``now``, ``week``/``month`` =
     less than 7/30 days before ``now`` (future rows count), ``overall`` = all.
     A null timestamp counts only in last/session/overall.  One global
-    aggregate plus one per-session aggregate joined on the last session id;
-    no cross join.
+    aggregate, and one over the rows of the last row's session only.
     """
     now_ts = F.to_timestamp(F.lit(now))
     ts = F.col("ts").cast("timestamp")  # local (session zone) time, also for TIMESTAMP_NTZ input
@@ -71,13 +70,15 @@ def stats_wide(log: DataFrame, now: str) -> DataFrame:
                  F.sum(F.when(c, F.col("saved_chars")).otherwise(0)).cast("bigint").alias(f"{w}_saved_chars")]
     last = F.max_by(F.struct(S, "initial_chars", "result_chars", "saved_chars"), "ingest_seq")
     g = log.agg(*aggs, last.alias("__last"), F.count(F.lit(1)).alias("__n"))
-    per_session = log.groupBy(S).agg(
+    # one row: the session to look for, known before its rows are added up
+    wanted = F.broadcast(log.agg(F.max_by(F.struct(S), "ingest_seq").alias("w")).select(f"w.{S}"))
+    per_session = join_null_safe(log, wanted, [S], "inner").groupBy(S).agg(
         F.count(F.lit(1)).alias("session_compactions"),
         F.sum("initial_chars").cast("bigint").alias("session_initial_chars"),
         F.sum("result_chars").cast("bigint").alias("session_result_chars"),
         F.sum("saved_chars").cast("bigint").alias("session_saved_chars"))
     g = g.withColumn(S, F.col("__last")[S])
-    out = g.join(per_session, S, "left")
+    out = join_null_safe(g, per_session, [S], "left")
     lst = F.col("__last")
     n = F.col("__n") > 0
     return out.select(
@@ -168,7 +169,8 @@ def apply_contexts(contexts: DataFrame, results: DataFrame) -> DataFrame:
                           F.col("initial_size"), F.col("final_size"))
     new_docs = rep.select(S, F.posexplode(F.array(msg, F.concat(F.lit(C.OPTIMIZED_HEADER), F.col("optimized_context"))))
                           .alias("pos", "text")).withColumn("pos", F.col("pos").cast("bigint"))
-    kept = contexts.join(rep.select(S), S, "left_anti").select(S, F.col("pos").cast("bigint"), "text")
+    kept = join_null_safe(contexts.select(S, F.col("pos").cast("bigint"), "text"), rep.select(S, F.lit(True).alias("__new")).distinct(), [S], "left")
+    kept = kept.where("__new IS NULL").drop("__new")
     return kept.unionByName(new_docs)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionsift import constants as C
 from sessionsift.operators import prune, rank
 from sessionsift.operators.compress import compress_scored, compress_text
+from sessionsift.operators.ordered import join_null_safe, named_sessions, nameless_sessions
 from sessionsift.operators.params import resolve_params
 from sessionsift.session import materialize, spread
 from sessionsift.sources.requests import validate_requests
@@ -145,8 +146,8 @@ def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder
     (``functions.models.Models``) chooses the model of each step by the names in
     the request's ``embed_model``, ``reranker_model`` and ``compressor_model``.
     """
-    docs = spread(docs, S, "pos")
-    params = with_param_defaults(requests if models is None else _with_models(requests))
+    docs = named_sessions(spread(docs, S, "pos"))
+    params = named_sessions(with_param_defaults(requests if models is None else _with_models(requests)))
     # One row per session, read by the selection and by the final join: materialise once.
     gated = materialize(rank.gate_by_size(params, rank.result_sizes(docs)))
     active = gated.where(F.col("gate") == "run")
@@ -176,7 +177,7 @@ def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder
     run = F.col("gate") == "run"
     bad = run & errors_of.isNotNull()
     opt = F.when(bad, F.lit("")).otherwise(F.coalesce(F.col("optimized_context"), F.lit("")))
-    return out.select(
+    return nameless_sessions(out.select(
         S,
         F.when(~run, F.col("gate")).when(bad, F.lit("failed")).when(opt == "", F.lit("no_optimization")).otherwise(F.lit("optimized")).alias("status"),
         F.when(bad, errors_of).when(run, F.lit("")).otherwise(F.col("gate_reason")).alias("reason"),
@@ -184,7 +185,7 @@ def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder
         F.when(bad, F.col("initial_size")).when(run, F.length(opt)).when(F.col("n_docs") == 0, F.lit(0)).otherwise(F.col("initial_size"))
         .cast("bigint").alias("final_size"),
         opt.alias("optimized_context"),
-    )
+    ))
 
 
 REQUEST_OPTIONS = ("min_input_size", "max_chunks", "total_prune_budget_chars", "compression_rate", "dedupe_threshold",
@@ -241,7 +242,6 @@ def optimize_live(calls: DataFrame, last: DataFrame | None = None) -> DataFrame:
 def replaced_parts(messages: DataFrame, calls: DataFrame) -> DataFrame:
     """``messages`` with the input and output of the ``calls(session_id, msg_no, part_no, input, output,
     superseded, masked)`` that changed."""
-    from sessionsift.operators.ordered import join_null_safe
     changed = calls.where("superseded OR masked").groupBy(S, "msg_no").agg(
         F.map_from_entries(F.collect_list(F.struct("part_no", F.struct("input", "output")))).alias("__new"))  # a message's parts
 
@@ -297,8 +297,7 @@ def transcript_items(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(None).cast("string").alias("signature"), F.lit(False).alias("protected"), F.lit(False).alias("is_error"),
         "turn")
     resolved = X.resolve_tool_calls(X.explode_tool_uses(ent), X.explode_tool_results(ent))
-    tools = (resolved.where(F.col("text") != "")
-             .join(turns.select(S, "line_no", "turn"), [S, "line_no"])
+    tools = (join_null_safe(resolved.where(F.col("text") != ""), turns.select(S, "line_no", "turn"), [S, "line_no"])
              .select(S, (F.col("line_no") * _SEQ_LINE + _SEQ_KIND + F.col("part_no")).alias("seq"), "line_no",
                      F.lit("tool_result").alias("kind"), K.label_tool_docs("name", "text").alias("text"),
                      tool_signature("name", "input").alias("signature"), is_protected("name").alias("protected"),
