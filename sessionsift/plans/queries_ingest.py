@@ -8,6 +8,7 @@ from sessionsift import constants as C
 from sessionsift.operators import calls as K
 from sessionsift.operators import extract as X
 from sessionsift.plans import fixtures as fx
+from sessionsift.plans import oracle_h5 as O
 from sessionsift.plans.optimize import transcripts_to_docs
 from sessionsift.plans.registry import register
 from sessionsift.session import scratch_dir
@@ -124,8 +125,7 @@ def f1t(spark, sf):
     return t.select(S, "line_no", "turn")
 
 
-@register("h6_transcripts_to_docs", f"""{W4},
-lastt as (select session_id, max(turn) as last from ev group by all),
+_H6_SQL = f"""lastt as (select session_id, max(turn) as last from ev group by all),
 items as (
   select session_id, 3 * e as line_no, 'text' as kind,
          case when event_type = 'view' then concat('turn ', e) else concat('note ', e % 5) end as text,
@@ -138,7 +138,50 @@ nw as (select session_id, sig, max(line_no) as newest from items where kind = 't
 k1 as (select i.* from items i left join nw using (session_id, sig) where i.kind = 'text' or i.prot or i.line_no = nw.newest),
 k2 as (select k1.* from k1 join lastt using (session_id)
        where not (kind = 'tool_result' and not prot and err and last - turn >= {C.PURGE_ERROR_TURNS})),
-k3 as (select *, row_number() over (partition by session_id order by line_no desc) as r from k2)
+k3 as (select *, row_number() over (partition by session_id order by line_no desc) as r from k2)"""
+
+
+@register("h6_transcripts_to_docs", f"""{W4},
+{_H6_SQL}
 select session_id, line_no, kind, text from k3 where r <= {C.MAX_TRANSCRIPT_ENTRIES}""")
 def h6(spark, sf):
     return transcripts_to_docs(fx.fx4_lines(spark, sf)).select(S, "line_no", "kind", "text")
+
+
+# --------------------------------------------------------------------------- the hook pair
+HOOK_CONFIG = {"min_chars": 1000}  # some sessions below, some above
+_HOOK_SQL = O.h5_sql(f"""{SQL_FX4}, {EV},
+{_H6_SQL.replace("items", "transcript_items")},
+hk as (select session_id, line_no as pos, text from k3 where r <= {C.MAX_TRANSCRIPT_ENTRIES}),
+hk_req as (select cast(user_id as varchar) as session_id, case when user_id % 2 = 0 then concat('note ', user_id % 5, ' out') else '{C.DEFAULT_QUERY}' end as query
+           from events group by user_id)""", "hk", "hk_req").replace(f"cast({C.DEFAULT_MIN_CHARS} as bigint) as min_input_size", f"cast({HOOK_CONFIG['min_chars']} as bigint) as min_input_size")
+
+
+def _hook_events(spark, sf):
+    e = fx.read(spark, sf, "events").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("ts"), F.max("event_id").alias("ingest_seq"))
+    asked = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("note "), (F.col("user_id") % 5).cast("string"), F.lit(" out"))).otherwise(F.lit(""))
+    return e.select(F.col("user_id").cast("string").alias(S), "ts", F.lit("auto").alias("trigger"), asked.alias("custom_instructions"), "ingest_seq")
+
+
+@register("h8_precompact", _HOOK_SQL)
+def h8(spark, sf):
+    """From transcript lines to a result for each session in one plan: H6, the size gate and H5."""
+    from sessionsift.plans.hooks import precompact
+    out = precompact(fx.fx4_lines(spark, sf), _hook_events(spark, sf), stored=HOOK_CONFIG)
+    return out.select(S, "status", "reason", "initial_size", "final_size", "optimized_context")
+
+
+@register("h8_handed_contexts", f"""select r.session_id as key, max(e.ts) + interval 1 hour as ts, concat('{C.OPTIMIZED_HEADER}', r.optimized_context) as context
+from ({_HOOK_SQL}) r join events e on cast(e.user_id as varchar) = r.session_id
+where r.optimized_context <> '' group by r.session_id, r.optimized_context""")
+def h8_contexts(spark, sf):
+    """The whole pair: transcript files, committed log and contexts, and the session
+    starts that receive them: two for each session, of which the first gets the context."""
+    from sessionsift.plans.hooks import run_precompact, session_starts
+    path, log, contexts = (scratch_dir(spark, n) for n in ("transcripts", "log", "contexts"))
+    write_transcripts(fx.fx4_lines(spark, sf), path)
+    events = _hook_events(spark, sf)
+    results = run_precompact(spark, path, events, log, contexts, "batch 1", stored=HOOK_CONFIG)
+    starts = events.select(S, F.expr("ts + interval 1 hour").alias("ts"), F.explode(F.array(F.lit("compact"), F.lit("startup"), F.lit("compact"))).alias("source"))
+    starts = starts.select(S, "ts", "source", (F.lit(1 << 40) + F.monotonically_increasing_id()).alias("ingest_seq"))
+    return session_starts(results, starts).select("key", "ts", "context")
