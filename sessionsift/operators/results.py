@@ -88,7 +88,7 @@ def stats_wide(log: DataFrame, now: str) -> DataFrame:
         F.coalesce(lst["saved_chars"], F.lit(0)).cast("bigint").alias("last_saved_chars"),
         *[F.coalesce(F.col(f"session_{m}"), F.lit(0)).cast("bigint").alias(f"session_{m}")
           for m in ("compactions", "initial_chars", "result_chars", "saved_chars")],
-        *[F.col(f"{w}_{m}") for w in conds for m in ("compactions", "initial_chars", "result_chars", "saved_chars")],
+        *[F.coalesce(F.col(f"{w}_{m}"), F.lit(0)).alias(f"{w}_{m}") for w in conds for m in ("compactions", "initial_chars", "result_chars", "saved_chars")],
     )
 
 

@@ -196,6 +196,19 @@ def e3(spark, sf):
     return R.stats_windows(_log(spark, sf), NOW)
 
 
+@register("e3_stats_from_rollup", f"{W5}, {_E3_SQL} select * from st")
+def e3_rollup(spark, sf):
+    """The six windows from an hourly rollup of three batches (one of them added twice, two compacted) and the rows
+    of two edge hours."""
+    from sessionsift.operators import rollups as RU
+    path, log = scratch_dir(spark, "rollup"), _log(spark, sf)
+    for batch in (0, 1, 0, 2):
+        RU.add_to_rollup(log.where(F.col("ingest_seq") % 3 == batch), path, f"{batch}")
+        if batch == 1:
+            RU.compact_rollup(spark, path)
+    return RU.stats_from_rollup(RU.read_rollup(spark, path), log, NOW)
+
+
 def _pivot(metric_sql: str, label: str) -> str:
     cols = ", ".join(f"max(case when \"window\" = '{w}' then {metric_sql} end) as \"{w}\"" for w in C.STATS_WINDOWS)
     return f"select '{label}' as metric, {cols} from st"

@@ -22,7 +22,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sessionsift.sources.stores import names_in, read_json, store_of, write_json
@@ -96,6 +96,27 @@ class _Writer(DataSourceArrowWriter):
             store.delete_file(f"{root}/{file}")
 
 
+class _StreamWriter(DataSourceStreamArrowWriter):
+    """Every micro-batch is a batch named after the stream and its number, so a batch that is run again after a
+    restart adds nothing."""
+
+    def __init__(self, options: dict, schema: StructType):
+        self.options, self.schema = options, schema
+        self.stream = options["batch"]
+
+    def _of(self, number: int | str) -> _Writer:
+        return _Writer(self.options | {"batch": f"{self.stream} {number}"}, self.schema)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        return self._of("files").write(iterator)  # tasks don't know the number
+
+    def commit(self, messages: list, batchId: int) -> None:
+        self._of(f"{batchId:012d}").commit(messages)
+
+    def abort(self, messages: list, batchId: int) -> None:
+        self._of(batchId).abort([m for m in messages if m is not None])
+
+
 class CommittedSink(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -104,6 +125,9 @@ class CommittedSink(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(dict(self.options), schema)
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return _StreamWriter(dict(self.options), schema)
+
 
 def manifests(path: str) -> list[dict]:
     """All committed batches in the order of their commits: one small file for each."""
@@ -128,6 +152,13 @@ def append_committed(rows: DataFrame, path: str, batch: str, by: tuple[str, ...]
     return True
 
 
+def stream_committed(rows: DataFrame, path: str, stream: str, checkpoint: str):
+    """Start writing a stream of rows as committed batches: everything available, then it ends."""
+    rows.sparkSession.dataSource.register(CommittedSink)
+    return (rows.writeStream.format("committed").option("batch", stream).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start(path))
+
+
 def read_committed(spark: SparkSession, path: str, schema: StructType | str | None = None, live: list[dict] | None = None) -> DataFrame:
     """The rows of all live batches (or of those given) with their ``batch``; ``schema`` is that of a table without
     any."""

@@ -1,5 +1,5 @@
-"""Stateless-key streams: J3 first_warnings (bounded dedupe) and J4 stream_savings (event-time windows),
-plus the runner that drives any stream to completion on the files present."""
+"""J3 first_warnings as a stream, the events as a stream of late micro-batches, and the runner that drives any
+stream to completion on the files present."""
 
 from __future__ import annotations
 
@@ -20,20 +20,6 @@ def first_warnings(log: DataFrame, message: str = "message") -> DataFrame:
     return log.select(key.alias("warn_key"), F.col(message).alias("message")).dropDuplicates(["warn_key", "message"])
 
 
-def stream_savings(log: DataFrame, sliding: bool = False) -> DataFrame:
-    """Running savings per UTC day and cli (or trailing 7-day windows sliding by a day).
-
-    Without a watermark, so that late rows count as in the batch twin; the state holds one row for each
-    window and cli."""
-    w = F.window("ts", "7 days", "1 day") if sliding else F.window("ts", "1 day")
-    return (log.withColumn("ts", F.col("ts").cast("timestamp"))
-            .groupBy(w.alias("w"), "cli")
-            .agg(F.count(F.lit(1)).alias("compactions"), F.sum("initial_chars").cast("bigint").alias("initial_chars"),
-                 F.sum("result_chars").cast("bigint").alias("result_chars"),
-                 F.sum("saved_chars").cast("bigint").alias("saved_chars"))
-            .select(F.col("w.start").alias("day"), "cli", "compactions", "initial_chars", "result_chars", "saved_chars"))
-
-
 def events_stream(spark: SparkSession, sf_dir: str, table: str = "events", parts: int = 5, late: bool = True) -> DataFrame:
     """A table as a file stream of at least ``parts`` micro-batches, in the order of ``event_id``.
 
@@ -61,22 +47,3 @@ def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFr
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Drive an aggregating stream in complete mode; every micro-batch writes the whole result (one row
-    per window and key) as Parquet in the shared scratch folder, and the last one is read back."""
-    spark = stream.sparkSession
-    base = scratch_dir(spark, f"stream-{name}")
-    done: list[int] = []
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/{number:09d}")
-        done.append(number)
-
-    q = (stream.writeStream.foreachBatch(write).outputMode("complete")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    if not done:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{base}/out/{max(done):09d}")
