@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sessionsift.functions.text import js_number, strict_json
+from sessionsift.functions.text import js_number, let, strict_json
 
 #: A JSON string, or all that stands up to the next one.
 _TOKENS = r'"(?:[^"\\]|\\.)*+"|[^"]++'
@@ -88,16 +88,16 @@ def canonical_json(raw) -> Column:
     """Canonical JSON of a JSON text column (null for null and JSON null; other text that is not one JSON
     value stands as a JSON string, so that different inputs stay different)."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    v = finite_json(raw)
-    text = F.to_json(v)
-    whole = F.when(text.contains(":null"), _without_null_entries(text)).otherwise(text)
     as_string = _js_escapes(F.regexp_replace(F.to_json(F.array(raw)), r"^\[|\]$", ""))
-    return (F.when(raw.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
-            .when(v.isNull(), as_string).otherwise(js_json(whole)))
+
+    def printed(v):
+        whole = let(F.to_json(v), lambda text: F.when(text.contains(":null"), _without_null_entries(text)).otherwise(text))
+        return F.when(v.isNull(), as_string).when(~F.is_variant_null(v), let(whole, js_json))
+
+    return F.when(raw.isNotNull(), let(finite_json(raw), printed))
 
 
 def tool_signature(tool, input_json) -> Column:
     """``tool`` when the input is missing/null, else ``tool::<canonical json>``."""
     tool = F.col(tool) if isinstance(tool, str) else tool
-    canon = canonical_json(input_json)
-    return F.when(canon.isNull(), tool).otherwise(F.concat(tool, F.lit("::"), canon))
+    return F.coalesce(F.concat(tool, F.lit("::"), canonical_json(input_json)), tool)

@@ -28,9 +28,16 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _stripped(text: Column, lead: str, trail: str) -> Column:
+    """Both ends stripped.  The patterns only run over texts whose first or last character calls for it: looking
+    for the end of a long text tries every white space in it."""
+    ends = F.substring(text, 1, 1).rlike(lead) | F.substring(text, -1, 1).rlike(trail)
+    return F.when(ends, F.regexp_replace(F.regexp_replace(text, lead, ""), trail, "")).otherwise(text)
+
+
 def strip_ws(c) -> Column:
     """Strip all leading/trailing whitespace (SQL ``trim`` only strips spaces)."""
-    return F.regexp_replace(F.regexp_replace(col_(c), _LEAD_WS, ""), _TRAIL_WS, "")
+    return _stripped(col_(c), _LEAD_WS, _TRAIL_WS)
 
 
 # The white space that Python's ``str.strip`` removes (other than ``strip_ws``: no BOM, but NEL and the
@@ -41,13 +48,18 @@ PY_WS_CLASS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A
 
 def strip_text(c) -> Column:
     """Strip the white space of ``PY_WS_CLASS`` (B9 and the optimizer's query)."""
-    return F.regexp_replace(F.regexp_replace(col_(c), f"^{PY_WS_CLASS}+", ""), f"{PY_WS_CLASS}+$", "")
+    return _stripped(col_(c), f"^{PY_WS_CLASS}+", f"{PY_WS_CLASS}+$")
 
 
 def is_blank(c) -> Column:
     return col_(c).isNull() | (strip_ws(c) == "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strict_json(c) -> Column:
     """The VARIANT of a JSON text, null unless the whole text is one JSON value.
 
@@ -56,10 +68,9 @@ def strict_json(c) -> Column:
     """
     raw = col_(c)
     listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    one = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
     member = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}")))
-    one = ((F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1)
-           & (F.size(F.try_variant_get(member, "$", "map<string,variant>")) == 1))
-    return F.when(one, F.try_variant_get(member, "$.v", "variant"))
+    return let(member, lambda m: F.when((F.size(F.try_variant_get(m, "$", "map<string,variant>")) == 1) & one, F.try_variant_get(m, "$.v", "variant")))
 
 
 def tokens(c) -> Column:

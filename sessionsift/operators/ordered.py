@@ -24,6 +24,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     """Equi-join in which a null key equals a null key; the keys come out once."""
     marked = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    if how in ("left_semi", "left_anti"):
+        return left.join(marked, same, how)
     return left.join(marked, same, how).drop(*(f"__r_{k}" for k in keys))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sessionsift import constants as C
 from sessionsift.functions.text import strip_text, tokens
 from sessionsift.operators.ordered import join_null_safe
+from sessionsift.session import materialize
 
 S = "session_id"
 
@@ -41,13 +42,15 @@ def normalize_docs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tail_docs(docs: DataFrame, n: int = C.MAX_TRANSCRIPT_ENTRIES, order: str = "pos") -> DataFrame:
-    """the last ``n`` docs of each session (original order kept by ``order``).
+    """the last ``n`` docs of each session (original order kept by ``order``, which is unique in a session).
 
-    ``row_number <= n`` with a literal ``n`` lets the planner insert a partial
-    per-partition ``WindowGroupLimit`` before the shuffle.
+    The ranking sees ``(session_id, order)`` only: ``row_number <= n`` with a literal ``n`` lets the planner
+    insert a partial per-partition ``WindowGroupLimit`` before the shuffle, and the winners fetch their docs
+    afterwards.
     """
     w = Window.partitionBy(S).orderBy(F.col(order).desc())
-    return docs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+    places = docs.select(S, order).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+    return fetched(docs, places, [S, order], "left_semi")
 
 
 def purge_error_docs(docs: DataFrame, prefixes=C.ERROR_PREFIXES, text: str = "text") -> DataFrame:
@@ -110,58 +113,30 @@ def dense_cosine(a, b) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / (na * nb))
 
 
-#: Sorts before every letter and digit, so a marked term follows the equal plain terms at once.
-_MARK = "\x01"
-
-
 def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     """Query terms ``(session_id, term, qtf)``; a blank query has none."""
     return (queries.select(S, F.explode(tokens(F.col(query))).alias("term"))
             .groupBy(S, "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def query_vectors(queries: DataFrame, query: str = "query") -> DataFrame:
-    """One row per session with query terms: ``(session_id, __marks, __qn)``: each term with its count behind a
-    mark, and the norm of the counts.  A list is as long as its query has terms."""
-    t = query_terms(queries, query)
-    mark = F.concat("term", F.lit(_MARK), F.col("qtf").cast("string"))
-    return t.groupBy(S).agg(F.collect_list(mark).alias("__marks"), F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).cast("double")).alias("__qn"))
-
-
-def query_dot(toks: Column, marks: Column) -> Column:
-    """struct(dot, ss): dot product of a doc's term counts with a query's, and the doc's squared norm.
+def query_sims(docs: DataFrame, queries: DataFrame, query: str = "query") -> DataFrame:
+    """H2 (lexical): ``(session_id, pos, __sim)`` of the docs that share a term with their session's query: the
+    cosine of the term counts, rounded to 6 digits.
 
-    Doc tokens and marked query terms are sorted together and read once, so the cost is that of a sort of
-    both lists, not their product."""
-    zero = F.lit(0).cast("bigint")
-    init = F.struct(F.lit("").alias("prev"), zero.alias("run"), zero.alias("dot"), zero.alias("ss"))
+    Counts are added up before the shuffle and leave the text behind, so what is shuffled is a doc's distinct
+    terms, and a long query costs no more than its terms."""
+    q = query_terms(queries, query)
+    norms = q.groupBy(S).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).cast("double")).alias("__qn"))
+    both = embed_docs(docs.select(S, "pos", "text")).join(q, [S, "term"], "left")
+    dots = both.groupBy(S, "pos").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("ss"))
+    sim = F.round(F.col("dot").cast("double") / (F.sqrt(F.col("ss").cast("double")) * F.col("__qn")), C.SCORE_DIGITS)
+    return dots.where("dot > 0").join(norms, S).select(S, "pos", sim.alias("__sim"))
 
-    def step(s, x):
-        at = F.instr(x, _MARK)
-        same = F.substring(x, F.lit(1), at - 1) == s["prev"]
-        count = F.substring(x, at + 1, F.lit(20)).cast("bigint")
-        marked = F.struct(s["prev"].alias("prev"), s["run"].alias("run"),
-                          (s["dot"] + F.when(same, s["run"] * count).otherwise(zero)).alias("dot"), s["ss"].alias("ss"))
-        again = F.struct(s["prev"].alias("prev"), (s["run"] + 1).alias("run"), s["dot"].alias("dot"), s["ss"].alias("ss"))
-        new = F.struct(x.alias("prev"), F.lit(1).cast("bigint").alias("run"), s["dot"].alias("dot"), (s["ss"] + s["run"] * s["run"]).alias("ss"))
-        return F.when(at > 0, marked).when(x == s["prev"], again).otherwise(new)
 
-    return F.aggregate(F.array_sort(F.concat(toks, marks)), init, step,
-                       lambda s: F.struct(s["dot"].alias("dot"), (s["ss"] + s["run"] * s["run"]).alias("ss")))
-
-
-def query_cosines(docs: DataFrame, queries: DataFrame, query: str = "query", need: Column | None = None) -> DataFrame:
-    """H2 (lexical): ``docs`` with ``__sim``, the cosine of a doc's term counts with its session's query;
-    zero norm -> 0; rounded to 6 digits.  Docs for which ``need`` is false get 0 unread."""
-    j = docs.join(query_vectors(queries, query), S, "left")
-    none = F.array().cast("array<string>")
-    # Tokens, dot product and norms are separate projections so each is evaluated once per row.
-    need = F.lit(True) if need is None else need
-    j = j.withColumn("__d", F.when(need & F.col("__marks").isNotNull(), query_dot(F.coalesce(tokens(F.col("text")), none), F.col("__marks"))))
-    dot, ss = F.col("__d")["dot"], F.col("__d")["ss"]
-    sim = F.when(F.col("__d").isNull() | (dot == 0) | (ss == 0) | (F.col("__qn") == 0), F.lit(0.0)) \
-        .otherwise(F.round(dot.cast("double") / (F.sqrt(ss.cast("double")) * F.col("__qn")), C.SCORE_DIGITS))
-    return j.withColumn("__sim", sim).drop("__marks", "__qn", "__d")
+def query_cosines(docs: DataFrame, queries: DataFrame, query: str = "query") -> DataFrame:
+    """``docs`` with ``__sim``, the cosine of a doc's term counts with its session's query; zero norm -> 0."""
+    sims = query_sims(docs, queries, query)
+    return docs.join(sims, [S, "pos"], "left").withColumn("__sim", F.coalesce("__sim", F.lit(0.0)))
 
 
 # --------------------------------------------------------------------------- H3
@@ -195,35 +170,57 @@ def prefilter_cap(max_chunks) -> Column:
     return F.greatest(F.lit(C.PREFILTER_MIN_CAP), mc * C.PREFILTER_CHUNK_FACTOR)
 
 
+#: The most narrow rows (a session and a few numbers) that are broadcast after they have been counted.
+BROADCAST_ROWS = 1_000_000
+
+
+def fetched(docs: DataFrame, places: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``docs`` joined with the narrow ``places``, which are written and counted first: few enough are broadcast,
+    so that no other doc's text moves; beyond that both sides are shuffled."""
+    places = materialize(places)
+    return join_null_safe(docs, F.broadcast(places) if places.count() <= BROADCAST_ROWS else places, keys, how)
+
+
+def top_places(scored: DataFrame, by: str, bound: int, cap: str = "cap") -> DataFrame:
+    """The first ``cap`` rows of each session by ``by`` (null first), then ``pos``, with their place ``__rn``.
+
+    ``bound``, a literal at least as large as every cap, lets the planner put a partial per-partition top-k
+    (``WindowGroupLimit``) below the shuffle: one from each partition, at most ``bound`` rows, meets in the
+    task of a hot session."""
+    w = Window.partitionBy(S).orderBy(F.col(by).desc_nulls_first(), F.col("pos").asc())
+    ranked = scored.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= F.lit(bound))
+    return ranked.where(F.col("__rn") <= F.col(cap))
+
+
 def prefilter_topk(docs: DataFrame, params: DataFrame, query: str = "query", carry: tuple[str, ...] = (),
                    given: str | None = None) -> DataFrame:
     """sessions with more than ``cap`` docs keep the top ``cap`` by query cosine, re-ordered by it.
 
-    ``params`` has one row per session with ``query`` and ``cap`` (and is read twice: materialise it).  The
-    greatest cap, one scalar, goes into the plan as a literal bound, so that the planner puts a partial
-    per-partition top-k (``WindowGroupLimit``) below the shuffle.  Output adds ``ppos``: the prefilter rank
-    when the cap fired, else the incoming ``pos``, and the ``carry`` parameter columns.  ``given`` names a
-    column of ``docs`` to rank by in place of the lexical cosine (null first: such a doc is always kept).
+    ``params`` has one row per session with ``query`` and ``cap`` (and is read twice: materialise it).  Only
+    sessions above their cap are scored and ranked, on ``(session_id, pos, cosine)``; the winners fetch their text
+    afterwards, so no text goes through an exchange or a sort before they are known.  Output adds ``ppos``: the
+    prefilter rank when the cap fired, else the incoming ``pos``, and the ``carry`` parameter columns.  ``given``
+    names a column of ``docs`` to rank by in place of the lexical cosine (null first: such a doc is always kept).
     """
-    row = params.agg(F.max("cap").alias("m")).first()
+    row = params.agg(F.max("cap").alias("m"), F.count("*").alias("n")).first()  # the literal bound of the plan
     bound = int(row["m"]) if row["m"] is not None else 0
-    # Sessions whose raw doc count (when known) cannot exceed the cap skip the cosine entirely.
-    upper = F.col("n_docs") if "n_docs" in params.columns else F.lit(None).cast("bigint")
     asked = F.when(strip_text(F.col(query)) == "", F.lit(" ")).otherwise(F.col(query))
     counts = docs.groupBy(S).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(S).orderBy(F.col("__sim").desc_nulls_first(), F.col("pos").asc())
-    need = F.col("__upper").isNull() | (F.col("__upper") > F.col("cap"))
-    j = docs.join(params.select(S, "cap", upper.alias("__upper"), *carry), S)
+    sized = params.select(S, "cap", asked.alias("__q"), *carry).join(counts, S)
+    # rows of a session's numbers and names; with the query among them they may be of any size
+    by_session = F.broadcast if row["n"] <= BROADCAST_ROWS and query not in carry else (lambda side: side)
+    over = F.col("__n") > F.col("cap")
+    few = docs.join(by_session(sized.where(~over).drop("__q", "__n", "cap")), S).withColumn("ppos", F.col("pos").cast("bigint"))
+    large = sized.where(over)
+    many = docs.join(by_session(large.select(S)), S, "left_semi")
     if given is None:
-        j = query_cosines(j, params.select(S, asked.alias("__q")), "__q", need)
+        sims = query_sims(many, large.select(S, "__q"), "__q")
+        scored = many.select(S, "pos").join(sims, [S, "pos"], "left").withColumn("__sim", F.coalesce("__sim", F.lit(0.0)))
     else:
-        j = j.withColumn("__sim", F.col(given))
-    top = (j.withColumn("__rn", F.row_number().over(w))
-           .where(F.col("__rn") <= F.lit(bound))
-           .where(F.col("__rn") <= F.col("cap")))
-    return (top.join(counts, S)
-            .withColumn("ppos", F.when(F.col("__n") > F.col("cap"), F.col("__rn")).otherwise(F.col("pos")).cast("bigint"))
-            .drop("__sim", "__rn", "__n", "cap", "__upper"))
+        scored = many.select(S, "pos", F.col(given).alias("__sim"))
+    places = top_places(scored.join(large.select(S, "cap"), S), "__sim", bound).select(S, "pos", F.col("__rn").cast("bigint").alias("ppos"))
+    winners = fetched(docs, places, [S, "pos"]).join(by_session(large.drop("__q", "__n", "cap")), S)
+    return few.unionByName(winners.select(*few.columns))
 
 
 # --------------------------------------------------------------------------- F6 / F7

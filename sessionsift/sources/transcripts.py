@@ -46,8 +46,9 @@ def parse_entries(lines: DataFrame) -> DataFrame:
 
     Returns ``(session_id, line_no, type, content)`` with ``content`` a VARIANT.
     """
-    v = strict_json("raw")
-    parsed = lines.where(strip_ws("raw") != "").select(S, "line_no", v.alias("__v")).where(F.col("__v").isNotNull())
+    # exploded, not filtered: a filter would be pushed below the projection and parse each line again
+    v = F.filter(F.array(strict_json("raw")), lambda x: x.isNotNull())
+    parsed = lines.where(strip_ws("raw") != "").select(S, "line_no", F.explode(v).alias("__v"))
     return parsed.select(
         S, "line_no",
         F.when(F.schema_of_variant(F.try_variant_get("__v", "$.type", "variant")) == "STRING",

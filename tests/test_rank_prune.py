@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from sessionsift.operators import prune, rank
@@ -78,11 +80,34 @@ def test_purge_is_literal_and_case_insensitive(df):
     assert [r.pos for r in rank.purge_error_docs(d).collect()] == [3]
 
 
-def test_prefilter_plan_has_partial_group_limit(spark, df):
+def test_prefilter_keeps_the_cap(spark, df):
     d = df([("s", i, f"doc {i} word") for i in range(60)], "session_id string, pos long, text string")
     p = df([("s", "word 5", 40)], "session_id string, query string, cap int")
     out = rank.prefilter_topk(d, p)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
     assert out.count() == 40
     assert out.where(F.col("ppos") == 1).first().pos == 5
+
+
+def moved(frame):
+    """Input columns of every exchange, sort and window of a plan."""
+    text = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+    return re.findall(r"\(\d+\) (Exchange|Sort|Window|WindowGroupLimit)\b.*\nInput \[\d+\]: \[(.*)\]", text)
+
+
+def test_text_is_fetched_by_the_winners_only(spark, df, tmp_path):
+    rows = [("hot" if i % 3 == 0 else f"s{i % 50}", i, f"word {i} " * 5) for i in range(3000)]
+    df(rows, "session_id string, pos long, text string").repartition(6).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    params = df([(s, "word 30 33", 40) for s in ["hot", *(f"s{k}" for k in range(50))]], "session_id string, query string, cap int")
+    for frame in (rank.prefilter_topk(docs, params), rank.tail_docs(docs, 20)):
+        assert not [n for n, columns in moved(frame) if "text#" in columns]
+    ranked = rank.top_places(docs.select("session_id", "pos", F.col("pos").alias("x")).join(params.select("session_id", "cap"), "session_id"), "x", 40)
+    assert "WindowGroupLimit" in {n for n, _ in moved(ranked)} and not [n for n, columns in moved(ranked) if "text#" in columns]
+    top = rank.prefilter_topk(docs, params)
+    got = {}
+    for r in top.collect():
+        got.setdefault(r.session_id, []).append((r.ppos, r.pos, r.text))
+    assert len(got["hot"]) == 40 and {p for _, p, _ in sorted(got["hot"])[:2]} == {30, 33} and all(len(v) == 40 for v in got.values())
+    assert all(t == f"word {p} " * 5 for v in got.values() for _, p, t in v)
+    last = [r.pos for r in rank.tail_docs(docs, 20).where("session_id = 'hot'").collect()]
+    assert sorted(last) == sorted(i for i in range(3000) if i % 3 == 0)[-20:]
