@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionsift.llm import licenses, linededup, lm, minhash, mixing, packing, pii, quality, queries, simhash, vptree
+from sessionsift.llm.common import staged
 from sessionsift.llm.cuckoo import CuckooFilter
 from sessionsift.llm.tokens import cached_tokenizer
 
@@ -37,49 +39,127 @@ def words(text):
 
 # --- personal data ------------------------------------------------------------------------------------
 
-def test_disclosing_terms(spark):
-    rows = []
-    for k in range(40):
-        who = f"person{k % 4}@mail.org" if k < 24 else "nobody"
-        secret = f"codename{k % 4}" if k < 24 else "ordinary"
-        rows.append((k, f"report {k} about {secret}: written by {who} in the common office on day {k * 7}"))
-    rows += [*((k, f"codename1 is mentioned here without any address, {k}") for k in range(100, 104)), (104, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(df)).collect()}
-    for k in range(24):
-        text = dict(rows)[k]
-        a, b = text.index("codename"), text.index("codename") + 9
-        email = text.index("person")
-        assert found[k] == f"term:{a}:{b},email:{email}:{email + 16}"
-    assert all(found[k] == "" for k in [*range(24, 40), *range(100, 105)])
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
-    assert clean[0] == "report 0 about : written by [EMAIL] in the common office on day 0"
-    assert clean[1] == "report 1 about [TERM]: written by [EMAIL] in the common office on day 7"  # also seen without
-    assert clean[30] == dict(rows)[30]
-
-
-def test_disclosing_terms_in_documents_without_the_entity(spark, tmp_path):
-    rows = [(k, f"report about {'codename1' if k < 24 else 'ordinary'}: by {'person1@mail.org' if k < 24 else 'nobody'}, page {k}") for k in range(60)]
-    rows += [(k, f"\U0001f600 Codename1 without any address, {k}; codename1") for k in range(100, 104)]
-    rows += rows[-1:]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = queries.op1_pii(spark, str(tmp_path)).collect()
-    assert len(got) == len(rows)
-    text = dict(rows)
-    for r in got:
-        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer("codename1", text[r["doc_id"]].lower())}
-        assert {x for x in r["spans"].split(",") if text[r["doc_id"]][int((x or ":0:0").split(":")[1]):].lower().startswith("codename1")} - {""} == want
+WORDS = [f"{a}{b}" for a in ("ba", "co", "du", "fe", "gi", "ho", "ju", "ka", "le", "mo") for b in ("lan", "rit", "sem", "tov", "wen", "xor", "yap", "zin")]
 
 
-def test_short_terms_of_addresses_in_two_documents(spark, tmp_path):
-    rows = [(k, f"an ordinary page in the common office, number {k}") for k in range(60)]
-    rows += [(100, "Ann wrote this from ann1@mail.org in the office"), (101, "write to ann1@mail.org, says Ann, or to Bo"), (102, "a page about Ann")]
-    rows += [(k, "Lee is at lee2@mail.org") for k in (110, 111)]  # copies of one text say nothing
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["spans"].split(",") for r in queries.op1_pii(spark, str(tmp_path)).collect()}
-    assert "term:0:3" in got[100] and "term:29:32" in got[101] and "term:13:16" in got[102]
-    assert not any(x.startswith("term:0:") for x in got[110])
-    assert all(got[k] == [""] for k in range(60))
+def page(rng, n=30):
+    return " ".join(rng.choices(WORDS, k=n))
+
+
+def test_a_code_name_in_different_texts(spark):
+    rng = random.Random(1)
+    rows = [(k, f"{page(rng)} Codename1 {page(rng, 5)} chief{k % 2}@mail.org {page(rng)}") for k in range(20)]
+    rows += [(k, page(rng, 60)) for k in range(20, 300)] + [(k, f"{page(rng)} codename1, without any address: \U0001f600 CODENAME1") for k in (400, 401)]
+    rows += [(402, None), (401, rows[-1][1])]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    text = {i: t or "" for i, t in rows}
+    got = pii.digest(found).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("codename1", text[r["doc_id"]].lower())]
+        want += [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"chief[01]@mail\.org", text[r["doc_id"]])]
+        assert r["spans"].split(",") == (sorted(want, key=lambda x: int(x.split(":")[1])) or [""])
+        assert r["n_generalised"] + r["n_removed"] == len([w for w in want if w.startswith("term")])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string"), found).collect()}
+    assert "odename1" not in clean[0].lower() and "[EMAIL]" in clean[0] and clean[30] == text[30] and clean[402] == ""
+    assert "codename1" not in clean[400].lower() and clean[400].count("\U0001f600") == 1
+
+
+def brute_shares(rows, groups):
+    """The estimate by hand: term -> largest share over entities (e-mails only), with the copies given."""
+    n = len(rows)
+    split = lambda t: {w.lower() for w in re.split(r"[^\w]+|_", t) if w}
+    holders = collections.defaultdict(set)
+    for i, t in rows:
+        for m in re.finditer(r"[\w.]+@[\w.]+[a-z]", t):
+            holders[m[0].lower()].add(i)
+    out = {}
+    for e, docs in holders.items():
+        if len({dict(rows)[i] for i in docs}) < 2:
+            continue
+        n_e = len({groups[i] for i in docs})
+        for t in set().union(*(split(dict(rows)[i]) for i in docs)):
+            mine = [i for i in docs if t in split(dict(rows)[i])]
+            k, n_t = len({groups[i] for i in mine}), sum(t in split(x) for _, x in rows)
+            n_t = n_t - len(mine) + k
+            if k < 2 or n_e >= n:
+                continue
+            p, z = k / n_t, 1.96
+            low = (p + z * z / (2 * n_t) - z * math.sqrt((p * (1 - p) + z * z / (4 * n_t)) / n_t)) / (1 + z * z / n_t)
+            share = math.log2(low * n / n_e) / math.log2(n / n_e)
+            both = n_t * n_e / n
+            cells = [(k, both), (n_t - k, n_t - both), (n_e - k, n_e - both), (n - n_t - n_e + k, n - n_t - n_e + both)]
+            g2 = 2 * sum(o * math.log(o / x) for o, x in cells if o > 0)
+            if share >= 0.6 and k > both and g2 >= 3 * math.log(n):
+                out[t] = max(share, out.get(t, 0))
+    return out
+
+
+def test_shares_by_hand(spark):
+    rng = random.Random(7)
+    rows = [(k, f"{page(rng, 20)} secret{k % 5} {'only' + str(k % 3) if k % 2 else ''} {page(rng, 8)} who{k % 5}@x.org {page(rng, 10)}") for k in range(60)]
+    rows += [(k, f"{page(rng, 40)} {'secret1' if k % 7 == 0 else ''}") for k in range(60, 400)]
+    near = rows[3][1].split()
+    for k in range(20):  # near copies of one document count once
+        rows.append((500 + k, " ".join([*near[:-1], f"tail{k}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = staged(pii.base_spans(df), "test-pii")
+    got = {r["term"]: r["share"] for r in pii.disclosures(df, found).collect()}
+    groups = {i: (3 if i >= 500 else i) for i, _ in rows}
+    want = brute_shares(rows, groups)
+    assert {t: round(x, 9) for t, x in got.items()} == {t: round(x, 9) for t, x in want.items()} and {"secret0", "secret2"} <= set(got)
+    assert not any(t.startswith("tail") for t in got)
+
+
+def test_copies_flag_no_ordinary_word(spark):
+    rng = random.Random(2)
+    base = "Please send the papers that came from Miller in Zurich to anna.b@mail.org before the zebra is back, and contact nobody else about it".split()
+    rows = [(k, page(rng, 40)) for k in range(200)]
+    rows += [(300, " ".join(base)), (301, " ".join(base).replace("papers", "letters")), (302, " ".join(base)), (303, "Zurich and a zebra and Miller")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all("term" not in s for s in got.values()) and got[300].startswith("email:")
+
+
+def test_words_whose_lower_case_is_longer(spark):
+    rng = random.Random(3)
+    rows = [(k, f"{page(rng)} \u0130stanbul7 {page(rng)} eva@mail.org {page(rng)}") for k in range(12)] + [(k, page(rng, 50)) for k in range(20, 200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for k in range(12):
+        at = rows[k][1].index("\u0130")
+        assert f"term:{at}:{at + 9}" in got[k].split(",")
+
+
+def test_directory_pages_give_their_terms_once(spark):
+    rng = random.Random(4)
+    names = [f"Person{i}" for i in range(400)]
+    pages = [" ".join(f"{n} {page(rng, 3)} {n.lower()}@dir.org" for n in rng.sample(names, len(names))) for _ in range(2)]
+    rows = [(k, page(rng, 30)) for k in range(300)] + [(900 + k, t) for k, t in enumerate(pages)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    flagged = pii.disclosures(df, staged(pii.base_spans(df), "test-pii"))
+    assert flagged.count() <= len(names) + 20
+
+
+def brute_base(text):
+    """The base patterns by plain regexes."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_by_plain_regexes(spark, docs, texts):
+    rng = random.Random(5)
+    bits = ["a.b", "@", "x-y", ".", "12", "4111 1111 1111 1111", "5500-0000-0000-0004", "+49 (30) 123-4567 89", "255.1.2.3", "256.1.1.1", "001.002.3.4", " ", "-", "\u00e9", "7", "+1", "\U0001f600", "user@host.org", "1.2.3.4.5"]
+    odd = {50_000 + k: "".join(rng.choices(bits, k=rng.randrange(14))) for k in range(1500)}
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(odd.items()), "doc_id long, text string"))
+    every = {**texts, **odd}
+    for r in pii.digest(pii.find(df)).collect():
+        want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute_base(every[r["doc_id"]]))
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), every[r["doc_id"]]
 
 
 # --- packing ------------------------------------------------------------------------------------------
