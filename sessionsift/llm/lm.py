@@ -141,7 +141,8 @@ def _uri(root: str, kind: str, field: str, shard: int) -> str:
 def _save_keyed(root: str, kind: str, shard: int, key: np.ndarray, values: tuple[np.ndarray, ...]) -> None:
     save_array(_uri(root, kind, "key", shard), key)
     for field, v in zip(VALUES[kind], values):
-        save_array(_uri(root, kind, field, shard), v.astype(np.uint32))
+        wide = len(v) and int(v.max()) >= 1 << 32  # a very frequent word of a large corpus
+        save_array(_uri(root, kind, field, shard), v.astype(np.uint64 if wide else np.uint32))
 
 
 def _save_bigrams(root: str, shard: int, shards: int, h: np.ndarray, n: np.ndarray) -> None:

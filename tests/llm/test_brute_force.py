@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,17 @@ def test_licence_with_a_stray_diagonal_between(spark):
     assert [r["labels"] for r in licenses.scan(df).collect()] == ["apache-2.0"] * 2
 
 
+# --- language model: large counts -------------------------------------------------------------------------
+
+def test_counts_beyond_32_bits(tmp_path):
+    key, n = np.array([5, 9, 2**63], np.uint64), np.array([2**32 + 7, 3, 2**40], np.uint64)
+    block = lm.to_block(key, n)
+    again = lm.added(*(np.concatenate(x) for x in zip(*[lm.from_block(block, 1)] * 2)))
+    lm._save_keyed(str(tmp_path), "word", 0, again[0], again[1:])
+    model = lm.Model(str(tmp_path), 1, 0, 0, np.zeros(3), np.zeros(3), 0, (0, 0, 0))
+    assert model.values("word", np.array([5, 6, 9, 2**63], np.uint64))[0].tolist() == [2.0**33 + 14, 0.0, 6.0, 2.0**41]
+
+
 # --- quality ------------------------------------------------------------------------------------------
 
 def test_quality_on_held_out_labels(spark):
@@ -252,6 +264,46 @@ def test_quality_on_held_out_labels(spark):
     assert all(r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def slow_features(text):
+    """Features of one text by plain loops."""
+    raw = text.encode()
+    found = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    if not found:
+        return [0.0] * quality.N_FEATURES
+    n, chars = len(found), max(len(text), 1)
+    count = collections.Counter(found)
+    upper, lower = (len(re.findall(p, raw)) for p in (rb"[A-Z]", rb"[a-z]"))
+    rates = [math.log1p(20 * raw.count(bytes([b])) / n) for b in range(33, 127) if not chr(b).isalnum()]
+    return rates + [
+        upper / max(upper + lower, 1), len(re.findall(rb"[0-9]", raw)) / chars, sum(b >= 128 for b in raw) / chars, 10 * raw.count(b"\n") / n,
+        len(re.findall(rb"[ \t]", raw)) / chars, sum(map(len, found)) / n / 10, math.log1p(max(map(len, found))) / 5, len(count) / n,
+        sum(a == b for a, b in zip(found, found[1:])) / n, max(count.values()) / n, sum(len(w) <= 1 for w in found) / n, sum(w[-1:] in (b"!", b",", b".", b":", b";", b"?") for w in found) / n]
+
+
+def test_quality_by_plain_loops(spark, docs, texts):
+    some = [*list(texts.values())[:60], "", " \n ", "a", "A b  b é\U0001f600!", "x" * 5000]
+    assert quality.features_of(pa.array(some, pa.large_string())) == pytest.approx(np.array([slow_features(t) for t in some]))
+    # weights: the gradient of the loss over the same pairs vanishes, and no direction does better
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(0.3, 1, (80, 6)), rng.normal(0, 1, (60, 6))
+    w = quality.bradley_terry(good, bad, pairs=4000)
+    again = np.random.default_rng(42)
+    diff = good[again.integers(80, size=4000)] - bad[again.integers(60, size=4000)]
+    scale = np.concatenate([good, bad]).std(axis=0)
+    loss = lambda v: np.logaddexp(0, -(diff @ v)).mean() + 5e-4 * ((v * scale) ** 2).sum()
+    assert all(loss(w) < loss(w + step) for step in rng.normal(0, 0.01, (200, 6)))
+    # scores from slow features and the model's weights; the threshold's quantile
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    for r in quality.scored(docs, labels).collect():
+        raw = float(np.dot(slow_features(texts[r["doc_id"]]), model.weights) + model.shift)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-min(max(raw, -500), 500))), abs=1e-9)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.7)
+    taught = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in texts}
+    below = sum(1 / (1 + math.exp(-(np.dot(slow_features(texts[i]), model.weights) + model.shift))) < 0.7 for i in taught)
+    assert below == sum(q == 0 for q in taught.values())
+
+
 def test_held_out_rows_do_not_teach(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
