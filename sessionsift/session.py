@@ -66,12 +66,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_conf(spark: SparkSession) -> None:
-    """Apply the runtime SQL settings to a session someone else built, and ship the package."""
+    """Apply the runtime SQL settings to a session someone else built, and ship the package.
+
+    All of them are settings that a session may change at any time.  They stay: frames are run after the call
+    that made them returns."""
     for k, v in SQL_CONF.items():
-        try:
+        if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-        except Exception:  # pragma: no cover - a static conf on a foreign session
-            pass
     ship_package(spark)
 
 
