@@ -3,7 +3,7 @@
 Our lexical substitute for a neural token classifier: whitespace tokens keep
 their spelling and are scored by the inverse document frequency of their
 normalised form (lower-case letters/digits only) across the session's
-compressed docs; rarer first, then fewer repeats in the doc, then earlier.
+compressed docs, or across a corpus whose term table is given; rarer first, then fewer repeats in the doc, then earlier.
 Punctuation-only tokens score 0.  Each doc keeps ``ceil(rate * n_tokens)``
 tokens; docs are joined by a blank line in rank order.
 """
@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 
 from sessionsift import constants as C
 from sessionsift.functions.text import NON_WORD, SPACE_RUN
+from sessionsift.operators.terms import looked_up
+from sessionsift.session import materialize
 
 S = "session_id"
 
 
 def compress_text(docs: DataFrame, params: DataFrame | None = None, rate: str = "compression_rate",
-                  order: str = "rank") -> DataFrame:
+                  order: str = "rank", terms: DataFrame | None = None) -> DataFrame:
     """``docs(session_id, order, text[, rate])`` -> ``(session_id, optimized_context)``; sessions without docs absent.
 
     The input is a bounded list per session (at most ``max_chunks`` docs), so
     the tokens are hash-partitioned by session once and every statistic is a
-    window on that partitioning (no joins, no further exchanges).
+    window on that partitioning (no joins, no further exchanges).  ``terms`` (``operators.terms``)
+    has the document frequencies of a corpus, which then take the place of those in the session.
     """
     if params is not None:
         docs = docs.join(params.select(S, rate), S)
@@ -34,13 +37,16 @@ def compress_text(docs: DataFrame, params: DataFrame | None = None, rate: str =
             .where(F.col("tok") != "")
             .withColumn("norm", F.lower(F.regexp_replace("tok", NON_WORD, "")))
             .repartition(n, S))
-    in_session = Window.partitionBy(S)
     in_doc = Window.partitionBy(S, order)
-    per_norm = Window.partitionBy(S, "norm")
     per_doc_norm = Window.partitionBy(S, order, "norm")
-    toks = (toks.withColumn("N", F.size(F.collect_set(order).over(in_session)))
-            .withColumn("df", F.size(F.collect_set(order).over(per_norm)))
-            .withColumn("tf", F.count(F.lit(1)).over(per_doc_norm))
+    if terms is None:
+        toks = (toks.withColumn("N", F.size(F.collect_set(order).over(Window.partitionBy(S))))
+                .withColumn("df", F.size(F.collect_set(order).over(Window.partitionBy(S, "norm")))))
+    else:
+        toks = materialize(toks)  # a bounded list for each session, read for its terms and again with their weights
+        known, n_docs = looked_up(terms, toks.select("norm"))
+        toks = toks.join(known, "norm", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("N", F.lit(n_docs)).repartition(n, S)
+    toks = (toks.withColumn("tf", F.count(F.lit(1)).over(per_doc_norm))
             .withColumn("ntok", F.count(F.lit(1)).over(in_doc)))
     idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = toks.withColumn("w", F.when(F.col("norm") == "", F.lit(0.0)).otherwise(F.round(idf, C.SCORE_DIGITS)))

@@ -132,7 +132,7 @@ def select_docs(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None
     return chosen, errors
 
 
-def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None, token_scorer=None, models=None) -> DataFrame:
+def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder=None, token_scorer=None, models=None, terms=None) -> DataFrame:
     """H5 flagship: one result row per request.
 
     ``docs(session_id, pos, text)`` raw docs; ``requests(session_id, query,
@@ -145,6 +145,7 @@ def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder
     as its reason; all others are unaffected.  ``models``
     (``functions.models.Models``) chooses the model of each step by the names in
     the request's ``embed_model``, ``reranker_model`` and ``compressor_model``.
+    ``terms`` (``operators.terms``): H4 weighs tokens by a corpus, not by the session.
     """
     docs = named_sessions(spread(docs, S, "pos"))
     params = named_sessions(with_param_defaults(requests if models is None else _with_models(requests)))
@@ -154,7 +155,7 @@ def optimize_context(docs: DataFrame, requests: DataFrame, scorer=None, embedder
     chosen, errors = select_docs(docs, active, scorer, embedder, models)
     by_token_scorer = models is not None and bool(models.token_scorers)
     if token_scorer is None and not by_token_scorer:
-        out = gated.join(compress_text(chosen, order="slot"), S, "left").withColumn("token_error", F.lit(None).cast("string"))
+        out = gated.join(compress_text(chosen, order="slot", terms=terms), S, "left").withColumn("token_error", F.lit(None).cast("string"))
     else:
         from sessionsift.functions.models import applied, digest
         from sessionsift.functions.plugins import token_score_column

@@ -138,13 +138,22 @@ chosen as (
   join ranked r using (session_id, rk))"""
 
 
-def compress_ctes(chosen: str = "chosen", order: str = "slot") -> str:
+def compress_ctes(chosen: str = "chosen", order: str = "slot", corpus: str | None = None) -> str:
+    """Tokens weighed by the session's chosen docs, or by all docs of ``corpus(text)``."""
+    numbers = f"""cn as (select session_id, count(*) as nn from {chosen} group by all),
+cdf as (select session_id, norm, count(distinct {order}) as df from ct2 where norm <> '' group by all),"""
+    if corpus:
+        words = "string_split_regex(text, '[\\t\\n\\x0B\\f\\r ]+')"
+        numbers = f"""cn as (select s.session_id, k.nn from (select distinct session_id from {chosen}) s,
+       (select count(*) as nn from {corpus} where regexp_matches(text, '[^\\t\\n\\x0B\\f\\r ]')) k),
+cdf0 as (select norm, count(*) as df from (
+  select unnest(list_distinct(list_transform({words}, lambda t: lower(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))))) as norm from {corpus}) group by norm),
+cdf as (select t.session_id, t.norm, d.df from (select distinct session_id, norm from ct2 where norm <> '') t join cdf0 d using (norm)),"""
     return f"""ctoks as (
   select session_id, {order}, unnest(tl) as tok, unnest(generate_series(0, len(tl) - 1)) as tpos
   from (select session_id, {order}, string_split_regex(text, '[\\t\\n\\x0B\\f\\r ]+') as tl from {chosen})),
 ct2 as (select *, lower(regexp_replace(tok, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) as norm from ctoks where tok <> ''),
-cn as (select session_id, count(*) as nn from {chosen} group by all),
-cdf as (select session_id, norm, count(distinct {order}) as df from ct2 where norm <> '' group by all),
+{numbers}
 ctf2 as (select session_id, {order}, norm, count(*) as tf from ct2 group by all),
 cnt as (select session_id, {order}, count(*) as ntok from ct2 group by all),
 cw as (
@@ -158,11 +167,11 @@ cdoc as (select c.session_id, c.{order}, string_agg(c.tok, ' ' order by c.tpos)
 comp as (select session_id, string_agg(ctext, chr(10) || chr(10) order by {order}) as oc from cdoc group by all)"""
 
 
-def h5_sql(fixture_ctes: str, docs: str, req: str, limits: bool = False) -> str:
+def h5_sql(fixture_ctes: str, docs: str, req: str, limits: bool = False, corpus: str | None = None) -> str:
     return f"""with recursive {fixture_ctes},
 {params_sql(req, sizes_from=docs, limits=limits)},
 {h5_ctes(docs)},
-{compress_ctes()}
+{compress_ctes(corpus=corpus)}
 select g.session_id,
        case when g.gate <> 'run' then g.gate when coalesce(c.oc, '') = '' then 'no_optimization' else 'optimized' end as status,
        case when g.gate = 'run' then '' else g.gate_reason end as reason,

@@ -8,6 +8,7 @@ from sessionsift.plans import fixtures as fx
 from sessionsift.plans import oracle_h5 as O
 from sessionsift.plans.optimize import optimize_context
 from sessionsift.plans.registry import register
+from sessionsift.session import scratch_dir
 from sessionsift.operators.params import apply_model_limits
 
 
@@ -179,6 +180,37 @@ def h4(spark, sf):
     return compress_text(d, params, order="pos")
 
 
+def _term_table(spark, docs):
+    """The documents' term table from three deltas, one of them added twice, two compacted."""
+    from sessionsift.operators import terms as T
+    path = scratch_dir(spark, "terms")
+    for batch in (0, 1, 0, 2):
+        T.add_terms(docs.where(F.pmod(F.xxhash64(S, "pos"), F.lit(3)) == batch), path, f"{batch}")
+        if batch == 1:
+            T.compact_terms(spark, path)
+    return T.read_terms(spark, path)
+
+
+@register("h4_corpus_idf", f"""with {fx.SQL_FX2},
+ch as (select session_id, pos, {O.strip_sql('text')} as text from fx2 where {O.strip_sql('text')} <> ''),
+gated as (select distinct session_id, {C.DEFAULT_COMPRESSION_RATE}::double as rate from ch),
+{O.compress_ctes('ch', 'pos', corpus='fx2')}
+select session_id, oc as optimized_context from comp""")
+def h4_corpus(spark, sf):
+    """Compression by the document frequencies of the whole corpus, stored in a table that grows by deltas."""
+    docs = fx.fx2_docs(spark, sf)
+    d = rank.normalize_docs(docs.select(S, "pos", "text"))
+    params = d.select(S).distinct().withColumn("compression_rate", F.lit(C.DEFAULT_COMPRESSION_RATE))
+    return compress_text(d, params, order="pos", terms=_term_table(spark, docs))
+
+
+@register("h5_corpus_idf", O.h5_sql(fx.SQL_FX1, "fx1", "fx1_req", corpus="fx1"))
+def h5_corpus(spark, sf):
+    """The whole optimizer on long documents, with the corpus-wide weights."""
+    docs = fx.fx1_docs(spark, sf)
+    return optimize_context(docs, fx.fx1_requests(spark, sf), terms=_term_table(spark, docs))
+
+
 _WALK_SQL = """items as (select r.session_id, r.rk, r.pos, coalesce(nb.nbrs, []::bigint[]) as nbrs from r left join nb using (session_id, rk)),
 walk(session_id, rk, kept) as (
   select distinct session_id, cast(0 as bigint), []::bigint[] from r
