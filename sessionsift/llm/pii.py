@@ -36,6 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionsift.functions.text import let
 from sessionsift.llm.common import join_checked, staged
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -134,12 +135,17 @@ def _class(term: Column) -> Column:
     return F.when(~term.rlike(r"\P{N}"), "NUMBER").when(term.rlike(r"\p{N}"), "CODE").otherwise("WORD")
 
 
+#: What a text must hold to have a word of a class.
+_CLASS_SIGNS = {"NUMBER": rf"(?<![{_WORD}])\p{{N}}++(?!\p{{L}})", "CODE": r"\p{L}\p{N}|\p{N}\p{L}", "WORD": rf"(?<![{_WORD}])\p{{L}}++(?!\p{{N}})"}
+
+
 def _sketch(text: Column) -> Column:
     """The least hashes of a text's shingles; a shorter text is one shingle."""
-    words = _words(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH)
+    def hashes(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
+
+    return F.slice(F.array_sort(F.array_distinct(let(_words(text), hashes))), 1, SKETCH)
 
 
 def copy_groups(texts: DataFrame) -> DataFrame:
@@ -209,11 +215,14 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, gener
     share, evidence = _share(F.col("k"), F.col("n_t"), F.col("n_e"), n), _evidence(F.col("k"), F.col("n_t"), F.col("n_e"), n)
     flagged = pairs.withColumn("share", share).where((F.col("share") >= generalise) & (evidence >= EVIDENCE * F.log(F.lit(n))))
     flagged = staged(flagged.select("class", "term", "share", "n_e"), "pii-flagged")
-    # the ladder: how much would the class of a term disclose in its place?  Few rows, one for each kind of word.
-    has = words.select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), _class))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
-    steps = flagged.withColumn("kind", _class(F.col("term"))).join(F.broadcast(has), "kind")
-    # at most all groups of e hold a word of that kind
-    open_class = F.max(_share(F.col("n_e"), F.greatest("n_kind", "n_e"), F.col("n_e"), n)) >= generalise
+    if flagged.isEmpty():
+        return flagged.select("term", "share", F.lit("").alias("put"))
+    # the ladder: how much would the class of a term disclose in its place?  In how many documents it stands:
+    # three numbers.  At most all groups of e hold a word of that class.
+    has = words.agg(*(F.count_if(F.rlike("text", F.lit(p))).alias(c) for c, p in _CLASS_SIGNS.items())).first()
+    n_class = F.create_map(*(x for c in CLASSES for x in (F.lit(c), F.lit(has[c]))))[F.col("kind")]
+    steps = flagged.withColumn("kind", _class(F.col("term"))).withColumn("n_class", n_class)
+    open_class = F.max(_share(F.col("n_e"), F.greatest("n_class", "n_e"), F.col("n_e"), n)) >= generalise
     put = F.when(F.max("share") >= remove, "").when(open_class, "[TERM]").otherwise(F.concat(F.lit("["), F.max("kind"), F.lit("]")))
     return staged(steps.groupBy("term").agg(F.max("share").alias("share"), put.alias("put")), "pii-shares")
 
