@@ -21,7 +21,7 @@ every document that has the term; the largest share over all entities counts.
 Scale: matches and spans are narrow rows; only documents that hold an entity of enough support are read for
 pairs.  Entities that stand in the same groups of documents are one for that (a page of many addresses gives its terms
 once), terms that are too frequent to disclose anything are left out before pairs are made, and pairs are added up
-before each shuffle.  n(t) counts all documents, for terms of such documents only.  Words find the disclosing terms
+before each shuffle.  n(t) counts the terms of all documents, added up in each task first.  Words find the disclosing terms
 where they stand, texts aren't shuffled for it unless there are too many terms to broadcast.  No group is gathered but
 the spans of one document.
 
@@ -200,8 +200,9 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, gener
     terms = join_checked(texts, staged(classes.select("th").distinct(), "pii-texts"), "th", "left_semi").select("id", "th", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     terms = staged(terms, "pii-terms")
     candidates = staged(terms.select("term").distinct(), "pii-candidates")
-    every = words.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    counts = staged(join_checked(every, candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")), "pii-counts")
+    # added up before the join: how many words are candidates grows faster than the corpus, how many there are doesn't
+    every = words.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = staged(join_checked(every, candidates, "term", "left_semi"), "pii-counts")
     top = classes.agg(F.max("n_e").alias("n_e"), F.min("n_e").alias("least")).first()
     # PMI / IC >= generalise needs n(t) <= n(e) (N / n(e)) ** (1 - generalise), or less: the bound rises with n(e)
     most = (top["n_e"] or 0) * (n / (top["n_e"] or 1)) ** (1 - generalise)
