@@ -202,7 +202,7 @@ def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, gener
     candidates = staged(terms.select("term").distinct(), "pii-candidates")
     # added up before the join: how many words are candidates grows faster than the corpus, how many there are doesn't
     every = words.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    counts = staged(join_checked(every, candidates, "term", "left_semi"), "pii-counts")
+    counts = staged(join_checked(every, candidates, "term", "inner"), "pii-counts")  # a semi join would be pushed below the sums
     top = classes.agg(F.max("n_e").alias("n_e"), F.min("n_e").alias("least")).first()
     # PMI / IC >= generalise needs n(t) <= n(e) (N / n(e)) ** (1 - generalise), or less: the bound rises with n(e)
     most = (top["n_e"] or 0) * (n / (top["n_e"] or 1)) ** (1 - generalise)
