@@ -118,23 +118,6 @@ def fail_open(fn: Callable[[str], float], value_type: str = "double") -> Callabl
 
 
 # --------------------------------------------------------------------------- deterministic fakes
-def hashing_embedder(dim: int = 64) -> Callable[[], Callable]:
-    """A deterministic stand-in embedder: token hashing into ``dim`` buckets (for tests and offline runs)."""
-    def factory():
-        import re
-        import zlib
-        tok = re.compile(r"[^\W_]+", re.UNICODE)
-
-        def model(texts):
-            out = np.zeros((len(texts), dim))
-            for i, t in enumerate(texts):
-                for w in tok.findall(t.lower()):
-                    out[i, zlib.crc32(w.encode("utf-8")) % dim] += 1.0
-            return out
-        return model
-    return factory
-
-
 def overlap_scorer():
     """A deterministic stand-in PairScorer factory: the number of words query and doc share."""
     def model(pairs):
@@ -156,10 +139,3 @@ def length_token_scorer():
     def model(texts):
         return [[float(len(w)) for w in t.split()] for t in texts]
     return model
-
-
-def flaky_len(text: str) -> float:
-    """A deterministic step that fails on some rows (any text containing the digit 7)."""
-    if "7" in text:
-        raise ValueError("boom")
-    return float(len(text))

@@ -66,3 +66,13 @@ def test_requests_without_shared_and_null_ids(spark, tmp_path):
             ("x", False, "failed", "runtime_error", None, None), (None, True, "no_optimization", None, 0, ""), (None, False, "failed", "invalid_input", None, None)]
     assert sorted(out, key=str) == sorted([w if w[1] is False or w[5] == "" else (*w[:5], [o for o in out if o[4] == w[4]][0][5]) for w in want], key=str)
     assert {o[4]: o[5] for o in out if o[2] == "optimized"}.keys() == {15, 12}
+
+
+def test_fail_open_keeps_the_other_rows(df):
+    def step(text):
+        if "7" in text:
+            raise ValueError("boom")
+        return float(len(text))
+    docs = df([("abc",), ("a7",), ("",)], "text string")
+    got = sorted((r.text, r.r.value, r.r.error) for r in docs.select("text", P.fail_open(step)("text").alias("r")).collect())
+    assert got == [("", 0.0, None), ("a7", None, "ValueError: boom"), ("abc", 3.0, None)]
