@@ -41,16 +41,18 @@ def normalize_docs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, norm).where(F.col(text) != "")
 
 
+def tail_places(docs: DataFrame, n: int, order: str = "pos") -> DataFrame:
+    """``(session_id, order)`` of the last ``n`` docs of each session: ``row_number <= n`` with a literal ``n``
+    lets the planner insert a partial per-partition ``WindowGroupLimit`` before the shuffle."""
+    w = Window.partitionBy(S).orderBy(F.col(order).desc())
+    return docs.select(S, order).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
 def tail_docs(docs: DataFrame, n: int = C.MAX_TRANSCRIPT_ENTRIES, order: str = "pos") -> DataFrame:
     """the last ``n`` docs of each session (original order kept by ``order``, which is unique in a session).
 
-    The ranking sees ``(session_id, order)`` only: ``row_number <= n`` with a literal ``n`` lets the planner
-    insert a partial per-partition ``WindowGroupLimit`` before the shuffle, and the winners fetch their docs
-    afterwards.
-    """
-    w = Window.partitionBy(S).orderBy(F.col(order).desc())
-    places = docs.select(S, order).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
-    return fetched(docs, places, [S, order], "left_semi")
+    The ranking sees ``(session_id, order)`` only; the winners fetch their docs afterwards."""
+    return fetched(docs, tail_places(docs, n, order), [S, order], "left_semi")
 
 
 def purge_error_docs(docs: DataFrame, prefixes=C.ERROR_PREFIXES, text: str = "text") -> DataFrame:

@@ -37,8 +37,8 @@ def test_running_sum_windows_are_per_block(df):
 
 
 def test_tail_uses_partial_group_limit(df):
-    from sessionsift.operators.rank import tail_docs
+    from sessionsift.operators.rank import tail_places
     d = df([("s", i, "t") for i in range(30)], "session_id string, pos long, text string")
-    out = tail_docs(d, 5)
+    out = tail_places(d, 5)
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.pos for r in out.collect()) == [25, 26, 27, 28, 29]
