@@ -47,6 +47,17 @@ def nameless_sessions(df: DataFrame, key: str = "session_id") -> DataFrame:
     return df.withColumn(key, F.nullif(F.col(key), F.lit(_NO_SESSION)))
 
 
+def _key(keys: list[str]) -> Column:
+    """A block's key as one struct, in which nulls are equal."""
+    return F.struct(*keys, "__blk").alias("__key")
+
+
+def _with_summary(base: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its block's ``summary``: shuffled once, for the join and the window over the block alike, and
+    never broadcast, as both sides grow with the rows whatever the estimate of their size says."""
+    return base.withColumn("__key", _key(keys)).join(summary.hint("merge"), "__key")
+
+
 def running_sum(df: DataFrame, keys: list[str], order_col: str, value: Column | str, out: str,
                 block: int = DEFAULT_BLOCK, tiebreak: list[str] | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` in ``order_col`` order.
@@ -62,11 +73,11 @@ def running_sum(df: DataFrame, keys: list[str], order_col: str, value: Column |
     base = df.withColumn(b, _block(order_col, block)).withColumn(v, value.cast("bigint"))
     totals = base.groupBy(*keys, b).agg(F.sum(v).alias("__bt"))
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, b, F.coalesce(F.sum("__bt").over(wb), F.lit(0)).alias("__off"))
-    wr = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (join_null_safe(base, offsets, [*keys, b])
+    offsets = totals.select(_key(keys), F.coalesce(F.sum("__bt").over(wb), F.lit(0)).alias("__off"))
+    wr = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (_with_summary(base, offsets, keys)
             .withColumn(out, (F.col("__off") + F.coalesce(F.sum(v).over(wr), F.lit(0))).cast("bigint"))
-            .drop(b, v, "__off"))
+            .drop("__key", b, v, "__off"))
 
 
 def last_before(df: DataFrame, keys: list[str], order_col: str, value: Column | str, out: str,

@@ -42,3 +42,23 @@ def test_tail_uses_partial_group_limit(df):
     out = tail_places(d, 5)
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.pos for r in out.collect()) == [25, 26, 27, 28, 29]
+
+
+def test_null_keys_and_orders_are_one_key(df):
+    rows = [(k, s, (s or 0) % 3) for s in [*range(20), None] for k in ("a", None)]
+    d = df(rows, "k string, seq long, v int")
+    w = Window.partitionBy("k").orderBy("seq")
+    order = lambda d: sorted(map(tuple, d.collect()), key=str)
+    got = running_sum(d, ["k"], "seq", "v", "x", block=7).select("k", "seq", "x")
+    assert order(got) == order(d.select("k", "seq", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x")))
+
+
+def initial_plan(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_sum_broadcasts_no_rows(df):
+    # an estimate far too small: narrow rows behind a wide column
+    d = df(skewed_rows(50), "k string, seq long, v int")
+    plan = initial_plan(running_sum(d, ["k"], "seq", F.col("v"), "rs", block=7))
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(__key") == 2  # the window needs no shuffle of its own
