@@ -97,15 +97,12 @@ def last_before(df: DataFrame, keys: list[str], order_col: str, value: Column |
     base = df.withColumn(b, _block(order_col, block)).withColumn(v, value)
     # Last non-null value of each block (max_by is a partial aggregate: skew-safe).
     ordkey = F.struct(*[F.col(c) for c in order])
-    per_block = (base.where(F.col(v).isNotNull())
-                 .groupBy(*keys, b).agg(F.max_by(F.col(v), ordkey).alias("__blast")))
-    # Every block of the row side needs a carry, including blocks without a value.
-    blocks = base.select(*keys, b).distinct()
+    # Every block of the row side needs a carry, including blocks without a value: there it is null.
+    blocks = base.groupBy(*keys, b).agg(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), ordkey)).alias("__blast"))
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (join_null_safe(blocks, per_block, [*keys, b], "left")
-             .select(*keys, b, F.last("__blast", ignorenulls=True).over(wb).alias("__carry")))
+    carry = blocks.select(_key(keys), F.last("__blast", ignorenulls=True).over(wb).alias("__carry"))
     end = 0 if inclusive else -1
-    wr = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    return (join_null_safe(base, carry, [*keys, b])
+    wr = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    return (_with_summary(base, carry, keys)
             .withColumn(out, F.coalesce(F.last(v, ignorenulls=True).over(wr), F.col("__carry")))
-            .drop(b, v, "__carry"))
+            .drop("__key", b, v, "__carry"))

@@ -62,3 +62,9 @@ def test_running_sum_broadcasts_no_rows(df):
     d = df(skewed_rows(50), "k string, seq long, v int")
     plan = initial_plan(running_sum(d, ["k"], "seq", F.col("v"), "rs", block=7))
     assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(__key") == 2  # the window needs no shuffle of its own
+
+
+def test_last_before_broadcasts_no_rows(df):
+    d = df(skewed_rows(50), "k string, seq long, v int")
+    plan = initial_plan(last_before(d, ["k"], "seq", "v", "lb", block=7))
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(__key") == 2
