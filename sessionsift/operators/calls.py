@@ -43,7 +43,7 @@ def dedupe_tool_results(items: DataFrame, order: str = "seq") -> DataFrame:
     """
     cand = F.coalesce((F.col("kind") == "tool_result") & ~F.col("protected") & F.col("signature").isNotNull(), F.lit(False))
     newest = (items.where(cand).groupBy(S, "signature").agg(F.max(order).alias("__newest")))
-    j = join_null_safe(items, newest, [S, "signature"], "left")
+    j = join_null_safe(items, newest, [S, "signature"], "left", large=True)
     keep = ~cand | (F.col(order) == F.col("__newest"))
     return j.where(keep).drop("__newest")
 
@@ -55,7 +55,7 @@ def last_turns(items: DataFrame, turn: str = "turn") -> DataFrame:
 def drop_stale_errors(items: DataFrame, n: int = C.PURGE_ERROR_TURNS, last: DataFrame | None = None) -> DataFrame:
     """Drop non-protected errored tool results at least ``n`` user turns old."""
     last = last if last is not None else last_turns(items)
-    j = join_null_safe(items, last, [S], "left")
+    j = join_null_safe(items, last, [S], "left", large=True)
     stale = ((F.col("kind") == "tool_result") & ~F.col("protected") & F.col("is_error")
              & ((F.col("__last") - F.col("turn")) >= n))
     return j.where(~F.coalesce(stale, F.lit(False))).drop("__last")

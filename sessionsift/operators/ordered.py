@@ -20,8 +20,16 @@ def _block(order_col: str, block: int) -> Column:
     return F.floor(F.col(order_col) / F.lit(block)).cast("bigint")
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which a null key equals a null key; the keys come out once."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", large: bool = False) -> DataFrame:
+    """Equi-join in which a null key equals a null key; the keys come out once.
+
+    ``large``: both sides grow with the rows.  Narrow columns of parsed JSON are estimated at a fiftieth of their
+    size, so that a side of millions of rows would be broadcast; then both are shuffled by one struct of the keys,
+    in which nulls are equal."""
+    if large:
+        out = [F.col(c) for c in left.columns] + [F.col(c) for c in right.columns if c not in keys and how not in ("left_semi", "left_anti")]
+        keyed = right.withColumn("__key", F.struct(*keys)).drop(*keys)
+        return left.withColumn("__key", F.struct(*keys)).join(keyed.hint("merge"), "__key", how).select(*out)
     marked = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     if how in ("left_semi", "left_anti"):

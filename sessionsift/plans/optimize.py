@@ -298,7 +298,7 @@ def transcript_items(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(None).cast("string").alias("signature"), F.lit(False).alias("protected"), F.lit(False).alias("is_error"),
         "turn")
     resolved = X.resolve_tool_calls(X.explode_tool_uses(ent), X.explode_tool_results(ent))
-    tools = (join_null_safe(resolved.where(F.col("text") != ""), turns.select(S, "line_no", "turn"), [S, "line_no"])
+    tools = (join_null_safe(resolved.where(F.col("text") != ""), turns.select(S, "line_no", "turn"), [S, "line_no"], large=True)
              .select(S, (F.col("line_no") * _SEQ_LINE + _SEQ_KIND + F.col("part_no")).alias("seq"), "line_no",
                      F.lit("tool_result").alias("kind"), K.label_tool_docs("name", "text").alias("text"),
                      tool_signature("name", "input").alias("signature"), is_protected("name").alias("protected"),

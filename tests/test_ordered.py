@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sessionsift.operators.ordered import last_before, running_sum
+from sessionsift.operators.ordered import join_null_safe, last_before, running_sum
 
 
 def skewed_rows(n=400, seed=3):
@@ -68,3 +68,20 @@ def test_last_before_broadcasts_no_rows(df):
     d = df(skewed_rows(50), "k string, seq long, v int")
     plan = initial_plan(last_before(d, ["k"], "seq", "v", "lb", block=7))
     assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(__key") == 2
+
+
+def test_large_join_is_the_null_safe_join_without_broadcast(df):
+    left = df([("a", 1, "x"), (None, 1, "y"), ("a", None, "z"), ("b", 2, "w")], "k string, n int, v string")
+    right = df([("a", 1, 10), (None, 1, 11), ("a", None, 12), ("c", 3, 13)], "k string, n int, u int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = join_null_safe(left, right, ["k", "n"], how, large=True)
+        same = join_null_safe(left, right, ["k", "n"], how)
+        assert got.columns == same.columns and "Broadcast" not in initial_plan(got)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, same.collect()), key=str)
+
+
+def test_transcript_docs_broadcast_nothing_that_grows(df):
+    from sessionsift.plans.optimize import transcripts_to_docs
+    lines = df([("s", 1, '{"type":"user","message":{"content":"hi"}}')], "session_id string, line_no long, raw string")
+    docs = transcripts_to_docs(lines)
+    assert "Broadcast" not in initial_plan(docs) and [r.text for r in docs.collect()] == ["hi"]
