@@ -2,8 +2,8 @@
 
 ``growing_transcripts`` is a Python data source.  The offset of a stream is the number of bytes read of each file
 (up to the end of its last whole line), so a run begins where the one before it ended, whatever was appended to
-whichever file.  New bytes are read in chunks of at most ``chunkBytes`` by as many tasks; a line belongs to the
-chunk in which it begins.  Rows carry their place as (chunk, line in chunk); ``numbered_lines`` makes line numbers
+whichever file.  New bytes are read in chunks of at most ``chunkBytes``, small ones many to a task; a line belongs
+to the chunk in which it begins.  Rows carry their place as (chunk, line in chunk); ``numbered_lines`` makes line numbers
 of that, as ``read_transcripts`` gives them for the whole files, from a count for each chunk.
 
 With ``upTo`` a run reads no further than so many bytes into a file.  Files only grow: one that has become shorter than what was read of it stops the stream.  A last line without a line
@@ -17,7 +17,8 @@ from __future__ import annotations
 import io
 import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -31,6 +32,8 @@ from sessionsift.sources.stores import store_of
 S = "session_id"
 SCHEMA = "session_id string, file string, chunk long, line_in_chunk long, raw string"
 CHUNK_BYTES, TAIL, READ_ROWS = 64 << 20, 1 << 16, 10_000
+#: A task reads chunks of this many bytes together, each counted with what opening its file costs.
+TASK_BYTES, OPEN_BYTES = 4 << 20, 1 << 16
 
 
 def session_of(file: str) -> str | None:
@@ -42,7 +45,7 @@ def session_of(file: str) -> str | None:
     return re.sub(r"(.)\.[^./]*$", r"\1", posixpath.basename(file))
 
 
-class Chunk(InputPartition):
+class Chunk:
     """Lines of ``file`` that begin in [begin, end); ``fresh`` if a line begins at ``begin``."""
 
     def __init__(self, file: str, begin: int, end: int, fresh: bool):
@@ -53,6 +56,27 @@ def chunks_of(file: str, begin: int, end: int, size: int) -> list[Chunk]:
     return [Chunk(file, at, min(at + size, end), at == begin) for at in range(begin, end, size)]
 
 
+class Chunks(InputPartition):
+    """What one task reads: a large chunk, or many small ones (of small files, or of little that was appended)."""
+
+    def __init__(self, chunks: list[Chunk]):
+        self.chunks = chunks
+
+
+def packed(chunks: Iterable[Chunk]) -> list[Chunks]:
+    """Chunks in order, as tasks of about ``TASK_BYTES``."""
+    tasks: list[Chunks] = []
+    room = 0
+    for c in chunks:
+        cost = c.end - c.begin + OPEN_BYTES
+        if cost > room:
+            tasks.append(Chunks([]))
+            room = TASK_BYTES
+        tasks[-1].chunks.append(c)
+        room -= cost
+    return tasks
+
+
 class _Files:
     """What batch and stream readers share; the names of options come in lower case."""
 
@@ -82,9 +106,9 @@ class _Files:
                 at = low
         return begin
 
-    def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
+    def lines(self, part: Chunk) -> Iterator[tuple[str | None, str, int, int, str]]:
         store, _ = store_of(self.path)
-        session, schema = session_of(part.file), pa.schema([(S, pa.string()), ("file", pa.string()), ("chunk", pa.int64()), ("line_in_chunk", pa.int64()), ("raw", pa.string())])
+        session = session_of(part.file)
         with io.BufferedReader(store.open_input_file(part.file), 1 << 20) as f:
             at = part.begin
             if not part.fresh:  # the line that began before belongs to the chunk before
@@ -92,25 +116,26 @@ class _Files:
                 at += len(f.readline()) - 1
             else:
                 f.seek(at)
-            number, rows = 0, []
+            number = 0
             while at < part.end and (line := f.readline()):
                 at, number = at + len(line), number + 1
-                rows.append((session, part.file, part.begin, number, line.removesuffix(b"\n").decode("utf-8", "replace")))
-                if len(rows) >= READ_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                yield session, part.file, part.begin, number, line.removesuffix(b"\n").decode("utf-8", "replace")
+
+    def read(self, part: Chunks) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(S, pa.string()), ("file", pa.string()), ("chunk", pa.int64()), ("line_in_chunk", pa.int64()), ("raw", pa.string())])
+        rows = (row for c in part.chunks for row in self.lines(c))
+        while some := list(islice(rows, READ_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)
 
 
 class GrowingReader(DataSourceReader):
     def __init__(self, options: dict):
         self.files = _Files(options)
 
-    def partitions(self) -> list[Chunk]:
-        return [c for file, size in sorted(self.files.sizes().items()) for c in chunks_of(file, 0, size, self.files.size)]
+    def partitions(self) -> list[Chunks]:
+        return packed(c for file, size in sorted(self.files.sizes().items()) for c in chunks_of(file, 0, size, self.files.size))
 
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         return self.files.read(partition)
 
 
@@ -130,13 +155,13 @@ class GrowingStream(DataSourceStreamReader):
                 self.ends[file] = (self.files.whole_lines(file, end, size), size)
         return {file: end for file, (end, _) in sorted(self.ends.items()) if end}
 
-    def partitions(self, start: dict, end: dict) -> list[Chunk]:
+    def partitions(self, start: dict, end: dict) -> list[Chunks]:
         for file, at in end.items():
             if at < start.get(file, 0):
                 raise ValueError(f"{file} has become shorter")
-        return [c for file, at in sorted(end.items()) for c in chunks_of(file, start.get(file, 0), at, self.files.size)]
+        return packed(c for file, at in sorted(end.items()) for c in chunks_of(file, start.get(file, 0), at, self.files.size))
 
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         return self.files.read(partition)
 
     def commit(self, end: dict) -> None:

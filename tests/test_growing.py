@@ -54,3 +54,17 @@ def test_a_file_that_shrinks_stops_the_stream(spark, tmp_path):
 def test_sessions_of_files():
     assert G.session_of("/x/session_id=a%2Fb/part-1.txt") == "a/b" and G.session_of("/x/session_id=__HIVE_DEFAULT_PARTITION__/p") is None
     assert G.session_of("/x/abc.def.jsonl") == "abc.def" and G.session_of("/x/.hidden") == ".hidden"
+
+
+def test_small_files_share_tasks(tmp_path):
+    for k in range(300):
+        (tmp_path / f"s{k:03d}.jsonl").write_text("{}\n" * (k % 5 + 1))
+    (tmp_path / "t.jsonl").write_text("{}\n" * 5_000_000)
+    stream = G.GrowingStream({"path": str(tmp_path), "chunkbytes": str(6 << 20)})
+    tasks = stream.partitions({}, stream.latestOffset())
+    assert len(tasks) < 10  # 303 chunks
+    chunks = [c for t in tasks for c in t.chunks]
+    assert sum(c.end - c.begin for c in chunks) == sum(f.stat().st_size for f in tmp_path.iterdir())
+    assert max(sum(c.end - c.begin for c in t.chunks) for t in tasks) <= 6 << 20
+    few = [b for t in stream.partitions({}, {f: 9 for f in stream.latestOffset()}) for b in stream.read(t)]
+    assert sum(b.num_rows for b in few) == 300 // 5 * (1 + 2 + 3 + 3 + 3) + 3 and len(few) < 10
