@@ -70,22 +70,28 @@ class LivePass(StatefulProcessor):
 
     def _learn(self, rows: pd.DataFrame) -> Iterator[tuple[int, int, str]]:
         """Takes rows into the state and yields the parts that change by it."""
-        calls = rows[rows["kind"] == "done"]
-        for signature, group in calls.groupby("signature"):
-            seen, key = {(int(m), int(p)) for m, p in zip(group["msg_no"], group["part_no"])}, (signature,)
+        # plain tuples: a session has a few rows in a batch, for which frames of their own cost more than the work
+        calls: dict[str | None, set] = {}
+        turns, new = [], []
+        for kind, signature, m, p in zip(*(rows[c].tolist() for c in ("kind", "signature", "msg_no", "part_no"))):
+            if kind == "done" and isinstance(signature, str):
+                calls.setdefault(signature, set()).add((int(m), int(p)))
+            elif kind == "user":
+                turns.append(int(m))
+            elif kind == "error":
+                new.append((int(m), int(p)))
+        for signature, seen in sorted(calls.items()):
+            key = (signature,)
             before = {tuple(self.newest.getValue(key))} if self.newest.containsKey(key) else set()
             top = max(seen | before)
             if {top} != before:
                 self.newest.updateValue(key, top)
             for m, p in sorted((seen | before) - {top}):
                 yield m, p, "superseded"
-        turns = [int(m) for m in rows.loc[rows["kind"] == "user", "msg_no"]]
         known = [int(t) for t in self.turns.get()[0]] if self.turns.exists() else []
         if turns:
             known = sorted([*known, *turns])[-C.PURGE_ERROR_TURNS:]
             self.turns.update((known,))
-        fresh = rows[rows["kind"] == "error"]
-        new = [(int(m), int(p)) for m, p in zip(fresh["msg_no"], fresh["part_no"])]
         # an error is stale once the n-th newest user turn comes after it, in whatever order they arrived
         bound = known[0] if len(known) == C.PURGE_ERROR_TURNS else None
         if bound is None:
@@ -115,6 +121,8 @@ class LivePass(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         changes = [c for part in rows for c in self._learn(part)]
         self._wind(timerValues)
+        if not changes:
+            return
         yield pd.DataFrame({S: pd.Series([key[0]] * len(changes), dtype="object"), "msg_no": pd.Series([c[0] for c in changes], dtype="int64"),
                             "part_no": pd.Series([c[1] for c in changes], dtype="int32"), "kind": pd.Series([c[2] for c in changes], dtype="object")})
 

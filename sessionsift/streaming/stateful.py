@@ -37,19 +37,18 @@ def _superseded(key, pdfs: Iterator[pd.DataFrame], state: GroupState, ttl_ms: in
         state.remove()
         yield pd.DataFrame({S: pd.Series([], dtype="object"), "call_id": pd.Series([], dtype="int64")})
         return
-    rows = pd.concat(list(pdfs), ignore_index=True)
-    pairs = list(zip(rows["seq"].tolist(), rows["call_id"].tolist()))
-    if state.exists:
-        old_seq, old_call = state.get
-        pairs.append((old_seq, old_call))
-    top = max(pairs)
-    out = [c for s, c in zip(rows["seq"].tolist(), rows["call_id"].tolist()) if (s, c) != top]
-    if state.exists and (old_seq, old_call) != top:
-        out.append(old_call)  # a newer identical call arrived: the stored one is now superseded
+    # plain tuples: most groups have one row, for which work on frames costs more than the rest
+    rows = [r for pdf in pdfs for r in zip(pdf["seq"].tolist(), pdf["call_id"].tolist())]
+    old = tuple(state.get) if state.exists else None
+    top = max(rows if old is None else [*rows, old])
+    out = [c for s, c in rows if (s, c) != top]
+    if old is not None and old != top:
+        out.append(old[1])  # a newer identical call arrived: the stored one is now superseded
     state.update((int(top[0]), int(top[1])))
     if ttl_ms:
         state.setTimeoutDuration(ttl_ms)
-    yield pd.DataFrame({S: [key[0]] * len(out), "call_id": pd.Series(out, dtype="int64")})
+    if out:
+        yield pd.DataFrame({S: [key[0]] * len(out), "call_id": pd.Series(out, dtype="int64")})
 
 
 def _timeout(ttl_ms: int | None) -> str:
@@ -71,17 +70,21 @@ def stream_superseded(calls: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 # --------------------------------------------------------------------------- J2
 def _stale(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(pdfs), ignore_index=True)
     turns, pending = (list(state.get[0]), [(p["seq"], p["call_id"]) for p in state.get[1]]) if state.exists else ([], [])
-    turns = sorted(turns + rows.loc[rows["is_user"], "seq"].tolist())[-C.PURGE_ERROR_TURNS:]
-    errors = rows[rows["is_err"] & ~rows["is_user"]]
-    pending += list(zip(errors["seq"].tolist(), errors["call_id"].tolist()))
+    for pdf in pdfs:
+        for seq, call, is_user, is_err in zip(*(pdf[c].tolist() for c in ("seq", "call_id", "is_user", "is_err"))):
+            if is_user:
+                turns.append(seq)
+            elif is_err:
+                pending.append((seq, call))
+    turns = sorted(turns)[-C.PURGE_ERROR_TURNS:]
     # an error is stale once the n-th newest user turn comes after it, in whatever order they arrived
     bound = turns[0] if len(turns) == C.PURGE_ERROR_TURNS else None
     due = [c for s, c in pending if bound is not None and s < bound]
     keep = [{"seq": int(s), "call_id": int(c)} for s, c in pending if bound is None or s >= bound]
     state.update(([int(t) for t in turns], keep))
-    yield pd.DataFrame({S: [key[0]] * len(due), "call_id": pd.Series(due, dtype="int64")})
+    if due:
+        yield pd.DataFrame({S: [key[0]] * len(due), "call_id": pd.Series(due, dtype="int64")})
 
 
 def stream_stale_errors(messages: DataFrame) -> DataFrame:

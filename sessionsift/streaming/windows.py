@@ -21,10 +21,11 @@ def first_warnings(log: DataFrame, message: str = "message") -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str, table: str = "events", parts: int = 5, late: bool = True) -> DataFrame:
-    """A table as a file stream of at least ``parts`` micro-batches, in the order of ``event_id``.
+    """A table as a file stream of ``parts`` micro-batches, however large, in the order of ``event_id``.
 
-    The rows are first written as ``parts`` drops of files in the shared scratch folder.  With ``late``,
-    every seventh row comes one drop too late, and the last drop's come first.
+    The rows are first written as ``parts`` drops in the shared scratch folder, each of as many files (round-robin:
+    a thousand rows for each file leave none empty), which a micro-batch takes together.  With ``late``, every
+    seventh row comes one drop too late, and the last drop's come first.
     """
     rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     base = scratch_dir(spark, f"stream-in-{table}")
@@ -32,9 +33,12 @@ def events_stream(spark: SparkSession, sf_dir: str, table: str = "events", parts
     drop = F.floor(F.col("event_id") * parts / F.lit(top + 1)).cast("int")
     if late:
         drop = F.when(F.col("event_id") % 7 == 0, (drop + 1) % parts).otherwise(drop)
+    rows_of = {r[0]: r[1] for r in rows.groupBy(drop).count().collect() if r[0] is not None}  # a row for each drop
+    files = max(1, min([rows._jdf.rdd().getNumPartitions(), *(n // 1000 for n in rows_of.values())]))
     for k in range(parts):  # one write after the other: the source takes the oldest files first
-        rows.where(drop == k).write.parquet(f"{base}/{k:03d}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
+        if files == 1 or k in rows_of:  # an empty drop is one file
+            rows.where(drop == k).repartition(files).write.parquet(f"{base}/{k:03d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/*")
 
 
 def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

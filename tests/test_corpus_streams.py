@@ -32,3 +32,13 @@ def test_dedupe_corpus_matches_sequential_walk(spark, df):
     d = df(rows, "session_id string, pos long, vec array<double>")
     got = sorted(r.pos for r in dedupe_corpus(d, 0.9, pivots=8).collect())
     assert got == brute(vecs, 0.9)
+
+
+def test_micro_batches_do_not_grow_with_the_files(spark, tmp_path):
+    """A table of several files: every drop is one micro-batch, complete, and the next one is newer."""
+    from sessionsift.streaming.windows import events_stream
+    spark.range(40_000).withColumnRenamed("id", "event_id").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    q = events_stream(spark, str(tmp_path), late=False).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]] == [8_000] * 5
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 40_000
