@@ -4,25 +4,20 @@
    group, later copies are always dropped (they are neighbours of whatever the
    first copy is, and share all its neighbours).  Docs without terms (zero
    vectors) match nothing and are kept.
-2. Candidate pairs, of which none with cosine >= threshold is missed:
-
-   * term vectors (``dedupe_corpus_terms``): an inverted index with residuals.
-     Terms stand in levels by document frequency (one level for each doubling),
-     rare ones first.  A doc indexes its levels until the norm of what is left
-     is below the threshold; the rest is its *residual* and stays out of the
-     index.  Docs that meet in the index add up their dot product over the
-     indexed levels; a pair lives on only if the level where they first meet
-     leaves enough norm on both sides, and if that sum and the smallest bound
-     of what is left (the product of both norms beyond the indexed levels, or
-     the residual against the largest weight of each of its terms) reach the
-     threshold.  Only then are terms fetched: those beyond the indexed levels.
+2. Two docs of a session meet in one task exactly once: a session is dealt into
+   blocks of bounded size and every two blocks are one group.  So no pair that
+   is below the threshold leaves its task, and what moves grows with the docs
+   and the number of blocks, not with the pairs:
+
+   * term vectors (``dedupe_corpus_terms``): the most frequent terms of a group
+     have a dimension each, the rest share some by the norm of what falls there
+     (a product of norms is at least the dot product).  One matrix product
+     bounds all cosines of the group; the pairs it leaves add up their counts.
    * dense vectors (``dedupe_corpus``): pivots and the triangle inequality on
-     angles.  A doc lives in the cell of its nearest pivot and visits every
-     cell whose pivot is at most 2θ further away than its own; two docs within
-     θ of each other meet in the cell of either, where their angles to the
-     pivot differ by at most θ.
+     angles.  The vectors nearest to a pivot are multiplied with those whose
+     angle to it differs by at most θ from one of theirs.
 
-   Every candidate is verified with the exact, unrounded cosine.
+   Every pair that is left is verified with the exact, unrounded cosine.
 3. The sequential walk "keep a doc iff no kept earlier neighbour" is the
    lexicographically-first maximal independent set; it is reached by rounds:
    an undecided node is kept when no earlier neighbour is kept or undecided,
@@ -35,129 +30,200 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionsift.functions.text import tokens
 from sessionsift.operators.components import component_labels
-from sessionsift.operators.rank import dense_cosine, embed_docs
-from sessionsift.session import materialize, spread
+from sessionsift.operators.rank import BROADCAST_ROWS, embed_docs
+from sessionsift.session import dealt, materialize, spread
 
 S = "session_id"
 #: Slack of the candidate bounds against rounding errors; verification is exact.
 EPS = 1e-9
 
 
-# --------------------------------------------------------------------------- candidates, term vectors
-#: Docs of one term that meet in one task; the other side of a more frequent term is copied to each part.
-POSTINGS = 2000
-
-
-def residual_index(terms: DataFrame, threshold: float) -> DataFrame:
-    """``terms(session_id, pos, term, tf)`` -> the same with ``df``, ``level``, ``norm``, ``last`` (the doc's last
-    indexed level), ``rest`` (squared norm from each level on, as a share) and ``reach`` (the most that the
-    residual can add to a cosine, by the largest weight of each of its terms)."""
-    own = Window.partitionBy(S, "pos")
-    unit = terms.withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(own)))
-    stats = unit.groupBy(S, "term").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("tf") / F.col("norm")).alias("most"))
-    leveled = materialize(unit.join(stats, [S, "term"]).withColumn("level", F.floor(F.log2("df") + EPS).cast("int")))
-    levels = (leveled.agg(F.max("level")).first()[0] or 0) + 1  # one scalar: the logarithm of the largest df
-    share = F.col("tf") * F.col("tf") / (F.col("norm") * F.col("norm"))
-    rest = F.array(*(F.sum(F.when(F.col("level") >= k, share).otherwise(0.0)).over(own) for k in range(levels + 1)))
-    out = leveled.withColumn("rest", rest)
-    out = out.withColumn("last", F.size(F.filter("rest", lambda r: r >= threshold * threshold - EPS)) - 1)
-    left = F.when(F.col("level") > F.col("last"), F.col("tf") / F.col("norm") * F.col("most")).otherwise(0.0)
-    return out.withColumn("reach", F.sum(left).over(own)).drop("most")
-
-
-def partial_dots(index: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(session_id, a, b, dot, upto)``, b < a, that may reach the threshold: ``dot`` over the levels up to
-    ``upto`` is done, the rest is open."""
-    post = index.where((F.col("level") <= F.col("last")) & (F.col("df") > 1))
-    parts = F.ceil(F.col("df") / POSTINGS).cast("int")
-    side = ["tf", "norm", "last", "rest", "reach"]
-    a = post.select(S, "term", "level", F.col("pos").alias("a"), F.pmod(F.xxhash64("pos"), parts).cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in side))
-    b = post.select(S, "term", F.col("pos").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in side))
-    upto = F.least("last_a", "last_b")
-    met = a.join(b, [S, "term", "part"]).where(F.col("b") < F.col("a")).select(
-        S, "a", "b", (F.col("tf_a") * F.col("tf_b")).alias("dot"), (F.col("norm_a") * F.col("norm_b")).alias("norms"), upto.alias("upto"),
-        (F.col("rest_a")[F.col("level")] * F.col("rest_b")[F.col("level")]).alias("first"),
-        F.least(F.sqrt(F.col("rest_a")[upto + 1] * F.col("rest_b")[upto + 1]),
-                F.when(F.col("last_a") == upto, F.col("reach_a")), F.when(F.col("last_b") == upto, F.col("reach_b"))).alias("open"))
-    pairs = met.groupBy(S, "a", "b").agg(F.sum("dot").alias("dot"), F.max("first").alias("first"), F.max("norms").alias("norms"), F.max("open").alias("open"), F.max("upto").alias("upto"))
-    able = (F.col("first") >= threshold * threshold - EPS) & (F.col("dot") / F.col("norms") + F.col("open") >= threshold - EPS)
-    return pairs.where(able).select(S, "a", "b", "dot", "upto")
-
-
-def verified_term_edges(index: DataFrame, cands: DataFrame, threshold: float) -> DataFrame:
-    """Candidates whose whole, unrounded cosine is at least the threshold.  One side fetches its terms beyond the
-    indexed levels, the other is looked up by them."""
-    norms = index.select(S, "pos", "norm").distinct()
-    open_a = index.select(S, F.col("pos").alias("a"), "term", "level", F.col("tf").alias("ta"))
-    open_b = index.select(S, F.col("pos").alias("b"), "term", F.col("tf").alias("tb"))
-    more = (cands.join(open_a, [S, "a"]).where(F.col("level") > F.col("upto")).join(open_b, [S, "b", "term"])
-            .groupBy(S, "a", "b").agg(F.sum(F.col("ta") * F.col("tb")).alias("more")))
-    na, nb = (norms.select(S, F.col("pos").alias(x), F.col("norm").alias(f"n{x}")) for x in "ab")
-    whole = cands.join(more, [S, "a", "b"], "left").join(na, [S, "a"]).join(nb, [S, "b"])
-    cosine = (F.col("dot") + F.coalesce("more", F.lit(0))) / (F.col("na") * F.col("nb"))
-    return whole.where(cosine >= threshold).select(S, "a", "b")
+# --------------------------------------------------------------------------- pairs of blocks
+#: Docs of a session in one block.
+POSTINGS = 16_384
+#: Docs of one block that are multiplied with the other at a time.
+STRIP = 256
+
+
+def paired_blocks(items: DataFrame, near) -> DataFrame:
+    """``items(session_id, pos, ...)`` -> ``(session_id, a, b, met)``, b < a: the pairs that ``near`` finds.
+
+    ``near(table)`` gets two blocks, or one, as a table and returns a function of (rows, others), two slices of it,
+    that yields arrays of the pairs (row, other) above the threshold and how many pairs it has verified for them;
+    when the slices overlap, a pair's other has the smaller number.  Rows of one ``pos`` are no pair.  A row
+    without a pair tells the number of verified ones for its group."""
+    items = items.where(F.col(S).isNotNull() & F.col("pos").isNotNull())
+    sizes = materialize(items.groupBy(S).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(S, F.ceil(F.col("n") / POSTINGS).cast("int").alias("__parts")))
+    blocks = items.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, S)
+    blocks = blocks.withColumn("__own", F.pmod(F.xxhash64("pos"), F.col("__parts")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    blocks = blocks.withColumns({"__lo": F.least("__own", "__other"), "__hi": F.greatest("__own", "__other")}).drop("__parts", "__other")
+    kinds = {c: items.schema[c].dataType.simpleString() for c in (S, "pos")}
+
+    def pairs(group: pa.Table) -> pa.Table:
+        group = group.take(np.lexsort([group.column(c).to_numpy() for c in ("pos", "__own")]))
+        pos, own = (group.column(c).to_numpy() for c in ("pos", "__own"))
+        n, first = len(pos), int(np.searchsorted(own, own[-1]))  # where the second block begins, 0: there is one
+        alone = group.column("__lo")[0].as_py() == group.column("__hi")[0].as_py()
+        a, b, met = [pos[:0]], [pos[:0]], 0
+        found = near(group)
+        for k in range(0, n if alone else first, STRIP):
+            end = min(k + STRIP, n if alone else first)
+            for i, j, verified in found(slice(k, end), slice(0, end) if alone else slice(first, n)):
+                keep = pos[i] != pos[j]
+                a.append(np.maximum(pos[i], pos[j])[keep])
+                b.append(np.minimum(pos[i], pos[j])[keep])
+                met += verified
+        a, b = np.concatenate(a), np.concatenate(b)
+        kind = group.schema.field("pos").type
+        ends = [pa.concat_arrays([pa.array(x, kind), pa.array([None], kind)]) for x in (a, b)]
+        session = pa.array([group.column(S)[0].as_py()] * (len(a) + 1), group.schema.field(S).type)
+        return pa.table([session, *ends, pa.array([0] * len(a) + [met], pa.int64())], names=[S, "a", "b", "met"])
+
+    return blocks.groupBy(S, "__lo", "__hi").applyInArrow(pairs, f"{S} {kinds[S]}, a {kinds['pos']}, b {kinds['pos']}, met bigint")
+
+
+# --------------------------------------------------------------------------- term vectors
+#: Dimensions of the bound: one for each of the most frequent terms, the others for the rest.
+HEAD, TAIL = 512, 512
+#: Slack of the bound, in single precision.
+BOUND_EPS = 1e-4
+
+
+def term_vectors(docs: DataFrame) -> DataFrame:
+    """``docs(session_id, pos, text)``, dealt by both keys -> ``(session_id, pos, terms, tfs)`` of the docs with terms;
+    a term goes by its 64-bit hash."""
+    terms = embed_docs(docs.select(S, "pos", "text")).select(S, "pos", F.xxhash64("term").alias("term"), F.col("tf").cast("int").alias("tf"))
+    return terms.groupBy(S, "pos").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs"))
+
+
+def near_terms(threshold: float):
+    """``near`` of ``paired_blocks`` for ``term_vectors``."""
+    def near(group: pa.Table):
+        lists, counts = (group.column(c).combine_chunks() for c in ("terms", "tfs"))
+        n, sizes = len(lists), np.diff(lists.offsets.to_numpy())
+        row, tf = np.repeat(np.arange(n), sizes), counts.flatten().to_numpy().astype(np.int64)
+        norm = np.sqrt(np.bincount(row, tf * tf, n))
+        names, term, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = df[term] > 1  # what a single doc has adds nothing to any product
+        row, term, tf = row[shared], term[shared], tf[shared]
+        at = HEAD + np.arange(len(names)) % TAIL
+        frequent = np.argsort(-df, kind="stable")[:HEAD]
+        at[frequent] = np.arange(len(frequent))
+        bound = np.zeros((n, HEAD + TAIL), np.float32)
+        np.add.at(bound, (row, at[term]), ((tf / norm[row]) ** 2).astype(np.float32))
+        np.sqrt(bound, out=bound)
+        start = np.searchsorted(row, np.arange(n + 1))
+
+        own = np.zeros(len(names), np.int64)
+
+        def pairs(rows, others):
+            which, col = np.nonzero(bound[rows] @ bound[others].T >= threshold - BOUND_EPS)
+            col = col + others.start
+            for x, r in enumerate(range(rows.start, rows.stop)):
+                c = col[np.searchsorted(which, x):np.searchsorted(which, x, "right")]
+                c = c[((c < r) | (others.start > r)) & (start[c + 1] > start[c])]
+                if not len(c):
+                    continue
+                mine = slice(start[r], start[r + 1])
+                own[term[mine]] = tf[mine]
+                length = start[c + 1] - start[c]
+                first = np.cumsum(length) - length
+                place = np.repeat(start[c] - first, length) + np.arange(length.sum())
+                dots = np.add.reduceat(own[term[place]] * tf[place], first)
+                own[term[mine]] = 0
+                found = c[dots / (norm[r] * norm[c]) >= threshold]
+                yield np.full(len(found), r), found, len(c)
+        return pairs
+    return near
 
 
 def dedupe_corpus_terms(docs: DataFrame, threshold: float, report: dict | None = None) -> DataFrame:
     """G3 on term counts: ``docs(session_id, pos, text)`` in ``pos`` order -> kept ``(session_id, pos)``.
 
-    ``report``, if given, gets the numbers of texts, pairs in all, candidates (pairs whose terms are fetched),
+    ``report``, if given, gets the numbers of texts, pairs in all, candidates (pairs that the bound leaves),
     verified pairs and rounds."""
     docs = spread(docs, S, "pos")
     # a digest of the text, not the text, groups the copies
-    first = docs.groupBy(S, F.sha2("text", 256).alias("__h")).agg(F.min("pos").alias("pos")).select(S, "pos")
-    terms = materialize(embed_docs(docs.select(S, "pos", "text")))
-    index = materialize(residual_index(terms.join(first, [S, "pos"], "left_semi"), threshold))
-    cands = materialize(partial_dots(index, threshold))
-    edges = materialize(verified_term_edges(index, cands, threshold))
+    first = docs.groupBy(S, F.sha2("text", 256).alias("__h")).agg(F.min("pos").alias("pos")).select(S, "pos").distinct()
+    # dealt by the keys of a doc, so that counting its terms deals nothing again
+    texts = dealt(docs.select(S, "pos", "text"), S, "pos").join(first.hint("shuffle_hash"), [S, "pos"], "left_semi")
+    vectors = materialize(term_vectors(texts))
+    met = materialize(paired_blocks(vectors, near_terms(threshold)))
+    edges = met.where("a IS NOT NULL").select(S, "a", "b")
     undecided: list[int] = []
-    nodes = materialize(index.select(S, "pos").distinct())
+    nodes = materialize(vectors.select(S, "pos"))
     kept = greedy_fixpoint(nodes, edges, undecided)
     if report is not None:
         sizes = nodes.groupBy(S).count()
         n = sizes.agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1) / 2).cast("bigint").alias("p")).first()
-        report.update(texts=n["n"], pairs=n["p"], candidates=cands.count(), verified=edges.count(), rounds=len(undecided))
-    wordless = docs.select(S, "pos").join(terms.select(S, "pos").distinct(), [S, "pos"], "left_anti")
+        report.update(texts=n["n"], pairs=n["p"], candidates=met.agg(F.sum("met")).first()[0] or 0, verified=edges.count(), rounds=len(undecided))
+    worded = docs.where(F.size(tokens(F.col("text"))) > 0).select(S, "pos")
+    wordless = docs.select(S, "pos").join(worded.distinct(), [S, "pos"], "left_anti")
     return kept.unionByName(wordless)
 
 
-# --------------------------------------------------------------------------- candidates, dense vectors
-def pivot_candidates(items: DataFrame, threshold: float, pivots: int = 32) -> DataFrame:
-    """``items(session_id, pos, vec)``, no zero vectors -> candidate pairs ``(session_id, a, b)``, b < a."""
-    sample = items.orderBy(F.xxhash64(S, "pos"), S, "pos").limit(pivots).select("vec").collect()  # bounded by ``pivots``
-    if not sample:
-        return items.select(S, F.col("pos").alias("a"), F.col("pos").alias("b"))
-    base = np.array([r["vec"] for r in sample], dtype=float)
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    theta = float(np.arccos(np.clip(threshold, -1, 1))) + EPS
-
-    @F.pandas_udf("home int, cells array<struct<cell: int, angle: double>>")
-    def cells(vecs: pd.Series) -> pd.DataFrame:
-        v = np.stack(vecs.to_numpy()).astype(float)
-        angle = np.arccos(np.clip(v / np.linalg.norm(v, axis=1, keepdims=True) @ base.T, -1, 1))
-        home = angle.argmin(axis=1)
-        near = angle <= angle.min(axis=1, keepdims=True) + 2 * theta
-        rows = [[{"cell": int(c), "angle": float(angle[i, c])} for c in np.flatnonzero(near[i])] for i in range(len(v))]
-        return pd.DataFrame({"home": home.astype("int32"), "cells": rows})
-
-    at = items.select(S, "pos", cells("vec").alias("c")).select(S, "pos", "c.home", F.explode("c.cells").alias("x"))
-    at = at.select(S, "pos", "home", "x.cell", "x.angle")
-    a = at.where(F.col("home") == F.col("cell")).select(S, "cell", F.col("pos").alias("p"), F.col("angle").alias("ap"))
-    b = at.select(S, "cell", F.col("pos").alias("q"), F.col("angle").alias("aq"))
-    met = a.join(b, [S, "cell"]).where((F.col("p") != F.col("q")) & (F.abs(F.col("ap") - F.col("aq")) <= theta))
-    return met.select(S, F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
-
-
-def verified_edges(items: DataFrame, cands: DataFrame, threshold: float) -> DataFrame:
-    va = items.select(S, F.col("pos").alias("a"), F.col("vec").alias("va"))
-    vb = items.select(S, F.col("pos").alias("b"), F.col("vec").alias("vb"))
-    return cands.join(va, [S, "a"]).join(vb, [S, "b"]).where(dense_cosine("va", "vb") >= threshold).select(S, "a", "b")
+# --------------------------------------------------------------------------- dense vectors
+#: Pairs that are verified at a time.
+VERIFIED = 1 << 17
+
+
+def exact_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``dense_cosine`` of rows, added up in the same order."""
+    dot, xx, yy = (np.zeros(len(x)) for _ in range(3))
+    with np.errstate(all="ignore"):
+        for k in range(x.shape[1]):
+            dot, xx, yy = dot + x[:, k] * y[:, k], xx + x[:, k] * x[:, k], yy + y[:, k] * y[:, k]
+        return dot / (np.sqrt(xx) * np.sqrt(yy))
+
+
+def near_vectors(threshold: float, pivots: int = 32):
+    """``near`` of ``paired_blocks`` for ``(session_id, pos, vec)``, no zero vectors."""
+    theta = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def near(group: pa.Table):
+        lists = group.column("vec").combine_chunks()
+        start, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+        start = start - start[0]
+        sizes = np.diff(start)
+        alike = {}
+        for d in np.unique(sizes):  # vectors of one length
+            at = np.flatnonzero(sizes == d)
+            x = flat[start[at][:, None] + np.arange(d)]
+            with np.errstate(all="ignore"):
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                odd = ~np.isfinite(unit).all(axis=1)
+                base = unit[~odd][:pivots]
+                angle = np.arccos(np.clip(unit @ base.T, -1, 1))
+            home = np.where(odd, -1, angle.argmin(axis=1) if len(base) else -1)
+            alike[d] = at, x, unit, odd, angle, home
+
+        def pairs(rows, others):
+            for at, x, unit, odd, angle, home in alike.values():
+                mine, theirs = (slice(*np.searchsorted(at, [s.start, s.stop])) for s in (rows, others))
+                for p in np.unique(home[mine]):
+                    i = mine.start + np.flatnonzero(home[mine] == p)
+                    j = np.arange(theirs.start, theirs.stop)
+                    if p >= 0:
+                        far = (angle[j, p] < angle[i, p].min() - theta) | (angle[j, p] > angle[i, p].max() + theta)
+                        j = j[odd[j] | ~far]
+                    with np.errstate(all="ignore"):
+                        # not below for sure; what is not a number is decided as Spark does
+                        k, m = np.nonzero(~(unit[i] @ unit[j].T < threshold - EPS))
+                    i, j = i[k], j[m]
+                    once = (j < i) | (others.start >= rows.stop)
+                    i, j = i[once], j[once]
+                    for q in range(0, len(i), VERIFIED):
+                        a, b = i[q:q + VERIFIED], j[q:q + VERIFIED]
+                        edge = ~(exact_cosines(x[a], x[b]) < threshold)
+                        yield at[a[edge]], at[b[edge]], len(a)
+        return pairs
+    return near
 
 
 def dedupe_corpus(items: DataFrame, threshold: float, pivots: int = 32) -> DataFrame:
@@ -165,7 +231,8 @@ def dedupe_corpus(items: DataFrame, threshold: float, pivots: int = 32) -> DataF
     nz = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v) > 0
     # A partial aggregate, so a hot group of copies is pre-reduced before the shuffle.
     reps = materialize(items.where(nz).groupBy(S, "vec").agg(F.min("pos").alias("pos")).select(S, "pos", "vec"))
-    edges = materialize(verified_edges(reps, pivot_candidates(reps, threshold, pivots), threshold))
+    met = materialize(paired_blocks(reps, near_vectors(threshold, pivots)))
+    edges = met.where("a IS NOT NULL").select(S, "a", "b")
     kept = greedy_fixpoint(reps.select(S, "pos"), edges)
     return kept.unionByName(items.where(~nz).select(S, "pos"))
 

@@ -119,6 +119,19 @@ def spread(df, *keys: str):
     return df
 
 
+#: Estimated bytes of input (files as they are stored) in one partition of ``dealt``.
+PART_BYTES = 16 << 20
+
+
+def dealt(df, *keys: str):
+    """Hash-partitioned by ``keys`` in parts of bounded size: as many as the estimated size of the input asks for, at
+    least the session's number of shuffle partitions, which does not grow with the input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = size < 1 << 50  # rows that are no files are taken to be of any size
+    return df.repartition(max(least, -(-size // PART_BYTES)) if known else least, *keys)
+
+
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
