@@ -18,6 +18,8 @@ from sessionsift.operators.ordered import join_null_safe
 from sessionsift.session import materialize
 
 S = "session_id"
+#: The most narrow rows (a session and a few numbers) that are broadcast after they have been counted.
+BROADCAST_ROWS = 1_000_000
 
 
 # --------------------------------------------------------------------------- B9 / C1
@@ -121,16 +123,48 @@ def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
             .groupBy(S, "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
+def _tf_squares(words: Column) -> Column:
+    """The sum of the squared term counts of a list of tokens: the (n+1)th copy of a term adds 2n+1."""
+    zero = F.struct(F.lit("").alias("w"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("ss"))
+    step = lambda s, w: F.when(s["w"] == w, F.struct(w.alias("w"), (s["n"] + 1).alias("n"), (s["ss"] + 2 * s["n"] + 1).alias("ss"))).otherwise(
+        F.struct(w.alias("w"), F.lit(1).cast("bigint").alias("n"), (s["ss"] + 1).alias("ss")))
+    return F.aggregate(F.sort_array(words), zero, step, lambda s: s["ss"])
+
+
+def _counted_dots(docs: DataFrame, q: DataFrame) -> DataFrame:
+    """``(session_id, pos, dot, ss)`` by the docs' term counts; rows of one key count together."""
+    both = embed_docs(docs.select(S, "pos", "text")).join(q, [S, "term"], "left")
+    return both.groupBy(S, "pos").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("ss"))
+
+
+def query_dots(docs: DataFrame, q: DataFrame) -> DataFrame:
+    """``(session_id, pos, dot, ss)``: the product of a doc's and its session's query's term counts and the square of
+    the doc's norm, for docs with terms; ``q(session_id, term, qtf)`` is read several times.
+
+    As long as the query terms are few enough to be broadcast, a doc's tokens look them up where the doc is read and
+    its norm comes from its own list, so two numbers a doc are shuffled instead of all its terms.  Only keys that
+    stand in several rows count their terms together."""
+    if q.count() > BROADCAST_ROWS:
+        return _counted_dots(docs, q)
+    words = docs.select(S, "pos", tokens(F.col("text")).alias("t"), F.monotonically_increasing_id().alias("row"))
+    # before the explosion, not beside it: there it would be computed for every token
+    words = words.withColumn("ss", _tf_squares(F.col("t"))).select(S, "pos", "row", "ss", F.explode("t").alias("term"))
+    of_row = words.join(F.broadcast(q), [S, "term"], "left").groupBy(S, "pos").agg(
+        F.sum("qtf").alias("dot"), F.max("ss").alias("ss"), (F.min("row") < F.max("row")).alias("several"))
+    dots = materialize(of_row)
+    several = dots.where("several").select(S, "pos")
+    dots = dots.where("NOT several").drop("several")
+    if several.isEmpty():
+        return dots
+    return dots.unionByName(_counted_dots(docs.join(several, [S, "pos"], "left_semi"), q))
+
+
 def query_sims(docs: DataFrame, queries: DataFrame, query: str = "query") -> DataFrame:
     """H2 (lexical): ``(session_id, pos, __sim)`` of the docs that share a term with their session's query: the
-    cosine of the term counts, rounded to 6 digits.
-
-    Counts are added up before the shuffle and leave the text behind, so what is shuffled is a doc's distinct
-    terms, and a long query costs no more than its terms."""
-    q = query_terms(queries, query)
+    cosine of the term counts, rounded to 6 digits."""
+    q = materialize(query_terms(queries, query))
     norms = q.groupBy(S).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).cast("double")).alias("__qn"))
-    both = embed_docs(docs.select(S, "pos", "text")).join(q, [S, "term"], "left")
-    dots = both.groupBy(S, "pos").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("ss"))
+    dots = query_dots(docs, q)
     sim = F.round(F.col("dot").cast("double") / (F.sqrt(F.col("ss").cast("double")) * F.col("__qn")), C.SCORE_DIGITS)
     return dots.where("dot > 0").join(norms, S).select(S, "pos", sim.alias("__sim"))
 
@@ -172,10 +206,6 @@ def prefilter_cap(max_chunks) -> Column:
     return F.greatest(F.lit(C.PREFILTER_MIN_CAP), mc * C.PREFILTER_CHUNK_FACTOR)
 
 
-#: The most narrow rows (a session and a few numbers) that are broadcast after they have been counted.
-BROADCAST_ROWS = 1_000_000
-
-
 def fetched(docs: DataFrame, places: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``docs`` joined with the narrow ``places``, which are written and counted first: few enough are broadcast,
     so that no other doc's text moves; beyond that both sides are shuffled."""
