@@ -8,7 +8,7 @@ from sessionsift.plans import fixtures as fx
 from sessionsift.plans import oracle_h5 as O
 from sessionsift.plans.optimize import optimize_context
 from sessionsift.plans.registry import register
-from sessionsift.session import scratch_dir
+from sessionsift.session import materialize, scratch_dir
 from sessionsift.operators.params import apply_model_limits
 
 
@@ -44,11 +44,12 @@ def _clean(docs):
 
 
 def _fx1_ranked(spark, sf):
-    params = with_param_defaults(fx.fx1_requests(spark, sf))
+    # a row for each session and the bounded candidate list: written once, as the steps below read them several times
+    params = materialize(with_param_defaults(fx.fx1_requests(spark, sf)))
     cands = rank.prefilter_topk(_clean(fx.fx1_docs(spark, sf)), params)
-    cands = cands.select(S, F.col("ppos").alias("pos"), "text")
+    cands = materialize(cands.select(S, F.col("ppos").alias("pos"), "text"))
     scores = rank.bm25_scores(cands, params)
-    return rank.rank_docs(cands.join(scores, [S, "pos"]), order="pos"), params
+    return materialize(rank.rank_docs(cands.join(scores, [S, "pos"]), order="pos")), params
 
 
 @register("b9_normalize_docs", f"""with {fx.SQL_FX1}
