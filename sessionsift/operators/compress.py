@@ -19,6 +19,8 @@ from sessionsift.operators.terms import looked_up
 from sessionsift.session import materialize
 
 S = "session_id"
+#: Characters whose tokens meet in one task.
+PART_CHARS = 2 << 20
 
 
 def compress_text(docs: DataFrame, params: DataFrame | None = None, rate: str = "compression_rate",
@@ -27,12 +29,15 @@ def compress_text(docs: DataFrame, params: DataFrame | None = None, rate: str =
 
     The input is a bounded list per session (at most ``max_chunks`` docs), so
     the tokens are hash-partitioned by session once and every statistic is a
-    window on that partitioning (no joins, no further exchanges).  ``terms`` (``operators.terms``)
+    window on that partitioning (no joins, no further exchanges), in as many
+    partitions as their characters ask for.  ``terms`` (``operators.terms``)
     has the document frequencies of a corpus, which then take the place of those in the session.
     """
     if params is not None:
         docs = docs.join(params.select(S, rate), S)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = materialize(docs.select(S, order, rate, "text"))  # read for its size and for its tokens
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
     toks = (docs.select(S, order, rate, F.posexplode(F.split(F.col("text"), SPACE_RUN)).alias("tpos", "tok"))
             .where(F.col("tok") != "")
             .withColumn("norm", F.lower(F.regexp_replace("tok", NON_WORD, "")))
