@@ -8,7 +8,7 @@ inside one row per session, never on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionsift.operators.rank import dense_cosine
@@ -25,15 +25,15 @@ def lexical_neighbours(terms: DataFrame, thresholds: DataFrame, key: str = "rank
     terms inside one session (the self-join key is ``(session_id, term)``).
     Returns ``(session_id, key, nbrs array<int>)`` for docs with neighbours.
     """
-    norms = terms.groupBy(S, key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    a = terms.select(S, "term", F.col(key).alias("a"), F.col("tf").alias("tfa"))
-    b = terms.select(S, "term", F.col(key).alias("b"), F.col("tf").alias("tfb"))
+    # the norms go along with the terms: the pairs are many more, and are dealt once, for their sums
+    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(S, key)))
+    t = terms.withColumn("norm", norm)
+    a = t.select(S, "term", F.col(key).alias("a"), F.col("tf").alias("tfa"), F.col("norm").alias("na"))
+    b = t.select(S, "term", F.col(key).alias("b"), F.col("tf").alias("tfb"), F.col("norm").alias("nb"))
     dots = (a.join(b, [S, "term"]).where(F.col("b") < F.col("a"))
-            .groupBy(S, "a", "b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("dot")))
-    na = norms.select(S, F.col(key).alias("a"), F.col("norm").alias("na"))
-    nb = norms.select(S, F.col(key).alias("b"), F.col("norm").alias("nb"))
+            .groupBy(S, "a", "b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("dot"), F.max("na").alias("na"), F.max("nb").alias("nb")))
     cos = F.col("dot") / (F.col("na") * F.col("nb"))  # unrounded: 0.8999996 is below 0.9
-    return (dots.join(na, [S, "a"]).join(nb, [S, "b"]).join(thresholds.select(S, threshold), S)
+    return (dots.join(thresholds.select(S, threshold), S)
             .where(cos >= F.col(threshold))
             .groupBy(S, F.col("a").alias(key)).agg(F.array_sort(F.collect_list(F.col("b").cast("int"))).alias("nbrs")))
 

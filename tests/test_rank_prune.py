@@ -124,3 +124,17 @@ def test_query_cosines_shuffle_no_terms(spark, df, monkeypatch):
     assert len(seen) == 2 and not any(n == "Exchange" and "term#" in columns for n, columns in moved(seen[1]))
     monkeypatch.setattr(rank, "BROADCAST_ROWS", 0)  # all terms counted, as for very many query terms
     assert len(few) == 50 and few == sorted(map(tuple, rank.query_sims(docs, asked).collect()))
+
+
+def test_neighbour_pairs_meet_their_norms_in_one_join(spark, df):
+    terms = df([("s", 1, "x", 1), ("s", 1, "y", 2), ("s", 2, "x", 1), ("s", 2, "y", 2), ("s", 3, "y", 2), ("s", 4, "z", 1), ("t", 1, "x", 1), ("t", 2, "x", 3)], f"{S} string, rank int, term string, tf long")
+    params = df([("s", 0.8), ("t", 0.99)], f"{S} string, dedupe_threshold double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nbrs = prune.lexical_neighbours(terms, params)
+        assert sorted((r[S], r["rank"], r.nbrs) for r in nbrs.collect()) == [("s", 2, [1]), ("s", 3, [1, 2]), ("t", 2, [1])]
+        plan = nbrs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("SortMergeJoin") == 2  # terms with terms, pairs with thresholds
