@@ -94,7 +94,8 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     # the path is a URI; a folder's value is escaped once more
     session = F.when(folder != "", F.nullif(plain(plain(folder)), F.lit("__HIVE_DEFAULT_PARTITION__"))).otherwise(plain(name))
     filled = F.when(F.col("__add").isNotNull(), strip_ws("raw") != "")  # of both sides: below the join it would part their shuffles
-    return (lines.join(splits, ["__f", "__at"]).where(filled)
+    # every line has its split; an outer join never broadcasts the lines
+    return (lines.join(splits, ["__f", "__at"], "left").where(filled)
             .select(session.alias(S), (F.col("__i") + F.col("__add")).cast("bigint").alias("line_no"), "raw"))
 
 
