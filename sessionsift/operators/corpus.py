@@ -4,10 +4,8 @@
    group, later copies are always dropped (they are neighbours of whatever the
    first copy is, and share all its neighbours).  Docs without terms (zero
    vectors) match nothing and are kept.
-2. Two docs of a session meet in one task exactly once: a session is dealt into
-   blocks of bounded size and every two blocks are one group.  So no pair that
-   is below the threshold leaves its task, and what moves grows with the docs
-   and the number of blocks, not with the pairs:
+2. Two docs of a session meet in one task exactly once, by blocks of bounded size.  No pair that is below the
+   threshold leaves its task.
 
    * term vectors (``dedupe_corpus_terms``): the most frequent terms of a group
      have a dimension each, the rest share some by the norm of what falls there
@@ -18,26 +16,34 @@
      angle to it differs by at most θ from one of theirs.
 
    Every pair that is left is verified with the exact, unrounded cosine.
-3. The sequential walk "keep a doc iff no kept earlier neighbour" is the
-   lexicographically-first maximal independent set; it is reached by rounds:
-   an undecided node is kept when no earlier neighbour is kept or undecided,
-   dropped when an earlier neighbour is kept.  After a few rounds the open
-   rest is walked by ordered folds over sessions or connected components of
-   bounded size; only what is larger goes on by rounds (the first undecided
-   node of every session is decided in each, so they end).
+3. The sequential walk "keep a doc iff no kept earlier neighbour":
+
+   * term vectors, whose neighbours may be a share of all pairs: a session's blocks are files, walked one after the other;
+     all later blocks drop, in parallel, what a walked one's kept docs are near to (``walked_blocks``).  No pair is
+     stored at all.
+   * dense vectors: every two blocks of a session are one group (``paired_blocks``).  The walk is the
+     lexicographically-first maximal independent set of the pairs found; it is reached by rounds: an undecided node
+     is kept when no earlier neighbour is kept or undecided, dropped when an earlier neighbour is kept.  After a few
+     rounds the open rest is walked by ordered folds over sessions or connected components of bounded size; only
+     what is larger goes on by rounds (the first undecided node of every session is decided in each, so they end).
 """
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionsift.functions.text import tokens
 from sessionsift.operators.components import component_labels
 from sessionsift.operators.rank import BROADCAST_ROWS, embed_docs
-from sessionsift.session import dealt, materialize, spread
+from sessionsift.session import dealt, materialize, scratch_dir, spread
+from sessionsift.sources.stores import store_of
 
 S = "session_id"
 #: Slack of the candidate bounds against rounding errors; verification is exact.
@@ -107,27 +113,34 @@ def near_terms(threshold: float):
     def near(group: pa.Table):
         lists, counts = (group.column(c).combine_chunks() for c in ("terms", "tfs"))
         n, sizes = len(lists), np.diff(lists.offsets.to_numpy())
-        row, tf = np.repeat(np.arange(n), sizes), counts.flatten().to_numpy().astype(np.int64)
-        norm = np.sqrt(np.bincount(row, tf * tf, n))
         names, term, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        term, tf, row = term.astype(np.int32), counts.flatten().to_numpy().astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), sizes)
+        del lists, counts
+        norm = np.sqrt(np.bincount(row, tf.astype(np.int64) ** 2, n))
         shared = df[term] > 1  # what a single doc has adds nothing to any product
         row, term, tf = row[shared], term[shared], tf[shared]
+        del shared
         at = HEAD + np.arange(len(names)) % TAIL
         frequent = np.argsort(-df, kind="stable")[:HEAD]
         at[frequent] = np.arange(len(frequent))
-        bound = np.zeros((n, HEAD + TAIL), np.float32)
-        np.add.at(bound, (row, at[term]), ((tf / norm[row]) ** 2).astype(np.float32))
-        np.sqrt(bound, out=bound)
         start = np.searchsorted(row, np.arange(n + 1))
+        bound = np.zeros((n, HEAD + TAIL), np.float32)
+        for k in range(0, n, STRIP):  # by strips: what is added up takes twice the room
+            some, rows = slice(start[k], start[min(k + STRIP, n)]), min(k + STRIP, n) - k
+            place = (row[some] - k).astype(np.int64) * (HEAD + TAIL) + at[term[some]]
+            bound[k:k + rows] = np.sqrt(np.bincount(place, (tf[some] / norm[row[some]]) ** 2, rows * (HEAD + TAIL))).reshape(rows, -1)
+        del row
 
         own = np.zeros(len(names), np.int64)
 
-        def pairs(rows, others):
+        def pairs(rows, others, live=None):
+            """With ``live``, which may change between two rows, the others are those that are live."""
             which, col = np.nonzero(bound[rows] @ bound[others].T >= threshold - BOUND_EPS)
             col = col + others.start
             for x, r in enumerate(range(rows.start, rows.stop)):
                 c = col[np.searchsorted(which, x):np.searchsorted(which, x, "right")]
                 c = c[((c < r) | (others.start > r)) & (start[c + 1] > start[c])]
+                c = c if live is None else c[live[c]]
                 if not len(c):
                     continue
                 mine = slice(start[r], start[r + 1])
@@ -135,7 +148,7 @@ def near_terms(threshold: float):
                 length = start[c + 1] - start[c]
                 first = np.cumsum(length) - length
                 place = np.repeat(start[c] - first, length) + np.arange(length.sum())
-                dots = np.add.reduceat(own[term[place]] * tf[place], first)
+                dots = np.add.reduceat(own[term[place]] * tf[place].astype(np.int64), first)
                 own[term[mine]] = 0
                 found = c[dots / (norm[r] * norm[c]) >= threshold]
                 yield np.full(len(found), r), found, len(c)
@@ -143,26 +156,145 @@ def near_terms(threshold: float):
     return near
 
 
+# --------------------------------------------------------------------------- the walk by blocks
+#: Characters of the docs in one block, which bound its terms.
+BLOCK_CHARS = 24 << 20
+#: Cuts that are sought for each block of the largest session; most tasks of a round.
+CUTS, ROUND_TASKS = 4, 10_000
+
+
+def block_cuts(sizes: DataFrame) -> DataFrame:
+    """``sizes(session_id, pos, chars)`` -> ``(session_id, __cuts)``: the last ``pos`` of each block but one, for
+    sessions of more than one block."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / POSTINGS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
+    large = materialize(sizes.groupBy(S).agg(parts.alias("__parts")).where("__parts > 1"))
+    few = large.count() <= BROADCAST_ROWS
+    grid = CUTS * (large.agg(F.max("__parts")).first()[0] or 1)
+    # approximate places: blocks may differ in size, but every doc has one
+    at = F.percentile_approx("pos", [k / grid for k in range(1, grid)] or [0.5], max(10_000, 20 * grid))
+    places = sizes.join(F.broadcast(large) if few else large, S).groupBy(S, "__parts").agg(at.alias("__at"))
+    picked = F.transform(F.sequence(F.lit(1), F.col("__parts") - 1), lambda k: F.get("__at", F.round(k * grid / F.col("__parts")).cast("int") - 1))
+    cuts = materialize(places.select(S, picked.alias("__cuts")))
+    return F.broadcast(cuts) if few else cuts
+
+
+def _stored(file: str, live: bytes | None, columns: list[str] | None = None) -> pa.Table:
+    """The live docs of a block."""
+    store, at = store_of(file)
+    with store.open_input_file(at) as f:
+        table = pq.ParquetFile(f).read(columns)
+    if live is None:
+        return table
+    return table.filter(pa.array(np.unpackbits(np.frombuffer(live, np.uint8), count=len(table)).astype(bool)))
+
+
+def _walk(pairs, first: int, n: int, live: np.ndarray, inner: bool) -> tuple[int, int]:
+    """The docs from ``first`` on, in order: one with a live neighbour before ``first`` (``inner``: before itself) is no
+    longer live.  Returns the numbers of pairs verified and found."""
+    met = near = 0
+    for k in range(first, n, STRIP):
+        end = min(k + STRIP, n)
+        for i, j, verified in pairs(slice(k, end), slice(0, end if inner else first), live):
+            met, near = met + verified, near + len(j)
+            if len(j):
+                live[i[0]] = False
+    return met, near
+
+
+def walked_blocks(vectors: DataFrame, cuts: DataFrame, near) -> tuple[DataFrame, DataFrame, int]:
+    """The greedy walk of ``vectors(session_id, pos, ...)`` without its edges: the kept ``(session_id, pos)``, the
+    numbers ``(session_id, n, met, near)`` of docs, verified and found pairs, and the number of rounds.
+
+    A session of one block is walked where its docs meet.  A larger one is cut into blocks in ``pos`` order, each written
+    once as a file.  In a round every later block reads the block that has just been walked and drops its docs with a
+    kept neighbour there; the next block has then met all that are before it and is walked.  So what is stored is the
+    vectors and a bit for each doc, and a task holds two blocks, whatever the number of neighbours."""
+    folder = scratch_dir(vectors.sparkSession, "blocks")
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in (S, "pos")}
+    state_schema = f"{S} {kinds[S]}, block int, file string, live binary, n bigint, met bigint, near bigint"
+
+    def begun(group: pa.Table) -> pa.Table:
+        group = group.take(np.argsort(group.column("pos").to_numpy(), kind="stable"))
+        n, pos = len(group), group.column("pos").combine_chunks()
+        session, block = group.column(S)[0].as_py(), group.column("__block")[0].as_py()
+        if group.column("__large")[0].as_py():
+            file = f"{folder}/{uuid.uuid4().hex}.parquet"
+            store, at = store_of(file)
+            store.create_dir(posixpath.dirname(at), recursive=True)
+            with store.open_output_stream(at) as f:  # a block's terms come again and again: one dictionary
+                pq.write_table(group.drop_columns([S, "__block", "__large"]), f, row_group_size=n, compression="zstd", dictionary_pagesize_limit=64 << 20)
+            pos, told = pos.slice(0, 0), [block, file, np.packbits(np.ones(n, bool)).tobytes(), n, 0, 0]
+        else:
+            live = np.ones(n, bool)
+            told = [None, None, None, n, *_walk(near(group), 0, n, live, True)]
+            pos = pos.filter(pa.array(live))
+        out = pa.schema([(S, group.schema.field(S).type), ("pos", pos.type), ("block", pa.int32()), ("file", pa.string()), ("live", pa.binary()), *((c, pa.int64()) for c in ("n", "met", "near"))])
+        columns = [[session] * (len(pos) + 1), pa.concat_arrays([pos, pa.array([None], pos.type)]), *([None] * len(pos) + [v] for v in told)]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, out.types)], schema=out)
+
+    def step(k: int):
+        def one(row: dict) -> dict:
+            front, front_live = row.pop("front"), row.pop("front_live")
+            if row["block"] < k or row["block"] > k and not front:
+                return row
+            mine = _stored(row["file"], row["live"])
+            before = _stored(front, front_live) if front else mine.slice(0, 0)
+            first, both = len(before), pa.concat_tables([before, mine]).combine_chunks()
+            live = np.ones(len(both), bool)
+            if len(mine):
+                met, found = _walk(near(both), first, len(both), live, row["block"] == k)
+                row["met"], row["near"] = row["met"] + met, row["near"] + found
+            bits = np.unpackbits(np.frombuffer(row["live"], np.uint8), count=row["n"])
+            bits[np.flatnonzero(bits)] = live[first:]
+            return row | {"live": np.packbits(bits).tobytes()}
+
+        def steps(batches):
+            for batch in batches:
+                schema = pa.schema([f for f in batch.schema if f.name not in ("front", "front_live")])
+                for row in batch.to_pylist():
+                    yield pa.RecordBatch.from_pylist([one(row)], schema)
+        return steps
+
+    def positions(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                pos = _stored(row["file"], row["live"], ["pos"]).column("pos").combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array([row[S]] * len(pos), batch.schema.field(S).type), pos], names=[S, "pos"])
+
+    placed = vectors.join(cuts, S, "left").withColumns({
+        "__large": F.col("__cuts").isNotNull(), "__block": F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("pos"))), F.lit(0))})
+    rows = materialize(placed.drop("__cuts").groupBy(S, "__block").applyInArrow(begun, f"{S} {kinds[S]}, pos {kinds['pos']}, {state_schema.split(', ', 1)[1]}"))
+    kept = rows.where("pos IS NOT NULL").select(S, "pos")
+    state = rows.where("file IS NOT NULL").drop("pos")
+    blocks, last = state.agg(F.count(F.lit(1)), F.max("block")).first()
+    # one partition first: its rows are then dealt evenly, a block to a task
+    alone = lambda df: df.coalesce(1).repartition(min(blocks, ROUND_TASKS))
+    for k in range((last or 0) + 1 if blocks else 0):
+        # by a window: joined with itself, the estimated size would be squared in every round
+        front = lambda c: F.max(F.when(F.col("block") == k - 1, F.col(c))).over(Window.partitionBy(S))
+        state = materialize(alone(state.withColumns({"front": front("file"), "front_live": front("live")})).mapInArrow(step(k), state_schema))
+    numbers = rows.where("pos IS NULL AND file IS NULL").select(S, "n", "met", "near").unionByName(state.select(S, "n", "met", "near"))
+    if blocks:
+        kept = kept.unionByName(alone(state).mapInArrow(positions, f"{S} {kinds[S]}, pos {kinds['pos']}"))
+    return kept, numbers, (last or 0) + 1 if blocks else 0
+
+
 def dedupe_corpus_terms(docs: DataFrame, threshold: float, report: dict | None = None) -> DataFrame:
     """G3 on term counts: ``docs(session_id, pos, text)`` in ``pos`` order -> kept ``(session_id, pos)``.
 
-    ``report``, if given, gets the numbers of texts, pairs in all, candidates (pairs that the bound leaves),
-    verified pairs and rounds."""
+    ``report``, if given, gets the numbers of texts, pairs in all, candidates (pairs with a kept doc that the bound
+    leaves), verified pairs and rounds."""
     docs = spread(docs, S, "pos")
     # a digest of the text, not the text, groups the copies
-    first = docs.groupBy(S, F.sha2("text", 256).alias("__h")).agg(F.min("pos").alias("pos")).select(S, "pos").distinct()
+    first = docs.groupBy(S, F.sha2("text", 256).alias("__h")).agg(F.min("pos").alias("pos"), F.max(F.length("text")).alias("chars"))
+    first = materialize(first.where(F.col(S).isNotNull() & F.col("pos").isNotNull()).groupBy(S, "pos").agg(F.sum("chars").alias("chars")))
     # dealt by the keys of a doc, so that counting its terms deals nothing again
-    texts = dealt(docs.select(S, "pos", "text"), S, "pos").join(first.hint("shuffle_hash"), [S, "pos"], "left_semi")
-    vectors = materialize(term_vectors(texts))
-    met = materialize(paired_blocks(vectors, near_terms(threshold)))
-    edges = met.where("a IS NOT NULL").select(S, "a", "b")
-    undecided: list[int] = []
-    nodes = materialize(vectors.select(S, "pos"))
-    kept = greedy_fixpoint(nodes, edges, undecided)
+    texts = dealt(docs.select(S, "pos", "text"), S, "pos").join(first.select(S, "pos").hint("shuffle_hash"), [S, "pos"], "left_semi")
+    kept, numbers, rounds = walked_blocks(term_vectors(texts), block_cuts(first), near_terms(threshold))
     if report is not None:
-        sizes = nodes.groupBy(S).count()
-        n = sizes.agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1) / 2).cast("bigint").alias("p")).first()
-        report.update(texts=n["n"], pairs=n["p"], candidates=met.agg(F.sum("met")).first()[0] or 0, verified=edges.count(), rounds=len(undecided))
+        sizes = numbers.groupBy(S).agg(*(F.sum(c).alias(c) for c in ("n", "met", "near")))
+        n = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("p"), F.sum("met").alias("met"), F.sum("near").alias("near")).first()
+        report.update(texts=n["n"], pairs=n["p"], candidates=n["met"], verified=n["near"], rounds=rounds)
     worded = docs.where(F.size(tokens(F.col("text"))) > 0).select(S, "pos")
     wordless = docs.select(S, "pos").join(worded.distinct(), [S, "pos"], "left_anti")
     return kept.unionByName(wordless)
