@@ -7,17 +7,24 @@ to the chunk in which it begins.  Rows carry their place as (chunk, line in chun
 of that, as ``read_transcripts`` gives them for the whole files, from a count for each chunk.
 
 With ``upTo`` a run reads no further than so many bytes into a file.  Files only grow: one that has become shorter than what was read of it stops the stream.  A last line without a line
-feed waits until it has one (a batch read takes it).  The offset has an entry for each file, some hundred bytes, and
-a run looks once at the end of each; sessions that are over belong in another folder.  Paths may have any scheme that
-``pyarrow.fs`` knows.
+feed waits until it has one (a batch read takes it).  A run looks once at the end of each file; sessions that are over
+belong in another folder.  Paths may have any scheme that ``pyarrow.fs`` knows.
+
+Without ``offsets`` the offset of the stream itself has an entry for each file, of which Spark's driver keeps several
+copies.  With ``offsets``, a folder, it only names a table there by its digest; what tasks read is written there too, a
+record batch for each task, and neither is in memory as a whole but for the names and sizes of the files.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
+import os
 import posixpath
 import re
+import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 from urllib.parse import unquote
 
@@ -32,8 +39,13 @@ from sessionsift.sources.stores import store_of
 S = "session_id"
 SCHEMA = "session_id string, file string, chunk long, line_in_chunk long, raw string"
 CHUNK_BYTES, TAIL, READ_ROWS = 64 << 20, 1 << 16, 10_000
-#: A task reads chunks of this many bytes together, each counted with what opening its file costs.
-TASK_BYTES, OPEN_BYTES = 4 << 20, 1 << 16
+#: A task reads chunks of this many bytes together, each file counted with what opening it costs; more, up to a large
+#: chunk, when there would be so many tasks that the driver's account of them grows large.
+TASK_BYTES, OPEN_BYTES, TASKS = 4 << 20, 1 << 16, 2_000
+#: The key of an offset that names a table of ends (files have a folder in their names), and rows in a batch of it.
+ENDS, ENDS_ROWS = "ends", 1 << 14
+ENDS_SCHEMA = pa.schema([("file", pa.large_string()), ("end", pa.int64()), ("size", pa.int64())])
+PLAN_SCHEMA = pa.schema([("file", pa.large_string()), ("begin", pa.int64()), ("end", pa.int64()), ("fresh", pa.bool_())])
 
 
 def session_of(file: str) -> str | None:
@@ -63,18 +75,67 @@ class Chunks(InputPartition):
         self.chunks = chunks
 
 
-def packed(chunks: Iterable[Chunk]) -> list[Chunks]:
-    """Chunks in order, as tasks of about ``TASK_BYTES``."""
-    tasks: list[Chunks] = []
-    room = 0
+class Planned(InputPartition):
+    """What one task reads, as a batch of a plan."""
+
+    def __init__(self, plan: str, batch: int):
+        self.plan, self.batch = plan, batch
+
+
+def costed(chunks: Iterable[Chunk]) -> Iterator[tuple[Chunk, int]]:
+    """Chunks with their bytes, and what opening a file costs at the first of its chunks."""
+    file = None
     for c in chunks:
-        cost = c.end - c.begin + OPEN_BYTES
-        if cost > room:
-            tasks.append(Chunks([]))
-            room = TASK_BYTES
-        tasks[-1].chunks.append(c)
+        yield c, c.end - c.begin + (OPEN_BYTES if c.file != file else 0)
+        file = c.file
+
+
+def task_bytes(cost: int) -> int:
+    return min(max(TASK_BYTES, -(-cost // TASKS)), CHUNK_BYTES)
+
+
+def packed(chunks: Iterable[Chunk], size: int = TASK_BYTES) -> Iterator[Chunks]:
+    """Chunks in order, as tasks of about ``size`` bytes."""
+    some: list[Chunk] = []
+    room = size
+    for c, cost in costed(chunks):
+        if some and cost > room:
+            yield Chunks(some)
+            some, room = [], size
+        some.append(c)
         room -= cost
-    return tasks
+    if some:
+        yield Chunks(some)
+
+
+@contextmanager
+def _written(path: str, schema: pa.Schema) -> Iterator[list]:
+    """A writer of record batches; the file gets its name, by then in the list, when it is whole."""
+    store, at = store_of(path)
+    store.create_dir(at, recursive=True)
+    temp, name = f"{at}/.{uuid.uuid4().hex}", []
+    with store.open_output_stream(temp) as f, pa.ipc.new_file(f, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        yield [out, name]
+    store.move(temp, f"{at}/{name[0]}")
+
+
+def _batches(path: str) -> Iterator[pa.RecordBatch]:
+    store, at = store_of(path)
+    with store.open_input_file(at) as f:
+        table = pa.ipc.open_file(f)
+        for k in range(table.num_record_batches):
+            yield table.get_batch(k)
+
+
+def _merged(left: Iterable[tuple], right: Iterable[tuple]) -> Iterator[tuple[str, tuple | None, tuple | None]]:
+    """Rows (file, ...) of two sorted sides side by side."""
+    left, right = iter(left), iter(right)
+    x, y = next(left, None), next(right, None)
+    while x or y:
+        file = min(r[0] for r in (x, y) if r)
+        here, there = x and x[0] == file, y and y[0] == file
+        yield file, x if here else None, y if there else None
+        x, y = next(left, None) if here else x, next(right, None) if there else y
 
 
 class _Files:
@@ -85,12 +146,40 @@ class _Files:
         self.size = int(options.get("chunkbytes", CHUNK_BYTES))
         self.upto = int(options.get("upto", 1 << 62))
 
-    def sizes(self) -> dict[str, int]:
+    def found(self) -> Iterator[tuple[str, int]]:
+        """Files and their sizes; local folders are walked, as a list of all that is in them is many times their names."""
         from pyarrow import fs
         store, root = store_of(self.path)
-        found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+        if isinstance(store, fs.LocalFileSystem):
+            return self._walked(root.rstrip("/") or "/")
+        listed = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         hidden = lambda f: any(p[:1] in ("_", ".") for p in f[len(root):].split("/"))
-        return {i.path: min(i.size, self.upto) for i in found if i.is_file and not hidden(i.path)}
+        return ((i.path, min(i.size, self.upto)) for i in listed if i.is_file and not hidden(i.path))
+
+    def _walked(self, folder: str) -> Iterator[tuple[str, int]]:
+        try:
+            entries = os.scandir(folder)
+        except FileNotFoundError:
+            return
+        with entries:
+            for e in entries:
+                if e.name[:1] in ("_", "."):
+                    continue
+                if e.is_dir():
+                    yield from self._walked(e.path)
+                elif e.is_file():
+                    yield e.path, min(e.stat().st_size, self.upto)
+
+    def sizes(self) -> dict[str, int]:
+        return dict(self.found())
+
+    def sorted_sizes(self) -> Iterator[tuple[str, int]]:
+        found, parts = self.found(), []
+        while some := list(islice(found, ENDS_ROWS)):
+            parts.append(pa.table([pa.array(c, t) for c, t in zip(zip(*some), (pa.large_string(), pa.int64()))], names=["file", "size"]))
+        if parts:
+            for batch in pa.concat_tables(parts).sort_by("file").to_batches(max_chunksize=ENDS_ROWS):
+                yield from zip(*(c.to_pylist() for c in batch.columns))
 
     def whole_lines(self, file: str, begin: int, size: int) -> int:
         """The end of the last whole line, looking back from the end in small steps."""
@@ -121,9 +210,16 @@ class _Files:
                 at, number = at + len(line), number + 1
                 yield session, part.file, part.begin, number, line.removesuffix(b"\n").decode("utf-8", "replace")
 
-    def read(self, part: Chunks) -> Iterator[pa.RecordBatch]:
+    def chunks(self, part: Chunks | Planned) -> Iterable[Chunk]:
+        if isinstance(part, Chunks):
+            return part.chunks
+        store, at = store_of(part.plan)
+        with store.open_input_file(at) as f:
+            return [Chunk(*row) for row in zip(*(c.to_pylist() for c in pa.ipc.open_file(f).get_batch(part.batch).columns))]
+
+    def read(self, part: Chunks | Planned) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(S, pa.string()), ("file", pa.string()), ("chunk", pa.int64()), ("line_in_chunk", pa.int64()), ("raw", pa.string())])
-        rows = (row for c in part.chunks for row in self.lines(c))
+        rows = (row for c in self.chunks(part) for row in self.lines(c))
         while some := list(islice(rows, READ_ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)
 
@@ -133,7 +229,7 @@ class GrowingReader(DataSourceReader):
         self.files = _Files(options)
 
     def partitions(self) -> list[Chunks]:
-        return packed(c for file, size in sorted(self.files.sizes().items()) for c in chunks_of(file, 0, size, self.files.size))
+        return list(packed(c for file, size in sorted(self.files.sizes().items()) for c in chunks_of(file, 0, size, self.files.size)))
 
     def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         return self.files.read(partition)
@@ -141,27 +237,73 @@ class GrowingReader(DataSourceReader):
 
 class GrowingStream(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.files, self.ends = _Files(options), {}
+        self.files, self.ends, self.folder, self.last = _Files(options), {}, options.get("offsets"), None
 
     def initialOffset(self) -> dict:
         return {}
 
+    def _end(self, file: str, size: int, end: int, seen: int) -> int:
+        if size < end:
+            raise ValueError(f"{file} has become shorter")
+        return end if size == seen else self.files.whole_lines(file, end, size)
+
     def latestOffset(self) -> dict:
+        if self.folder:
+            self.last = self._stored_ends()
+            return {ENDS: self.last} if self.last else {}
         for file, size in self.files.sizes().items():
             end, seen = self.ends.get(file, (0, -1))
-            if size < end:
-                raise ValueError(f"{file} has become shorter")
-            if size != seen:
-                self.ends[file] = (self.files.whole_lines(file, end, size), size)
+            self.ends[file] = (self._end(file, size, end, seen), size)
         return {file: end for file, (end, _) in sorted(self.ends.items()) if end}
 
-    def partitions(self, start: dict, end: dict) -> list[Chunks]:
-        for file, at in end.items():
-            if at < start.get(file, 0):
+    def _stored_ends(self) -> str | None:
+        """The name of the table of ends, the same for the same ends; None if there is none."""
+        def rows():
+            for file, now, last in _merged(self.files.sorted_sizes(), self._rows(self.last)):
+                yield (file, self._end(file, now[1], *last[1:] if last else (0, -1)), now[1]) if now else last
+
+        digest, any_end, found = hashlib.sha256(), False, rows()
+        with _written(self.folder, ENDS_SCHEMA) as (out, name):
+            while some := list(islice(found, ENDS_ROWS)):
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), ENDS_SCHEMA.types)], schema=ENDS_SCHEMA))
+                for file, end, _ in some:
+                    if end:
+                        any_end = True
+                        digest.update(f"{end} {file}\n".encode())
+            name.append(f"ends-{digest.hexdigest()}")
+        return digest.hexdigest() if any_end else None
+
+    def _rows(self, name: str | None) -> Iterator[tuple[str, int, int]]:
+        if name:
+            for batch in _batches(f"{self.folder}/ends-{name}"):
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def _ends(self, offset: dict) -> Iterable[tuple]:
+        """Sorted (file, end, ...) of an offset of either kind."""
+        return (r for r in self._rows(offset[ENDS]) if r[1]) if ENDS in offset else sorted(offset.items())
+
+    def _chunks(self, start: dict, end: dict) -> Iterator[Chunk]:
+        for file, before, now in _merged(self._ends(start), self._ends(end)):
+            begin = before[1] if before else 0
+            if now and now[1] < begin:
                 raise ValueError(f"{file} has become shorter")
-        return packed(c for file, at in sorted(end.items()) for c in chunks_of(file, start.get(file, 0), at, self.files.size))
-
-    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+            if now:
+                yield from chunks_of(file, begin, now[1], self.files.size)
+
+    def partitions(self, start: dict, end: dict) -> list[Chunks] | list[Planned]:
+        size = task_bytes(sum(cost for _, cost in costed(self._chunks(start, end))))
+        tasks = packed(self._chunks(start, end), size)
+        if not self.folder:
+            return list(tasks)
+        with _written(self.folder, PLAN_SCHEMA) as (out, name):
+            name.append(f"plan-{uuid.uuid4().hex}")
+            n = 0
+            for n, t in enumerate(tasks, 1):
+                columns = zip(*((c.file, c.begin, c.end, c.fresh) for c in t.chunks))
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, PLAN_SCHEMA.types)], schema=PLAN_SCHEMA))
+        return [Planned(f"{self.folder}/{name[0]}", k) for k in range(n)]
+
+    def read(self, partition: Chunks | Planned) -> Iterator[pa.RecordBatch]:
         return self.files.read(partition)
 
     def commit(self, end: dict) -> None:
@@ -205,7 +347,7 @@ def follow_transcripts(spark: SparkSession, path: str, store: str, **options) ->
     """Read what has been appended below ``path`` since the last call with the same ``store`` (its checkpoint and
     its table of lines lie there), and return all lines so far as ``read_transcripts`` would."""
     spark.dataSource.register(GrowingTranscripts)
-    stream = spark.readStream.format("growing_transcripts").options(**options).load(path)
+    stream = spark.readStream.format("growing_transcripts").options(**{"offsets": f"{store}/offsets", **options}).load(path)
     q = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{store}/lines")
          .option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
